@@ -21,33 +21,21 @@ def to_number(c: Column) -> Column:
     return F.when(~F.isnan(number), number)
 
 
-_SEPARATED = r"^\s*(\d{1,2})[^0-9]+(\d{1,2})[^0-9]+(\d{4}|\d{2})\s*$"
-_YEAR_FIRST = r"^\s*(\d{4})[^0-9]*(\d{1,2})[^0-9]*(\d{1,2})\s*$"
-_COMPACT = r"^\s*(\d{2})(\d{2})(\d{4}|\d{2})\s*$"
-
-
-def _groups(c: Column, pattern: str) -> list[Column]:
-    return [F.regexp_extract(c, pattern, i).try_cast("int") for i in (1, 2, 3)]
-
-
-def _date(y: Column, m: Column, d: Column) -> Column:
-    text = F.format_string("%04d-%02d-%02d", y, m, d)
-    return F.when(y.isNotNull() & m.isNotNull() & d.isNotNull(), F.try_to_date(text, "yyyy-MM-dd"))
-
-
-def _century(y: Column) -> Column:
-    """Two-digit years: 00-68 are 20xx, 69-99 are 19xx."""
-    return F.when(y >= 100, y).when(y <= 68, y + 2000).otherwise(y + 1900)
+# The accepted date spellings, in the order they are tried.
+_FULL_YEAR = ("yyyy-M-d", "yyyyMMdd", "d-M-yyyy", "ddMMyyyy", "M-d-yyyy", "MMddyyyy")
+_SHORT_YEAR = ("d-M-yy", "ddMMyy", "M-d-yy", "MMddyy")
 
 
 def parse_date(text: Column) -> Column:
-    """Date from text in year-first, day-first or month-first order, tried in turn."""
-    y, m, d = _groups(text, _YEAR_FIRST)
-    tries = [_date(y, m, d)]
-    for pattern in (_SEPARATED, _COMPACT):
-        first, second, year = _groups(text, pattern)
-        tries += [_date(_century(year), second, first), _date(_century(year), first, second)]
-    return F.coalesce(*tries)
+    """Date from text in year-first, day-first or month-first order, tried in turn.
+
+    Two-digit years 00-68 are 20xx, 69-99 are 19xx.
+    """
+    plain = F.regexp_replace(F.trim(text), "[^0-9]+", "-")
+    full = F.coalesce(*[F.try_to_date(plain, f) for f in _FULL_YEAR])
+    short = F.coalesce(*[F.try_to_date(plain, f) for f in _SHORT_YEAR])
+    century = F.when(F.substring(plain, -2, 2) >= "69", 100).otherwise(0)
+    return F.coalesce(full, F.add_months(short, -12 * century))
 
 
 def infer_year(text: Column) -> Column:
@@ -62,20 +50,14 @@ def window_bound(date_text: Column, time_text: Column, year: Column | None = Non
     other spellings are parsed like :func:`infer_year`.
     """
     day = F.trim(date_text)
-    has_year = day.rlike(r"^[0-9]{4}")
     if year is not None:
-        short = day.rlike(r"^\d{1,2}-\d{1,2}$")
-        day = F.when(~has_year & short, F.concat_ws("-", year.cast("string"), day)).otherwise(day)
-    clock = coalesce_blank(F.trim(time_text), F.lit("00:00:00"))
-    parts = F.split(clock, ":")
-    clock = F.concat_ws(
-        ":",
-        F.lpad(F.get(parts, 0), 2, "0"),
-        F.coalesce(F.get(parts, 1), F.lit("00")),
-        F.coalesce(F.get(parts, 2), F.lit("00")),
-    )
-    stamp = F.concat_ws(" ", F.date_format(parse_date(day), "yyyy-MM-dd"), clock)
-    return F.when(parse_date(day).isNotNull(), F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")))
+        short = day.rlike(r"^[0-9]{1,2}-[0-9]{1,2}$")
+        day = F.when(short, F.concat_ws("-", year.cast("string"), day)).otherwise(day)
+    clock = F.split(coalesce_blank(F.trim(time_text), F.lit("00:00:00")), ":")
+    hms = [F.coalesce(F.get(clock, i), F.lit("0")).try_cast("int") for i in range(3)]
+    valid = hms[0].between(0, 23) & hms[1].between(0, 59) & hms[2].between(0, 59)
+    at = parse_date(day).cast("timestamp") + F.make_dt_interval(hours=hms[0], mins=hms[1], secs=hms[2])
+    return F.when(valid, at)
 
 
 def valid_window(seconds: Column | float, interval: Column) -> Column:

@@ -102,19 +102,20 @@ def boot_times(log: DataFrame, time: str = "timestamp", event: str = "event") ->
     return log.where((F.lower(F.trim(F.col(event))) == BOOT_EVENT) & F.col(time).isNotNull())
 
 
+def _with_boots(readings: DataFrame, boots: DataFrame, o: Ordering) -> tuple[DataFrame, Ordering]:
+    """Readings and boots in one table, a boot ahead of readings with the same time."""
+    marks = boots.select(*o.keys, o.time).withColumns({"_is_reading": F.lit(0), "_boot": F.lit(1)})
+    mixed = readings.drop(BLOCK).withColumns({"_is_reading": F.lit(1), "_boot": F.lit(0)})
+    return mixed.unionByName(marks, allowMissingColumns=True), Ordering(o.keys, o.time, ("_is_reading", *o.ties))
+
+
 def assign_session(readings: DataFrame, boots: DataFrame, o: Ordering, out: str = "session_id") -> DataFrame:
     """Number of boots at or before each reading, 0 before the first boot.
 
-    Boots are mixed into the readings and counted along the series, a boot ahead
-    of readings with the same time; no range join is involved. Readings without a
-    time get null.
+    Boots are mixed into the readings and counted along the series; no range join
+    is involved. Readings without a time get null.
     """
-    marks = boots.select(*o.keys, o.time).withColumns({"_is_reading": F.lit(0), "_boot": F.lit(1)})
-    readings = readings.drop(BLOCK)
-    mixed = readings.withColumns({"_is_reading": F.lit(1), "_boot": F.lit(0)}).unionByName(
-        marks, allowMissingColumns=True
-    )
-    o2 = Ordering(o.keys, o.time, ("_is_reading", *o.ties))
+    mixed, o2 = _with_boots(readings, boots, o)
     counted = running(mixed, o2, sums={out: F.col("_boot")})
     return (
         counted.where(F.col("_is_reading") == 1)
@@ -123,6 +124,34 @@ def assign_session(readings: DataFrame, boots: DataFrame, o: Ordering, out: str
     )
 
 
+def session_columns(readings: DataFrame, boots: DataFrame, o: Ordering) -> DataFrame:
+    """``session_id``, ``dt_sec`` and ``session_row`` (row number in the session) in one pass.
+
+    The same as :func:`assign_session`, :func:`delta_seconds` and numbering the
+    rows of each session, but the readings are shuffled once.
+    """
+    mixed, o2 = _with_boots(readings, boots, o)
+    is_reading = F.col("_is_reading") == 1
+    counted = running(
+        mixed,
+        o2,
+        sums={"session_id": F.col("_boot")},
+        priors={"_before": F.when(is_reading, micros(o.time))},
+        since={"session_row": (~is_reading, F.col("_is_reading"))},
+    )
+    return (
+        counted.where(is_reading)
+        .withColumns(
+            {
+                "session_id": F.col("session_id").cast("int"),
+                "session_row": F.col("session_row").cast("long"),
+                "dt_sec": (micros(o.time) - F.col("_before")) / F.lit(1e6),
+            }
+        )
+        .drop("_is_reading", "_boot", "_before", BLOCK)
+    )
+
+
 def delta_seconds(df: DataFrame, o: Ordering, out: str = "dt_sec") -> DataFrame:
     """Seconds since the previous row of the key; sessions do not reset it."""
     lagged = running(df, o, lags={"_before": micros(o.time)})
@@ -133,6 +162,8 @@ def flag_warmup(
     df: DataFrame, o: Ordering, session: str = "session_id", n: int = WARMUP_ROWS, out: str = "flag_ema_warmup"
 ) -> DataFrame:
     """Flag the first ``n`` rows of each session, invalid ones included."""
+    if "session_row" in df.columns:
+        return df.withColumn(out, F.col("session_row") <= n)
     return running(df, o.within(session), position="_pos").withColumn(out, F.col("_pos") <= n).drop("_pos")
 
 

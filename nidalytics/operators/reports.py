@@ -144,7 +144,8 @@ def device_report(device: DataFrame, keys: Sequence[str]) -> DataFrame:
             for c in values
         ],
     )
-    long = text.unpivot(list(keys), values, "Metric", "Value")
+    pairs = F.array(*[F.struct(F.lit(c).alias("Metric"), F.col(c).alias("Value")) for c in values])
+    long = text.select(*keys, F.inline(pairs))
     return long.withColumn("Metric", sentence_case(F.col("Metric")))
 
 

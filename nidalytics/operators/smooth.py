@@ -47,6 +47,7 @@ def rolling_median(
     nulls: str = "propagate",
     out: str = "tof_smooth_r",
     slice_rows: int = SLICE_ROWS,
+    position: str | None = None,
 ) -> DataFrame:
     """Centred median over ``k`` rows of each series.
 
@@ -55,6 +56,7 @@ def rolling_median(
     left out ("skip"). Rows are numbered along the series and cut into slices of
     ``slice_rows`` rows; rows near a cut are copied into the neighbouring slice,
     so a frame never needs more than one slice and a long series is many tasks.
+    ``position`` names a column that already holds the row numbers.
     """
     if k % 2 == 0 or k < 1:
         raise ValueError("k must be odd")
@@ -63,7 +65,8 @@ def rolling_median(
     half = k // 2
     size = max(slice_rows, 2 * k)
     columns = [c for c in df.columns if c != out]
-    numbered = running(df.withColumn("_x", value), o, position="_pos")
+    numbered = df.withColumn("_x", value)
+    numbered = numbered.withColumn("_pos", F.col(position)) if position else running(numbered, o, position="_pos")
 
     def slice_of(row: Column) -> Column:
         return F.floor((row - 1) / size)
@@ -92,7 +95,13 @@ def rolling_median(
 
 
 def smooth_by_window_size(
-    df: DataFrame, o: Ordering, value: Column, sizes: DataFrame, nulls: str = "propagate", out: str = "tof_smooth_r"
+    df: DataFrame,
+    o: Ordering,
+    value: Column,
+    sizes: DataFrame,
+    nulls: str = "propagate",
+    out: str = "tof_smooth_r",
+    position: str | None = None,
 ) -> DataFrame:
     """Rolling median with the window size of each deployment.
 
@@ -105,7 +114,10 @@ def smooth_by_window_size(
     if not distinct:
         return df.drop(BLOCK).withColumn(out, F.lit(None).cast("double"))
     parts = [
-        rolling_median(df.join(sizes.where(F.col("k") == k).select(*by), by, "left_semi"), o, value, k, nulls, out)
+        rolling_median(
+            df if len(distinct) == 1 else df.join(sizes.where(F.col("k") == k).select(*by), by, "left_semi"),
+            o, value, k, nulls, out, position=position,
+        )
         for k in distinct
     ]
     result = parts[0]

@@ -110,44 +110,78 @@ def running(
     sums: Mapping[str, Column] | None = None,
     lags: Mapping[str, Column] | None = None,
     fills: Mapping[str, Column] | None = None,
+    priors: Mapping[str, Column] | None = None,
+    since: Mapping[str, tuple[Column, Column]] | None = None,
     position: str | None = None,
 ) -> DataFrame:
-    """Running sums, previous-row values, carried-forward values and row numbers.
+    """Several running computations along a series in one go.
 
-    ``sums`` include the current row, ``lags`` is the row before (null on the
-    first), ``fills`` is the last non-null value so far, ``position`` counts
-    from 1. All of them share one shuffle of the rows and one carry table. The
-    input is read twice, so cut a long lineage before (see ``stages.cut``).
+    ``sums``     running sum, the current row included
+    ``lags``     value of the row before, null on the first
+    ``fills``    last non-null value so far
+    ``priors``   last non-null value before the row
+    ``since``    (mark, amount): sum of the amounts after the last marked row
+    ``position`` row number from 1
+
+    All share one shuffle of the rows and one carry table. The input is read
+    twice, so cut a long lineage before (see ``stages.cut``).
     """
-    sums = dict(sums or {})
+    sums, since = dict(sums or {}), dict(since or {})
     if position:
         sums[position] = F.lit(1).cast("long")
-    lags, fills = dict(lags or {}), dict(fills or {})
+    lags, fills, priors = dict(lags or {}), dict(fills or {}), dict(priors or {})
     df = add_blocks(df, o)
     w = o.inside()
     upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
     local = df.select(
         "*",
         *[F.sum(e).over(upto).alias(f"_s_{n}") for n, e in sums.items()],
         *[F.lag(F.struct(e.alias("v"))).over(w).alias(f"_l_{n}") for n, e in lags.items()],
         *[F.last(e, ignorenulls=True).over(upto).alias(f"_f_{n}") for n, e in fills.items()],
+        *[F.last(e, ignorenulls=True).over(earlier).alias(f"_p_{n}") for n, e in priors.items()],
+        *[F.sum(amount).over(upto).alias(f"_n_{n}") for n, (_, amount) in since.items()],
     )
-    edges = df.groupBy(*o.cells).agg(
+    at_mark = {n: F.when(mark, F.col(f"_n_{n}")) for n, (mark, _) in since.items()}
+    edges = (local if since else df).groupBy(*o.cells).agg(
         *[F.sum(e).alias(f"_cs_{n}") for n, e in sums.items()],
         *[_latest(e, o, skip_nulls=False).alias(f"_cl_{n}") for n, e in lags.items()],
-        *[_latest(e, o, skip_nulls=True).alias(f"_cf_{n}") for n, e in fills.items()],
+        *[_latest(e, o, skip_nulls=True).alias(f"_cf_{n}") for n, e in {**fills, **priors}.items()],
+        *[F.sum(amount).alias(f"_cn_{n}") for n, (_, amount) in since.items()],
+        *[F.max(e).alias(f"_cm_{n}") for n, e in at_mark.items()],
     )
+    local = local.select("*", *[F.last(e, ignorenulls=True).over(upto).alias(f"_m_{n}") for n, e in at_mark.items()])
     before = o.across().rowsBetween(Window.unboundedPreceding, -1)
+    base = {n: F.coalesce(F.sum(f"_cn_{n}").over(before), F.lit(0)) for n in since}
+    edges = edges.withColumns({f"_cb_{n}": b for n, b in base.items()})
     carry = edges.select(
         *o.cells,
         *[F.sum(f"_cs_{n}").over(before).alias(f"_cs_{n}") for n in sums],
         *[F.lag(f"_cl_{n}").over(o.across()).alias(f"_cl_{n}") for n in lags],
-        *[F.last(f"_cf_{n}", ignorenulls=True).over(before).alias(f"_cf_{n}") for n in fills],
+        *[F.last(f"_cf_{n}", ignorenulls=True).over(before).alias(f"_cf_{n}") for n in (*fills, *priors)],
+        *[
+            (
+                F.col(f"_cb_{n}")
+                - F.coalesce(F.last(F.col(f"_cb_{n}") + F.col(f"_cm_{n}"), ignorenulls=True).over(before), F.lit(0))
+            ).alias(f"_cn_{n}")
+            for n in since
+        ],
     )
     joined = local.join(carry, o.cells, "left")
-    out = {n: F.coalesce(F.col(f"_s_{n}"), F.lit(0)) + F.coalesce(F.col(f"_cs_{n}"), F.lit(0)) for n in sums}
+
+    def plus(a: str, b: str) -> Column:
+        return F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
+
+    out = {n: plus(f"_s_{n}", f"_cs_{n}") for n in sums}
     out |= {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_cl_{n}"))["v"] for n in lags}
     out |= {n: F.coalesce(F.col(f"_f_{n}"), F.col(f"_cf_{n}")["v"]) for n in fills}
+    out |= {n: F.coalesce(F.col(f"_p_{n}"), F.col(f"_cf_{n}")["v"]) for n in priors}
+    out |= {
+        n: F.when(F.col(f"_m_{n}").isNotNull(), F.col(f"_n_{n}") - F.col(f"_m_{n}")).otherwise(
+            plus(f"_n_{n}", f"_cn_{n}")
+        )
+        for n in since
+    }
     kept = [c for c in df.columns if c not in out]
     return joined.select(*kept, *[e.alias(n) for n, e in out.items()])
 

@@ -60,8 +60,8 @@ def ingest(
     return {
         "deployments": deployments.where(F.col("recording_year").isNotNull()),
         "log_clean": log,
-        "dht_clean": cut(raw.clean_dht(dht_rows, log, cut)),
-        "tof_clean": cut(raw.clean_tof(tof_rows, log, cut, params.ema_warmup_n)),
+        "dht_clean": cut(raw.clean_dht(dht_rows, log)),
+        "tof_clean": cut(raw.clean_tof(tof_rows, log, params.ema_warmup_n)),
         "quarantine": quarantine,
     }
 
@@ -86,7 +86,7 @@ def process(
 
     usable = F.when(smooth.usable(tof_clean), F.col("tof_raw_mm"))
     smoothed = smooth.smooth_by_window_size(
-        add_day_blocks(tof_clean, "timestamp"), ORDER.within("session_id"), usable, sizes, params.nulls, SMOOTHED
+        tof_clean, ORDER.within("session_id"), usable, sizes, params.nulls, SMOOTHED, position="session_row"
     )
     readings = cut(night.mark_night(smoothed, "timestamp", sun, KEYS))
 

@@ -50,6 +50,12 @@ def r6(c, name: str):
     return F.round(c, 6).alias(name)
 
 
+def off_ties(name: str):
+    """Round to 6 decimals after a nudge: engines round halves differently, and
+    microsecond times divided by 2 or 60 do end in halves."""
+    return F.round(F.col(name) + 1e-8, 6)
+
+
 # ---------------------------------------------------------------- shared inputs
 
 
@@ -286,17 +292,17 @@ def channel_diff(spark, sf):
 
 def _gap_sql(seconds: int, name: str) -> str:
     return f"""WITH {DELTAS} SELECT user_id, make_timestamp(epoch_us(ts) - CAST(round(dt_sec * 1e6) AS BIGINT)) AS gap_start,
-  ts AS gap_end, round(dt_sec / 60, 6) AS {name} FROM deltas WHERE dt_sec > {seconds}"""
+  ts AS gap_end, round(dt_sec / 60 + 1e-8, 6) AS {name} FROM deltas WHERE dt_sec > {seconds}"""
 
 
 @query(_gap_sql(7200, "gap_min"))
 def large_gaps(spark, sf):
-    return clean.large_gaps(events(spark, sf), SERIES).withColumn("gap_min", F.round("gap_min", 6))
+    return clean.large_gaps(events(spark, sf), SERIES).withColumn("gap_min", off_ties("gap_min"))
 
 
 @query(_gap_sql(300, "downtime_min"))
 def downtime_gaps(spark, sf):
-    return clean.downtime_gaps(events(spark, sf), SERIES).withColumn("downtime_min", F.round("downtime_min", 6))
+    return clean.downtime_gaps(events(spark, sf), SERIES).withColumn("downtime_min", off_ties("downtime_min"))
 
 
 @query(
@@ -321,8 +327,7 @@ def tof_like(spark, sf) -> DataFrame:
     rows = raw_readings(spark, sf)
     boots = rows.where(F.col("event_type") == "signup")
     df = clean.flag_invalid(rows, "raw_mm")
-    df = clean.delta_seconds(clean.assign_session(df, boots, SERIES), SERIES)
-    return clean.flag_warmup(df, SERIES, n=3)
+    return clean.flag_warmup(clean.session_columns(df, boots, SERIES), SERIES, n=3)
 
 
 TOF = f"""{RAW},
@@ -358,11 +363,11 @@ def ingest_counts(spark, sf):
 
 
 @query(
-    f"""WITH {TOF} SELECT user_id, round(median(dt_sec), 6) AS typical_interval FROM tof
+    f"""WITH {TOF} SELECT user_id, round(median(dt_sec) + 1e-8, 6) AS typical_interval FROM tof
   WHERE NOT flag_tof_invalid AND NOT flag_ema_warmup AND dt_sec IS NOT NULL GROUP BY user_id"""
 )
 def typical_interval(spark, sf):
-    return smooth.typical_interval(tof_like(spark, sf), K).select("user_id", r6(F.col("typical_interval"), "typical_interval"))
+    return smooth.typical_interval(tof_like(spark, sf), K).select("user_id", off_ties("typical_interval").alias("typical_interval"))
 
 
 @query(
@@ -490,11 +495,11 @@ def cluster_viable(spark, sf):
 
 
 KMEANS = f"""{SEGMENTS}, {VIABLE},
-splits AS (SELECT a.user_id, a.seg_median AS at, avg(b.seg_median) FILTER (b.seg_median <= a.seg_median) AS lo,
+splits AS (SELECT a.user_id, a.seg_median AS edge, avg(b.seg_median) FILTER (b.seg_median <= a.seg_median) AS lo,
   avg(b.seg_median) FILTER (b.seg_median > a.seg_median) AS hi,
   count(*) FILTER (b.seg_median <= a.seg_median) AS n1, count(*) FILTER (b.seg_median > a.seg_median) AS n2
   FROM (SELECT DISTINCT user_id, seg_median FROM segs) a JOIN segs b USING (user_id) GROUP BY 1, 2),
-centres AS (SELECT user_id, arg_max({{'lo': lo, 'hi': hi, 'at': at}}, (round(n1 * lo * lo + n2 * hi * hi, 6), -at)) AS c
+centres AS (SELECT user_id, arg_max({{'lo': lo, 'hi': hi, 'edge': edge}}, (round(n1 * lo * lo + n2 * hi * hi, 6), -edge)) AS c
   FROM splits WHERE n2 > 0 GROUP BY user_id)"""
 
 
@@ -524,7 +529,7 @@ def classify_iqr(spark, sf):
 GMM = f"""{KMEANS},
 lists AS (SELECT user_id, list(seg_median ORDER BY seg_median, segment_id) AS x FROM segs GROUP BY user_id),
 em AS (
-  SELECT l.user_id, x, list_transform(x, lambda v: CASE WHEN v <= c.c.at THEN 1.0 ELSE 0.0 END) AS r,
+  SELECT l.user_id, x, list_transform(x, lambda v: CASE WHEN v <= c.c.edge THEN 1::DOUBLE ELSE 0::DOUBLE END) AS r,
     0 AS it, -1e300::DOUBLE AS ll, false AS done, 0.0::DOUBLE AS p1, 0.0::DOUBLE AS m1, 0.0::DOUBLE AS m2,
     0.0::DOUBLE AS v1, 0.0::DOUBLE AS v2
   FROM lists l JOIN centres c USING (user_id)
@@ -650,15 +655,15 @@ def day_spine(spark, sf):
 
 
 DAY_COLUMNS = """CAST(coalesce(n_on_bouts, 0) AS INTEGER) AS n_on_bouts, CAST(coalesce(n_off_bouts, 0) AS INTEGER) AS n_off_bouts,
-  first_off_start, last_off_end, round(coalesce(sum_on_sec, 0) / day_sec, 6) AS prop_on_nest,
-  round(coalesce(sum_off_sec, 0) / day_sec, 6) AS prop_off_nest, round(coalesce(sum_unc_sec, 0) / day_sec, 6) AS prop_uncertain,
-  CASE WHEN n_on_bouts > 0 THEN round(sum_on_sec / 60 / n_on_bouts, 6) END AS mean_on_bout_min,
-  CASE WHEN n_off_bouts > 0 THEN round(sum_off_sec / 60 / n_off_bouts, 6) END AS mean_off_bout_min"""
+  first_off_start, last_off_end, round(coalesce(sum_on_sec, 0) / day_sec + 1e-8, 6) AS prop_on_nest,
+  round(coalesce(sum_off_sec, 0) / day_sec + 1e-8, 6) AS prop_off_nest, round(coalesce(sum_unc_sec, 0) / day_sec + 1e-8, 6) AS prop_uncertain,
+  CASE WHEN n_on_bouts > 0 THEN round(sum_on_sec / 60 / n_on_bouts + 1e-8, 6) END AS mean_on_bout_min,
+  CASE WHEN n_off_bouts > 0 THEN round(sum_off_sec / 60 / n_off_bouts + 1e-8, 6) END AS mean_off_bout_min"""
 RAW_DAY = ["prop_on_nest", "prop_off_nest", "prop_uncertain", "mean_on_bout_min", "mean_off_bout_min"]
 
 
 def _day_columns(df):
-    return df.withColumns({c: F.round(c, 6) for c in RAW_DAY})
+    return df.withColumns({c: off_ties(c) for c in RAW_DAY})
 
 
 @query(
@@ -673,7 +678,7 @@ def day_summary(spark, sf):
 @query(
     f"""WITH {ACTIVE}, {_stats_sql("active")}, {SPINE},
 lit AS (SELECT p.user_id, p.date, s.sunrise, s.sunset,
-  CASE WHEN s.sunrise IS NULL THEN 24.0 ELSE round((epoch_us(s.sunset) - epoch_us(s.sunrise)) / 3.6e9, 2) END AS day_length_h
+  CASE WHEN s.sunrise IS NULL THEN 24.0 ELSE floor((epoch_us(s.sunset) - epoch_us(s.sunrise)) / 3.6e7 + 0.5) / 100 END AS day_length_h
   FROM spine p JOIN sun s USING (user_id, date))
 SELECT user_id, date, strftime(sunrise, '%H:%M') AS sunrise, strftime(sunset, '%H:%M') AS sunset, day_length_h, {DAY_COLUMNS}
 FROM (SELECT *, day_length_h * 3600 AS day_sec FROM lit) LEFT JOIN stats USING (user_id, date)"""
@@ -694,13 +699,15 @@ off AS (SELECT user_id, date, count(*) AS n_off_bouts, avg(bout_duration / 60) A
 SELECT user_id, date, total_valid_sec::DOUBLE AS total_valid_sec, on_nest_sec::DOUBLE AS on_nest_sec,
   off_nest_sec::DOUBLE AS off_nest_sec, uncertain_sec::DOUBLE AS uncertain_sec,
   round(on_nest_sec::DOUBLE / 86400 * 100, 6) AS pct_day_on_nest, coalesce(n_off_bouts, 0) AS n_off_bouts,
-  round(mean_off, 6) AS mean_off_bout_min FROM daily LEFT JOIN off USING (user_id, date)"""
+  round(mean_off + 1e-8, 6) AS mean_off_bout_min FROM daily LEFT JOIN off USING (user_id, date)"""
 )
 def day_summary_readings(spark, sf):
     rows = readings(spark, sf)
     strict = bt.bouts_strict(rows, SERIES, state="state", value="value", min_bout_sec=3600)
     days = summary.day_summary_readings(rows, strict, K, "ts", F.lit(2.0), "state")
-    return days.withColumns({c: F.round(c, 6) for c in ("pct_day_on_nest", "mean_off_bout_min")})
+    return days.withColumns(
+        {"pct_day_on_nest": F.round("pct_day_on_nest", 6), "mean_off_bout_min": off_ties("mean_off_bout_min")}
+    )
 
 
 @query(
@@ -751,7 +758,8 @@ REPORTED = ["device_id", "first_timestamp", "last_timestamp", "n_sessions", "n_r
     f"""WITH {DEVICE}, texts AS (SELECT user_id, device_id AS "Device id", strftime(first_timestamp, '%Y-%m-%d %H:%M') AS "First timestamp",
   strftime(last_timestamp, '%Y-%m-%d %H:%M') AS "Last timestamp", n_sessions::VARCHAR AS "N sessions",
   n_reboots::VARCHAR AS "N reboots", n_tof_total::VARCHAR AS "N tof total", n_tof_invalid::VARCHAR AS "N tof invalid" FROM device)
-SELECT user_id, name AS "Metric", value AS "Value" FROM (UNPIVOT INCLUDE NULLS texts ON COLUMNS(* EXCLUDE user_id) INTO NAME name VALUE value)"""
+SELECT user_id, "Metric", "Value" FROM texts UNPIVOT INCLUDE NULLS ("Value" FOR "Metric" IN ("Device id", "First timestamp",
+  "Last timestamp", "N sessions", "N reboots", "N tof total", "N tof invalid"))"""
 )
 def device_report(spark, sf):
     return reports.device_report(_device(spark, sf).select("user_id", *REPORTED), K)
@@ -963,11 +971,13 @@ def climate_series(spark, sf):
 @query(
     f"""WITH {BOUTS} SELECT user_id, CAST(bout_id AS INTEGER) AS bout_id, upper(state_corrected[1]) || state_corrected[2:] AS state,
   strftime(bout_start, '%Y-%m-%d %H:%M') AS start, strftime(bout_end, '%Y-%m-%d %H:%M') AS "end",
-  round(bout_duration / 60, 6) AS duration_min, CAST(n_readings AS INTEGER) AS n_readings, round(mean_value, 6) AS mean_tof_mm,
+  round(bout_duration / 60 + 1e-8, 6) AS duration_min, CAST(n_readings AS INTEGER) AS n_readings, round(mean_value, 6) AS mean_tof_mm,
   flag_short FROM bouts"""
 )
 def bout_report(spark, sf):
-    return reports.bout_report(bout_table(spark, sf), K, 6)
+    return reports.bout_report(bout_table(spark, sf), K, None).withColumns(
+        {"duration_min": off_ties("duration_min"), "mean_tof_mm": F.round("mean_tof_mm", 6)}
+    )
 
 
 @query(

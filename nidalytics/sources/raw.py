@@ -168,29 +168,25 @@ def clean_log(stamped: DataFrame) -> DataFrame:
     return _ordered_names(_good(stamped), schemas.LOG_CLEAN)
 
 
-def clean_dht(stamped: DataFrame, log: DataFrame, cut: Cut = lambda d: d) -> DataFrame:
+def clean_dht(stamped: DataFrame, log: DataFrame) -> DataFrame:
     """Numeric climate channels (1 inside, 2 outside), sessions, gaps, flags and differences."""
     channels = {"temp1": "temp_in", "hum1": "hum_in", "temp2": "temp_out", "hum2": "hum_out"}
     rows = _good(stamped)
     rows = rows.withColumns({new: to_number(F.col(old)) for old, new in channels.items()}).drop(*channels)
-    rows = cut(clean.assign_session(rows, clean.boot_times(log), READING_ORDER))
-    rows = clean.delta_seconds(rows, READING_ORDER)
+    rows = clean.session_columns(rows, clean.boot_times(log), READING_ORDER)
     rows = clean.flag_any_missing(rows, list(channels.values()))
     rows = clean.channel_diff(rows, "temp_in", "temp_out", "temp_diff")
     rows = clean.channel_diff(rows, "hum_in", "hum_out", "hum_diff")
     return _ordered_names(rows, schemas.DHT_CLEAN)
 
 
-def clean_tof(
-    stamped: DataFrame, log: DataFrame, cut: Cut = lambda d: d, warmup_rows: int = clean.WARMUP_ROWS
-) -> DataFrame:
+def clean_tof(stamped: DataFrame, log: DataFrame, warmup_rows: int = clean.WARMUP_ROWS) -> DataFrame:
     """Numeric distances with sentinels nulled, sessions, gaps and warm-up flags."""
     rows = _good(stamped).withColumns(
         {"tof_raw_mm": to_number(F.col("tof_raw")), "tof_smooth_ema": to_number(F.col("tof_smooth"))}
     )
     rows = clean.flag_invalid(rows.drop("tof_raw", "tof_smooth"), "tof_raw_mm", ["tof_smooth_ema"])
-    rows = cut(clean.assign_session(rows, clean.boot_times(log), READING_ORDER))
-    rows = clean.delta_seconds(rows, READING_ORDER)
+    rows = clean.session_columns(rows, clean.boot_times(log), READING_ORDER)
     rows = clean.flag_warmup(rows, READING_ORDER, n=warmup_rows)
     return _ordered_names(rows, schemas.TOF_CLEAN)
 
@@ -200,8 +196,8 @@ def read_log(spark: SparkSession, paths, deployments: DataFrame) -> DataFrame:
 
 
 def read_dht(spark: SparkSession, paths, deployments: DataFrame, log: DataFrame, cut: Cut = lambda d: d) -> DataFrame:
-    return clean_dht(cut(stamp(scan(spark, paths, schemas.DHT_RAW), deployments)), log, cut)
+    return clean_dht(cut(stamp(scan(spark, paths, schemas.DHT_RAW), deployments)), log)
 
 
 def read_tof(spark: SparkSession, paths, deployments: DataFrame, log: DataFrame, cut: Cut = lambda d: d) -> DataFrame:
-    return clean_tof(cut(stamp(scan(spark, paths, schemas.TOF_RAW), deployments)), log, cut)
+    return clean_tof(cut(stamp(scan(spark, paths, schemas.TOF_RAW), deployments)), log)

@@ -28,7 +28,7 @@ DHT_CLEAN = (
 )
 TOF_CLEAN = (
     f"{_ROW}, tof_raw_mm double, tof_smooth_ema double, flag_tof_invalid boolean, session_id int, "
-    "dt_sec double, flag_ema_warmup boolean"
+    "session_row long, dt_sec double, flag_ema_warmup boolean"
 )
 TOF_PROCESSED = (
     f"{TOF_CLEAN}, tof_smooth_r double, segment_id int, state_auto string, state_corrected string, "

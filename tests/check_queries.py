@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import datetime
 import os
 import sys
 import time
@@ -34,12 +35,14 @@ def session(cpus: int = 8) -> SparkSession:
 def normal(df: pd.DataFrame) -> pd.DataFrame:
     df = df[sorted(df.columns)].copy()
     for c in df.columns:
+        if df[c].dtype == object and df[c].map(lambda v: type(v) is datetime.date).any():
+            df[c] = pd.to_datetime(df[c])
         if str(df[c].dtype).startswith("datetime"):
-            df[c] = df[c].astype("datetime64[us]").astype(str)
+            df[c] = df[c].astype("datetime64[us]").astype(str).str.replace(" 00:00:00", "").replace("NaT", "null")
         elif df[c].map(lambda v: isinstance(v, float)).any():
             df[c] = df[c].map(lambda v: "null" if pd.isna(v) else f"{float(v):.6f}".replace("-0.000000", "0.000000"))
         else:
-            df[c] = df[c].map(lambda v: "null" if v is None or v is pd.NaT or pd.isna(v) else str(v))
+            df[c] = df[c].map(lambda v: "null" if pd.isna(v) else str(v)).replace("NaT", "null")
     return df.sort_values(list(df.columns)).reset_index(drop=True)
 
 
