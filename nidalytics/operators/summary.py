@@ -207,7 +207,9 @@ def device_summary(
     """Deployment health: span, sessions, reboots, downtime and reading counts."""
     keys = list(keys)
     n = F.count(F.lit(1))
-    down = F.coalesce(F.sum(F.when(F.col("dt_sec") > DOWNTIME_SEC, F.col("dt_sec") / 60)), F.lit(0.0))
+    # whole microseconds, so that the sum does not depend on the order of the rows
+    gap = F.round(F.col("dt_sec") * 1e6).cast("long")
+    down = F.coalesce(F.sum(F.when(F.col("dt_sec") > DOWNTIME_SEC, gap)), F.lit(0))
     t = micros(time)
     # sessions are numbered upwards, but a session without readings leaves a hole
     per_session = tof.groupBy(*keys, "session_id").agg(
@@ -222,7 +224,7 @@ def device_summary(
         F.min("_first").alias("first_timestamp"),
         F.max("_last").alias("last_timestamp"),
         F.count("session_id").cast("int").alias("n_sessions"),
-        F.sum("_down").alias("total_downtime_min"),
+        (F.sum("_down") / F.lit(60e6)).alias("total_downtime_min"),
         F.sum("_n").alias("n_tof_total"),
         F.sum("_invalid").alias("n_tof_invalid"),
         F.sum("_warmup").alias("n_tof_warmup"),

@@ -1,11 +1,13 @@
 """Ordered per-key computations that never need one task per key.
 
 A series is identified by its key columns and ordered by time plus tie
-breakers. Windows run inside (key, block), where a block is a slice of the
-key's time range, so a key that holds a large share of the table is spread over
-many tasks. Whatever must cross block borders (running totals, the last value
-seen) is carried by a second, small table with one row per (key, block), which
-is aggregated map-side straight from the input.
+breakers. Windows run inside (key, block). A key of ordinary length is one
+block, marked by a null; a key that holds a large share of the table is cut into
+slices of its time range and spread over many tasks. Whatever must cross the
+borders of such slices (running totals, the last value seen) is carried by a
+second, small table with one row per (key, block). That table is built from the
+rows of the long keys only, so where there are none Spark drops that branch at
+run time and the rows are read and shuffled once.
 """
 
 from __future__ import annotations
@@ -60,39 +62,29 @@ def micros(column: str | Column) -> Column:
 def add_blocks(df: DataFrame, o: Ordering, target_rows: int = TARGET_ROWS) -> DataFrame:
     """Add the block column, unless the table already carries one.
 
-    Keys with at most ``target_rows`` rows are one block. Longer keys are cut
-    into equal time slices that hold about ``target_rows`` rows each. The table
-    of long keys has at most rows / target_rows entries of three numbers (100 TB
-    of 50-byte readings give 2 M entries, some 60 MB), which bounds the broadcast.
+    Keys with at most ``target_rows`` rows are one block (null). Longer keys are
+    cut into equal time slices that hold about ``target_rows`` rows each. The
+    table of long keys has at most rows / target_rows entries of three numbers
+    (100 TB of 50-byte readings give 2 M entries, some 60 MB), which bounds the
+    broadcast.
     """
     if BLOCK in df.columns:
         return df
     at = micros(o.time)
+    width = F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(target_rows)) / F.col("_rows"))
     long_keys = (
         df.groupBy(*o.keys)
         .agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_from"), F.max(at).alias("_to"))
         .where(F.col("_rows") > target_rows)
-        .select(
-            *o.keys,
-            "_from",
-            F.greatest(
-                F.lit(1),
-                F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(target_rows)) / F.col("_rows")),
-            ).alias("_width"),
-        )
-    )
-    block = F.floor((at - F.col("_from")) / F.col("_width"))
-    return (
-        df.join(F.broadcast(long_keys), list(o.keys), "left")
-        .withColumn(BLOCK, F.coalesce(block, F.lit(0)).cast("long"))
-        .drop("_from", "_width")
+        .select(*o.keys, "_from", width.alias("_width"))
     )
+    joined = df.join(F.broadcast(long_keys), list(o.keys), "left")
+    return joined.select(*df.columns, F.floor((at - F.col("_from")) / F.col("_width")).alias(BLOCK))
 
 
-def add_day_blocks(df: DataFrame, time: str, days: int = 1) -> DataFrame:
-    """Calendar blocks, for sensors whose sampling rate bounds the rows per day."""
-    day = F.floor(F.unix_date(F.to_date(F.col(time))) / days)
-    return df.withColumn(BLOCK, F.coalesce(day, F.lit(0)).cast("long"))
+def _split_rows(df: DataFrame) -> DataFrame:
+    """Rows of the keys that have more than one block."""
+    return df.where(F.col(BLOCK).isNotNull())
 
 
 def _latest(value: Column, o: Ordering, *, skip_nulls: bool) -> Column:
@@ -143,7 +135,7 @@ def running(
         *[F.sum(amount).over(upto).alias(f"_n_{n}") for n, (_, amount) in since.items()],
     )
     at_mark = {n: F.when(mark, F.col(f"_n_{n}")) for n, (mark, _) in since.items()}
-    edges = (local if since else df).groupBy(*o.cells).agg(
+    edges = _split_rows(local if since else df).groupBy(*o.cells).agg(
         *[F.sum(e).alias(f"_cs_{n}") for n, e in sums.items()],
         *[_latest(e, o, skip_nulls=False).alias(f"_cl_{n}") for n, e in lags.items()],
         *[_latest(e, o, skip_nulls=True).alias(f"_cf_{n}") for n, e in {**fills, **priors}.items()],
@@ -219,7 +211,7 @@ def steps(
     local = local.withColumns({f"_hit_{n}": h for n, h in hits(F.col("_prev"), v).items()})
 
     present = F.when(v.isNotNull(), o.position())
-    edges = local.groupBy(*o.cells).agg(
+    edges = _split_rows(local).groupBy(*o.cells).agg(
         *[F.sum(f"_hit_{n}").alias(f"_hits_{n}") for n in counts],
         F.min_by("_v", present).alias("_first"),
         F.max_by("_v", present).alias("_last"),
@@ -232,13 +224,13 @@ def steps(
         *[f"_hits_{n}" for n in counts],
         "_first",
         F.last("_last", ignorenulls=True).over(before).alias("_carry"),
-        F.first("_head").over(whole).alias("_head"),
+        F.first("_head").over(whole).alias("_key_head"),
     )
     jumps = hits(F.col("_carry"), F.col("_first"))
     carry = edges.select(
         *o.cells,
         "_carry",
-        "_head",
+        "_key_head",
         *[j.alias(f"_jump_{n}") for n, j in jumps.items()],
         *[
             F.coalesce(F.sum(F.col(f"_hits_{n}") + j).over(before), F.lit(0)).alias(f"_base_{n}")
@@ -249,16 +241,19 @@ def steps(
         *df.columns,
         *[F.sum(f"_hit_{n}").over(upto).alias(f"_run_{n}") for n in counts],
         F.last(v, ignorenulls=True).over(upto).alias("_fill"),
+        F.first(F.struct("_v")).over(upto).alias("_head"),
     )
     joined = local.join(carry, o.cells, "left")
     entered = F.col("_fill").isNotNull()
     out = {
-        n: F.col(f"_base_{n}") + F.col(f"_run_{n}") + F.when(entered, F.col(f"_jump_{n}")).otherwise(0)
+        n: F.coalesce(F.col(f"_base_{n}"), F.lit(0))
+        + F.col(f"_run_{n}")
+        + F.when(entered & F.col(f"_jump_{n}").isNotNull(), F.col(f"_jump_{n}")).otherwise(0)
         for n in counts
     }
     if fill_to:
         out[fill_to] = F.coalesce("_fill", "_carry")
     if first_to:
-        out[first_to] = F.col("_head._v")
+        out[first_to] = F.coalesce("_key_head", "_head")["_v"]
     kept = [c for c in df.columns if c != "_v" and c not in out]
     return joined.select(*kept, *[e.alias(n) for n, e in out.items()])

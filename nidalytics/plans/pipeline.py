@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, segment, smooth, summary
-from nidalytics.plans.ordered import BLOCK, add_day_blocks
+from nidalytics.plans.ordered import BLOCK
 from nidalytics.plans.stages import cut
 from nidalytics.sources import raw, schemas, tables
 
@@ -101,7 +101,7 @@ def process(
     if corrections is not None:
         states = correct.apply_corrections(cut(states), corrections, ORDER)
     states = cut(states)
-    runs = cut(bt.state_runs(add_day_blocks(states, "timestamp"), ORDER, "state_corrected", params.bridge_nulls).drop(BLOCK))
+    runs = cut(bt.state_runs(states, ORDER, "state_corrected", params.bridge_nulls).drop(BLOCK))
     bout_table = cut(bt.bouts(runs, ORDER, min_bout_sec=params.min_bout_sec))
     return {
         "tof_processed": _typed(runs, schemas.TOF_PROCESSED),
@@ -193,7 +193,7 @@ def export_corrected(
     if corrections is not None:
         tof = cut(correct.apply_corrections(tof, corrections, ORDER))
     trimmed = correct.trim_window(tof, deployments, keys, "timestamp")
-    runs = cut(bt.state_runs(add_day_blocks(trimmed, "timestamp"), ORDER, "state_corrected").drop(BLOCK))
+    runs = cut(bt.state_runs(trimmed, ORDER, "state_corrected").drop(BLOCK))
     bout_table = cut(bt.bouts(runs, ORDER, min_bout_sec=min_bout_sec))
     sun = night.sun_table(runs, "timestamp", deployments, keys)
     dht = correct.trim_window(processed["dht_processed"], deployments, keys, "timestamp")

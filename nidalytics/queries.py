@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from nidalytics.functions.scalars import coalesce_blank, infer_year, valid_window
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, reports, segment, smooth, summary
-from nidalytics.plans.ordered import BLOCK, Ordering, add_day_blocks
+from nidalytics.plans.ordered import Ordering
 from nidalytics.sources import raw, schemas
 
 K = ["user_id"]
@@ -35,15 +35,22 @@ def query(sql: str):
     return add
 
 
+# the columns that the queries read
+COLUMNS = {
+    "events": "event_id long, user_id long, ts timestamp, event_type string, value double",
+    "orders": "o_orderkey long, o_custkey long, o_orderstatus string, o_totalprice double, o_orderdate timestamp, o_orderpriority string",
+    "customer": "c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "documents": "doc_id long, text string",
+}
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
-    df = spark.read.parquet(f"{sf}/{name}.parquet")
-    naive = [f.name for f in df.schema.fields if f.dataType.typeName() == "timestamp_ntz"]
-    return df.withColumns({c: F.col(c).cast("timestamp") for c in naive}) if naive else df
+    return spark.read.schema(COLUMNS[name]).parquet(f"{sf}/{name}.parquet")
 
 
 def events(spark, sf) -> DataFrame:
-    return table(spark, sf, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    return table(spark, sf, "events")
 
 
 def r6(c, name: str):
@@ -154,13 +161,13 @@ def state_runs(spark, sf):
 
 
 BOUT_COLUMNS = """user_id, bout_id, state_corrected, bout_start, bout_end, round(bout_duration, 6) AS bout_duration,
-  n_readings, round(mean_value, 6) AS mean_value, flag_short"""
+  n_readings, round(mean_value + 1e-8, 6) AS mean_value, flag_short"""
 
 
 def _bout_columns(df):
     return df.select(
         "user_id", "bout_id", "state_corrected", "bout_start", "bout_end",
-        r6(F.col("bout_duration"), "bout_duration"), "n_readings", r6(F.col("mean_tof_mm"), "mean_value"), "flag_short",
+        r6(F.col("bout_duration"), "bout_duration"), "n_readings", off_ties("mean_tof_mm").alias("mean_value"), "flag_short",
     )
 
 
@@ -730,7 +737,7 @@ d AS (SELECT user_id, count(*) FILTER (temp_in IS NULL OR hum_in IS NULL OR temp
   count(*) AS n FROM climate GROUP BY 1),
 l AS (SELECT user_id, CAST(count(*) FILTER (event_type = 'signup') - 1 AS INTEGER) AS n_reboots FROM events GROUP BY 1),
 device AS (SELECT t.user_id, c.c_mktsegment AS device_id, first_timestamp, last_timestamp, round(span, 6) AS span_days,
-  n_sessions, n_reboots, round(down, 6) AS total_downtime_min, round(down / (span * 1440) * 100, 6) AS pct_downtime,
+  n_sessions, n_reboots, round(down + 1e-8, 6) AS total_downtime_min, round(down / (span * 1440) * 100, 6) AS pct_downtime,
   n_tof_total, n_tof_invalid, round(n_tof_invalid / n_tof_total * 100, 6) AS pct_tof_invalid, n_tof_warmup, n_dht_bad,
   round(n_dht_bad / d.n * 100, 6) AS pct_dht_bad
   FROM t JOIN d USING (user_id) JOIN l USING (user_id) LEFT JOIN customer c ON c.c_custkey = t.user_id)"""
@@ -748,7 +755,7 @@ def _device(spark, sf):
 def device_summary(spark, sf):
     df = _device(spark, sf)
     rounded = ("span_days", "total_downtime_min", "pct_downtime", "pct_tof_invalid", "pct_dht_bad")
-    return df.withColumns({c: F.round(c, 6) for c in rounded})
+    return df.withColumns({c: off_ties(c) if c == "total_downtime_min" else F.round(c, 6) for c in rounded})
 
 
 REPORTED = ["device_id", "first_timestamp", "last_timestamp", "n_sessions", "n_reboots", "n_tof_total", "n_tof_invalid"]
@@ -971,12 +978,12 @@ def climate_series(spark, sf):
 @query(
     f"""WITH {BOUTS} SELECT user_id, CAST(bout_id AS INTEGER) AS bout_id, upper(state_corrected[1]) || state_corrected[2:] AS state,
   strftime(bout_start, '%Y-%m-%d %H:%M') AS start, strftime(bout_end, '%Y-%m-%d %H:%M') AS "end",
-  round(bout_duration / 60 + 1e-8, 6) AS duration_min, CAST(n_readings AS INTEGER) AS n_readings, round(mean_value, 6) AS mean_tof_mm,
+  round(bout_duration / 60 + 1e-8, 6) AS duration_min, CAST(n_readings AS INTEGER) AS n_readings, round(mean_value + 1e-8, 6) AS mean_tof_mm,
   flag_short FROM bouts"""
 )
 def bout_report(spark, sf):
     return reports.bout_report(bout_table(spark, sf), K, None).withColumns(
-        {"duration_min": off_ties("duration_min"), "mean_tof_mm": F.round("mean_tof_mm", 6)}
+        {"duration_min": off_ties("duration_min"), "mean_tof_mm": off_ties("mean_tof_mm")}
     )
 
 
@@ -1063,7 +1070,6 @@ SELECT o_orderkey, try_strptime(CAST(y AS VARCHAR) || '-' || stamp, '%Y-%m-%d %H
 def attach_year(spark, sf):
     text = F.when(F.col("o_totalprice") < 20000, "no clock").otherwise(F.date_format("o_orderdate", "MM-dd HH:mm:ss"))
     rows = table(spark, sf, "orders").withColumn("stamp", text)
-    rows = add_day_blocks(rows, "o_orderdate", 90)
     o = Ordering(("o_orderpriority",), "o_orderdate", ("o_orderkey",))
     return clean.attach_year(rows, o, "stamp", F.lit(1995)).select("o_orderkey", "timestamp")
 
@@ -1149,6 +1155,7 @@ def _device_text(spark, sf) -> DataFrame:
     clock = F.date_format(F.date_sub(F.to_date("ts"), 20).cast("timestamp") + (F.col("ts") - F.to_date("ts").cast("timestamp")), "MM-dd HH:mm:ss")
     return events(spark, sf).select(
         F.concat(F.lit("/data/"), F.col("user_id").cast("string")).alias("folder"),
+        F.col("ts").alias("true_ts"),
         F.unix_micros("ts").alias("src_row"),
         F.col("event_id").alias("src_block"),
         clock.alias("timestamp"),
@@ -1157,7 +1164,8 @@ def _device_text(spark, sf) -> DataFrame:
     )
 
 
-FOLDERS = Ordering(("folder",), "src_row")
+# the device writes in order of time, so the true time gives the file order
+FOLDERS = Ordering(("folder",), "true_ts")
 SHIFTED = "date_trunc('second', ts - INTERVAL 20 DAY)"
 
 
@@ -1172,9 +1180,8 @@ def _folders(spark, sf) -> DataFrame:
 
 
 def _stamped(spark, sf, columns) -> DataFrame:
-    text = _device_text(spark, sf).select("folder", "src_row", "src_block", "timestamp", *columns)
-    # the stand-in has no file splits; all rows of a folder are one block unless it is long
-    return raw.stamp(text.withColumn(BLOCK, F.floor(F.col("src_row") / F.lit(86400_000_000 * 365)).cast("long")), _folders(spark, sf), FOLDERS)
+    text = _device_text(spark, sf).select("folder", "true_ts", "src_row", "src_block", "timestamp", *columns)
+    return raw.stamp(text, _folders(spark, sf), FOLDERS).drop("true_ts")
 
 
 STAMPED = f"""firsts AS (SELECT user_id, min(year({SHIFTED})) AS y FROM events GROUP BY 1),

@@ -117,12 +117,15 @@ def discover_deployments(spark: SparkSession, root: str) -> DataFrame:
 def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """Raw CSV rows as trimmed text, with folder and place in the file.
 
-    A file may be read in several splits; (src_block, src_row) is file order.
+    A file may be read in several splits; (src_block, src_row) is file order. The
+    splits serve as blocks, and a file read in one piece is one block.
     """
     rows = spark.read.schema(schema).csv(paths, header=True, nullValue="NA", enforceSchema=False)
+    start = F.col("_metadata.file_block_start")
     return rows.select(
         _folder(F.col("_metadata.file_path")).alias("folder"),
-        F.col("_metadata.file_block_start").alias("src_block"),
+        start.alias("src_block"),
+        F.when(F.col("_metadata.file_block_length") < F.col("_metadata.file_size"), start).alias(BLOCK),
         F.monotonically_increasing_id().alias("src_row"),
         *[blank_to_null(F.col(c)).alias(c) for c in schema.names],
     )
@@ -131,17 +134,14 @@ def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> D
 def stamp(raw: DataFrame, deployments: DataFrame, o: Ordering | None = None) -> DataFrame:
     """Give raw rows their deployment and a full timestamp.
 
-    ``raw`` has ``folder``, text ``timestamp`` and file order. Blocks are the
-    splits of the file. Rows of folders without a recording year are left out.
+    ``raw`` has ``folder``, text ``timestamp`` and file order; see :func:`scan`
+    for its blocks. Rows of folders without a recording year are left out.
     """
     o = o or Ordering(("folder",), "src_row")
     dated = deployments.where(F.col("recording_year").isNotNull()).select(
         "folder", "deployment_id", "recording_year", "utc_offset_min"
     )
-    rows = raw.withColumnRenamed("timestamp", "stamp_text")
-    if BLOCK not in rows.columns:
-        rows = rows.withColumn(BLOCK, F.col("src_block"))
-    rows = rows.join(dated, "folder")
+    rows = raw.withColumnRenamed("timestamp", "stamp_text").join(dated, "folder")
     rows = clean.attach_year(rows, o, "stamp_text", F.col("recording_year")).drop(BLOCK)
     shift = F.make_dt_interval(mins=F.coalesce("utc_offset_min", F.lit(0)))
     return rows.withColumn("timestamp", F.col("timestamp") - shift).drop("recording_year", "utc_offset_min")
