@@ -145,34 +145,44 @@ def process_pipeline(
     tables.append_table(deployments.select("deployment_id"), out, tables.MANIFEST)
 
 
-def load_or_process(
+def process_new(
     spark: SparkSession,
-    root: str,
+    found: DataFrame,
+    listing: DataFrame,
     out: str,
     params: Params = Params(),
     year_overrides: DataFrame | None = None,
 ) -> int:
-    """Process the folders under ``root`` that are not in the manifest; returns how many."""
-    done = tables.load_manifest(spark, out)
-    incomplete = raw.require_files(raw.list_files(spark, root))
-    found = raw.name_deployments(raw.discover_deployments(spark, root))
-    todo = found.join(done, "deployment_id", "left_anti")
-    if year_overrides is None:
-        ready = raw.deployment_table(todo)
-    else:
-        ready = raw.deployment_table(todo, year_overrides)
-    ready = ready.select("folder", F.col("recording_year").isNotNull().alias("dated")).collect()  # names only
-    tables.append_table(raw.missing_files(incomplete), out, "quarantine")
-    undated = [r["folder"] for r in ready if not r["dated"]]
-    if undated:
-        rows = [(f, "recording_year_needed", None) for f in undated]
-        tables.append_table(spark.createDataFrame(rows, schemas.QUARANTINE), out, "quarantine")
-    folders = sorted(r["folder"] for r in ready if r["dated"])
+    """Process the deployments of ``found`` that are complete, dated and not in the manifest.
+
+    The others go to quarantine. Folder names pass through the driver, as Spark's
+    own file listing does; readings do not.
+    """
+    todo = found.join(tables.load_manifest(spark, out), "deployment_id", "left_anti")
+    incomplete = raw.require_files(listing).join(todo, "folder", "left_semi")
+    whole = todo.join(incomplete, "folder", "left_anti")
+    dated = clean.resolve_year(whole, year_overrides, allowed=(2020, 2100))
+    tables.append_table(
+        raw.missing_files(incomplete).unionByName(clean.missing_year(dated, "folder")), out, "quarantine"
+    )
+    folders = sorted(r["folder"] for r in dated.where("recording_year IS NOT NULL").select("folder").collect())
     if folders:
         process_pipeline(spark, folders, out, params, year_overrides)
     return len(folders)
 
 
+def load_or_process(
+    spark: SparkSession,
+    root: str,
+    out: str,
+    params: Params = Params(),
+    year_overrides: DataFrame | None = None,
+) -> int:
+    """Process the folders under ``root`` that are not in the manifest; returns how many."""
+    found = raw.read_metadata(spark, f"{root.rstrip('/')}/*/{schemas.METADATA_FILE}")
+    return process_new(spark, found, raw.list_files(spark, root), out, params, year_overrides)
+
+
 def export_corrected(
     processed: dict[str, DataFrame],
     deployments: DataFrame,

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from nidalytics.plans.pipeline import Params, process_pipeline
-from nidalytics.sources import raw, schemas, tables
+from nidalytics.plans.pipeline import Params, process_new
+from nidalytics.sources import raw, schemas
 
 
 def process_arrivals(
@@ -14,8 +14,10 @@ def process_arrivals(
 ) -> StreamingQuery:
     """Run the batch job on every metadata file not seen before, then stop.
 
-    Folders must be complete when their metadata file appears. The query's
-    checkpoint keeps track of files; the manifest makes a repeated batch harmless.
+    Folders should be complete when their metadata file appears; others, and those
+    without a year, go to quarantine and can be taken up later by
+    :func:`nidalytics.plans.pipeline.load_or_process`. The query's checkpoint keeps
+    track of files; the manifest makes a repeated batch harmless.
     """
     arrivals = (
         spark.readStream.schema("value string")
@@ -28,10 +30,7 @@ def process_arrivals(
     def run(batch: DataFrame, _: int) -> None:
         session = batch.sparkSession
         found = raw.name_deployments(raw.parse_metadata(batch, ["folder"]))
-        todo = found.join(tables.load_manifest(session, out), "deployment_id", "left_anti")
-        folders = sorted(r["folder"] for r in todo.select("folder").collect())  # names only
-        if folders:
-            process_pipeline(session, folders, out, params)
+        process_new(session, found, raw.list_files(session, root), out, params)
 
     return (
         arrivals.writeStream.foreachBatch(run)
