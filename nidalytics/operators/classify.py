@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nidalytics.plans.quantiles import exact_quantiles
+from nidalytics.plans.stages import spread
 
 PRESENT, ABSENT, UNCERTAIN = "present", "absent", "uncertain"
 STATES = (PRESENT, ABSENT, UNCERTAIN)
@@ -150,7 +151,7 @@ def mixture_posteriors(segments: DataFrame, keys: Sequence[str], equal_var: bool
         p /= p.sum(axis=1, keepdims=True)
         return pdf.assign(p_low=p[:, 0], p_high=p[:, 1])[schema.names]
 
-    return counts.groupBy(*keys).applyInPandas(fit, schema)
+    return spread(counts, keys).groupBy(*keys).applyInPandas(fit, schema)
 
 
 def classify_gmm(

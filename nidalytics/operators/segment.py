@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from nidalytics.plans.ordered import BLOCK, Ordering, running
 from nidalytics.plans.quantiles import histogram_quantile
+from nidalytics.plans.stages import cut, spread
 
 MIN_POINTS = 10
 CHUNK_ROWS = 200_000
@@ -48,45 +49,54 @@ class _Search:
     def __init__(self, x, n_series, penalty, length, sigma2, min_len):
         x = np.asarray(x, dtype=float)
         self.n = len(x)
-        shifted = x - (x[0] if self.n else 0.0)
+        shifted = (x - (x[0] if self.n else 0.0)) / np.sqrt(sigma2)
         self.sum1 = np.concatenate([[0.0], np.cumsum(shifted)])
         self.sum2 = np.concatenate([[0.0], np.cumsum(shifted * shifted)])
-        self.length, self.sigma2, self.min_len = length, sigma2, max(1, min_len)
-        self.log_n = float(np.log(n_series)) if n_series else 0.0
+        self.min_len = max(1, min_len)
+        log_n = float(np.log(max(n_series, 1)))
         self.penalty = penalty_value(penalty, max(n_series, 1))
-        self.slack = max(0.0, self.log_n - float(np.log(4.0))) if length == "absolute" else 0.0
+        self.slack = max(0.0, log_n - float(np.log(4.0))) if length == "absolute" else 0.0
+        # extra cost of a segment by its number of points
+        self.extra = None
+        if length != "none":
+            sizes = np.arange(self.n + 1, dtype=float)
+            sizes[0] = 1.0
+            self.extra = np.log(sizes) - (log_n if length == "relative" else 0.0)
         self.best = np.full(self.n + 1, np.inf)
         self.best[0] = -self.penalty
         self.last = np.zeros(self.n + 1, dtype=np.int64)
-        self.live: np.ndarray = np.zeros(0, dtype=np.int64)
         self.snapshots: dict[int, np.ndarray] = {}
 
-    def cost(self, starts, end):
-        size = end - starts
-        s = self.sum1[end] - self.sum1[starts]
-        rss = self.sum2[end] - self.sum2[starts] - s * s / size
-        c = np.maximum(rss, 0.0) / self.sigma2
-        if self.length == "relative":
-            c = c + np.log(size) - self.log_n
-        elif self.length == "absolute":
-            c = c + np.log(size)
-        return c
-
     def run(self, snapshot_at=()):
-        live = np.zeros(0, dtype=np.int64)
+        """Settle every end in turn. Live starts are kept with what their cost
+        needs: the running sum there, and the best cost less the sum of squares."""
+        best, last, sum1, sum2, extra = self.best, self.last, self.sum1, self.sum2, self.extra
         wanted = set(snapshot_at)
+        room = self.n + 1
+        live = np.empty(room, dtype=np.int64)
+        at_sum, offset = np.empty(room), np.empty(room)
+        m = 0
         for t in range(self.min_len, self.n + 1):
             fresh = t - self.min_len
             if fresh == 0 or fresh >= self.min_len:
-                live = np.append(live, fresh)
-            total = self.best[live] + self.cost(live, t)
-            i = int(np.argmin(total))
-            self.best[t] = total[i] + self.penalty
-            self.last[t] = live[i]
-            live = live[total <= self.best[t] + self.slack]
+                live[m], at_sum[m], offset[m] = fresh, sum1[fresh], best[fresh] - sum2[fresh]
+                m += 1
+            size = t - live[:m]
+            gap = sum1[t] - at_sum[:m]
+            total = offset[:m] - gap * gap / size
+            if extra is not None:
+                total += extra[size]
+            i = total.argmin()
+            lowest = total[i]
+            best[t] = lowest + sum2[t] + self.penalty
+            last[t] = live[i]
+            keep = total <= lowest + (self.penalty + self.slack)
+            left = int(np.count_nonzero(keep))
+            if left < m:
+                live[:left], at_sum[:left], offset[:left] = live[:m][keep], at_sum[:m][keep], offset[:m][keep]
+                m = left
             if t in wanted:
-                self.snapshots[t] = np.append(live, np.arange(fresh + 1, t + 1))
-        self.live = live
+                self.snapshots[t] = np.append(live[:m], np.arange(fresh + 1, t + 1))
         return self
 
     def path(self, t):
@@ -131,7 +141,7 @@ def changepoints(
     out: str = "segment_id",
     chunk_rows: int = CHUNK_ROWS,
     overlap_rows: int = OVERLAP_ROWS,
-    checkpoint=None,
+    checkpoint=cut,
 ) -> DataFrame:
     """Number the segments between changes of the mean, 1..m along each key.
 
@@ -168,7 +178,7 @@ def _short_series(rows: DataFrame, o: Ordering, value: str, settings: tuple, out
         sizes = np.diff([0, *cuts, len(pdf)])
         return pdf.assign(**{out: np.repeat(np.arange(1, len(sizes) + 1), sizes)})[[f.name for f in schema]]
 
-    return rows.groupBy(*o.keys).applyInPandas(label, schema)
+    return spread(rows, o.keys).groupBy(*o.keys).applyInPandas(label, schema)
 
 
 def _long_series(rows, lengths, o, value, settings, out, chunk_rows, overlap_rows, checkpoint):
@@ -183,7 +193,6 @@ def _long_series(rows, lengths, o, value, settings, out, chunk_rows, overlap_row
     before z come from the left chunk and those after it from the right one.
     Neighbours that do not agree are merged and solved again, until all agree.
     """
-    checkpoint = checkpoint or (lambda d: d.checkpoint())
     keys = list(o.keys)
     numbered = checkpoint(running(rows, o, position="_pos").drop(BLOCK))
     n_chunks = F.greatest(F.lit(1), F.floor(F.col("_n") / chunk_rows))
@@ -298,7 +307,7 @@ def _solve_chunks(numbered, layout, keys, value, settings, chunk_rows, overlap_r
         row["changes"] = [c + begin for c in found]
         return pd.DataFrame([row]).astype({c: "Int64" for c in ("head_z", "tail_z")})[schema.names]
 
-    return placed.groupBy(*keys, "_from").applyInPandas(solve, schema)
+    return spread(placed, [*keys, "_from"]).groupBy(*keys, "_from").applyInPandas(solve, schema)
 
 
 def segment_medians(df: DataFrame, keys, value: str, segment: str = "segment_id") -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,3 +30,13 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Partition by key for work that is heavier than its input is large.
+
+    Adaptive execution merges small partitions, which would leave a long search
+    over little data to one worker.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, *keys)

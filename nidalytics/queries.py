@@ -15,6 +15,7 @@ from nidalytics.functions.scalars import coalesce_blank, infer_year, valid_windo
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, reports, segment, smooth, summary
 from nidalytics.plans.ordered import Ordering
+from nidalytics.plans.stages import cut
 from nidalytics.sources import raw, schemas
 
 K = ["user_id"]
@@ -235,7 +236,7 @@ SESSIONS = """sessions AS (SELECT e.*, CAST(count(*) FILTER (event_type = 'signu
 
 def sessions(spark, sf) -> DataFrame:
     rows = events(spark, sf)
-    return clean.assign_session(rows, rows.where(F.col("event_type") == "signup"), SERIES)
+    return cut(clean.assign_session(rows, rows.where(F.col("event_type") == "signup"), SERIES))
 
 
 @query(
@@ -243,7 +244,9 @@ def sessions(spark, sf) -> DataFrame:
   AND b.event_type = 'signup' AND b.ts <= e.ts) AS INTEGER) AS session_id FROM events e"""
 )
 def assign_session(spark, sf):
-    return sessions(spark, sf).select(*ROW, "session_id")
+    rows = events(spark, sf)
+    counted = clean.assign_session(rows, rows.where(F.col("event_type") == "signup"), SERIES)
+    return counted.select(*ROW, "session_id")
 
 
 DELTAS = """deltas AS (SELECT *, (epoch_us(ts) - epoch_us(lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id)))
@@ -1181,7 +1184,7 @@ def _folders(spark, sf) -> DataFrame:
 
 def _stamped(spark, sf, columns) -> DataFrame:
     text = _device_text(spark, sf).select("folder", "true_ts", "src_row", "src_block", "timestamp", *columns)
-    return raw.stamp(text, _folders(spark, sf), FOLDERS).drop("true_ts")
+    return cut(raw.stamp(text, _folders(spark, sf), FOLDERS).drop("true_ts"))
 
 
 STAMPED = f"""firsts AS (SELECT user_id, min(year({SHIFTED})) AS y FROM events GROUP BY 1),
