@@ -145,6 +145,11 @@ def process_pipeline(
     tables.append_table(deployments.select("deployment_id"), out, tables.MANIFEST)
 
 
+def pending(found: DataFrame, manifest: DataFrame) -> DataFrame:
+    """Deployments that are not processed yet."""
+    return found.join(manifest, "deployment_id", "left_anti")
+
+
 def process_new(
     spark: SparkSession,
     found: DataFrame,
@@ -158,7 +163,7 @@ def process_new(
     The others go to quarantine. Folder names pass through the driver, as Spark's
     own file listing does; readings do not.
     """
-    todo = found.join(tables.load_manifest(spark, out), "deployment_id", "left_anti")
+    todo = pending(found, tables.load_manifest(spark, out))
     incomplete = raw.require_files(listing).join(todo, "folder", "left_semi")
     whole = todo.join(incomplete, "folder", "left_anti")
     dated = clean.resolve_year(whole, year_overrides, allowed=(2020, 2100))

@@ -8,15 +8,18 @@ gives dates to read back from text.
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nidalytics.functions.scalars import coalesce_blank, infer_year, valid_window
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, reports, segment, smooth, summary
+from nidalytics.plans import pipeline
 from nidalytics.plans.ordered import Ordering
-from nidalytics.plans.stages import cut
-from nidalytics.sources import raw, schemas
+from nidalytics.plans.stages import cut, shared_folder
+from nidalytics.sources import raw, schemas, tables
 
 K = ["user_id"]
 SERIES = Ordering(("user_id",), "ts", ("event_id",))
@@ -25,12 +28,12 @@ SQL: dict[str, str] = {}
 QUERIES: dict = {}
 
 
-def query(sql: str):
+def query(sql: str, name: str | None = None):
     """Register a query under its function's name, with its SQL."""
 
     def add(fn):
-        QUERIES[fn.__name__] = fn
-        SQL[fn.__name__] = sql
+        QUERIES[name or fn.__name__] = fn
+        SQL[name or fn.__name__] = sql
         return fn
 
     return add
@@ -382,7 +385,8 @@ def typical_interval(spark, sf):
 
 @query(
     """WITH k AS (SELECT event_id, CAST(round_even(75 / (value + 0.5), 0) AS INTEGER) AS k FROM events)
-SELECT event_id, greatest(CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END, 3) AS k FROM k"""
+SELECT event_id, greatest(CASE WHEN k % 2 = 0 THEN k + 1 ELSE k END, 3) AS k FROM k""",
+    "valid_window",
 )
 def valid_window_size(spark, sf):
     return events(spark, sf).select("event_id", valid_window(75, F.col("value") + 0.5).alias("k"))
@@ -1018,7 +1022,8 @@ def day_report(spark, sf):
 @query(
     """SELECT o_orderkey, coalesce(CASE WHEN o_orderstatus = 'P' THEN '' WHEN o_orderstatus = 'F' THEN o_orderpriority END,
   o_orderstatus) AS status FROM orders WHERE o_orderstatus <> 'P'
-UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'"""
+UNION ALL SELECT o_orderkey, o_orderstatus FROM orders WHERE o_orderstatus = 'P'""",
+    "coalesce_blank",
 )
 def coalesce_blank_text(spark, sf):
     status = F.col("o_orderstatus")
@@ -1042,7 +1047,9 @@ def date_text() -> F.Column:
 DATE_YEAR = """CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN NULL ELSE CAST(year(o_orderdate) AS INTEGER) END"""
 
 
-@query(f"SELECT o_orderkey, {DATE_YEAR} AS year FROM orders")
+@query(f"SELECT o_orderkey, {DATE_YEAR} AS year FROM orders",
+    "infer_year",
+)
 def infer_year_text(spark, sf):
     return table(spark, sf, "orders").select("o_orderkey", infer_year(date_text()).alias("year"))
 
@@ -1246,3 +1253,208 @@ def read_dht(spark, sf):
         "deployment_id", F.col("src_block").alias("event_id"), "timestamp", "temp_in", "hum_in", "temp_out", "hum_out",
         "session_id", "dt_sec", "flag_dht_bad",
     )
+
+
+# ---------------------------------------------------------------- the whole chain
+
+# distances of a few units' spread, rare boots, and warm-up of two rows, so that the
+# sparse stand-in series keep enough signal
+CHAIN = f"""raw AS (SELECT *, CASE WHEN event_type = 'error' THEN -1.0 WHEN value > 200 THEN 8190.0 ELSE value / 10 END AS mm FROM events),
+with_session AS (SELECT r.*, mm IN (-1, 8190) AS flag_tof_invalid, CAST(count(*) FILTER (event_type = 'signup' AND value > 60)
+  OVER (PARTITION BY user_id ORDER BY ts RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS session_id FROM raw r),
+tof AS (SELECT * REPLACE (CASE WHEN NOT flag_tof_invalid THEN mm END AS mm),
+  row_number() OVER (PARTITION BY user_id, session_id ORDER BY ts, event_id) <= 2 AS flag_ema_warmup FROM with_session),
+masked AS (SELECT *, CASE WHEN NOT flag_ema_warmup THEN mm END AS x FROM tof),
+smooth AS (SELECT *, CASE WHEN count(x) OVER w = 3 THEN median(x) OVER w END AS smooth FROM masked
+  WINDOW w AS (PARTITION BY user_id, session_id ORDER BY ts, event_id ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING)),
+{SUN},
+nightly AS (SELECT m.*, coalesce(s.polar = 'night', false) OR coalesce(m.ts < s.sunrise OR m.ts > s.sunset, false) AS is_night
+  FROM smooth m LEFT JOIN sun s ON s.user_id = m.user_id AND s.date = CAST(m.ts AS DATE)),
+signal AS (SELECT user_id, ts, event_id, smooth AS x FROM nightly
+  WHERE NOT flag_tof_invalid AND NOT flag_ema_warmup AND smooth IS NOT NULL AND NOT is_night),
+nums AS (SELECT user_id, ts, event_id, x, row_number() OVER w AS p, count(*) OVER (PARTITION BY user_id) AS n,
+  sum(x) OVER w AS s1, sum(x * x) OVER w AS s2 FROM signal
+  WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+series AS (SELECT user_id, any_value(n) AS n, list_prepend(0.0::DOUBLE, list(s1 ORDER BY p)) AS c1,
+  list_prepend(0.0::DOUBLE, list(s2 ORDER BY p)) AS c2 FROM nums WHERE n >= 10 GROUP BY user_id),
+dp AS (
+  SELECT user_id, n, c1, c2, 0::BIGINT AS t, [-(3 * ln(n))] AS f, []::BIGINT[] AS prev FROM series
+  UNION ALL
+  SELECT user_id, n, c1, c2, t + 1, list_append(f, list_min(cand) + 3 * ln(n)),
+    list_append(prev, (list_position(cand, list_min(cand)) - 1)::BIGINT)
+  FROM (SELECT *, list_transform(range(0, t + 1), lambda s: f[s + 1] + (c2[t + 2] - c2[s + 1])
+      - (c1[t + 2] - c1[s + 1]) * (c1[t + 2] - c1[s + 1]) / (t + 1 - s) + ln((t + 1 - s) / n)) AS cand FROM dp WHERE t < n) step),
+trail AS (SELECT user_id, prev, n AS pos, n FROM dp WHERE t = n
+  UNION ALL SELECT user_id, prev, prev[pos], n FROM trail WHERE prev[pos] > 0),
+cuts AS (SELECT user_id, pos, 1 AS cut FROM trail WHERE pos < n),
+segmented AS (SELECT nums.*, CAST(1 + coalesce(sum(cut) OVER (PARTITION BY nums.user_id ORDER BY p
+  ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 0) AS INTEGER) AS segment_id
+  FROM nums LEFT JOIN cuts ON cuts.user_id = nums.user_id AND cuts.pos + 1 = nums.p),
+segs AS (SELECT user_id, segment_id, median(x) AS seg_median FROM segmented GROUP BY 1, 2),
+{KMEANS.split("," + chr(10), 1)[0].replace(SEGMENTS + ", ", "")},
+{KMEANS.split("," + chr(10), 1)[1]},
+classes AS (SELECT s.user_id, s.segment_id, CASE WHEN NOT v.viable OR c.c IS NULL THEN 'uncertain'
+  WHEN s.seg_median < (c.c.lo + c.c.hi) / 2 - 0.3 * (c.c.hi - c.c.lo) / 2 THEN 'present'
+  WHEN s.seg_median > (c.c.lo + c.c.hi) / 2 + 0.3 * (c.c.hi - c.c.lo) / 2 THEN 'absent' ELSE 'uncertain' END AS state_auto
+  FROM segs s JOIN viable v USING (user_id) LEFT JOIN centres c USING (user_id)),
+readings AS (SELECT r.user_id, r.event_id, r.ts, r.smooth AS value, g.segment_id,
+  CASE WHEN r.is_night THEN 'present' ELSE c.state_auto END AS state,
+  CASE WHEN r.is_night THEN 'night_auto' WHEN c.state_auto IS NOT NULL THEN 'auto' END AS correction_source
+  FROM nightly r LEFT JOIN segmented g ON g.event_id = r.event_id
+  LEFT JOIN classes c ON c.user_id = g.user_id AND c.segment_id = g.segment_id),
+{RUNS.replace(READINGS + "," + chr(10), "")},
+{BOUTS_SELECT}"""
+
+
+def fleet(spark, sf) -> dict[str, DataFrame]:
+    """Clean tables and deployments in the library's own schemas, from the events."""
+    kind, v = F.col("event_type"), F.col("value")
+    rows = events(spark, sf).select(
+        F.col("user_id").cast("string").alias("deployment_id"),
+        F.col("ts").alias("timestamp"),
+        F.col("event_id").alias("src_block"),
+        F.lit(0).cast("long").alias("src_row"),
+        "event_type",
+        "value",
+    )
+    boots = rows.where((kind == "signup") & (v > 60))
+    raw_mm = F.when(kind == "error", -1.0).when(v > 200, 8190.0).otherwise(v / 10)
+    tof = clean.flag_invalid(
+        rows.select(*raw.READING_ORDER.row_id, raw_mm.alias("tof_raw_mm"), v.alias("tof_smooth_ema")),
+        "tof_raw_mm",
+        ["tof_smooth_ema"],
+    )
+    tof = clean.flag_warmup(clean.session_columns(tof, boots, raw.READING_ORDER), raw.READING_ORDER, n=2)
+    dht = clean.flag_any_missing(rows.select(*raw.READING_ORDER.row_id, F.when(kind != "error", v).alias("temp_in")), ["temp_in"])
+    deployments = places(spark, sf).join(trims(spark, sf), "user_id").select(
+        F.col("user_id").cast("string").alias("deployment_id"),
+        "latitude",
+        "longitude",
+        "trim_start",
+        "trim_end",
+        *[F.lit(None).cast("string").alias(c) for c in ("device_id", "nestbox", "species")],
+    )
+    log = boots.select(*raw.READING_ORDER.row_id, F.lit("START").alias("event"))
+    return {"deployments": deployments, "tof_clean": cut(tof), "dht_clean": dht, "log_clean": log}
+
+
+def _chain(spark, sf) -> dict[str, DataFrame]:
+    params = pipeline.Params(classification_method="kmeans")
+    return pipeline.process(**fleet(spark, sf), params=params)
+
+
+@query(
+    f"""WITH RECURSIVE {CHAIN} SELECT CAST(r.user_id AS VARCHAR) AS deployment_id, r.event_id, round(r.value, 6) AS tof_smooth_r,
+  r.segment_id, r.state AS state_corrected, r.correction_source, b.bout_id
+FROM runs r LEFT JOIN bouts b ON b.user_id = r.user_id AND b.state_run = r.state_run"""
+)
+def process_pipeline(spark, sf):
+    return _chain(spark, sf)["tof_processed"].select(
+        "deployment_id", F.col("src_block").alias("event_id"), r6(F.col("tof_smooth_r"), "tof_smooth_r"),
+        "segment_id", "state_corrected", "correction_source", "bout_id",
+    )
+
+
+EXPORT = f"""{HITS}, {AUTO}, {TRIMS}, winner AS (SELECT event_id, arg_max(action, seq) AS action FROM hits GROUP BY event_id),
+readings AS (SELECT a.user_id, a.event_id, a.ts, a.value, CASE WHEN action = 'reset' THEN state_auto ELSE coalesce(action, state_auto) END AS state
+  FROM auto a LEFT JOIN winner USING (event_id) LEFT JOIN trims t ON t.user_id = a.user_id WHERE {IN_TRIM}),
+{BOUTS.replace(READINGS + "," + chr(10), "")}"""
+
+
+def _exported(spark, sf) -> dict[str, DataFrame]:
+    names = {"user_id": "deployment_id", "ts": "timestamp", "event_id": "src_block", "value": "tof_smooth_r"}
+    tof = auto_states(spark, sf).withColumnsRenamed(names)
+    tof = tof.withColumns(
+        {
+            "deployment_id": F.col("deployment_id").cast("string"),
+            "src_row": F.lit(0).cast("long"),
+            "bout_id": F.dayofmonth("timestamp").cast("long"),
+            "session_id": F.lit(1),
+            "session_row": F.lit(None).cast("long"),
+            "segment_id": F.lit(None).cast("int"),
+            "dt_sec": F.lit(None).cast("double"),
+            "tof_raw_mm": F.col("tof_smooth_r"),
+            "tof_smooth_ema": F.col("tof_smooth_r"),
+            "flag_tof_invalid": F.lit(False),
+            "flag_ema_warmup": F.lit(False),
+        }
+    )
+    dht = tof.select("deployment_id", "timestamp", F.lit(False).alias("flag_dht_bad"))
+    orders = boxes(spark, sf).withColumnRenamed("user_id", "deployment_id")
+    orders = orders.withColumn("deployment_id", F.col("deployment_id").cast("string"))
+    deployments = fleet_places(spark, sf)
+    return pipeline.export_corrected({"tof_processed": tof, "dht_processed": dht}, deployments, None, orders)
+
+
+def fleet_places(spark, sf) -> DataFrame:
+    located = places(spark, sf).join(trims(spark, sf), "user_id")
+    return located.withColumnRenamed("user_id", "deployment_id").withColumns(
+        {
+            "deployment_id": F.col("deployment_id").cast("string"),
+            **{c: F.lit(None).cast("string") for c in ("device_id", "nestbox", "species")},
+        }
+    )
+
+
+@query(
+    f"""WITH {EXPORT} SELECT CAST(r.user_id AS VARCHAR) AS deployment_id, r.event_id, r.state AS state_corrected,
+  CAST(day(r.ts) AS BIGINT) AS bout_id_auto, b.bout_id AS bout_id_corrected
+FROM runs r LEFT JOIN bouts b ON b.user_id = r.user_id AND b.state_run = r.state_run"""
+)
+def export_corrected(spark, sf):
+    return _exported(spark, sf)["tof_processed"].select(
+        "deployment_id", F.col("src_block").alias("event_id"), "state_corrected", "bout_id_auto", "bout_id_corrected"
+    )
+
+
+def _round_trip(spark, df: DataFrame, name: str, ddl: str) -> DataFrame:
+    """Write a table partitioned by deployment to the shared folder and load it again."""
+    root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
+    tables.write_table(df, root, name)
+    return tables.load_table(spark, root, name, ddl)
+
+
+@query(
+    f"""WITH {BOUTS} SELECT CAST(user_id AS VARCHAR) AS deployment_id, bout_id, state_corrected, bout_start, bout_end, n_readings,
+  flag_short FROM bouts"""
+)
+def load_processed(spark, sf):
+    df = bout_table(spark, sf).withColumn("deployment_id", F.col("user_id").cast("string")).drop("user_id")
+    back = _round_trip(spark, df, "bout_summary", schemas.BOUTS)
+    return back.select("deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings", "flag_short")
+
+
+@query(SQL["read_log"])
+def write_clean(spark, sf):
+    back = _round_trip(spark, _log(spark, sf), "log_clean", schemas.LOG_CLEAN)
+    return back.select("deployment_id", F.col("src_block").alias("event_id"), "timestamp", "event")
+
+
+@query(
+    """SELECT CAST(c_custkey AS VARCHAR) AS deployment_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"""
+)
+def load_or_process(spark, sf):
+    found = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("deployment_id"))
+    manifest = events(spark, sf).select(F.col("user_id").cast("string").alias("deployment_id")).distinct()
+    return pipeline.pending(found, manifest)
+
+
+@query(
+    """WITH held AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type <> 'signup') AS files FROM events
+  WHERE value > 40 GROUP BY user_id)
+SELECT '/raw/dep-' || CAST(user_id AS VARCHAR) AS folder, CASE WHEN c_acctbal > 0 THEN c_name ELSE 'dep-' || CAST(user_id AS VARCHAR)
+  END AS deployment_id FROM held JOIN customer ON c_custkey = user_id WHERE files = 4"""
+)
+def discover_deployments(spark, sf):
+    kind = F.col("event_type")
+    folder = F.concat(F.lit("/raw/dep-"), F.col("user_id").cast("string"))
+    listing = events(spark, sf).where(F.col("value") > 40).select(
+        folder.alias("folder"),
+        F.when(kind == "view", schemas.METADATA_FILE).when(kind == "click", schemas.LOG_FILE)
+        .when(kind == "error", schemas.DHT_FILE).when(kind == "purchase", schemas.TOF_FILE).otherwise("README").alias("name"),
+    )
+    metadata = table(spark, sf, "customer").select(
+        F.concat(F.lit("/raw/dep-"), F.col("c_custkey").cast("string")).alias("folder"),
+        F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise("").alias("deployment_id"),
+    )
+    return raw.complete_deployments(raw.name_deployments(metadata), listing)

@@ -102,16 +102,17 @@ def missing_files(incomplete: DataFrame) -> DataFrame:
     )
 
 
+def complete_deployments(metadata: DataFrame, listing: DataFrame) -> DataFrame:
+    """Deployments whose folder holds all required files."""
+    held = listing.where(F.col("name") == schemas.METADATA_FILE).select("folder").distinct()
+    complete = held.join(require_files(listing).select("folder"), "folder", "left_anti")
+    return metadata.join(complete, "folder", "left_semi")
+
+
 def discover_deployments(spark: SparkSession, root: str) -> DataFrame:
     """One row per direct subfolder that has all required files."""
-    listing = list_files(spark, root)
-    complete = (
-        listing.where(F.col("name") == schemas.METADATA_FILE)
-        .select("folder")
-        .join(require_files(listing).select("folder"), "folder", "left_anti")
-    )
     metadata = read_metadata(spark, f"{root.rstrip('/')}/*/{schemas.METADATA_FILE}")
-    return metadata.join(complete, "folder", "left_semi")
+    return complete_deployments(metadata, list_files(spark, root))
 
 
 def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
