@@ -26,16 +26,26 @@ def active_bouts(bout_table: DataFrame, sun: DataFrame, keys: Sequence[str]) ->
 
 def split_at_midnight(bout_table: DataFrame) -> DataFrame:
     """Cut bouts at UTC midnights, so that each piece counts on its own day."""
-    first, last = F.to_date("bout_start"), F.to_date("bout_end")
-    pieces = bout_table.withColumn("_day", F.explode(F.sequence(first, last)))
-    day_start = F.col("_day").cast("timestamp")
-    next_day = F.date_add("_day", 1).cast("timestamp")
-    return pieces.withColumns(
+    day = F.explode(F.sequence(F.to_date("bout_start"), F.to_date("bout_end")))
+    pieces = bout_table.withColumn("_day", day).withColumns(
         {
-            "bout_start": F.greatest("bout_start", day_start),
-            "bout_end": F.least("bout_end", next_day),
+            "_start": F.greatest("bout_start", F.col("_day").cast("timestamp")),
+            "_end": F.least("bout_end", F.date_add("_day", 1).cast("timestamp")),
         }
-    ).withColumn("bout_duration", (micros("bout_end") - micros("bout_start")) / F.lit(1e6)).drop("_day")
+    )
+    # a bout that ends at midnight has nothing on the next day
+    real = (F.col("_start") < F.col("_end")) | (F.col("_start") == F.col("bout_start"))
+    return (
+        pieces.where(real)
+        .withColumns(
+            {
+                "bout_start": F.col("_start"),
+                "bout_end": F.col("_end"),
+                "bout_duration": (micros("_end") - micros("_start")) / F.lit(1e6),
+            }
+        )
+        .select(*bout_table.columns)
+    )
 
 
 def _dated(bout_table: DataFrame) -> DataFrame:
