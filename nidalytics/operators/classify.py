@@ -179,6 +179,19 @@ def classify_gmm(
     ).select(*segments.columns, "state_auto")
 
 
+def inversions(classified: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Per key, how many absent segments lie below every present one.
+
+    A mixture with unequal variances can produce them; k-means cannot.
+    """
+    m = F.col("seg_median")
+    lowest = classified.groupBy(*keys).agg(F.min(F.when(F.col("state_auto") == PRESENT, m)).alias("_low"))
+    odd = (F.col("state_auto") == ABSENT) & (m < F.col("_low"))
+    return classified.join(lowest, list(keys)).groupBy(*keys).agg(
+        F.count_if(F.coalesce(odd, F.lit(False))).alias("n_inversions")
+    )
+
+
 def classify_iqr(
     signal: DataFrame, segments: DataFrame, keys: Sequence[str], value: str, sensitivity: float = IQR_SENSITIVITY
 ) -> DataFrame:

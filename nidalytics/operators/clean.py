@@ -231,3 +231,16 @@ def ingest_counts(
     )
     joined = t.join(d, k, "full").join(b, k, "full")
     return joined.fillna(0, [c for c in joined.columns if c not in k])
+
+
+def clock_mismatch(log: DataFrame, tof: DataFrame, keys: Sequence[str] = ("deployment_id",), time: str = "timestamp") -> DataFrame:
+    """Deployments whose log and readings do not overlap in time.
+
+    Every file settles its own year, so a log that begins after New Year stays a
+    year behind the readings; such deployments show up here.
+    """
+    def span(df: DataFrame, name: str) -> DataFrame:
+        return df.groupBy(*keys).agg(F.min(time).alias(f"{name}_from"), F.max(time).alias(f"{name}_to"))
+
+    both = span(log, "log").join(span(tof, "tof"), list(keys))
+    return both.where((F.col("log_to") < F.col("tof_from")) | (F.col("log_from") > F.col("tof_to")))

@@ -10,13 +10,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nidalytics.plans.ordered import BLOCK, Ordering, running
+from nidalytics.plans.ordered import BLOCK, Ordering, micros, running, steps
 from nidalytics.plans.quantiles import histogram_quantile
 from nidalytics.plans.stages import cut, spread
 
 MIN_POINTS = 10
-CHUNK_ROWS = 200_000
-OVERLAP_ROWS = 20_000
+CHUNK_ROWS = 1_000_000
+OVERLAP_ROWS = 50_000
 
 # Penalty per change as a multiple of the log of the series length.
 PENALTIES = {"MBIC": 3.0, "BIC": 2.0, "SIC": 2.0, "None": 0.0}
@@ -66,6 +66,10 @@ class _Search:
         self.best[0] = -self.penalty
         self.last = np.zeros(self.n + 1, dtype=np.int64)
         self.snapshots: dict[int, np.ndarray] = {}
+        # Moving a change through a run of equal values changes the cost by a concave
+        # function, so a best change lies at an end of the run: only those are tried.
+        # Smoothed distances are whole millimetres and stay equal for many readings.
+        self.ends = np.append(np.flatnonzero(np.diff(x)) + 1, self.n) if self.min_len == 1 else None
 
     def run(self, snapshot_at=()):
         """Settle every end in turn. Live starts are kept with what their cost
@@ -76,8 +80,13 @@ class _Search:
         live = np.empty(room, dtype=np.int64)
         at_sum, offset = np.empty(room), np.empty(room)
         m = 0
-        for t in range(self.min_len, self.n + 1):
-            fresh = t - self.min_len
+        if self.ends is not None:
+            ends = np.union1d(self.ends, [t for t in wanted if 0 < t <= self.n]).astype(np.int64).tolist()
+            fresh_starts = [0, *ends[:-1]]
+        else:
+            ends = range(self.min_len, self.n + 1)
+            fresh_starts = range(0, self.n + 1 - self.min_len)
+        for fresh, t in zip(fresh_starts, ends):
             if fresh == 0 or fresh >= self.min_len:
                 live[m], at_sum[m], offset[m] = fresh, sum1[fresh], best[fresh] - sum2[fresh]
                 m += 1
@@ -96,7 +105,8 @@ class _Search:
                 live[:left], at_sum[:left], offset[:left] = live[:m][keep], at_sum[:m][keep], offset[:m][keep]
                 m = left
             if t in wanted:
-                self.snapshots[t] = np.append(live[:m], np.arange(fresh + 1, t + 1))
+                ahead = [t] if self.ends is not None else np.arange(fresh + 1, t + 1)
+                self.snapshots[t] = np.append(live[:m], ahead)
         return self
 
     def path(self, t):
@@ -142,14 +152,20 @@ def changepoints(
     chunk_rows: int = CHUNK_ROWS,
     overlap_rows: int = OVERLAP_ROWS,
     checkpoint=cut,
+    break_on_gap_sec: float | None = None,
 ) -> DataFrame:
     """Number the segments between changes of the mean, 1..m along each key.
 
     Series with up to ``chunk_rows + overlap_rows`` rows are solved in one task
     each. Longer ones are solved in overlapping chunks whose results are joined
     only where they provably coincide, so the answer is the same; see
-    :func:`_long_series`. Fewer than ten rows are one segment.
+    :func:`_long_series`. Fewer than ten rows are one segment. A segment may span
+    a night, a reboot or a gap, unless ``break_on_gap_sec`` starts a new one after
+    gaps longer than that.
     """
+    if break_on_gap_sec is not None:
+        options = dict(penalty=penalty, length=length, sigma2=sigma2, min_len=min_len, chunk_rows=chunk_rows)
+        return _between_gaps(df, o, value, break_on_gap_sec, out, overlap_rows=overlap_rows, **options)
     if chunk_rows < overlap_rows:
         raise ValueError("chunk_rows must be at least overlap_rows")
     settings = (penalty, _length_of(penalty, length), sigma2, min_len)
@@ -166,6 +182,18 @@ def changepoints(
     return _short_series(short, o, value, settings, out).unionByName(solved)
 
 
+def _between_gaps(df: DataFrame, o: Ordering, value: str, gap_sec: float, out: str, **options) -> DataFrame:
+    """Segments of each stretch between long gaps, numbered on along the key."""
+    limit = F.lit(int(gap_sec * 1e6))
+    parts = cut(steps(df, o, micros(o.time), lambda a, b: b - a > limit, {"_part": lambda t: F.lit(True)}).drop(BLOCK))
+    solved = cut(changepoints(parts, o.within("_part"), value, out=out, **options))
+    counts = solved.groupBy(*o.keys, "_part").agg(F.max(out).alias("_m"))
+    before = Window.partitionBy(*o.keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select(*o.keys, "_part", F.coalesce(F.sum("_m").over(before), F.lit(0)).alias("_offset"))
+    numbered = solved.join(offsets, [*o.keys, "_part"])
+    return numbered.withColumn(out, (F.col(out) + F.col("_offset")).cast("int")).drop("_part", "_offset")
+
+
 def _short_series(rows: DataFrame, o: Ordering, value: str, settings: tuple, out: str) -> DataFrame:
     penalty, length, sigma2, min_len = settings
     order = [o.time, *o.ties]

@@ -17,13 +17,11 @@ MANIFEST = "processed_deployments"
 def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> None:
     """Replace the deployments present in ``df`` and leave the others alone.
 
-    Rows are spread by deployment and month, so that a long deployment is written
-    by many tasks and a short one gives one file.
+    Rows are gathered by deployment; adaptive execution splits a long deployment
+    over many tasks and files, and puts short ones together.
     """
-    spread = [F.col("deployment_id")]
-    if "timestamp" in df.columns:
-        spread.append(F.date_trunc("month", F.col("timestamp")))
-    writer = df.repartition(*spread).write.mode("overwrite").partitionBy("deployment_id").format(fmt)
+    spread = df.hint("rebalance", "deployment_id")
+    writer = spread.write.mode("overwrite").partitionBy("deployment_id").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("nullValue", "NA")
     writer.option("partitionOverwriteMode", "dynamic").save(f"{root.rstrip('/')}/{name}")

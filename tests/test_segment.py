@@ -55,6 +55,15 @@ def test_pruned_search_is_optimal(length, seed):
     assert got == brute(np.array(x), 3 * math.log(len(x)), length)
 
 
+@pytest.mark.parametrize("length", ["relative", "absolute", "none"])
+@pytest.mark.parametrize("seed", range(3))
+def test_runs_of_equal_values(length, seed):
+    rng = random.Random(seed)
+    x = [float(v) for v in (rng.choice([90, 91, 92, 97]) for _ in range(60)) for _ in range(rng.randrange(1, 9))]
+    got = segment.find_changes(x, 3 * math.log(len(x)), length)
+    assert got == brute(np.array(x) - x[0], 3 * math.log(len(x)), length)
+
+
 def test_boundaries():
     assert segment.find_changes([1.0] * 9) == []
     assert segment.find_changes([5.0] * 50) == []
@@ -91,6 +100,7 @@ def test_long_series_in_chunks_are_the_same(spark, length):
         # no change for longer than a chunk: neighbours must be merged
         "flat": steppy(rng, 300) + flat + steppy(rng, 500),
         "short": steppy(rng, 90),
+        "whole": [float(round(v)) for v in steppy(rng, 1300, jump=4, run=60)],
     }
     got = segment.changepoints(
         frame(spark, series), O, "x", length=length, chunk_rows=200, overlap_rows=100, checkpoint=cut
@@ -115,6 +125,16 @@ def test_cost_is_not_above_any_merge(spark):
     assert all(total(edges) <= total(edges[:j] + edges[j + 1 :]) + 1e-9 for j in range(1, len(edges) - 1))
 
 
+def test_break_on_gaps(spark):
+    series = {"a": [0.0] * 40 + [30.0] * 20, "b": [1.0] * 30}
+    df = frame(spark, series)
+    late = F.when((F.col("k") == "a") & (F.col("i") >= 15), 1000).when(F.col("i") >= 25, 500).otherwise(0)
+    df = df.withColumn("t", F.timestamp_seconds(F.col("s") + late))
+    got = segment.changepoints(df, O, "x", break_on_gap_sec=600).toPandas().sort_values(["k", "i"])
+    assert got[got.k == "a"]["segment_id"].tolist() == [1] * 15 + [2] * 25 + [3] * 20
+    assert set(got[got.k == "b"]["segment_id"]) == {1}
+
+
 def test_medians(spark):
     rows = [("a", 1, 3.0), ("a", 1, 1.0), ("a", 2, 4.0), ("a", 2, 5.0), ("a", 2, None)]
     df = spark.createDataFrame(rows, "k string, segment_id int, x double")
