@@ -72,10 +72,7 @@ def attach_year(
     month = F.when(F.trim(F.col(text)).rlike(r"^\d{2}-\d{2} ") & month.between(1, 12), month)
     counted = steps(df, o, month, lambda prev, cur: cur - prev < -6, {"_crossings": lambda m: F.lit(True)})
     stamp = F.concat_ws("-", (year + F.col("_crossings")).cast("string"), F.trim(F.col(text)))
-    parsed = F.coalesce(
-        F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd HH:mm:ss")),
-        F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd H:mm:ss")),
-    )
+    parsed = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd H:mm:ss"))
     return counted.withColumn(out, F.when(year.isNotNull(), parsed)).drop("_crossings")
 
 

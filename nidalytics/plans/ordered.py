@@ -12,10 +12,10 @@ run time and the rows are read and shuffled once.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Mapping
+from collections.abc import Callable, Iterable, Mapping
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = "_blk"
@@ -42,17 +42,27 @@ class Ordering:
     def cells(self) -> list[str]:
         return [*self.keys, BLOCK]
 
-    def order(self) -> list[Column]:
-        return [F.col(c).asc_nulls_last() for c in (self.time, *self.ties)]
+    @property
+    def position(self) -> str:
+        """SQL of a value that orders the rows of a key."""
+        return f"struct({_names([self.time, *self.ties])})"
+
+    def inside(self, frame: str = "") -> str:
+        """SQL of the window over a block."""
+        order = ", ".join(f"`{c}` ASC NULLS LAST" for c in (self.time, *self.ties))
+        return f"OVER (PARTITION BY {_names(self.cells)} ORDER BY {order} {frame})"
+
+    def across(self, frame: str = "") -> str:
+        """SQL of the window over a key's blocks."""
+        return f"OVER (PARTITION BY {_names(self.keys)} ORDER BY {BLOCK} {frame})"
+
 
-    def position(self) -> Column:
-        return F.struct(*[F.col(c) for c in (self.time, *self.ties)])
+UPTO = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
+BEFORE = "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING"
 
-    def inside(self) -> WindowSpec:
-        return Window.partitionBy(*self.cells).orderBy(*self.order())
 
-    def across(self) -> WindowSpec:
-        return Window.partitionBy(*self.keys).orderBy(BLOCK)
+def _names(columns: Iterable[str]) -> str:
+    return ", ".join(f"`{c}`" for c in columns)
 
 
 def micros(column: str | Column) -> Column:
@@ -68,7 +78,8 @@ def add_blocks(df: DataFrame, o: Ordering, target_rows: int = TARGET_ROWS) -> Da
     (100 TB of 50-byte readings give 2 M entries, some 60 MB), which bounds the
     broadcast.
     """
-    if BLOCK in df.columns:
+    columns = df.columns
+    if BLOCK in columns:
         return df
     at = micros(o.time)
     width = F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(target_rows)) / F.col("_rows"))
@@ -79,20 +90,16 @@ def add_blocks(df: DataFrame, o: Ordering, target_rows: int = TARGET_ROWS) -> Da
         .select(*o.keys, "_from", width.alias("_width"))
     )
     joined = df.join(F.broadcast(long_keys), list(o.keys), "left")
-    return joined.select(*df.columns, F.floor((at - F.col("_from")) / F.col("_width")).alias(BLOCK))
+    return joined.select(*columns, F.floor((at - F.col("_from")) / F.col("_width")).alias(BLOCK))
 
 
 def _split_rows(df: DataFrame) -> DataFrame:
     """Rows of the keys that have more than one block."""
-    return df.where(F.col(BLOCK).isNotNull())
+    return df.where(f"{BLOCK} IS NOT NULL")
 
 
-def _latest(value: Column, o: Ordering, *, skip_nulls: bool) -> Column:
-    """Aggregate: the value of the last row (or last non-null value) in the block."""
-    boxed = F.struct(value.alias("v"))
-    if not skip_nulls:
-        return F.max_by(boxed, o.position())
-    return F.max_by(boxed, F.when(value.isNotNull(), o.position()))
+def _aggregate(df: DataFrame, keys: list[str], items: Iterable[str]) -> DataFrame:
+    return df.groupBy(*keys).agg(*map(F.expr, items))
 
 
 def running(
@@ -119,63 +126,63 @@ def running(
     twice, so cut a long lineage before (see ``stages.cut``).
     """
     sums, since = dict(sums or {}), dict(since or {})
-    if position:
-        sums[position] = F.lit(1).cast("long")
     lags, fills, priors = dict(lags or {}), dict(fills or {}), dict(priors or {})
     df = add_blocks(df, o)
-    w = o.inside()
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
-    local = df.select(
+    columns = df.columns
+    inputs = {f"_e_{n}": e for n, e in {**sums, **lags, **fills, **priors}.items()}
+    inputs |= {f"_mark_{n}": mark for n, (mark, _) in since.items()}
+    inputs |= {f"_e_{n}": amount for n, (_, amount) in since.items()}
+    rows = df.select("*", *[e.alias(n) for n, e in inputs.items()]) if inputs else df
+    upto, before = o.inside(UPTO), o.inside(BEFORE)
+    local = rows.selectExpr(
         "*",
-        *[F.sum(e).over(upto).alias(f"_s_{n}") for n, e in sums.items()],
-        *[F.lag(F.struct(e.alias("v"))).over(w).alias(f"_l_{n}") for n, e in lags.items()],
-        *[F.last(e, ignorenulls=True).over(upto).alias(f"_f_{n}") for n, e in fills.items()],
-        *[F.last(e, ignorenulls=True).over(earlier).alias(f"_p_{n}") for n, e in priors.items()],
-        *[F.sum(amount).over(upto).alias(f"_n_{n}") for n, (_, amount) in since.items()],
+        *[f"sum(_e_{n}) {upto} AS _s_{n}" for n in (*sums, *since)],
+        *[f"lag(struct(_e_{n} AS v)) {o.inside()} AS _l_{n}" for n in lags],
+        *[f"last(_e_{n}, true) {upto} AS _f_{n}" for n in fills],
+        *[f"last(_e_{n}, true) {before} AS _f_{n}" for n in priors],
+        *([f"count(1) {upto} AS _s_{position}"] if position else []),
     )
-    at_mark = {n: F.when(mark, F.col(f"_n_{n}")) for n, (mark, _) in since.items()}
-    edges = _split_rows(local if since else df).groupBy(*o.cells).agg(
-        *[F.sum(e).alias(f"_cs_{n}") for n, e in sums.items()],
-        *[_latest(e, o, skip_nulls=False).alias(f"_cl_{n}") for n, e in lags.items()],
-        *[_latest(e, o, skip_nulls=True).alias(f"_cf_{n}") for n, e in {**fills, **priors}.items()],
-        *[F.sum(amount).alias(f"_cn_{n}") for n, (_, amount) in since.items()],
-        *[F.max(e).alias(f"_cm_{n}") for n, e in at_mark.items()],
+    edges = _aggregate(
+        _split_rows(local if since else rows),
+        o.cells,
+        [
+            *[f"sum(_e_{n}) AS _cs_{n}" for n in (*sums, *since)],
+            *[f"max_by(struct(_e_{n} AS v), {o.position}) AS _cl_{n}" for n in lags],
+            *[
+                f"max_by(struct(_e_{n} AS v), CASE WHEN _e_{n} IS NOT NULL THEN {o.position} END) AS _cf_{n}"
+                for n in (*fills, *priors)
+            ],
+            *[f"max(CASE WHEN _mark_{n} THEN _s_{n} END) AS _cm_{n}" for n in since],
+            f"count(1) AS _cs_{position or 'rows'}",
+        ],
     )
-    local = local.select("*", *[F.last(e, ignorenulls=True).over(upto).alias(f"_m_{n}") for n, e in at_mark.items()])
-    before = o.across().rowsBetween(Window.unboundedPreceding, -1)
-    base = {n: F.coalesce(F.sum(f"_cn_{n}").over(before), F.lit(0)) for n in since}
-    edges = edges.withColumns({f"_cb_{n}": b for n, b in base.items()})
-    carry = edges.select(
+    if since:
+        local = local.selectExpr(
+            "*", *[f"last(CASE WHEN _mark_{n} THEN _s_{n} END, true) {upto} AS _m_{n}" for n in since]
+        )
+    counted = [*sums, *([position] if position else [])]
+    edges = edges.selectExpr(
         *o.cells,
-        *[F.sum(f"_cs_{n}").over(before).alias(f"_cs_{n}") for n in sums],
-        *[F.lag(f"_cl_{n}").over(o.across()).alias(f"_cl_{n}") for n in lags],
-        *[F.last(f"_cf_{n}", ignorenulls=True).over(before).alias(f"_cf_{n}") for n in (*fills, *priors)],
-        *[
-            (
-                F.col(f"_cb_{n}")
-                - F.coalesce(F.last(F.col(f"_cb_{n}") + F.col(f"_cm_{n}"), ignorenulls=True).over(before), F.lit(0))
-            ).alias(f"_cn_{n}")
-            for n in since
-        ],
+        *[f"sum(_cs_{n}) {o.across(BEFORE)} AS _cs_{n}" for n in counted],
+        *[f"lag(_cl_{n}) {o.across()} AS _cl_{n}" for n in lags],
+        *[f"last(_cf_{n}, true) {o.across(BEFORE)} AS _cf_{n}" for n in (*fills, *priors)],
+        *[f"coalesce(sum(_cs_{n}) {o.across(BEFORE)}, 0) AS _cb_{n}" for n in since],
+        *[f"_cm_{n}" for n in since],
     )
-    joined = local.join(carry, o.cells, "left")
-
-    def plus(a: str, b: str) -> Column:
-        return F.coalesce(F.col(a), F.lit(0)) + F.coalesce(F.col(b), F.lit(0))
-
-    out = {n: plus(f"_s_{n}", f"_cs_{n}") for n in sums}
-    out |= {n: F.coalesce(F.col(f"_l_{n}"), F.col(f"_cl_{n}"))["v"] for n in lags}
-    out |= {n: F.coalesce(F.col(f"_f_{n}"), F.col(f"_cf_{n}")["v"]) for n in fills}
-    out |= {n: F.coalesce(F.col(f"_p_{n}"), F.col(f"_cf_{n}")["v"]) for n in priors}
-    out |= {
-        n: F.when(F.col(f"_m_{n}").isNotNull(), F.col(f"_n_{n}") - F.col(f"_m_{n}")).otherwise(
-            plus(f"_n_{n}", f"_cn_{n}")
+    if since:
+        # amounts of the blocks before, less those up to the last mark in them
+        edges = edges.selectExpr(
+            "*", *[f"_cb_{n} - coalesce(last(_cb_{n} + _cm_{n}, true) {o.across(BEFORE)}, 0) AS _cs_{n}" for n in since]
         )
+    out = {n: f"coalesce(_s_{n}, 0) + coalesce(_cs_{n}, 0)" for n in counted}
+    out |= {n: f"coalesce(_l_{n}, _cl_{n}).v" for n in lags}
+    out |= {n: f"coalesce(_f_{n}, _cf_{n}.v)" for n in (*fills, *priors)}
+    out |= {
+        n: f"CASE WHEN _m_{n} IS NOT NULL THEN _s_{n} - _m_{n} ELSE coalesce(_s_{n}, 0) + coalesce(_cs_{n}, 0) END"
         for n in since
     }
-    kept = [c for c in df.columns if c not in out]
-    return joined.select(*kept, *[e.alias(n) for n, e in out.items()])
+    kept = [f"`{c}`" for c in columns if c not in out]
+    return local.join(edges, o.cells, "left").selectExpr(*kept, *[f"{e} AS `{n}`" for n, e in out.items()])
 
 
 def steps(
@@ -197,63 +204,56 @@ def steps(
     the key's first row. Steps inside a block are counted by a window; the step
     between two blocks is decided on the small table of block edges.
     """
-    df = add_blocks(df, o).withColumn("_v", value)
-    w = o.inside()
-    upto = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    prior = w.rowsBetween(Window.unboundedPreceding, -1)
+    df = add_blocks(df, o)
+    columns = df.columns
     v = F.col("_v")
 
     def hits(before: Column, now: Column) -> dict[str, Column]:
-        hit = F.coalesce(now.isNotNull() & before.isNotNull() & is_step(before, now), F.lit(False))
+        hit = F.coalesce(is_step(before, now), F.lit(False))
         return {n: (hit & F.coalesce(ok(now), F.lit(False))).cast("long") for n, ok in counts.items()}
 
-    local = df.withColumn("_prev", F.last(v, ignorenulls=True).over(prior))
-    local = local.withColumns({f"_hit_{n}": h for n, h in hits(F.col("_prev"), v).items()})
-
-    present = F.when(v.isNotNull(), o.position())
-    edges = _split_rows(local).groupBy(*o.cells).agg(
-        *[F.sum(f"_hit_{n}").alias(f"_hits_{n}") for n in counts],
-        F.min_by("_v", present).alias("_first"),
-        F.max_by("_v", present).alias("_last"),
-        F.min_by(F.struct("_v"), o.position()).alias("_head"),
+    upto = o.inside(UPTO)
+    rows = df.select("*", value.alias("_v")).selectExpr("*", f"last(_v, true) {o.inside(BEFORE)} AS _prev")
+    rows = rows.select("*", *[h.alias(f"_hit_{n}") for n, h in hits(F.col("_prev"), v).items()])
+    local = rows.selectExpr(
+        *[f"`{c}`" for c in columns],
+        *[f"sum(_hit_{n}) {upto} AS _run_{n}" for n in counts],
+        f"last(_v, true) {upto} AS _fill",
+        f"first(struct(_v)) {upto} AS _head",
     )
-    before = o.across().rowsBetween(Window.unboundedPreceding, -1)
-    whole = o.across().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    edges = edges.select(
+    present = f"CASE WHEN _v IS NOT NULL THEN {o.position} END"
+    edges = _aggregate(
+        _split_rows(rows),
+        o.cells,
+        [
+            *[f"sum(_hit_{n}) AS _hits_{n}" for n in counts],
+            f"min_by(_v, {present}) AS _first",
+            f"max_by(_v, {present}) AS _last",
+            f"min_by(struct(_v), {o.position}) AS _head",
+        ],
+    ).selectExpr(
         *o.cells,
         *[f"_hits_{n}" for n in counts],
         "_first",
-        F.last("_last", ignorenulls=True).over(before).alias("_carry"),
-        F.first("_head").over(whole).alias("_key_head"),
+        f"last(_last, true) {o.across(BEFORE)} AS _carry",
+        f"first(_head) {o.across(UPTO)} AS _key_head",
     )
-    jumps = hits(F.col("_carry"), F.col("_first"))
-    carry = edges.select(
+    # the step from the last value of the blocks before to the first value of this one
+    edges = edges.select("*", *[j.alias(f"_jump_{n}") for n, j in hits(F.col("_carry"), F.col("_first")).items()])
+    carry = edges.selectExpr(
         *o.cells,
         "_carry",
         "_key_head",
-        *[j.alias(f"_jump_{n}") for n, j in jumps.items()],
-        *[
-            F.coalesce(F.sum(F.col(f"_hits_{n}") + j).over(before), F.lit(0)).alias(f"_base_{n}")
-            for n, j in jumps.items()
-        ],
-    )
-    local = local.select(
-        *df.columns,
-        *[F.sum(f"_hit_{n}").over(upto).alias(f"_run_{n}") for n in counts],
-        F.last(v, ignorenulls=True).over(upto).alias("_fill"),
-        F.first(F.struct("_v")).over(upto).alias("_head"),
+        *[f"_jump_{n}" for n in counts],
+        *[f"sum(_hits_{n} + _jump_{n}) {o.across(BEFORE)} AS _base_{n}" for n in counts],
     )
-    joined = local.join(carry, o.cells, "left")
-    entered = F.col("_fill").isNotNull()
     out = {
-        n: F.coalesce(F.col(f"_base_{n}"), F.lit(0))
-        + F.col(f"_run_{n}")
-        + F.when(entered & F.col(f"_jump_{n}").isNotNull(), F.col(f"_jump_{n}")).otherwise(0)
+        n: f"coalesce(_base_{n}, 0) + _run_{n} + CASE WHEN _fill IS NOT NULL THEN coalesce(_jump_{n}, 0) ELSE 0 END"
         for n in counts
     }
     if fill_to:
-        out[fill_to] = F.coalesce("_fill", "_carry")
+        out[fill_to] = "coalesce(_fill, _carry)"
     if first_to:
-        out[first_to] = F.coalesce("_key_head", "_head")["_v"]
-    kept = [c for c in df.columns if c != "_v" and c not in out]
-    return joined.select(*kept, *[e.alias(n) for n, e in out.items()])
+        out[first_to] = "coalesce(_key_head, _head)._v"
+    kept = [f"`{c}`" for c in columns if c not in out]
+    return local.join(carry, o.cells, "left").selectExpr(*kept, *[f"{e} AS `{n}`" for n, e in out.items()])

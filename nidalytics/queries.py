@@ -1424,6 +1424,25 @@ def load_processed(spark, sf):
     return back.select("deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings", "flag_short")
 
 
+@query(
+    f"""SELECT CAST(user_id AS VARCHAR) AS deployment_id, date, n_on_bouts, n_off_bouts, prop_on_nest, mean_on_bout_min
+FROM ({SQL["day_summary"]})"""
+)
+def write_processed(spark, sf):
+    df = day_summary(spark, sf).withColumn("deployment_id", F.col("user_id").cast("string")).drop("user_id")
+    back = _round_trip(spark, df, "day_summary", schemas.DAYS)
+    return back.select("deployment_id", "date", "n_on_bouts", "n_off_bouts", "prop_on_nest", "mean_on_bout_min")
+
+
+@query(
+    f"""WITH {EXPORT} SELECT CAST(user_id AS VARCHAR) AS deployment_id, bout_id, state_corrected, bout_start, bout_end, n_readings
+FROM bouts"""
+)
+def export_all(spark, sf):
+    back = _round_trip(spark, _exported(spark, sf)["bout_summary"], "bout_summary", schemas.BOUTS)
+    return back.select("deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings")
+
+
 @query(SQL["read_log"])
 def write_clean(spark, sf):
     back = _round_trip(spark, _log(spark, sf), "log_clean", schemas.LOG_CLEAN)
