@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nidalytics.functions.scalars import valid_window
 from nidalytics.plans.ordered import BLOCK, Ordering, running
 from nidalytics.plans.quantiles import exact_quantiles
+from nidalytics.plans.stages import cut
 
 DEFAULT_INTERVAL = 2.0
 SMOOTH_SEC = 75.0
@@ -107,20 +110,18 @@ def smooth_by_window_size(
 
     Frames need literal bounds, so deployments are handled per distinct size.
     Sizes are odd numbers up to seconds / interval, a few dozen at most, whatever
-    the number of deployments.
+    the number of deployments, and usually all the same. Where they differ, the
+    readings are laid out by size once, so that every size reads its own part.
     """
     by = [c for c in sizes.columns if c in o.keys]
     distinct = sorted(r["k"] for r in sizes.select("k").distinct().collect())
     if not distinct:
         return df.drop(BLOCK).withColumn(out, F.lit(None).cast("double"))
+    if len(distinct) == 1:
+        return rolling_median(df, o, value, distinct[0], nulls, out, position=position)
+    laid_out = cut(df.drop(BLOCK).join(sizes.select(*by, F.col("k").alias("_k")), by), by="_k")
     parts = [
-        rolling_median(
-            df if len(distinct) == 1 else df.join(sizes.where(F.col("k") == k).select(*by), by, "left_semi"),
-            o, value, k, nulls, out, position=position,
-        )
+        rolling_median(laid_out.where(F.col("_k") == k).drop("_k"), o, value, k, nulls, out, position=position)
         for k in distinct
     ]
-    result = parts[0]
-    for part in parts[1:]:
-        result = result.unionByName(part)
-    return result
+    return reduce(DataFrame.unionByName, parts)

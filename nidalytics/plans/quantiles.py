@@ -26,12 +26,13 @@ def exact_quantiles(
     key's range and by the number of distinct values in one cell.
     """
     keys = list(keys)
+    # the join below implies these filters; stated here, both its sides share one exchange
     counts = (
         df.select(*keys, value.cast("double").alias("_v"))
-        .where(F.col("_v").isNotNull())
-        .groupBy(*keys, "_v")
-        .agg(F.count(F.lit(1)).alias("_n"))
         .withColumn("_cell", F.floor(F.col("_v") / grid))
+        .where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "_v", "_cell")))
+        .groupBy(*keys, "_cell", "_v")
+        .agg(F.count(F.lit(1)).alias("_n"))
     )
     along = Window.partitionBy(*keys).orderBy("_cell")
     cells = (

@@ -21,14 +21,16 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write the table out and read it back.
+def cut(df: DataFrame, by: str | None = None) -> DataFrame:
+    """Write the table out and read it back; ``by`` lays it out by a column of few values.
 
-    Survives lost executors, and later reads fetch only the columns they need.
+    Survives lost executors, and later reads fetch only the columns (and values of
+    ``by``) that they need. The files stay until the shared folder is cleared.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    writer = df.write.partitionBy(by) if by else df.write
+    writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1162,7 +1162,7 @@ def require_files(spark, sf):
 
 
 def _device_text(spark, sf) -> DataFrame:
-    clock = F.date_format(F.date_sub(F.to_date("ts"), 20).cast("timestamp") + (F.col("ts") - F.to_date("ts").cast("timestamp")), "MM-dd HH:mm:ss")
+    clock = F.date_format(F.col("ts") - F.expr("INTERVAL 20 DAYS"), "MM-dd HH:mm:ss")
     return events(spark, sf).select(
         F.concat(F.lit("/data/"), F.col("user_id").cast("string")).alias("folder"),
         F.col("ts").alias("true_ts"),
@@ -1180,7 +1180,7 @@ SHIFTED = "date_trunc('second', ts - INTERVAL 20 DAY)"
 
 
 def _folders(spark, sf) -> DataFrame:
-    users = events(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+    users = events(spark, sf).select("user_id").distinct()
     return users.select(
         F.concat(F.lit("/data/"), F.col("user_id").cast("string")).alias("folder"),
         F.col("user_id").cast("string").alias("deployment_id"),
