@@ -21,7 +21,7 @@ SMOOTHED = "tof_smooth_r"
 
 @dataclass(frozen=True)
 class Params:
-    """User-tunable settings; the defaults are the reference behaviour."""
+    """User-tunable settings."""
 
     smooth_sec: float = smooth.SMOOTH_SEC
     cpt_penalty: str | float = "MBIC"
