@@ -2,7 +2,8 @@
 
 A source's target is a number of words. Whole copies that every document gets come first; the words
 that remain are drawn: each document has a uniform random number u and inclusion odds g, and the
-documents with the smallest u / (1 - u) / g are taken until their words come nearest to what remains.
+documents with the smallest u / (1 - u) / g are taken until the next one would exceed what remains. The
+gap that this one leaves is filled with documents after it, in order, that fit.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ WEIGHTS = (5, 2, 1)
 MOST_COPIES = 3
 #: Rows in a cell of the order, about; only one cell per source is ever sorted.
 CELL_ROWS = 1000
+#: How often the gap is filled; each time with what fits of the documents left in the cell.
+FILLS = 3
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST_COPIES) -> DataFrame:
@@ -69,17 +72,16 @@ def plan(
     most: int = MOST_COPIES,
     seed: str = "mix",
 ) -> DataFrame:
-    """Per source: size, target, whole copies, and the place in the order up to which one more copy is given.
+    """Per source: size, target, whole copies, and which documents get one more copy: all up to the cell
+    ``last_cell`` of the order, in this cell those up to ``end`` and the few in ``more``.
 
     ``docs`` has doc_id, source, size, v and odds. Sizes are summed per cell of the order before any
     sorting; the cell in which the target is reached is sorted, about ``CELL_ROWS`` rows per source.
     """
-    per_source = docs.groupBy("source").agg(
-        F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n"), F.avg("odds").alias("mean_odds")
-    )
-    per_source = cut(per_source)
+    per_source = cut(docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")))
     wanted = targets(per_source.select("source", "source_size"), weights, most)
-    table = wanted.join(per_source.select(F.col("source").alias("s"), "n", "mean_odds"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    table = wanted.join(per_source.select(F.col("source").alias("s"), "n"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    table = table.withColumn("mean_odds", F.sqrt(F.col("source_size") / F.col("n") + 1))
     copies = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     table = table.withColumn("whole", copies.cast("long"))
     table = table.withColumn("remains", F.col("target") - F.col("whole") * F.col("source_size"))
@@ -94,17 +96,24 @@ def plan(
     last = cut(last.agg(F.min_by(F.struct("cell", (F.col("upto") - F.col("words")).alias("base")), "cell").alias("last")))
     inside = placed.join(last, F.col("source").eqNullSafe(F.col("s2")) & (F.col("cell") == F.col("last.cell")))
     order = Window.partitionBy("source").orderBy("v", F.col("doc_id").asc_nulls_first())
-    before = F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    taken = 2 * (F.col("last.base") + F.coalesce(before, F.lit(0))) + F.col("size") <= 2 * F.col("remains")
-    inside = inside.withColumn("taken", taken).filter("taken")
-    ends = inside.groupBy(F.col("source").alias("s3")).agg(F.max(F.struct("v", "doc_id")).alias("end"))
+    order, everything = order.rowsBetween(Window.unboundedPreceding, 0), Window.partitionBy("source")
+    room = F.col("remains") - F.col("last.base")
+    inside = inside.withColumn("taken", F.sum("size").over(order) <= room).withColumn("first", F.col("taken"))
+    for _ in range(FILLS):
+        gap = room - F.coalesce(F.sum(F.when(F.col("taken"), F.col("size"))).over(everything), F.lit(0))
+        inside = inside.withColumn("gap", gap)
+        inside = inside.withColumn("fits", ~F.col("taken") & F.col("size").between(F.lit(1), F.col("gap")))
+        upto = F.sum(F.when(F.col("fits"), F.col("size"))).over(order)
+        inside = inside.withColumn("taken", F.col("taken") | (F.col("fits") & (upto <= F.col("gap"))))
+    key = F.struct("v", "doc_id")
+    ends = inside.filter("taken").groupBy(F.col("source").alias("s3"))
+    ends = ends.agg(
+        F.max(F.when(F.col("first"), key)).alias("end"), F.collect_set(F.when(~F.col("first"), key)).alias("more")
+    )
     out = table.join(last, F.col("source").eqNullSafe(F.col("s2")), "left")
     out = out.join(ends, F.col("source").eqNullSafe(F.col("s3")), "left")
-    return cut(
-        out.select(
-            "source", "source_size", "target", "whole", "remains", "mean_odds", "cells", F.col("last.cell").alias("last_cell"), "end"
-        )
-    )
+    known = ["source", "source_size", "target", "whole", "remains", "mean_odds", "cells", "end", "more"]
+    return cut(out.select(*known, F.col("last.cell").alias("last_cell")))
 
 
 def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: str) -> DataFrame:
@@ -128,7 +137,8 @@ def copies_of(rows: DataFrame, mix: DataFrame) -> DataFrame:
     plan_rows = mix.withColumnRenamed("source", "__source")
     out = rows.join(plan_rows, F.col("source").eqNullSafe(F.col("__source")), "left")
     cell = _cell(F.col("mean_odds"), F.col("cells"))
-    inside = F.struct("v", "doc_id") <= F.col("end")
+    key = F.struct("v", "doc_id")
+    inside = F.coalesce(key <= F.col("end"), F.lit(False)) | F.coalesce(F.array_contains("more", key), F.lit(False))
     drawn = (F.col("remains") > 0) & (
         F.col("last_cell").isNull() | (cell < F.col("last_cell")) | ((cell == F.col("last_cell")) & inside)
     )
@@ -147,7 +157,8 @@ def mix_report(
     """One row per input row: its size, its source's size and target, and the words the mix takes.
 
     A null source is a source of its own, a null text has no words. Rows that repeat id, source and
-    text share one draw and are taken alike. Each source comes within half a document of its target.
+    text share one draw and are taken alike. A source misses its target by less than the smallest
+    document left in the cell where its sample ends.
     """
     rows = cut(sized(docs, id_column, text_column, source_column, seed))
     out = copies_of(rows, plan(rows, weights, most, seed))

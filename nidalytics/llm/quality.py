@@ -95,7 +95,7 @@ def rules(text: Column) -> list[Rule]:
         Rule("repeated_words", 100 * n_repeat_words(text) > 50 * words),
         Rule("word_length", (word_chars(text) < 2 * words) | (word_chars(text) > 15 * words)),
         Rule("symbols", 10 * n_symbols(text) > words),
-        Rule("repeated_lines", 100 * n_dup_lines(text) > 30 * F.size(lines)),
+        Rule("repeated_lines", let(n_dup_lines(text), lambda n: (n >= 3) & (100 * n > 30 * F.size(lines)))),
         Rule("few_letters", 100 * with_letter < 70 * words),
         Rule("bullets", 100 * bullets > 90 * F.size(lines)),
         Rule("cut_lines", 100 * dots > 30 * F.size(lines)),

@@ -80,7 +80,7 @@ QUALITY = r"""
     + """
     SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
       NOT (base_failed OR word_chars < 2 * n_words OR word_chars > 15 * n_words OR 10 * n_symbols > n_words
-        OR 100 * n_dup_lines > 30 * n_lines OR 100 * lettered < 70 * n_words OR 100 * bullets > 90 * n_lines
+        OR (n_dup_lines >= 3 AND 100 * n_dup_lines > 30 * n_lines) OR 100 * lettered < 70 * n_words OR 100 * bullets > 90 * n_lines
         OR 100 * dots > 30 * n_lines) AS kept
     FROM base"""
 )
@@ -103,17 +103,32 @@ MIX = rf"""
     target AS (SELECT f.source, s, least((3 * s)::DOUBLE, coalesce((w * l.left_words)::DOUBLE / l.left_weight, (3 * s)::DOUBLE)) AS target
       FROM filled f LEFT JOIN level l ON true),
     parts AS (SELECT *, CASE WHEN s > 0 THEN floor(target / s)::BIGINT ELSE 0 END AS whole FROM target),
-    ranked AS (SELECT p.*, t.s, t.target, t.whole, t.target - t.whole * t.s AS remains,
-      coalesce(sum(size) OVER (PARTITION BY p.source ORDER BY v, doc_id NULLS FIRST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
-      FROM placed p JOIN parts t ON p.source IS NOT DISTINCT FROM t.source)"""
+    celled AS (SELECT p.*, t.s, t.target, t.whole, t.target - t.whole * t.s AS remains, ceil(n / 1000.0::DOUBLE) AS cells,
+      sqrt(t.s::DOUBLE / n + 1) AS g FROM placed p JOIN parts t ON p.source IS NOT DISTINCT FROM t.source
+      JOIN (SELECT source, count(*)::DOUBLE AS n FROM rows GROUP BY source) c ON p.source IS NOT DISTINCT FROM c.source),
+    ordered AS (SELECT *, row_number() OVER () AS r, least(floor(v * g / (v * g + 1 - v) * cells), cells - 1) AS cell FROM celled),
+    -- the order up to the document that would exceed the target, then what fits of the rest of its cell
+    p1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= remains AS t1 FROM ordered),
+    last AS (SELECT source, min(cell) AS last_cell FROM (SELECT source, cell, remains,
+      sum(sum(size)) OVER (PARTITION BY source ORDER BY cell) AS upto FROM ordered GROUP BY source, cell, remains) WHERE upto >= remains GROUP BY source),
+    e1 AS (SELECT p1.*, cell IS NOT DISTINCT FROM last_cell AS here,
+      remains - coalesce(sum(size) FILTER (WHERE t1) OVER (PARTITION BY p1.source), 0) AS gap FROM p1 LEFT JOIN last ON p1.source IS NOT DISTINCT FROM last.source),
+    p2 AS (SELECT *, t1 OR (fits AND sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= gap) AS t2
+      FROM (SELECT *, here AND NOT t1 AND size BETWEEN 1 AND gap AS fits FROM e1)),
+    e2 AS (SELECT * EXCLUDE (gap, fits), remains - coalesce(sum(size) FILTER (WHERE t2) OVER (PARTITION BY source), 0) AS gap FROM p2),
+    p3 AS (SELECT *, t2 OR (fits AND sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= gap) AS t3
+      FROM (SELECT *, here AND NOT t2 AND size BETWEEN 1 AND gap AS fits FROM e2)),
+    e3 AS (SELECT * EXCLUDE (gap, fits), remains - coalesce(sum(size) FILTER (WHERE t3) OVER (PARTITION BY source), 0) AS gap FROM p3),
+    p4 AS (SELECT *, t3 OR (fits AND sum(CASE WHEN fits THEN size END) OVER (PARTITION BY source ORDER BY v, doc_id NULLS FIRST ROWS UNBOUNDED PRECEDING) <= gap) AS t4
+      FROM (SELECT *, here AND NOT t3 AND size BETWEEN 1 AND gap AS fits FROM e3)),
+    e4 AS (SELECT * EXCLUDE (gap, fits), remains - coalesce(sum(size) FILTER (WHERE t4) OVER (PARTITION BY source), 0) AS gap FROM p4)"""
 
 
 @query(
     MIX
     + """
-    SELECT doc_id, size, s AS source_size, target,
-      (size * (whole + CASE WHEN remains > 0 AND 2 * before + size <= 2 * remains THEN 1 ELSE 0 END))::BIGINT AS taken
-    FROM ranked"""
+    SELECT doc_id, size, s AS source_size, target, (size * (whole + CASE WHEN remains > 0 AND t4 THEN 1 ELSE 0 END))::BIGINT AS taken
+    FROM e4"""
 )
 def op8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf))
