@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nidalytics.llm import bpe, mixing, quality, repeats, unigram
+from nidalytics.llm import bpe, mixing, quality, repeats, unigram, warc
 from nidalytics.llm.common import read
 
 QUERIES: dict = {}
@@ -36,6 +36,19 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query(
+    """
+    WITH p AS (SELECT page_id, coalesce(html, '') AS x, strlen(coalesce(html, '')) AS n FROM pages),
+    g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY x) END AS first FROM p)
+    SELECT page_id, n AS payload_bytes, sha256(x) AS payload_digest,
+      CASE WHEN n < 100 OR page_id IS NOT DISTINCT FROM first THEN 'response' ELSE 'revisit' END AS record_type,
+      CASE WHEN n >= 100 AND page_id IS DISTINCT FROM first THEN first END AS refers_to
+    FROM g"""
+)
+def op2_warc(spark: SparkSession, sf: str) -> DataFrame:
+    return warc.round_trip(read(spark, sf, "pages", "page_id long, url string, html string"))
+
+
 @query()
 def op3_byte_bpe(spark: SparkSession, sf: str) -> DataFrame:
     return bpe.digests(documents(spark, sf), RANKS, PATTERN)
