@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nidalytics.llm import bpe, mixing, quality, repeats
+from nidalytics.llm import bpe, mixing, quality, repeats, simhash
 from nidalytics.plans.stages import cut
 
 
@@ -19,6 +19,11 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return repeats.drop_copies(docs)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    return simhash.drop_near_copies(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as its source's target asks, three times at most."""
     return mixing.mixed(docs)
@@ -32,6 +37,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 STAGES = [
     ("quality rules", quality_rules),
     ("exact dedup", exact_dedup),
+    ("simhash near-dedup", near_dedup),
     ("mix sources", mix_sources),
     ("byte bpe", encode),
 ]

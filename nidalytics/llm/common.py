@@ -57,3 +57,20 @@ def per_process(key: str, make: Callable[[], Any]) -> Any:
     if key not in store:
         store[key] = make()
     return store[key]
+
+
+#: A key that holds at least this share of the rows is hot, so there are at most so many hot keys.
+HOT_KEYS = 1000
+
+
+def join_by_size(rows: DataFrame, groups: DataFrame, keys: list[str], n: str, how: str = "inner") -> DataFrame:
+    """Join rows to a table of their keys in which ``n`` is the number of rows of each key.
+
+    Keys with a thousandth of all rows are looked up in a broadcast of at most a thousand rows; the
+    others are shuffled, none of them large. ``groups`` must be a written table, it is read three times.
+    """
+    least = max(2, (groups.agg(F.sum(n)).first()[0] or 0) // HOT_KEYS)
+    hot, rest = F.broadcast(groups.filter(F.col(n) >= least)), groups.filter(F.col(n) < least)
+    in_hot = rows.join(hot, keys)
+    in_rest = rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys, how)
+    return in_hot.unionByName(in_rest)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nidalytics.llm import bpe, mixing, quality, repeats, unigram, warc
+from nidalytics.llm import bpe, mixing, quality, repeats, simhash, unigram, warc
 from nidalytics.llm.common import read
 
 QUERIES: dict = {}
@@ -65,6 +65,11 @@ def op4_exact_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return repeats.copies(documents(spark, sf))
 
 
+@query()
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    return simhash.near_groups(documents(spark, sf))
+
+
 # lines, words and windows of each row; r numbers the rows
 QUALITY = r"""
     WITH docs AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
