@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nidalytics.llm import bpe, mixing, quality, repeats, simhash, unigram, warc
+from nidalytics.llm import bpe, chunks, mixing, quality, repeats, simhash, unigram, warc
 from nidalytics.llm.common import read
 
 QUERIES: dict = {}
@@ -152,6 +152,11 @@ def op8_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(documents(spark, sf))
 
 
+@query()
+def op9_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks.repeated(documents(spark, sf)).drop("text_key")
+
+
 @query()
 def op10_unigram_count(spark: SparkSession, sf: str) -> DataFrame:
     return unigram.token_counts(documents(spark, sf), PIECES)

@@ -21,32 +21,34 @@ def _cell(digest: str, salt: int, bits: int) -> Column:
     return F.pmod(F.xxhash64(F.col(digest), F.lit(salt)), F.lit(bits))
 
 
-def repeat_filter(rows: DataFrame, digest: str, bits: int = FILTER_BITS) -> DataFrame:
-    """First pass: bitmaps (block, bits) of the cells that two or more rows hit.
+def repeat_filter(rows: DataFrame, digest: str, bits: int = FILTER_BITS, hashes: int = 2, least: int = 2) -> DataFrame:
+    """First pass: bitmaps (block, bits) of the cells that two (``least``) or more rows hit.
 
-    Every row sets two cells. Hits are counted per cell before the shuffle, and what is kept is one
+    Every row sets ``hashes`` cells. Hits are counted per cell before the shuffle, and what is kept is one
     bit per cell: at most ``bits / 32768`` bitmaps of 4 KB.
     """
-    cells = rows.select(F.explode(F.array(_cell(digest, 1, bits), _cell(digest, 2, bits))).alias("cell"))
-    twice = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    cells = rows.select(F.explode(F.array(*(_cell(digest, k, bits) for k in range(1, hashes + 1)))).alias("cell"))
+    twice = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
     marked = twice.groupBy(F.expr(f"int(cell div {BLOCK})").alias("block"))
     return cut(marked.agg(F.expr(f"bitmap_construct_agg(cell % {BLOCK})").alias("bits")))
 
 
-def may_repeat(rows: DataFrame, digest: str, found: DataFrame, flag: str, bits: int = FILTER_BITS) -> DataFrame:
+def may_repeat(
+    rows: DataFrame, digest: str, found: DataFrame, flag: str, bits: int = FILTER_BITS, hashes: int = 2
+) -> DataFrame:
     """Second pass: add ``flag``; a row without it is surely unique.
 
     The bitmaps have a size bound of their own, hence the broadcast. A filter too small for the input
     marks more rows, which costs shuffling but changes no result.
     """
-    out, hits = rows, []
-    for k in (1, 2):
+    out, hit = rows, F.lit(True)
+    for k in range(1, hashes + 1):
         side = found.select(F.col("block").alias(f"__block{k}"), F.col("bits").alias(f"__bits{k}"))
         out = out.withColumn(f"__cell{k}", _cell(digest, k, bits))
         out = out.join(F.broadcast(side), F.expr(f"int(__cell{k} div {BLOCK}) = __block{k}"), "left")
         byte = f"int(conv(hex(substring(__bits{k}, int(__cell{k} % {BLOCK} div 8) + 1, 1)), 16, 10))"
-        hits.append(F.expr(f"coalesce(shiftright({byte}, int(__cell{k} % 8)) & 1, 0) = 1"))
-    return out.select(*rows.columns, (hits[0] & hits[1]).alias(flag))
+        hit = hit & F.expr(f"coalesce(shiftright({byte}, int(__cell{k} % 8)) & 1, 0) = 1")
+    return out.select(*rows.columns, hit.alias(flag))
 
 
 def group_repeats(
