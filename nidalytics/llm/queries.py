@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from nidalytics.llm import bpe, chunks, mixing, quality, repeats, simhash, unigram, warc
+from nidalytics.llm import bpe, chunks, lines, mixing, quality, repeats, simhash, unigram, warc
 from nidalytics.llm.common import read
 
 QUERIES: dict = {}
@@ -106,6 +107,27 @@ def op6_quality(spark: SparkSession, sf: str) -> DataFrame:
     return quality.judge(documents(spark, sf))
 
 
+# every two distinct word sets that share a word are counted
+@query(
+    r"""
+    WITH rows AS (SELECT row_number() OVER () AS r, doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+    lines AS (SELECT r, doc_id, unnest(ls) AS l, generate_subscripts(ls, 1) - 1 AS line_no FROM rows),
+    placed AS (SELECT *, row_number() OVER (ORDER BY doc_id NULLS FIRST, r, line_no) AS place,
+      list_sort(list_distinct(regexp_extract_all(l, '[^\x20\x09-\x0D]+'))) AS s FROM lines),
+    sets AS (SELECT s, min(place) AS first, len(s) AS n FROM placed WHERE len(s) > 0 GROUP BY s),
+    words AS (SELECT first, n, unnest(s) AS w FROM sets),
+    near AS (SELECT DISTINCT a FROM (SELECT a.first AS a, b.first AS b FROM words a JOIN words b
+        ON a.w = b.w AND b.first < a.first AND 5 * a.n >= 4 * b.n AND 5 * b.n >= 4 * a.n
+      GROUP BY a.first, b.first, a.n, b.n HAVING 9 * count(*) >= 4 * (a.n + b.n))),
+    gone AS (SELECT p.r, p.line_no FROM placed p JOIN sets USING (s) WHERE p.place > first OR first IN (SELECT a FROM near))
+    SELECT doc_id, count(*) FILTER (WHERE len(s) > 0) AS n_lines, count(g.r) AS n_removed,
+      coalesce(array_to_string(list_sort(list(g.line_no) FILTER (WHERE g.r IS NOT NULL)), ','), '') AS removed
+    FROM placed p LEFT JOIN gone g ON p.r = g.r AND p.line_no = g.line_no GROUP BY p.r, doc_id"""
+)
+def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
+    return lines.repeated_lines(documents(spark, sf)).withColumn("removed", F.array_join(F.col("removed").cast("array<string>"), ","))
+
+
 # targets by water filling; v is the place in the Pareto order
 MIX = rf"""
     WITH rows AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size,
