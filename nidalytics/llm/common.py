@@ -47,16 +47,17 @@ def count_words(text: Column) -> Column:
     return F.size(words_of(text)).cast("long")
 
 
-def per_process(key: str, make: Callable[[], Any]) -> Any:
+def per_process(key: str, make: Callable[[], Any], version: str = "") -> Any:
     """Build something once per Python worker and keep it for the worker's later tasks.
 
-    Functions travel to the workers by value, so a module-level cache would be new in each task.
+    Functions travel to the workers by value, so a module-level cache would be new in each task. Another
+    ``version`` replaces what is kept under the key.
     """
     name = "_nidalytics_worker"
     store = sys.modules.setdefault(name, types.ModuleType(name)).__dict__
-    if key not in store:
-        store[key] = make()
-    return store[key]
+    if key not in store or store[key][0] != version:
+        store[key] = (version, make())
+    return store[key][1]
 
 
 #: A key that holds at least this share of the rows is hot, so there are at most so many hot keys.

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nidalytics.llm import bpe, chunks, lines, mixing, quality, repeats, simhash, unigram, warc
+from nidalytics.llm import bpe, chunks, lines, lm, mixing, quality, repeats, simhash, unigram, warc
 from nidalytics.llm.common import read
 
 QUERIES: dict = {}
@@ -37,6 +37,11 @@ LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghij
 WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
 
 
+@query()
+def op1_lm_score(spark: SparkSession, sf: str) -> DataFrame:
+    return lm.scores(documents(spark, sf), RANKS, PATTERN)
+
+
 @query(
     """
     WITH p AS (SELECT page_id, coalesce(html, '') AS x, strlen(coalesce(html, '')) AS n FROM pages),
