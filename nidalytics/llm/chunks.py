@@ -1,9 +1,11 @@
 """Substring dedup: texts are cut where their content says so, and chunks are compared by digest.
 
-A gear hash rolls over the bytes; a chunk may begin at a word whose 32 bytes before it hash to a small
+A gear hash rolls over the bytes; there is a cut before a word if the 32 bytes before it hash to a small
 value. The cuts of a passage are therefore the same wherever it stands, whatever precedes it by more
-than 32 bytes, and an insertion changes only the chunks around it. Chunks that stood earlier in the
-corpus are joined into runs, and runs of enough words are repeated passages.
+than 32 bytes, and an insertion changes only the cuts around it. A chunk goes from each cut to the first
+cut that is enough words away, so that no chunk is so short that unrelated texts share it. Chunks that
+stood earlier in the corpus are joined where they overlap, and those of enough words together are
+repeated passages.
 """
 
 from __future__ import annotations
@@ -21,9 +23,9 @@ from nidalytics.llm.common import per_process, whole
 from nidalytics.llm.repeats import group_repeats, may_repeat, repeat_filter
 from nidalytics.plans.stages import cut
 
-#: Words in a chunk, on average.
-CHUNK_WORDS = 4
-#: A run must span so many words. A passage of 50 words loses a part of a chunk at either end.
+#: Words between two cuts, on average, and the fewest words of a chunk.
+CUT_WORDS, CHUNK_WORDS = 4, 16
+#: Chunks together must span so many words. A passage of 50 words loses what is beyond its first and last cut.
 LEAST_WORDS = 25
 #: Bits of the filter over chunks: 32 MB of bitmaps, whatever the input.
 FILTER_BITS = 2**28
@@ -56,8 +58,8 @@ def word_starts(data: np.ndarray) -> np.ndarray:
     return np.flatnonzero(start | (data >= 0xE3))
 
 
-def cuts(data: np.ndarray, table: np.ndarray, words: int = CHUNK_WORDS) -> tuple[np.ndarray, np.ndarray]:
-    """Start of each chunk in bytes and in words; the end of the text and its number of words come last."""
+def cuts(data: np.ndarray, table: np.ndarray, words: int = CUT_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """Each cut in bytes and in words, the start of the text first; its end and number of words come last."""
     starts = word_starts(data)
     if not len(starts):
         return np.array([0]), np.array([0])
@@ -67,13 +69,23 @@ def cuts(data: np.ndarray, table: np.ndarray, words: int = CHUNK_WORDS) -> tuple
     return np.concatenate((starts[first], [len(data)])), np.concatenate((first, [len(starts)]))
 
 
+def spans(words_at: np.ndarray, least: int = CHUNK_WORDS) -> tuple[np.ndarray, np.ndarray]:
+    """First and last cut of each chunk, as places in the list of cuts; one more reaches the text's end."""
+    last = np.searchsorted(words_at, words_at + least)
+    first = np.flatnonzero(last < len(words_at))
+    last, end = last[first], len(words_at) - 1
+    if len(first) and last[-1] != end:
+        first, last = np.append(first, first[-1]), np.append(last, end)
+    return first, last
+
+
 CHUNKS = "id {kind}, text_key long, n int, start int, end int, word int, word_end int, digest binary"
 
 
 def chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = CHUNK_WORDS) -> DataFrame:
     """One row per chunk: place in bytes and words, and 128-bit digest; ``text_key`` tells texts of one id apart.
 
-    White space at the end of a chunk is no part of its digest.
+    White space at the end of a chunk is no part of its digest. Texts of fewer words have no chunks.
     """
     names = ["text_key", "n", "start", "end", "word", "word_end", "digest"]
     kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
@@ -87,13 +99,16 @@ def chunks(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
                 taken, digests = [], []
                 for i in range(len(texts)):
                     raw = texts[i].as_py().encode()
-                    places, words_at = cuts(np.frombuffer(raw, np.uint8), table, words)
-                    n = len(places) - 1
-                    ends = places.tolist()
-                    digests += [hashlib.blake2b(raw[a:b].rstrip(), digest_size=16).digest() for a, b in zip(ends, ends[1:], strict=False)]
-                    taken.append(np.full(n, at + i))
-                    key = np.full(n, np.array(xxhash.xxh64_intdigest(raw), dtype=np.uint64).view(np.int64))
-                    values = (key, np.arange(n), places[:-1], places[1:], words_at[:-1], words_at[1:])
+                    places, words_at = cuts(np.frombuffer(raw, np.uint8), table)
+                    first, last = spans(words_at, words)
+                    starts, ends = places[first], places[last]
+                    digests += [
+                        hashlib.blake2b(raw[a:b].rstrip(), digest_size=16).digest()
+                        for a, b in zip(starts.tolist(), ends.tolist(), strict=True)
+                    ]
+                    taken.append(np.full(len(first), at + i))
+                    key = np.full(len(first), np.array(xxhash.xxh64_intdigest(raw), dtype=np.uint64).view(np.int64))
+                    values = (key, np.arange(len(first)), starts, ends, words_at[first], words_at[last])
                     for column, value in zip(columns, values, strict=False):
                         column.append(value)
                 ids = batch.column("id").take(pa.array(np.concatenate(taken)))
@@ -126,22 +141,24 @@ def repeated(
     rows = cut(rows.filter("flag").withColumn("place", place))
     later = group_repeats(rows, "digest", "place", "flag", F.min).filter("size > 1 and place != keep")
     text = Window.partitionBy("id", "text_key").orderBy("n")
-    runs = later.withColumn("run", F.col("n") - F.dense_rank().over(text)).groupBy("id", "text_key", "run")
-    spans = runs.agg(
+    reach = F.max("end").over(text.rowsBetween(Window.unboundedPreceding, -1))
+    later = later.withColumn("opens", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    runs = later.withColumn("run", F.sum("opens").over(text)).groupBy("id", "text_key", "run")
+    found = runs.agg(
         F.min("start").alias("start"),
         F.max("end").alias("end"),
         (F.max("word_end") - F.min("word")).alias("n_words"),
         F.array_sort(F.collect_set("keep.id")).alias("first_ids"),
     )
-    return spans.filter(F.col("n_words") >= least_words).drop("run").withColumnRenamed("id", id_column)
+    return found.filter(F.col("n_words") >= least_words).drop("run").withColumnRenamed("id", id_column)
 
 
 def without_repeats(
     docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", words: int = CHUNK_WORDS, least_words: int = LEAST_WORDS
 ) -> DataFrame:
     """The input with repeated passages cut out of its texts; a text that is all repeats becomes empty."""
-    spans = repeated(docs, id_column, text_column, words, least_words)
-    spans = spans.groupBy(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).agg(
+    gone = repeated(docs, id_column, text_column, words, least_words)
+    gone = gone.groupBy(F.col(id_column).alias("__id"), F.col("text_key").alias("__key")).agg(
         F.array_sort(F.collect_list(F.struct("start", "end"))).alias("__spans")
     )
     rest = [c for c in docs.columns if c != text_column]
@@ -171,7 +188,7 @@ def without_repeats(
     rows = docs.select(*rest, F.col(text_column).alias("__text"))
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
     rows = rows.mapInArrow(keyed, f"{kinds}, __key long")
-    joined = rows.join(spans, F.col(id_column).eqNullSafe(F.col("__id")) & (rows["__key"] == spans["__key"]), "left")
+    joined = rows.join(gone, F.col(id_column).eqNullSafe(F.col("__id")) & (rows["__key"] == gone["__key"]), "left")
     kept = "".join(f"`{f.name}` {f.dataType.simpleString()}, " for f in rows.schema if f.name in rest)
     columns = [*(F.col(c) for c in rest), F.col("__text"), F.col("__spans")]
     return joined.select(*columns).mapInArrow(cleaned, f"{kept}`{text_column}` string").select(*docs.columns)

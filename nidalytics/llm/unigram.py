@@ -80,11 +80,14 @@ class Counter:
             best[end + 1], count[end + 1] = value, count[end] + len(word[end].encode())
 
     def text(self, text: str) -> int:
-        """Tokens of a text: the sum over its words, as no piece crosses the mark of the next word."""
+        """Tokens of a text: the sum over its words, as no piece crosses the mark of the next word.
+
+        A mark is put before the text unless it begins with a space.
+        """
         if not text:
             return 0
         known, total = self.known, 0
-        for word in text.split(" "):
+        for word in text.removeprefix(" ").split(" "):
             n = known.get(word)
             if n is None:
                 n = self.word(MARK + word)
