@@ -29,8 +29,9 @@ def repeat_filter(rows: DataFrame, digest: str, bits: int = FILTER_BITS, hashes:
     """
     cells = rows.select(F.explode(F.array(*(_cell(digest, k, bits) for k in range(1, hashes + 1)))).alias("cell"))
     twice = cells.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
-    marked = twice.groupBy(F.expr(f"int(cell div {BLOCK})").alias("block"))
-    return cut(marked.agg(F.expr(f"bitmap_construct_agg(cell % {BLOCK})").alias("bits")))
+    # cells are shuffled, not bitmaps of few bits
+    marked = twice.select("cell", F.expr(f"int(cell div {BLOCK})").alias("block")).repartition("block")
+    return cut(marked.groupBy("block").agg(F.expr(f"bitmap_construct_agg(cell % {BLOCK})").alias("bits")))
 
 
 def may_repeat(
