@@ -46,12 +46,12 @@ def infer_year(text: Column) -> Column:
 def window_bound(date_text: Column, time_text: Column, year: Column | None = None) -> Column:
     """Timestamp of a deployment bound; the time defaults to midnight.
 
-    A date without a leading four-digit year gets ``year`` when one is given;
+    A month and day alone (``04-15``, ``04/15``) gets ``year`` when one is given;
     other spellings are parsed like :func:`infer_year`.
     """
     day = F.trim(date_text)
     if year is not None:
-        short = day.rlike(r"^[0-9]{1,2}-[0-9]{1,2}$")
+        short = day.rlike(r"^[0-9]{1,2}[-/][0-9]{1,2}$")
         day = F.when(short, F.concat_ws("-", year.cast("string"), day)).otherwise(day)
     clock = F.split(coalesce_blank(F.trim(time_text), F.lit("00:00:00")), ":")
     hms = [F.coalesce(F.get(clock, i), F.lit("0")).try_cast("int") for i in range(3)]

@@ -94,7 +94,7 @@ def fit_mixture(x: np.ndarray, w: np.ndarray, equal_var: bool = False, iteration
 
     Starts from the best two-cluster split, so it has no random part. Returns
     (weights, means, variances) with the lower mean first, or None where the fit
-    degenerates.
+    degenerates or does not converge.
     """
     order = np.argsort(x, kind="stable")
     x, w = x[order].astype(float), w[order].astype(float)
@@ -122,6 +122,8 @@ def fit_mixture(x: np.ndarray, w: np.ndarray, equal_var: bool = False, iteration
         if abs(likelihood - previous) <= TOLERANCE * (1 + abs(likelihood)):
             break
         previous = likelihood
+    else:
+        return None
     low = int(np.argmin(mean))
     pick = [low, 1 - low]
     return pi[pick], mean[pick], var[pick]

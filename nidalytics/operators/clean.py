@@ -61,18 +61,18 @@ def deployment_window(deployments: DataFrame, year_col: str | None = None) -> Da
 def attach_year(
     df: DataFrame, o: Ordering, text: str, year: Column, out: str = "timestamp"
 ) -> DataFrame:
-    """Timestamps from ``MM-DD HH:MM:SS`` text in file order.
+    """Timestamps from ``MM-DD HH:MM:SS`` text (one-digit months and days too) in file order.
 
     Whenever the month falls by more than six from one row to the next, that row
     and all later ones belong to the following year. ``o`` orders rows as they
     stand in the file. The year is settled before the text is parsed, so 29
     February after a crossing into a leap year is kept.
     """
-    month = F.substring(F.trim(F.col(text)), 1, 2).try_cast("int")
-    month = F.when(F.trim(F.col(text)).rlike(r"^\d{2}-\d{2} ") & month.between(1, 12), month)
+    month = F.regexp_extract(F.trim(F.col(text)), r"^(\d{1,2})-\d{1,2} ", 1).try_cast("int")
+    month = F.when(month.between(1, 12), month)
     counted = steps(df, o, month, lambda prev, cur: cur - prev < -6, {"_crossings": lambda m: F.lit(True)})
     stamp = F.concat_ws("-", (year + F.col("_crossings")).cast("string"), F.trim(F.col(text)))
-    parsed = F.try_to_timestamp(stamp, F.lit("yyyy-MM-dd H:mm:ss"))
+    parsed = F.try_to_timestamp(stamp, F.lit("yyyy-M-d H:mm:ss"))
     return counted.withColumn(out, F.when(year.isNotNull(), parsed)).drop("_crossings")
 
 

@@ -20,11 +20,26 @@ OVERLAP_ROWS = 50_000
 
 # Penalty per change as a multiple of the log of the series length.
 PENALTIES = {"MBIC": 3.0, "BIC": 2.0, "SIC": 2.0, "None": 0.0}
+# Two parameters per change, its place and the new mean.
+AIC, HANNAN_QUINN = "AIC", "Hannan-Quinn"
+
+
+def check_penalty(penalty: str | float) -> None:
+    """Reject an unknown penalty before any task starts."""
+    if isinstance(penalty, str) and penalty not in (*PENALTIES, AIC, HANNAN_QUINN):
+        raise ValueError(f"unknown penalty {penalty!r}")
+    if not isinstance(penalty, str) and not float(penalty) >= 0:
+        raise ValueError("a penalty must not be negative")
 
 
 def penalty_value(penalty: str | float, n: int) -> float:
+    check_penalty(penalty)
     if not isinstance(penalty, str):
         return float(penalty)
+    if penalty == AIC:
+        return 4.0
+    if penalty == HANNAN_QUINN:
+        return 4.0 * float(np.log(max(np.log(max(n, 2)), 1.0)))
     return PENALTIES[penalty] * float(np.log(n))
 
 
@@ -163,6 +178,7 @@ def changepoints(
     a night, a reboot or a gap, unless ``break_on_gap_sec`` starts a new one after
     gaps longer than that.
     """
+    check_penalty(penalty)
     if break_on_gap_sec is not None:
         options = dict(penalty=penalty, length=length, sigma2=sigma2, min_len=min_len, chunk_rows=chunk_rows)
         return _between_gaps(df, o, value, break_on_gap_sec, out, overlap_rows=overlap_rows, **options)

@@ -33,6 +33,12 @@ def typical_interval(
     return exact_quantiles(rows, keys, F.col(delta), {"typical_interval": 0.5})
 
 
+def default_window(seconds: float = SMOOTH_SEC) -> int:
+    """The window size at the default interval."""
+    k = round(seconds / DEFAULT_INTERVAL)
+    return max(3, k + 1 - k % 2)
+
+
 def window_sizes(
     deployments: DataFrame, intervals: DataFrame, keys: tuple[str, ...], seconds: float = SMOOTH_SEC
 ) -> DataFrame:
@@ -105,8 +111,9 @@ def smooth_by_window_size(
     nulls: str = "propagate",
     out: str = "tof_smooth_r",
     position: str | None = None,
+    default_k: int = 39,
 ) -> DataFrame:
-    """Rolling median with the window size of each deployment.
+    """Rolling median with the window size of each deployment, ``default_k`` where none is known.
 
     Frames need literal bounds, so deployments are handled per distinct size.
     Sizes are odd numbers up to seconds / interval, a few dozen at most, whatever
@@ -114,14 +121,16 @@ def smooth_by_window_size(
     readings are laid out by size once, so that every size reads its own part.
     """
     by = [c for c in sizes.columns if c in o.keys]
-    distinct = sorted(r["k"] for r in sizes.select("k").distinct().collect())
-    if not distinct:
-        return df.drop(BLOCK).withColumn(out, F.lit(None).cast("double"))
-    if len(distinct) == 1:
-        return rolling_median(df, o, value, distinct[0], nulls, out, position=position)
-    laid_out = cut(df.drop(BLOCK).join(sizes.select(*by, F.col("k").alias("_k")), by), by="_k")
+    known = sizes.where(F.col("k").isNotNull()).select(*by, F.col("k").alias("_k")).dropDuplicates(by)
+    distinct = {r["_k"] for r in known.select("_k").distinct().collect()}
+    if not df.select(*by).distinct().join(known, by, "left_anti").isEmpty():
+        distinct.add(default_k)
+    if len(distinct) <= 1:
+        return rolling_median(df, o, value, *distinct or {default_k}, nulls, out, position=position)
+    sized = df.drop(BLOCK).join(known, by, "left").withColumn("_k", F.coalesce("_k", F.lit(default_k)))
+    laid_out = cut(sized, by="_k")
     parts = [
         rolling_median(laid_out.where(F.col("_k") == k).drop("_k"), o, value, k, nulls, out, position=position)
-        for k in distinct
+        for k in sorted(distinct)
     ]
     return reduce(DataFrame.unionByName, parts)

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nidalytics.functions.solar import POLAR_DAY, POLAR_NIGHT
 from nidalytics.operators.classify import ABSENT, PRESENT, UNCERTAIN
 from nidalytics.operators.clean import BOOT_EVENT, DOWNTIME_SEC
 from nidalytics.plans.ordered import micros
@@ -14,14 +15,17 @@ from nidalytics.plans.ordered import micros
 DAY_SEC = 86400.0
 
 
+def in_daylight(time: Column) -> Column:
+    """Between sunrise and sunset (inclusive); always in polar day, never in polar night."""
+    return F.coalesce(time.between(F.col("sunrise"), F.col("sunset")), F.col("polar") == POLAR_DAY, F.lit(False))
+
+
 def active_bouts(bout_table: DataFrame, sun: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Bouts that start between sunrise and sunset (inclusive) of their UTC start date."""
+    """Bouts that start in the daylight of their UTC start date."""
     keys = list(keys)
     dated = bout_table.withColumn("date", F.to_date("bout_start"))
-    joined = dated.join(sun.select(*keys, "date", "sunrise", "sunset"), [*keys, "date"])
-    return joined.where(F.col("bout_start").between(F.col("sunrise"), F.col("sunset"))).select(
-        *bout_table.columns, "date"
-    )
+    joined = dated.join(sun.select(*keys, "date", "sunrise", "sunset", "polar"), [*keys, "date"])
+    return joined.where(in_daylight(F.col("bout_start"))).select(*bout_table.columns, "date")
 
 
 def split_at_midnight(bout_table: DataFrame) -> DataFrame:
@@ -108,7 +112,8 @@ def day_summary(
 
     With ``sun`` only bouts that start in daylight count and day length is the
     denominator, otherwise the whole 24 hours. Deployments missing from ``sun``
-    use 24 hours. Bouts count whole on their start date unless ``by_midnight``.
+    use 24 hours, as does polar day. Polar night has no active day: its length is
+    0, nothing counts and the shares are null. Bouts count whole on their start date unless ``by_midnight``.
     ``digits`` rounds proportions and mean minutes (None keeps them raw).
     """
     keys = list(keys)
@@ -119,9 +124,8 @@ def day_summary(
     if sun is not None:
         sun = sun.select(*at, "sunrise", "sunset", "polar")
         table = table.join(sun, at, "left")
-        in_day = F.col("bout_start").between(F.col("sunrise"), F.col("sunset"))
         no_sun = F.col("sunrise").isNull() & F.col("polar").isNull()
-        table = table.where(F.coalesce(in_day, F.lit(False)) | no_sun)
+        table = table.where(in_daylight(F.col("bout_start")) | no_sun)
         days = days.join(sun, at, "left")
     stats = state_day_stats(table, keys, exclude_short)
     joined = days.join(stats, at, "left")
@@ -129,7 +133,7 @@ def day_summary(
     joined = joined.fillna(0, sums)
     if sun is not None:
         hours = F.round((micros("sunset") - micros("sunrise")) / F.lit(3.6e9), 2)
-        hours = F.when(F.col("sunrise").isNull(), F.lit(24.0)).otherwise(hours)
+        hours = F.when(F.col("polar") == POLAR_NIGHT, 0.0).when(F.col("sunrise").isNull(), 24.0).otherwise(hours)
     else:
         hours = F.lit(24.0)
 
@@ -138,7 +142,7 @@ def day_summary(
 
     p, m = digits or (0, 0)
     joined = joined.withColumn("day_length_h", hours)
-    seconds = F.col("day_length_h") * 3600
+    seconds = F.nullif(F.col("day_length_h") * 3600, F.lit(0.0))
 
     def mean_minutes(name: str) -> Column:
         n = F.col(f"n_{name}_bouts")
@@ -193,12 +197,10 @@ def day_summary_readings(
 def active_day_pct(
     df: DataFrame, sun: DataFrame, keys: Sequence[str], time: str, state: str = "state_corrected"
 ) -> DataFrame:
-    """Share of daylight readings of each day that are present, in percent."""
+    """Share of daylight readings of each day that are present, in percent; in polar day of all readings."""
     at = [*keys, "date"]
     rows = df.where(F.col(state).isNotNull()).withColumn("date", F.to_date(F.col(time)))
-    lit = rows.join(sun.select(*at, "sunrise", "sunset"), at).where(
-        F.col(time).between(F.col("sunrise"), F.col("sunset"))
-    )
+    lit = rows.join(sun.select(*at, "sunrise", "sunset", "polar"), at).where(in_daylight(F.col(time)))
     return lit.groupBy(*at).agg(
         F.count(F.lit(1)).alias("n_active"),
         (F.count_if(F.col(state) == PRESENT) / F.count(F.lit(1)) * 100).alias("pct_active_on_nest"),

@@ -1,13 +1,12 @@
 """Ordered per-key computations that never need one task per key.
 
 A series is identified by its key columns and ordered by time plus tie
-breakers. Windows run inside (key, block). A key of ordinary length is one
-block, marked by a null; a key that holds a large share of the table is cut into
-slices of its time range and spread over many tasks. Whatever must cross the
-borders of such slices (running totals, the last value seen) is carried by a
-second, small table with one row per (key, block). That table is built from the
-rows of the long keys only, so where there are none Spark drops that branch at
-run time and the rows are read and shuffled once.
+breakers; rows without a time come last. Windows run inside (key, block). A key
+of ordinary length is one block, marked by a null; the rows of longer keys are
+cut into slices of bounded length along their order and spread over many tasks.
+Whatever must cross the borders of such slices (running totals, the last value
+seen) is carried by a second, small table with one row per (key, block). Where
+there are no long keys that branch is no part of the plan.
 """
 
 from __future__ import annotations
@@ -18,6 +17,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from nidalytics.plans.stages import cut
+
 BLOCK = "_blk"
 TARGET_ROWS = 1_000_000
 
@@ -44,8 +45,8 @@ class Ordering:
 
     @property
     def position(self) -> str:
-        """SQL of a value that orders the rows of a key."""
-        return f"struct({_names([self.time, *self.ties])})"
+        """SQL of a value that orders the rows of a key, nulls last as in the windows."""
+        return f"struct({', '.join(f'`{c}` IS NULL, `{c}`' for c in (self.time, *self.ties))})"
 
     def inside(self, frame: str = "") -> str:
         """SQL of the window over a block."""
@@ -69,28 +70,32 @@ def micros(column: str | Column) -> Column:
     return F.unix_micros(F.col(column) if isinstance(column, str) else column)
 
 
-def add_blocks(df: DataFrame, o: Ordering, target_rows: int = TARGET_ROWS) -> DataFrame:
+def add_blocks(df: DataFrame, o: Ordering, target_rows: int | None = None) -> DataFrame:
     """Add the block column, unless the table already carries one.
 
-    Keys with at most ``target_rows`` rows are one block (null). Longer keys are
-    cut into equal time slices that hold about ``target_rows`` rows each. The
-    table of long keys has at most rows / target_rows entries of three numbers
-    (100 TB of 50-byte readings give 2 M entries, some 60 MB), which bounds the
-    broadcast.
+    Keys with at most ``target_rows`` rows are one block (null). The rows of longer
+    keys are laid out along their order and cut at about half as many rows, so
+    that bursts, ties and rows without a time are split like any others. They are
+    written once, because the cuts must not move when the rows are read again. Keys
+    are counted by a job of their own; the table of long keys has at most rows /
+    target_rows entries.
     """
     columns = df.columns
     if BLOCK in columns:
         return df
-    at = micros(o.time)
-    width = F.ceil((F.col("_to") - F.col("_from") + 1) * F.lit(float(target_rows)) / F.col("_rows"))
-    long_keys = (
-        df.groupBy(*o.keys)
-        .agg(F.count(F.lit(1)).alias("_rows"), F.min(at).alias("_from"), F.max(at).alias("_to"))
-        .where(F.col("_rows") > target_rows)
-        .select(*o.keys, "_from", width.alias("_width"))
-    )
-    joined = df.join(F.broadcast(long_keys), list(o.keys), "left")
-    return joined.select(*columns, F.floor((at - F.col("_from")) / F.col("_width")).alias(BLOCK))
+    target_rows = target_rows or TARGET_ROWS
+    long_keys = df.groupBy(*o.keys).agg(F.count(F.lit(1)).alias("_rows")).where(F.col("_rows") > target_rows)
+    total = long_keys.agg(F.sum("_rows")).first()[0]
+    if not total:
+        return df.withColumn(BLOCK, F.lit(None).cast("long"))
+    long_keys = cut(long_keys.select(*[F.col(k).alias(f"_of_{k}") for k in o.keys]))
+    same = [F.col(k).eqNullSafe(F.col(f"_of_{k}")) for k in o.keys]
+    order = [*o.keys, *[F.col(c).asc_nulls_last() for c in (o.time, *o.ties)]]
+    slices = -(-2 * total // target_rows)
+    laid_out = df.join(long_keys, same, "left_semi").repartitionByRange(int(slices), *order)
+    sliced = cut(laid_out.withColumn(BLOCK, F.spark_partition_id().cast("long")))
+    short = df.join(long_keys, same, "left_anti").withColumn(BLOCK, F.lit(None).cast("long"))
+    return short.unionByName(sliced)
 
 
 def _split_rows(df: DataFrame) -> DataFrame:
@@ -122,8 +127,8 @@ def running(
     ``since``    (mark, amount): sum of the amounts after the last marked row
     ``position`` row number from 1
 
-    All share one shuffle of the rows and one carry table. The input is read
-    twice, so cut a long lineage before (see ``stages.cut``).
+    All share one shuffle of the rows and one carry table. The input is read once
+    to count its keys, so cut a long lineage before (see ``stages.cut``).
     """
     sums, since = dict(sums or {}), dict(since or {})
     lags, fills, priors = dict(lags or {}), dict(fills or {}), dict(priors or {})

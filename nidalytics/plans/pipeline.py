@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,12 +13,13 @@ from pyspark.sql import types as T
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, segment, smooth, summary
 from nidalytics.plans.ordered import BLOCK
-from nidalytics.plans.stages import cut
+from nidalytics.plans.stages import cut, scratch
 from nidalytics.sources import raw, schemas, tables
 
 KEYS = ("deployment_id",)
 ORDER = raw.READING_ORDER
 SMOOTHED = "tof_smooth_r"
+BATCH_FOLDERS = 5000
 
 
 @dataclass(frozen=True)
@@ -45,14 +48,23 @@ def ingest(
     def paths(name: str) -> list[str]:
         return [f"{f}/{name}" for f in folders]
 
-    metadata = raw.read_metadata(spark, paths(schemas.METADATA_FILE))
-    deployments = cut(raw.deployment_table(metadata, year_overrides))
+    settled = cut(raw.settle_ids(raw.read_metadata(spark, paths(schemas.METADATA_FILE))))
+    metadata = settled.where("NOT replaced").drop("replaced")
+    bad = reduce(
+        DataFrame.unionByName,
+        [raw.bad_headers(metadata, raw.headers(spark, paths(n), ddl), n) for n, ddl in schemas.RAW_FILES.items()],
+    )
+    bad = cut(bad)
+    metadata = metadata.join(bad, "folder", "left_anti")
+    deployments = cut(raw.deployment_table(metadata, one_year(year_overrides)))
     log_rows = cut(raw.stamp(raw.scan(spark, paths(schemas.LOG_FILE), schemas.LOG_RAW), deployments))
     dht_rows = cut(raw.stamp(raw.scan(spark, paths(schemas.DHT_FILE), schemas.DHT_RAW), deployments))
     tof_rows = cut(raw.stamp(raw.scan(spark, paths(schemas.TOF_FILE), schemas.TOF_RAW), deployments))
     log = raw.clean_log(log_rows)
     quarantine = (
         clean.missing_year(deployments, "folder")
+        .unionByName(raw.replaced_folders(settled))
+        .unionByName(bad.drop("folder"))
         .unionByName(raw.bad_rows(log_rows, schemas.LOG_FILE))
         .unionByName(raw.bad_rows(dht_rows, schemas.DHT_FILE))
         .unionByName(raw.bad_rows(tof_rows, schemas.TOF_FILE))
@@ -79,6 +91,7 @@ def process(
     Coordinates come from the deployment table. Corrections, where given, are
     replayed on the labelled readings.
     """
+    segment.check_penalty(params.cpt_penalty)
     keys = list(KEYS)
     intervals = smooth.typical_interval(tof_clean, KEYS)
     sizes = cut(smooth.window_sizes(deployments, intervals, KEYS, params.smooth_sec))
@@ -86,7 +99,8 @@ def process(
 
     usable = F.when(smooth.usable(tof_clean), F.col("tof_raw_mm"))
     smoothed = smooth.smooth_by_window_size(
-        tof_clean, ORDER.within("session_id"), usable, sizes, params.nulls, SMOOTHED, position="session_row"
+        tof_clean, ORDER.within("session_id"), usable, sizes, params.nulls, SMOOTHED, "session_row",
+        smooth.default_window(params.smooth_sec),
     )
     readings = cut(night.mark_night(smoothed, "timestamp", sun, KEYS))
 
@@ -123,6 +137,18 @@ def _typed(df: DataFrame, ddl: str) -> DataFrame:
     return df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in T.StructType.fromDDL(ddl)])
 
 
+def diagnostics(ingested: dict[str, DataFrame], params: Params = Params()) -> dict[str, DataFrame]:
+    """Tables for checking the raw data: long gaps, row counts, and devices or clocks that do not fit."""
+    log, dht, tof = (ingested[n] for n in ("log_clean", "dht_clean", "tof_clean"))
+    return {
+        "large_gaps": clean.large_gaps(dht, ORDER, params.gap_threshold_min),
+        "large_gaps_tof": clean.large_gaps(tof, ORDER, params.gap_threshold_min),
+        "ingest_counts": clean.ingest_counts(tof, dht, log),
+        "device_mismatch": clean.device_mismatch(log, ingested["deployments"]),
+        "clock_mismatch": clean.clock_mismatch(log, tof),
+    }
+
+
 def process_pipeline(
     spark: SparkSession,
     folders: list[str],
@@ -131,15 +157,18 @@ def process_pipeline(
     year_overrides: DataFrame | None = None,
 ) -> None:
     """Ingest and process complete folders and write all tables under ``out``."""
+    with scratch(spark):
+        _ingest_and_process(spark, folders, out, params, year_overrides)
+
+
+def _ingest_and_process(spark, folders, out, params, year_overrides) -> None:
     ingested = ingest(spark, folders, params, year_overrides)
     deployments = ingested["deployments"]
-    tables.append_table(ingested["quarantine"], out, "quarantine")
-    tables.write_clean(ingested, out)
+    tables.quarantine(ingested["quarantine"], out)
+    tables.write_clean(ingested, out, ids=deployments)
     processed = process(deployments, ingested["tof_clean"], ingested["dht_clean"], ingested["log_clean"], params)
-    tables.write_processed(processed, out)
-    tables.write_table(
-        clean.large_gaps(ingested["dht_clean"], ORDER, params.gap_threshold_min), out, "large_gaps"
-    )
+    tables.write_processed(processed, out, ids=deployments)
+    tables.write_tables(diagnostics(ingested, params), out, ids=deployments)
     tables.write_table(deployments, out, "deployments")
     # the manifest comes last: a deployment listed there is completely written
     tables.append_table(deployments.select("deployment_id"), out, tables.MANIFEST)
@@ -157,23 +186,55 @@ def process_new(
     out: str,
     params: Params = Params(),
     year_overrides: DataFrame | None = None,
+    batch_folders: int = BATCH_FOLDERS,
 ) -> int:
     """Process the deployments of ``found`` that are complete, dated and not in the manifest.
 
-    The others go to quarantine. Folder names pass through the driver, as Spark's
-    own file listing does; readings do not.
+    The others go to quarantine, also folders of the listing without metadata. Of
+    folders with the same deployment id the last one counts. Folders are processed
+    ``batch_folders`` at a time, which bounds the names that pass through the
+    driver; readings never do. Returns the number of deployments processed.
     """
-    todo = pending(found, tables.load_manifest(spark, out))
-    incomplete = raw.require_files(listing).join(todo, "folder", "left_semi")
-    whole = todo.join(incomplete, "folder", "left_anti")
-    dated = clean.resolve_year(whole, year_overrides, allowed=(2020, 2100))
-    tables.append_table(
-        raw.missing_files(incomplete).unionByName(clean.missing_year(dated, "folder")), out, "quarantine"
-    )
-    folders = sorted(r["folder"] for r in dated.where("recording_year IS NOT NULL").select("folder").collect())
-    if folders:
+    with scratch(spark):
+        return _process_new(spark, found, listing, out, params, year_overrides, batch_folders)
+
+
+def _process_new(spark, found, listing, out, params, year_overrides, batch_folders) -> int:
+    before = cut(tables.load_manifest(spark, out))
+    settled = cut(raw.settle_ids(found))
+    done = settled.join(before, "deployment_id", "left_semi").select("folder")
+    incomplete = cut(raw.require_files(listing).join(done, "folder", "left_anti"))
+    todo = pending(settled, before)
+    whole = todo.where("NOT replaced").drop("replaced").join(incomplete, "folder", "left_anti")
+    dated = cut(clean.resolve_year(whole, one_year(year_overrides), allowed=(2020, 2100)))
+    rejected = raw.missing_files(incomplete).unionByName(clean.missing_year(dated, "folder"))
+    tables.quarantine(rejected.unionByName(raw.replaced_folders(todo)), out)
+    ready = dated.where("recording_year IS NOT NULL").select("folder").orderBy("folder")
+    names = (r["folder"] for r in ready.toLocalIterator())
+    while folders := list(islice(names, batch_folders)):
         process_pipeline(spark, folders, out, params, year_overrides)
-    return len(folders)
+    return tables.load_manifest(spark, out).join(before, "deployment_id", "left_anti").count()
+
+
+def one_year(overrides: DataFrame | None) -> DataFrame | None:
+    """At most one explicit year per deployment, the latest."""
+    return None if overrides is None else overrides.groupBy(*KEYS).agg(F.max("year").alias("year"))
+
+
+def reprocess(
+    spark: SparkSession, out: str, params: Params = Params(), ids: DataFrame | None = None, corrections: DataFrame | None = None
+) -> None:
+    """Process again from the stored clean tables, with other settings; ``ids`` limits it to some deployments."""
+    clean_tables = tables.load_clean(spark, out)
+    deployments = tables.load_table(spark, out, "deployments", schemas.DEPLOYMENTS)
+    if ids is not None:
+        chosen = ids.select(*KEYS).distinct()
+        clean_tables = {n: t.join(chosen, list(KEYS), "left_semi") for n, t in clean_tables.items()}
+        deployments = deployments.join(chosen, list(KEYS), "left_semi")
+    log, dht, tof = (clean_tables[n] for n in ("log_clean", "dht_clean", "tof_clean"))
+    with scratch(spark):
+        processed = process(deployments, tof, dht, log, params, corrections)
+        tables.write_processed(processed, out, ids=deployments)
 
 
 def load_or_process(
@@ -223,10 +284,22 @@ def export_corrected(
 
 
 def export_all(
-    spark: SparkSession, out: str, export_root: str, corrections: DataFrame | None = None, fmt: str = "parquet"
+    spark: SparkSession,
+    out: str,
+    export_root: str,
+    corrections: DataFrame | None = None,
+    fmt: str = "parquet",
+    trims: DataFrame | None = None,
+    min_bout_sec: float = bt.MIN_BOUT_SEC,
 ) -> None:
-    """Export every processed deployment under ``out`` to ``export_root``."""
+    """Export every processed deployment under ``out`` to ``export_root``.
+
+    ``trims`` (deployment_id, trim_start, trim_end as text) replaces stored trim bounds. A deployment that has no rows left loses those of an earlier export.
+    """
     deployments = tables.load_table(spark, out, "deployments", schemas.DEPLOYMENTS)
+    if trims is not None:
+        deployments = correct.set_trim(deployments, trims, list(KEYS))
     log = tables.load_table(spark, out, "log_clean", schemas.LOG_CLEAN)
-    exported = export_corrected(tables.load_processed(spark, out), deployments, log, corrections)
-    tables.write_processed(exported, export_root, fmt)
+    with scratch(spark):
+        exported = export_corrected(tables.load_processed(spark, out), deployments, log, corrections, min_bout_sec)
+        tables.write_processed(exported, export_root, fmt, ids=deployments)

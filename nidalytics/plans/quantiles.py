@@ -12,24 +12,36 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+CELLS_PER_OCTAVE = 4096
+
+
+def _cell(v: Column) -> Column:
+    """A whole number that grows with the value, by 4096 from one power of two to the next."""
+    size = F.abs(v)
+    octave = F.floor(F.log2(size))
+    place = (octave + 1100) * CELLS_PER_OCTAVE + F.floor((size / F.pow(F.lit(2.0), octave) - 1) * CELLS_PER_OCTAVE)
+    return F.when(v == 0, F.lit(0).cast("long")).otherwise(F.when(v > 0, place).otherwise(-place).cast("long"))
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
     value: Column,
     probs: Mapping[str, float],
-    grid: float = 1.0,
+    grid: float | None = None,
 ) -> DataFrame:
     """One row per key with linearly interpolated quantiles of the non-null values.
 
-    ``probs`` maps output names to probabilities. ``grid`` is the cell width in
-    units of the value; the work per task is bounded by the number of cells in a
-    key's range and by the number of distinct values in one cell.
+    ``probs`` maps output names to probabilities. Cells are 4096 to each power of
+    two, so they separate values of any unit or range; ``grid`` sets a cell width in
+    units of the value instead. The work per task is bounded by the number of cells
+    in a key's range and by the number of distinct values in one cell.
     """
     keys = list(keys)
     # the join below implies these filters; stated here, both its sides share one exchange
     counts = (
         df.select(*keys, value.cast("double").alias("_v"))
-        .withColumn("_cell", F.floor(F.col("_v") / grid))
+        .withColumn("_cell", F.floor(F.col("_v") / grid) if grid else _cell(F.col("_v")))
         .where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "_v", "_cell")))
         .groupBy(*keys, "_cell", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))

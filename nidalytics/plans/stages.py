@@ -4,17 +4,37 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_HELD: ContextVar[list[str] | None] = ContextVar("held", default=None)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Delete the stage tables that are cut inside, at the end: for jobs that write all their results."""
+    paths: list[str] = []
+    token = _HELD.set(paths)
+    try:
+        yield
+    finally:
+        _HELD.reset(token)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        for path in paths:
+            place = jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(conf).delete(place, True)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder named by ``spark.checkpoint.dir``; a local session without one gets its own."""
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="nidalytics-")
     spark.conf.set("spark.checkpoint.dir", folder)
@@ -25,11 +45,14 @@ def cut(df: DataFrame, by: str | None = None) -> DataFrame:
     """Write the table out and read it back; ``by`` lays it out by a column of few values.
 
     Survives lost executors, and later reads fetch only the columns (and values of
-    ``by``) that they need. The files stay until the shared folder is cleared.
+    ``by``) that they need. The files stay until the shared folder is cleared, or
+    until the end of the :func:`scratch` block that they were cut in.
     """
     spark = df.sparkSession
     path = f"{shared_folder(spark).rstrip('/')}/stage-{uuid.uuid4().hex}"
     writer = df.write.partitionBy(by) if by else df.write
+    if (held := _HELD.get()) is not None:
+        held.append(path)
     writer.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from nidalytics.functions.scalars import coalesce_blank, infer_year, valid_window
@@ -121,17 +121,17 @@ def bout_table(spark, sf, **kwargs) -> DataFrame:
 
 
 def places(spark, sf) -> DataFrame:
-    """A place per customer, from the nation key."""
+    """A place per customer, from the nation key; some lie beyond the polar circles."""
     n = F.col("c_nationkey")
     return table(spark, sf, "customer").select(
         F.col("c_custkey").alias("user_id"),
-        (n * 5.0 - 60).alias("latitude"),
+        (n * 6.5 - 78).alias("latitude"),
         (n * 14.0 - 170).alias("longitude"),
     )
 
 
 SUN = """days AS (SELECT DISTINCT user_id, CAST(ts AS DATE) AS date FROM events),
-located AS (SELECT d.user_id, d.date, radians(c.c_nationkey * 5.0 - 60) AS phi, -radians(c.c_nationkey * 14.0 - 170) AS west,
+located AS (SELECT d.user_id, d.date, radians(c.c_nationkey * 6.5 - 78) AS phi, -radians(c.c_nationkey * 14.0 - 170) AS west,
   datediff('day', DATE '2000-01-01', d.date) AS days FROM days d JOIN customer c ON c.c_custkey = d.user_id),
 cycles AS (SELECT *, round(days - 0.0009 - west / (2 * pi())) AS cycle FROM located),
 approx AS (SELECT *, 0.0009 + west / (2 * pi()) + cycle AS approx FROM cycles),
@@ -620,7 +620,7 @@ def state_counts(spark, sf):
 
 ACTIVE = f"""{BOUTS}, {SUN},
 active AS (SELECT b.*, CAST(bout_start AS DATE) AS date FROM bouts b JOIN sun s ON s.user_id = b.user_id
-  AND s.date = CAST(b.bout_start AS DATE) WHERE bout_start BETWEEN s.sunrise AND s.sunset)"""
+  AND s.date = CAST(b.bout_start AS DATE) WHERE polar = 'day' OR (polar IS NULL AND bout_start BETWEEN s.sunrise AND s.sunset))"""
 
 
 @query(f"WITH {ACTIVE} SELECT user_id, bout_id, date FROM active")
@@ -692,10 +692,10 @@ def day_summary(spark, sf):
 @query(
     f"""WITH {ACTIVE}, {_stats_sql("active")}, {SPINE},
 lit AS (SELECT p.user_id, p.date, s.sunrise, s.sunset,
-  CASE WHEN s.sunrise IS NULL THEN 24.0 ELSE floor((epoch_us(s.sunset) - epoch_us(s.sunrise)) / 3.6e7 + 0.5) / 100 END AS day_length_h
+  CASE s.polar WHEN 'day' THEN 24.0 WHEN 'night' THEN 0.0 ELSE floor((epoch_us(s.sunset) - epoch_us(s.sunrise)) / 3.6e7 + 0.5) / 100 END AS day_length_h
   FROM spine p JOIN sun s USING (user_id, date))
 SELECT user_id, date, strftime(sunrise, '%H:%M') AS sunrise, strftime(sunset, '%H:%M') AS sunset, day_length_h, {DAY_COLUMNS}
-FROM (SELECT *, day_length_h * 3600 AS day_sec FROM lit) LEFT JOIN stats USING (user_id, date)"""
+FROM (SELECT *, nullif(day_length_h * 3600, 0) AS day_sec FROM lit) LEFT JOIN stats USING (user_id, date)"""
 )
 def day_summary_sun(spark, sf):
     rows = readings(spark, sf)
@@ -728,7 +728,7 @@ def day_summary_readings(spark, sf):
     f"""WITH {READINGS}, {SUN} SELECT r.user_id, s.date, count(*) AS n_active,
   round(count(*) FILTER (state = 'present') / count(*) * 100, 6) AS pct_active_on_nest
 FROM readings r JOIN sun s ON s.user_id = r.user_id AND s.date = CAST(r.ts AS DATE)
-WHERE state IS NOT NULL AND ts BETWEEN sunrise AND sunset GROUP BY 1, 2"""
+WHERE state IS NOT NULL AND (polar = 'day' OR (polar IS NULL AND ts BETWEEN sunrise AND sunset)) GROUP BY 1, 2"""
 )
 def active_day_pct(spark, sf):
     pct = summary.active_day_pct(readings(spark, sf), sun(spark, sf), K, "ts", "state")
@@ -998,12 +998,12 @@ def bout_report(spark, sf):
     f"""WITH {BOUTS} SELECT user_id, bout_id, bout_start, bout_end,
   CASE state_corrected WHEN 'present' THEN 0 WHEN 'uncertain' THEN 1 ELSE 2 END AS state_y,
   upper(state_corrected[1]) || state_corrected[2:] || '<br>' || strftime(bout_start, '%H:%M') || ' – ' || strftime(bout_end, '%H:%M')
-  AS hover_start FROM bouts"""
+  || '<br>' || regexp_replace(printf('%.1f', (bout_duration + 6e-7) / 60), '\\.0$', '') || ' min' AS hover_text FROM bouts"""
 )
 def bout_timeline(spark, sf):
-    # the minutes at the end of the text are rounded to one decimal, which engines do differently on ties
-    df = reports.bout_timeline(bout_table(spark, sf), K)
-    return df.withColumn("hover_start", F.regexp_extract("hover_text", r"^(.*)<br>[0-9.]+ min$", 1)).drop("hover_text")
+    # the text has minutes of one decimal; the nudge keeps them off ties, which engines round differently
+    nudged = bout_table(spark, sf).withColumn("bout_duration", F.col("bout_duration") + 6e-7)
+    return reports.bout_timeline(nudged, K)
 
 
 @query(f"WITH {BOUTS} SELECT DISTINCT user_id, bout_start AS transition FROM bouts WHERE bout_id > 1")
@@ -1118,15 +1118,14 @@ def parse_coords(spark, sf):
 
 
 @query(
-    """SELECT c_custkey, c_name AS device_id, CASE WHEN c_acctbal > 0 THEN CAST(c_custkey AS VARCHAR) END AS deployment_id,
-  c_mktsegment || '=' || CAST(c_nationkey AS VARCHAR) AS notes FROM customer"""
+    """SELECT 'dep-' || CAST(user_id AS VARCHAR) AS folder, coalesce(c_name, '?') AS device_id,
+  CASE WHEN c_acctbal > 0 THEN '' ELSE 'dep-' END || CAST(user_id AS VARCHAR) AS deployment_id,
+  c_mktsegment || '=' || CAST(c_nationkey AS VARCHAR) AS notes
+FROM (SELECT DISTINCT user_id FROM events) LEFT JOIN customer ON c_custkey = user_id"""
 )
 def read_metadata(spark, sf):
-    head = F.concat(F.lit("METADATA\r\n\r\ndevice_id = "), F.col("c_name"), F.lit("\r\ndevice_id=second\r\n"))
-    ident = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("deployment_id="), F.col("c_custkey").cast("string"))).otherwise("")
-    notes = F.concat(F.lit("\r\n notes =  "), F.col("c_mktsegment"), F.lit("="), F.col("c_nationkey").cast("string"))
-    texts = table(spark, sf, "customer").select("c_custkey", F.concat(head, ident, notes).alias("value"))
-    return raw.parse_metadata(texts, ["c_custkey"]).select("c_custkey", "device_id", "deployment_id", "notes")
+    found = raw.read_metadata(spark, _file(spark, sf, schemas.METADATA_FILE))
+    return found.select(F.element_at(F.split("folder", "/"), -1).alias("folder"), "device_id", "deployment_id", "notes")
 
 
 @query(
@@ -1142,115 +1141,148 @@ def metadata_pairs(spark, sf):
 
 
 @query(
-    """WITH held AS (SELECT user_id, list(DISTINCT CASE event_type WHEN 'view' THEN 'METADATA.TXT' WHEN 'click' THEN 'LOG.CSV'
-  WHEN 'error' THEN 'DHT.CSV' WHEN 'purchase' THEN 'TOF.CSV' END) AS names FROM events WHERE value > 40 GROUP BY user_id),
+    """WITH held AS (SELECT user_id, list(DISTINCT CASE WHEN value <= 40 THEN 'README' WHEN event_type = 'view' THEN 'METADATA.TXT'
+  WHEN event_type = 'click' THEN 'LOG.CSV' WHEN event_type = 'error' THEN 'DHT.CSV' WHEN event_type = 'purchase' THEN 'TOF.CSV' END) AS names
+  FROM events GROUP BY user_id),
 gone AS (SELECT 'dep-' || CAST(user_id AS VARCHAR) AS folder, list_sort(list_filter(['METADATA.TXT', 'LOG.CSV', 'DHT.CSV', 'TOF.CSV'],
   lambda f: NOT list_contains(names, f))) AS missing FROM held)
 SELECT folder, array_to_string(missing, ', ') AS missing FROM gone WHERE len(missing) > 0"""
 )
 def require_files(spark, sf):
+    found = raw.require_files(raw.list_files(spark, listed_root(spark, sf)))
+    return found.select(
+        F.element_at(F.split("folder", "/"), -1).alias("folder"), F.array_join("missing", ", ").alias("missing")
+    )
+
+
+def listed_root(spark, sf) -> str:
+    """Folders that hold a file for each type of event of a user; those of small values are no device files."""
     kind = F.col("event_type")
-    listing = events(spark, sf).where(F.col("value") > 40).select(
-        F.concat(F.lit("dep-"), F.col("user_id").cast("string")).alias("folder"),
-        F.when(kind == "view", schemas.METADATA_FILE).when(kind == "click", schemas.LOG_FILE)
-        .when(kind == "error", schemas.DHT_FILE).when(kind == "purchase", schemas.TOF_FILE).otherwise("README").alias("name"),
-    )
-    return raw.require_files(listing).withColumn("missing", F.array_join("missing", ", "))
+    name = F.when(F.col("value") <= 40, "README").when(kind == "view", schemas.METADATA_FILE)
+    name = name.when(kind == "click", schemas.LOG_FILE).when(kind == "error", schemas.DHT_FILE)
+    name = name.when(kind == "purchase", schemas.TOF_FILE).otherwise("README").alias("name")
+    held = events(spark, sf).select(F.concat(F.lit("dep-"), F.col("user_id").cast("string")).alias("folder"), "user_id", name).distinct()
+    owners = table(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id")
+    text = F.when(F.col("c_acctbal") > 0, F.concat(F.lit("deployment_id="), "c_name")).otherwise("deployment_id=")
+    files = held.join(owners, "user_id", "left").select("folder", "name", F.coalesce(text, F.lit("")).alias("content"))
+    return _once(spark, sf, "listed", lambda root: raw.write_files(files, root))
 
 
 # raw files as text rows, written from the events the way a device would
 
 
-def _device_text(spark, sf) -> DataFrame:
+_RAW: dict[tuple, str] = {}
+
+
+def _once(spark, sf: str, name: str, make) -> str:
+    """A folder below the shared one that ``make`` fills once per application."""
+    key = (spark.sparkContext.applicationId, shared_folder(spark), sf, name)
+    if key not in _RAW:
+        root = f"{shared_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        make(root)
+        _RAW[key] = root
+    return _RAW[key]
+
+
+def raw_root(spark, sf) -> str:
+    """Raw device folders of all users with events, as a device would write them."""
+    return _once(spark, sf, "raw", lambda root: raw.write_files(_device_files(spark, sf), root))
+
+
+def _device_files(spark, sf) -> DataFrame:
+    kind, v = F.col("event_type"), F.col("value")
+    number = v.cast("string")
+    tof = F.when(kind == "error", "-1").when(v > 200, "8190").when(kind == "view", "n/a").otherwise(number)
+    lines = {
+        schemas.LOG_FILE: [F.when(kind == "signup", "START").otherwise(kind), F.lit("d1"), F.lit("")],
+        schemas.DHT_FILE: [F.when(kind != "error", number).otherwise("NaN"), number, F.when(kind != "click", number).otherwise("?"), number],
+        schemas.TOF_FILE: [tof, number],
+    }
     clock = F.date_format(F.col("ts") - F.expr("INTERVAL 20 DAYS"), "MM-dd HH:mm:ss")
-    return events(spark, sf).select(
-        F.concat(F.lit("/data/"), F.col("user_id").cast("string")).alias("folder"),
-        F.col("ts").alias("true_ts"),
-        F.unix_micros("ts").alias("src_row"),
-        F.col("event_id").alias("src_block"),
-        clock.alias("timestamp"),
-        "event_type",
-        "value",
+    at = F.struct("ts", "event_id")
+    folder = F.concat(F.lit("dep-"), F.col("user_id").cast("string")).alias("folder")
+    written = events(spark, sf).groupBy(folder, "user_id").agg(
+        *[F.array_sort(F.collect_list(F.struct(at, F.concat_ws(",", clock, *c).alias("line")))).alias(n) for n, c in lines.items()]
     )
+    files = [
+        F.struct(F.lit(n).alias("name"), F.concat_ws("\n", F.lit(",".join(ddl.names)), F.col(f"`{n}`.line"), F.lit("")).alias("content"))
+        for n, ddl in schemas.RAW_FILES.items()
+    ]
+    about = F.concat_ws(
+        "\r\n", F.lit("METADATA\r\n"), F.concat(F.lit(" device_id = "), F.coalesce("c_name", F.lit("?"))), F.lit("device_id=second"),
+        F.when(F.col("c_acctbal") > 0, F.concat(F.lit("deployment_id="), F.col("user_id").cast("string"))),
+        F.lit("deployment_date=2023-06-01"), F.concat(F.lit(" notes =  "), "c_mktsegment", F.lit("="), F.col("c_nationkey").cast("string")),
+    )
+    files.append(F.struct(F.lit(schemas.METADATA_FILE).alias("name"), about.alias("content")))
+    owners = table(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id")
+    return written.join(owners, "user_id", "left").select("folder", F.explode(F.array(*files)).alias("f")).select("folder", "f.*")
 
 
-# the device writes in order of time, so the true time gives the file order
-FOLDERS = Ordering(("folder",), "true_ts")
 SHIFTED = "date_trunc('second', ts - INTERVAL 20 DAY)"
 
 
-def _folders(spark, sf) -> DataFrame:
-    users = events(spark, sf).select("user_id").distinct()
-    return users.select(
-        F.concat(F.lit("/data/"), F.col("user_id").cast("string")).alias("folder"),
-        F.col("user_id").cast("string").alias("deployment_id"),
-        F.lit(2023).alias("recording_year"),
-        F.lit(None).cast("int").alias("utc_offset_min"),
-    )
+def _deployments(spark, sf) -> DataFrame:
+    return raw.deployment_table(raw.read_metadata(spark, f"{raw_root(spark, sf)}/*/{schemas.METADATA_FILE}"))
+
+
+def _file(spark, sf, name: str) -> str:
+    return f"{raw_root(spark, sf)}/*/{name}"
 
 
-def _stamped(spark, sf, columns) -> DataFrame:
-    text = _device_text(spark, sf).select("folder", "true_ts", "src_row", "src_block", "timestamp", *columns)
-    return cut(raw.stamp(text, _folders(spark, sf), FOLDERS).drop("true_ts"))
+def _numbered(df: DataFrame) -> DataFrame:
+    """The place of a row in its file in place of (src_block, src_row), which depend on how the file was read."""
+    place = Window.partitionBy("deployment_id").orderBy("src_block", "src_row")
+    return df.withColumn("line", F.row_number().over(place))
 
 
 STAMPED = f"""firsts AS (SELECT user_id, min(year({SHIFTED})) AS y FROM events GROUP BY 1),
-stamped AS (SELECT CAST(e.user_id AS VARCHAR) AS deployment_id, event_id, event_type, value, ts AS real_ts,
-  {SHIFTED} + to_years(CAST(2023 - y AS INTEGER)) AS timestamp FROM events e JOIN firsts USING (user_id))"""
+stamped AS (SELECT CASE WHEN c_acctbal > 0 THEN '' ELSE 'dep-' END || CAST(e.user_id AS VARCHAR) AS deployment_id, event_id,
+  event_type, value, ts AS real_ts, CAST(row_number() OVER (PARTITION BY e.user_id ORDER BY ts, event_id) AS INTEGER) AS line,
+  {SHIFTED} + to_years(CAST(2023 - y AS INTEGER)) AS timestamp
+  FROM events e JOIN firsts USING (user_id) LEFT JOIN customer c ON c.c_custkey = e.user_id)"""
 
 
 def _log(spark, sf) -> DataFrame:
-    event = F.when(F.col("event_type") == "signup", "START").otherwise(F.col("event_type"))
-    return raw.clean_log(_stamped(spark, sf, [event.alias("event"), F.lit("d1").alias("device_id"), F.lit("").alias("notes")]))
+    return raw.read_log(spark, _file(spark, sf, schemas.LOG_FILE), _deployments(spark, sf))
 
 
 @query(
-    f"""WITH {STAMPED} SELECT deployment_id, event_id, timestamp,
+    f"""WITH {STAMPED} SELECT deployment_id, line, timestamp,
   CASE WHEN event_type = 'signup' THEN 'START' ELSE event_type END AS event FROM stamped"""
 )
 def read_log(spark, sf):
-    return _log(spark, sf).select("deployment_id", F.col("src_block").alias("event_id"), "timestamp", "event")
+    return _numbered(_log(spark, sf)).select("deployment_id", "line", "timestamp", "event")
 
 
 IN_SESSION = """sess AS (SELECT *, CAST(count(*) FILTER (event_type = 'signup') OVER (PARTITION BY deployment_id ORDER BY timestamp
   RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS INTEGER) AS session_id,
-  epoch(timestamp) - epoch(lag(timestamp) OVER (PARTITION BY deployment_id ORDER BY timestamp, event_id)) AS dt_sec FROM stamped)"""
+  epoch(timestamp) - epoch(lag(timestamp) OVER (PARTITION BY deployment_id ORDER BY timestamp, line)) AS dt_sec FROM stamped)"""
 
 
 @query(
     f"""WITH {STAMPED}, {IN_SESSION}, nums AS (SELECT *, event_type = 'error' OR value > 200 OR event_type = 'view' AS bad FROM sess)
-SELECT deployment_id, event_id, timestamp, bad AS flag_tof_invalid, CASE WHEN NOT bad THEN value END AS tof_raw_mm,
+SELECT deployment_id, line, timestamp, bad AS flag_tof_invalid, CASE WHEN NOT bad THEN value END AS tof_raw_mm,
   CASE WHEN NOT bad THEN value END AS tof_smooth_ema, session_id, dt_sec::DOUBLE AS dt_sec,
-  row_number() OVER (PARTITION BY deployment_id, session_id ORDER BY timestamp, event_id) <= 4 AS flag_ema_warmup FROM nums"""
+  row_number() OVER (PARTITION BY deployment_id, session_id ORDER BY timestamp, line) <= 4 AS flag_ema_warmup FROM nums"""
 )
 def read_tof(spark, sf):
-    kind, v = F.col("event_type"), F.col("value")
-    text = (
-        F.when(kind == "error", "-1").when(v > 200, "8190").when(kind == "view", "n/a").otherwise(v.cast("string"))
-    )
-    stamped = _stamped(spark, sf, [text.alias("tof_raw"), v.cast("string").alias("tof_smooth")])
-    return raw.clean_tof(stamped, _log(spark, sf), warmup_rows=4).select(
-        "deployment_id", F.col("src_block").alias("event_id"), "timestamp", "flag_tof_invalid", "tof_raw_mm",
+    path, log = _file(spark, sf, schemas.TOF_FILE), cut(_log(spark, sf))
+    rows = raw.read_tof(spark, path, _deployments(spark, sf), log, cut, warmup_rows=4)
+    return _numbered(rows).select(
+        "deployment_id", "line", "timestamp", "flag_tof_invalid", "tof_raw_mm",
         "tof_smooth_ema", "session_id", "dt_sec", "flag_ema_warmup",
     )
 
 
 @query(
-    f"""WITH {STAMPED}, {IN_SESSION} SELECT deployment_id, event_id, timestamp, CASE WHEN event_type <> 'error' THEN value END AS temp_in,
+    f"""WITH {STAMPED}, {IN_SESSION} SELECT deployment_id, line, timestamp, CASE WHEN event_type <> 'error' THEN value END AS temp_in,
   value AS hum_in, CASE WHEN event_type <> 'click' THEN value END AS temp_out, value AS hum_out, session_id, dt_sec::DOUBLE AS dt_sec,
   event_type IN ('error', 'click') AS flag_dht_bad FROM sess"""
 )
 def read_dht(spark, sf):
-    kind, v = F.col("event_type"), F.col("value").cast("string")
-    stamped = _stamped(
-        spark, sf,
-        [
-            F.when(kind != "error", v).otherwise("NaN").alias("temp1"), v.alias("hum1"),
-            F.when(kind != "click", v).otherwise("?").alias("temp2"), v.alias("hum2"),
-        ],
-    )
-    return raw.clean_dht(stamped, _log(spark, sf)).select(
-        "deployment_id", F.col("src_block").alias("event_id"), "timestamp", "temp_in", "hum_in", "temp_out", "hum_out",
+    path, log = _file(spark, sf, schemas.DHT_FILE), cut(_log(spark, sf))
+    return _numbered(raw.read_dht(spark, path, _deployments(spark, sf), log, cut)).select(
+        "deployment_id", "line", "timestamp", "temp_in", "hum_in", "temp_out", "hum_out",
         "session_id", "dt_sec", "flag_dht_bad",
     )
 
@@ -1446,34 +1478,28 @@ def export_all(spark, sf):
 @query(SQL["read_log"])
 def write_clean(spark, sf):
     back = _round_trip(spark, _log(spark, sf), "log_clean", schemas.LOG_CLEAN)
-    return back.select("deployment_id", F.col("src_block").alias("event_id"), "timestamp", "event")
+    return _numbered(back).select("deployment_id", "line", "timestamp", "event")
 
 
 @query(
-    """SELECT CAST(c_custkey AS VARCHAR) AS deployment_id FROM customer WHERE c_custkey NOT IN (SELECT user_id FROM events)"""
+    f"""WITH {STAMPED} SELECT deployment_id, min(timestamp) AS first_timestamp, max(timestamp) AS last_timestamp,
+  CAST(count(*) FILTER (event_type = 'signup') - 1 AS INTEGER) AS n_reboots, count(*) AS n_tof_total,
+  count(*) FILTER (event_type IN ('error', 'view') OR value > 200) AS n_tof_invalid,
+  count(*) FILTER (event_type IN ('error', 'click')) AS n_dht_bad FROM stamped GROUP BY 1"""
 )
 def load_or_process(spark, sf):
-    found = table(spark, sf, "customer").select(F.col("c_custkey").cast("string").alias("deployment_id"))
-    manifest = events(spark, sf).select(F.col("user_id").cast("string").alias("deployment_id")).distinct()
-    return pipeline.pending(found, manifest)
+    source = raw_root(spark, sf)
+    out = _once(spark, sf, "out", lambda root: pipeline.load_or_process(spark, source, root))
+    done = tables.load_table(spark, out, "device_summary", schemas.DEVICES).join(tables.load_manifest(spark, out), "deployment_id")
+    return done.select("deployment_id", "first_timestamp", "last_timestamp", "n_reboots", "n_tof_total", "n_tof_invalid", "n_dht_bad")
 
 
 @query(
-    """WITH held AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type <> 'signup') AS files FROM events
-  WHERE value > 40 GROUP BY user_id)
-SELECT '/raw/dep-' || CAST(user_id AS VARCHAR) AS folder, CASE WHEN c_acctbal > 0 THEN c_name ELSE 'dep-' || CAST(user_id AS VARCHAR)
-  END AS deployment_id FROM held JOIN customer ON c_custkey = user_id WHERE files = 4"""
+    """WITH held AS (SELECT user_id, count(DISTINCT event_type) FILTER (event_type <> 'signup' AND value > 40) AS files
+  FROM events GROUP BY user_id)
+SELECT 'dep-' || CAST(user_id AS VARCHAR) AS folder, CASE WHEN c_acctbal > 0 THEN c_name ELSE 'dep-' || CAST(user_id AS VARCHAR)
+  END AS deployment_id FROM held LEFT JOIN customer ON c_custkey = user_id WHERE files = 4"""
 )
 def discover_deployments(spark, sf):
-    kind = F.col("event_type")
-    folder = F.concat(F.lit("/raw/dep-"), F.col("user_id").cast("string"))
-    listing = events(spark, sf).where(F.col("value") > 40).select(
-        folder.alias("folder"),
-        F.when(kind == "view", schemas.METADATA_FILE).when(kind == "click", schemas.LOG_FILE)
-        .when(kind == "error", schemas.DHT_FILE).when(kind == "purchase", schemas.TOF_FILE).otherwise("README").alias("name"),
-    )
-    metadata = table(spark, sf, "customer").select(
-        F.concat(F.lit("/raw/dep-"), F.col("c_custkey").cast("string")).alias("folder"),
-        F.when(F.col("c_acctbal") > 0, F.col("c_name")).otherwise("").alias("deployment_id"),
-    )
-    return raw.complete_deployments(raw.name_deployments(metadata), listing)
+    found = raw.discover_deployments(spark, listed_root(spark, sf))
+    return found.select(F.element_at(F.split("folder", "/"), -1).alias("folder"), "deployment_id")

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import pyarrow as pa
+import pyarrow.fs as pafs
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -17,6 +20,17 @@ from nidalytics.sources import schemas
 FILE_ORDER = ("src_block", "src_row")
 READING_ORDER = Ordering(("deployment_id",), "timestamp", FILE_ORDER)
 Cut = Callable[[DataFrame], DataFrame]
+MAX_COLUMNS = 16  # of a raw file; one with more is quarantined
+
+
+def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], ddl: str) -> DataFrame:
+    """What ``read`` gives, or no rows where there are no such files."""
+    try:
+        return read()
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], ddl)
 
 
 def _folder(path: Column) -> Column:
@@ -48,12 +62,35 @@ def parse_metadata(
 
 def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per METADATA.TXT; the folder name stands in for a missing deployment id."""
-    texts = spark.read.text(paths, wholetext=True).select(
-        _folder(F.col("_metadata.file_path")).alias("folder"), "value"
-    )
+    def read() -> DataFrame:
+        texts = spark.read.text(paths, wholetext=True)
+        return texts.select(_folder(F.col("_metadata.file_path")).alias("folder"), "value")
+
+    texts = read_or_empty(spark, read, "folder string, value string")
     return name_deployments(parse_metadata(texts, ["folder"]))
 
 
+def settle_ids(found: DataFrame) -> DataFrame:
+    """Add ``replaced``: true for all but the last folder (by name) of a deployment id.
+
+    Everything downstream joins on the id, so it must stand for one folder.
+    """
+    last = found.groupBy("deployment_id").agg(F.max("folder").alias("_last"))
+    joined = found.join(last, "deployment_id")
+    return joined.withColumn("replaced", F.col("folder") != F.col("_last")).drop("_last")
+
+
+def replaced_folders(settled: DataFrame) -> DataFrame:
+    """Quarantine rows for folders whose id a later folder has."""
+    return quarantined(settled.where("replaced"), "deployment_id is that of a later folder")
+
+
+def quarantined(folders: DataFrame, reason: str) -> DataFrame:
+    return folders.select(
+        F.col("folder").alias("source_file"), F.lit(reason).alias("reason"), F.lit(None).cast("string").alias("raw")
+    )
+
+
 def name_deployments(metadata: DataFrame) -> DataFrame:
     name = F.element_at(F.split(F.col("folder"), "/"), -1)
     return metadata.withColumn("deployment_id", coalesce_blank(F.col("deployment_id"), F.url_decode(name)))
@@ -76,7 +113,11 @@ def deployment_table(metadata: DataFrame, year_overrides: DataFrame | None = Non
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Folders under the root with the required files that they hold."""
-    files = spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
+
+    def read() -> DataFrame:
+        return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
+
+    files = read_or_empty(spark, read, "path string")
     return files.select(
         _folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name")
     )
@@ -115,20 +156,55 @@ def discover_deployments(spark: SparkSession, root: str) -> DataFrame:
     return complete_deployments(metadata, list_files(spark, root))
 
 
+def headers(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+    """(folder, names): the column names of each file whose header line has all the required ones.
+
+    The header is the first line that names the time column; quotes and blanks around names are dropped.
+    """
+    lines = spark.read.text(paths).where(F.contains("value", F.lit("timestamp")))
+    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
+    lines = lines.select(_folder(F.col("_metadata.file_path")).alias("folder"), "value", place)
+    first = lines.groupBy("folder").agg(F.min_by("value", "place").alias("line"))
+    names = F.transform(F.split("line", ","), lambda n: F.trim(F.translate(n, '"\ufeff\r', "")))
+    wanted = F.array(*[F.lit(c) for c in schema.names])
+    return first.select("folder", names.alias("names")).where(
+        (F.size(F.array_except(wanted, "names")) == 0) & (F.size("names") <= MAX_COLUMNS)
+    )
+
+
 def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
     """Raw CSV rows as trimmed text, with folder and place in the file.
 
-    A file may be read in several splits; (src_block, src_row) is file order. The
-    splits serve as blocks, and a file read in one piece is one block.
+    Columns are found by the names in each file's header, whatever their order and
+    whatever others there are; files without such a header give no rows (see
+    :func:`bad_headers`). A file may be read in several splits; (src_block, src_row)
+    is file order. The splits serve as blocks, and a file read in one piece is one block.
     """
-    rows = spark.read.schema(schema).csv(paths, header=True, nullValue="NA", enforceSchema=False)
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLUMNS)])
+    rows = spark.read.schema(wide).csv(paths, header=False, nullValue="NA")
     start = F.col("_metadata.file_block_start")
-    return rows.select(
+    rows = rows.select(
         _folder(F.col("_metadata.file_path")).alias("folder"),
         start.alias("src_block"),
         F.when(F.col("_metadata.file_block_length") < F.col("_metadata.file_size"), start).alias(BLOCK),
         F.monotonically_increasing_id().alias("src_row"),
-        *[blank_to_null(F.col(c)).alias(c) for c in schema.names],
+        F.array(*wide.names).alias("_cells"),
+    )
+    named = rows.join(headers(spark, paths, schema), "folder")
+    cells = {
+        c: blank_to_null(F.get("_cells", F.array_position("names", F.lit(c)).cast("int") - 1)) for c in schema.names
+    }
+    data = named.select("folder", "src_block", BLOCK, "src_row", *[c.alias(n) for n, c in cells.items()])
+    return data.where(~F.col("timestamp").eqNullSafe(F.lit("timestamp")))
+
+
+def bad_headers(deployments: DataFrame, found: DataFrame, file_name: str) -> DataFrame:
+    """(folder, source_file, reason, raw) for folders whose file has no usable header."""
+    return deployments.select("folder").join(found, "folder", "left_anti").select(
+        "folder",
+        F.concat_ws("/", "folder", F.lit(file_name)).alias("source_file"),
+        F.lit("unexpected header").alias("reason"),
+        F.lit(None).cast("string").alias("raw"),
     )
 
 
@@ -192,6 +268,24 @@ def clean_tof(stamped: DataFrame, log: DataFrame, warmup_rows: int = clean.WARMU
     return _ordered_names(rows, schemas.TOF_CLEAN)
 
 
+def write_files(files: DataFrame, root: str) -> None:
+    """Write texts (folder, name, content) as files below ``root``, one folder per deployment.
+
+    The tasks write through Arrow's file systems; a file written again is the same file.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        for batch in batches:
+            for row in batch.to_pylist():
+                store.create_dir(f"{base}/{row['folder']}", recursive=True)
+                with store.open_output_stream(f"{base}/{row['folder']}/{row['name']}", compression=None) as file:
+                    file.write(row["content"].encode())
+            yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
+
+    files.select("folder", "name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+
 def read_log(spark: SparkSession, paths, deployments: DataFrame) -> DataFrame:
     return clean_log(stamp(scan(spark, paths, schemas.LOG_RAW), deployments))
 
@@ -200,5 +294,12 @@ def read_dht(spark: SparkSession, paths, deployments: DataFrame, log: DataFrame,
     return clean_dht(cut(stamp(scan(spark, paths, schemas.DHT_RAW), deployments)), log)
 
 
-def read_tof(spark: SparkSession, paths, deployments: DataFrame, log: DataFrame, cut: Cut = lambda d: d) -> DataFrame:
-    return clean_tof(cut(stamp(scan(spark, paths, schemas.TOF_RAW), deployments)), log)
+def read_tof(
+    spark: SparkSession,
+    paths,
+    deployments: DataFrame,
+    log: DataFrame,
+    cut: Cut = lambda d: d,
+    warmup_rows: int = clean.WARMUP_ROWS,
+) -> DataFrame:
+    return clean_tof(cut(stamp(scan(spark, paths, schemas.TOF_RAW), deployments)), log, warmup_rows)

@@ -15,6 +15,7 @@ REQUIRED_FILES = (METADATA_FILE, LOG_FILE, DHT_FILE, TOF_FILE)
 LOG_RAW = _text("timestamp event device_id notes")
 DHT_RAW = _text("timestamp temp1 hum1 temp2 hum2")
 TOF_RAW = _text("timestamp tof_raw tof_smooth")
+RAW_FILES = {LOG_FILE: LOG_RAW, DHT_FILE: DHT_RAW, TOF_FILE: TOF_RAW}
 METADATA_KEYS = (
     "device_id", "deployment_id", "nestbox", "species", "eggs", "deployment_date", "deployment_time",
     "retrieval_date", "retrieval_time", "latitude", "longitude", "notes", "utc_offset_min",

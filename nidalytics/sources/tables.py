@@ -4,40 +4,66 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from nidalytics.plans.stages import cut
 from nidalytics.sources import schemas
+from nidalytics.sources.raw import read_or_empty
 
 MANIFEST = "processed_deployments"
 
 
-def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet") -> None:
+def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", ids: DataFrame | None = None) -> None:
     """Replace the deployments present in ``df`` and leave the others alone.
 
-    Rows are gathered by deployment; adaptive execution splits a long deployment
-    over many tasks and files, and puts short ones together.
+    ``ids`` are all deployments that were worked on: those of them without rows in
+    ``df`` lose the rows that they had. Rows are gathered by deployment; adaptive
+    execution splits a long deployment over many tasks and files, and puts short
+    ones together.
     """
+    path = f"{root.rstrip('/')}/{name}"
+    if ids is not None:
+        _drop_stale(ids.select("deployment_id").join(df.select("deployment_id"), "deployment_id", "left_anti"), path, fmt)
     spread = df.hint("rebalance", "deployment_id")
     writer = spread.write.mode("overwrite").partitionBy("deployment_id").format(fmt)
     if fmt == "csv":
         writer = writer.option("header", True).option("nullValue", "NA")
-    writer.option("partitionOverwriteMode", "dynamic").save(f"{root.rstrip('/')}/{name}")
+    writer.option("partitionOverwriteMode", "dynamic").save(path)
+
+
+def _drop_stale(ids: DataFrame, path: str, fmt: str) -> None:
+    """Delete the folders of deployments that have no rows any more."""
+    spark = ids.sparkSession
+
+    def read() -> DataFrame:
+        rows = spark.read.schema("deployment_id string").format(fmt).load(path)
+        return rows.select("deployment_id", F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("folder"))
+
+    there = read_or_empty(spark, read, "deployment_id string, folder string")
+    gone = there.join(ids, "deployment_id", "left_semi").select("folder").distinct()
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    for row in gone.toLocalIterator():
+        folder = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(row["folder"]))
+        folder.getFileSystem(conf).delete(folder, True)
 
 
-def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> None:
+def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", ids: DataFrame | None = None) -> None:
     for name, df in tables.items():
-        write_table(df, root, name, fmt)
+        write_table(df, root, name, fmt, ids)
 
 
-def write_clean(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> None:
-    write_tables({n: tables[n] for n in schemas.CLEAN_TABLES}, root, fmt)
+def write_clean(
+    tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", ids: DataFrame | None = None
+) -> None:
+    write_tables({n: tables[n] for n in schemas.CLEAN_TABLES}, root, fmt, ids)
 
 
-def write_processed(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet") -> None:
-    write_tables({n: tables[n] for n in schemas.PROCESSED_TABLES}, root, fmt)
+def write_processed(
+    tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", ids: DataFrame | None = None
+) -> None:
+    write_tables({n: tables[n] for n in schemas.PROCESSED_TABLES}, root, fmt, ids)
 
 
 def append_table(df: DataFrame, root: str, name: str) -> None:
@@ -66,9 +92,15 @@ def load_processed(
 
 def load_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Ids of deployments that are already processed; empty before the first run."""
-    try:
-        return spark.read.schema("deployment_id string").parquet(f"{root.rstrip('/')}/{MANIFEST}").distinct()
-    except AnalysisException as e:
-        if e.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], "deployment_id string")
+    ddl, path = "deployment_id string", f"{root.rstrip('/')}/{MANIFEST}"
+    return read_or_empty(spark, lambda: spark.read.schema(ddl).parquet(path), ddl).distinct()
+
+
+def quarantine(rows: DataFrame, root: str) -> None:
+    """Add rows to the quarantine table, each once however often the job runs."""
+    spark, ddl, path = rows.sparkSession, schemas.QUARANTINE, f"{root.rstrip('/')}/quarantine"
+    there = read_or_empty(spark, lambda: spark.read.schema(ddl).parquet(path), ddl)
+    same = [F.col(f"new.{c}").eqNullSafe(F.col(f"old.{c}")) for c in ("source_file", "reason", "raw")]
+    fresh = rows.distinct().alias("new").join(there.alias("old"), same, "left_anti")
+    fresh = cut(fresh)  # the table is read and added to
+    append_table(fresh, root, "quarantine")

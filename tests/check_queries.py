@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime
 import os
 import sys
+import tempfile
 import time
 
 import duckdb
@@ -27,6 +28,7 @@ def session(cpus: int = 8) -> SparkSession:
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.checkpoint.dir", os.environ.get("CHECK_STAGES") or tempfile.mkdtemp(prefix="check-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

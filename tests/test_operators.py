@@ -429,3 +429,60 @@ def test_reports(spark, at):
     points = reports.day_points(df, O, bounds, F.lit(dt.date(2026, 4, 15)))
     assert column(points, "state_label") == ["Unclassified", "Outside trim"]
     assert reports.overview_series(df, O).count() == 2
+
+
+def polar_days(spark, latitude, month):
+    start = dt.datetime(2026, month, 15, 4, 0, 0)
+    times = [start + dt.timedelta(hours=h) for h in range(12)]
+    rows = spark.createDataFrame([("p", t, "present") for t in times], "deployment_id string, timestamp timestamp, state_corrected string")
+    table = spark.createDataFrame(
+        [("p", 1, "present", times[0], times[5], 5 * 3600.0, 6, 90.0, False), ("p", 2, "absent", times[6], times[11], 5 * 3600.0, 6, 130.0, False)],
+        "deployment_id string, bout_id long, state_corrected string, bout_start timestamp, bout_end timestamp, "
+        "bout_duration double, n_readings long, mean_tof_mm double, flag_short boolean",
+    )
+    places = spark.createDataFrame([("p", latitude, 15.0)], "deployment_id string, latitude double, longitude double")
+    sun = night.sun_table(rows, "timestamp", places)
+    keys = ["deployment_id"]
+    (day,) = summary.day_summary(rows, table, keys, "timestamp", sun).collect()
+    pct = summary.active_day_pct(rows, sun, keys, "timestamp").collect()
+    return day, summary.active_bouts(table, sun, keys).count(), pct
+
+
+def test_polar_day_counts_everything(spark):
+    day, active, pct = polar_days(spark, 78.0, 6)
+    assert day["day_length_h"] == 24.0 and day["sunrise"] is None
+    assert day["prop_on_nest"] == day["prop_off_nest"] == round(5 / 24, 3)
+    assert (day["n_on_bouts"], day["n_off_bouts"], active) == (1, 1, 2)
+    assert pct[0]["n_active"] == 12 and pct[0]["pct_active_on_nest"] == 100
+
+
+def test_polar_night_has_no_active_day(spark):
+    day, active, pct = polar_days(spark, 78.0, 12)
+    assert day["day_length_h"] == 0.0
+    assert day["prop_on_nest"] is None and day["prop_off_nest"] is None and day["prop_uncertain"] is None
+    assert (day["n_on_bouts"], day["n_off_bouts"], active, pct) == (0, 0, 0, [])
+
+
+def test_one_digit_months_and_slashes(spark):
+    df = spark.createDataFrame([("k", 1, "4-5 6:00:00"), ("k", 2, "04-05 06:00:20"), ("k", 3, "13-1 00:00:00")], "k string, i int, x string")
+    got = clean.attach_year(df, Ordering(("k",), "i"), "x", F.lit(2026)).orderBy("i").collect()
+    assert [r["timestamp"] for r in got] == [dt.datetime(2026, 4, 5, 6), dt.datetime(2026, 4, 5, 6, 0, 20), None]
+    df = spark.createDataFrame([("04/15", "4-9")], "deployment_date string, retrieval_date string")
+    df = df.withColumns({"deployment_time": F.lit("06:00"), "retrieval_time": F.lit(None).cast("string"), "y": F.lit(2026)})
+    row = clean.deployment_window(df, "y").first()
+    assert (row["trim_start"], row["trim_end"]) == (dt.datetime(2026, 4, 15, 6), dt.datetime(2026, 4, 9))
+
+
+@pytest.mark.parametrize("sizes", [{"a": 3, "b": 3}, {"a": 3, "b": 5}, {}, {"a": 7}])
+def test_smoothing_keeps_deployments_without_a_size(spark, at, sizes):
+    rows = [(k, at(10 * i), i, float(i * i % 17)) for k in "abc" for i in range(30)]
+    df = spark.createDataFrame(rows, "key string, t timestamp, i int, x double")
+    o = Ordering(("key",), "t", ("i",))
+    table = spark.createDataFrame([(k, 2.0, v) for k, v in sizes.items()], "key string, typical_interval double, k int")
+    got = smooth.smooth_by_window_size(df, o, F.col("x"), table, out="m", default_k=9).collect()
+    assert len(got) == len(rows)
+    for key in "abc":
+        k = sizes.get(key, 9)
+        xs = [float(i * i % 17) for i in range(30)]
+        want = [sorted(xs[i - k // 2 : i + k // 2 + 1])[k // 2] if k // 2 <= i < 30 - k // 2 else None for i in range(30)]
+        assert [r["m"] for r in sorted((r for r in got if r["key"] == key), key=lambda r: r["i"])] == want

@@ -8,7 +8,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nidalytics.operators import bouts as bt
-from nidalytics.operators import clean
+from nidalytics.operators import clean, smooth
 from nidalytics.plans import ordered
 from nidalytics.plans.ordered import BLOCK, Ordering, add_blocks, running, steps
 from nidalytics.plans.quantiles import exact_quantiles, histogram_quantile
@@ -145,3 +145,52 @@ def test_quantiles(series):
     assert abs(got.to_numpy() - want.sort_index().to_numpy()).max() < 1e-9
     h = histogram_quantile(series, ["k"], F.col("v"), 0.5, "m").toPandas().set_index("k")["m"].sort_index()
     assert list(h) == list(pdf.groupby("k")["v"].median().sort_index())
+
+
+@pytest.fixture(scope="module")
+def awkward(spark):
+    """Undated rows, many rows at one time, bursts and a stray time, in one long key and in short ones."""
+    rng = random.Random(11)
+    rows = []
+    for key in ("x", "y"):
+        times = [None] * 60 + [5] * 300 + [1000 + i // 50 for i in range(400)] + [40_000_000]
+        times += [rng.randrange(100_000) for _ in range(100)]
+        rows += [(key, t, i, rng.choice([None, "present", "absent"]), rng.choice([None, 1.0, 6.0])) for i, t in enumerate(times)]
+    rows.append(("z", None, 1, "present", 1.0))
+    df = spark.createDataFrame(rows, "k string, s long, i long, state string, v double")
+    return df.withColumn("t", F.timestamp_seconds("s")).cache()
+
+
+@pytest.mark.parametrize("target", [3, 100])
+def test_one_answer_at_every_size(awkward, target):
+    def answers(df):
+        run = running(
+            df,
+            O,
+            sums={"total": F.col("v")},
+            lags={"prev": F.col("state")},
+            fills={"filled": F.col("state")},
+            priors={"prior": F.col("v")},
+            since={"n_since": (F.col("state") == "present", F.lit(1))},
+            position="pos",
+        )
+        step = steps(df, O, F.col("v"), lambda a, b: b - a > 4, {"up": lambda v: F.lit(True)}, fill_to="f", first_to="h")
+        one = rows_of(run, "total", "prev", "filled", "prior", "n_since", "pos")
+        return one, rows_of(step, "up", "f", "h"), rows_of(bt.state_runs(df, O, "state"), "state_run", "bout_id")
+
+    assert answers(add_blocks(awkward, O, target)) == answers(add_blocks(awkward, O, 10**9))
+
+
+@pytest.mark.parametrize("target", [40, 100])
+def test_no_slice_is_much_longer_than_asked(awkward, target):
+    sizes = add_blocks(awkward, O, target).where(f"{BLOCK} IS NOT NULL").groupBy("k", BLOCK).count()
+    assert max(r["count"] for r in sizes.collect()) <= 2 * target
+
+
+def test_rolling_median_does_not_depend_on_cuts(awkward, monkeypatch):
+    def smoothed():
+        return rows_of(smooth.rolling_median(awkward, O, F.col("v"), 5, "skip", "m", slice_rows=40), "m")
+
+    want = smoothed()
+    monkeypatch.setattr(ordered, "TARGET_ROWS", 30)
+    assert smoothed() == want

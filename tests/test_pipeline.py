@@ -210,3 +210,68 @@ def test_year_override_and_arrivals(spark, tmp_path):
     assert pipeline.load_or_process(spark, str(root), out, year_overrides=years) == 1
     days = tables.load_processed(spark, out, ids=["two"])["day_summary"].select(F.year("date")).collect()
     assert {r[0] for r in days} == {2026}
+
+
+def test_odd_folders_do_not_stop_the_others(spark, tmp_path):
+    root, out = tmp_path / "raw", str(tmp_path / "out")
+    root.mkdir()
+    assert pipeline.load_or_process(spark, str(root), out) == 0
+    start, about = dt.datetime(2026, 5, 1), {"deployment_date": "2026-05-01"}
+    n = write_folder(root, "a1", start, 2, {"deployment_id": "same", **about}, seed=3)
+    n = write_folder(root, "a2", start, 3, {"deployment_id": "same", **about}, seed=4)
+    write_folder(root, "nometa", start, 1, about, skip=("METADATA.TXT",))
+    write_folder(root, "badhead", start, 1, about)
+    (root / "badhead" / "LOG.CSV").write_text("time,what\n05-01 00:00:00,START\n")
+    write_folder(root, "extra", start, 1, about)
+    log = "notes,extra column,event, timestamp ,device_id\nn,1,START,05-01 00:00:00,d-extra\n"
+    (root / "extra" / "LOG.CSV").write_text(log)
+    assert pipeline.load_or_process(spark, str(root), out) == 2
+    assert {r[0] for r in tables.load_manifest(spark, out).collect()} == {"same", "extra"}
+    # the last folder of the id counts, once
+    tof = tables.load_processed(spark, out)["tof_processed"]
+    assert tof.where("deployment_id = 'same'").count() == n
+    devices = tables.load_processed(spark, out)["device_summary"].collect()
+    assert sorted(r["deployment_id"] for r in devices) == ["extra", "same"]
+    assert {r["deployment_id"]: r["n_reboots"] for r in devices}["extra"] == 0
+
+    def quarantine():
+        rows = spark.read.schema(schemas.QUARANTINE).parquet(f"{out}/quarantine").collect()
+        return sorted((r["source_file"].split("/raw/")[-1], r["reason"]) for r in rows if r["reason"] != "unparseable timestamp")
+
+    want = [
+        ("a1", "deployment_id is that of a later folder"),
+        ("badhead/LOG.CSV", "unexpected header"),
+        ("nometa", "missing METADATA.TXT"),
+    ]
+    assert quarantine() == want
+    assert pipeline.load_or_process(spark, str(root), out) == 0
+    assert quarantine() == want
+
+
+def test_reprocess_with_other_settings(spark, out, tmp_path):
+    clean_tables = tables.load_clean(spark, out)
+    copy = str(tmp_path / "copy")
+    tables.write_clean(clean_tables, copy)
+    tables.write_table(tables.load_table(spark, out, "deployments", schemas.DEPLOYMENTS), copy, "deployments")
+    pipeline.reprocess(spark, copy, pipeline.Params(min_bout_sec=1e9))
+    bouts = tables.load_processed(spark, copy)["bout_summary"]
+    assert bouts.count() == bouts.where("flag_short").count() > 0
+    with pytest.raises(ValueError, match="unknown penalty"):
+        pipeline.reprocess(spark, copy, pipeline.Params(cpt_penalty="XYZ"))
+    for penalty in ("AIC", "Hannan-Quinn"):
+        pipeline.reprocess(spark, copy, pipeline.Params(cpt_penalty=penalty), ids=clean_tables["log_clean"].limit(1))
+
+
+def test_export_of_a_deployment_that_was_trimmed_empty(spark, out, tmp_path):
+    root = str(tmp_path / "ex")
+    pipeline.export_all(spark, out, root)
+    assert tables.load_processed(spark, root, ids=["A1"], exported=True)["bout_summary"].count() > 0
+    trims = spark.createDataFrame(
+        [("A1", "2001-01-01 00:00:00", "2001-01-02 00:00:00")], "deployment_id string, trim_start string, trim_end string"
+    )
+    pipeline.export_all(spark, out, root, trims=trims, min_bout_sec=1e9)
+    again = tables.load_processed(spark, root, exported=True)
+    assert again["tof_processed"].where("deployment_id = 'A1'").count() == 0
+    assert again["bout_summary"].where("deployment_id = 'A1'").count() == 0
+    assert again["bout_summary"].where("NOT flag_short").count() == 0
+    assert again["tof_processed"].count() > 0
