@@ -2,8 +2,8 @@
 
 A line is the set of its words. Two lines match where the Jaccard similarity of their sets is 0.8 or
 more. Words are ordered from rare to frequent, so that matching lines share a word among the first few
-of each; only these prefixes are joined. Candidates pass a length and a position filter before their
-sets are compared. Only DataFrame functions are used.
+of each; only these prefixes are joined. Candidates pass a length, a position and a parity filter before
+their sets are compared. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -18,83 +18,111 @@ from nidalytics.plans.stages import cut
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
 #: Cells in which words are counted for their order. Any order gives the same result, a better one less work.
-CELLS = 2**16
-KEY_BITS = 56  # of a word's hash; the order of magnitude of its frequency stands above them
+CELLS = 2**20
+#: Words with so many entries are compared with single lines first; the result does not depend on it.
+MANY = 64
+KEY_BITS = 57  # of a word's hash; the order of magnitude of its frequency stands above them
 
 
-def frequencies(docs: DataFrame, text_column: str) -> DataFrame:
-    """One row: for each cell the number of binary digits of how often its words occur, over all texts."""
-    words = docs.select(F.explode(F.split(whole(text_column), SPACE)).alias("word")).filter("word != ''")
+def split_words(line: Column) -> Column:
+    """The words of a line that holds one; most lines have single spaces only and need no pattern."""
+    trimmed = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    plain = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    for mark in ("  ", "\t", "\x0b", "\x0c", "\r"):
+        plain = plain | F.contains(line, F.lit(mark))
+    return F.when(plain, F.split(trimmed, SPACE)).otherwise(F.split(line, " "))
+
+
+def frequencies(rows: DataFrame) -> Column:
+    """For each cell the number of binary digits of how often its words occur, over all texts; an array."""
+    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
+    words = lines.select(F.explode(split_words(F.col("line"))).alias("word"))
     counts = words.groupBy((F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
-    cells = docs.sparkSession.range(CELLS).withColumnRenamed("id", "cell").join(counts, "cell", "left")
-    size = F.length(F.bin(F.coalesce("n", F.lit(0)))).cast("byte")
-    one = cells.agg(F.array_sort(F.collect_list(F.struct("cell", size.alias("size")))).alias("all"))
-    return cut(one.select(F.transform("all", lambda x: x["size"]).alias("size")))
+    found = counts.select(F.col("cell").cast("int"), F.length(F.bin("n")).cast("byte").alias("digits"))
+    table = found.toArrow().to_pydict()  # a row per cell, whatever the input
+    known = dict(zip(table["cell"], table["digits"], strict=True))
+    return F.expr("cast(split('%s', ',') as array<tinyint>)" % ",".join(str(known.get(c, 0)) for c in range(CELLS)))
 
 
 def word_set(line: Column) -> Column:
-    """64-bit hashes of the distinct words of a line, sorted."""
-    trimmed = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
-    return F.sort_array(F.array_distinct(F.transform(F.split(trimmed, SPACE), lambda w: F.xxhash64(w))))
+    """64-bit hashes of the distinct words of a line."""
+    return F.array_distinct(F.transform(split_words(line), lambda w: F.xxhash64(w)))
 
 
-def prefix(words: Column, sizes: Column) -> Column:
-    """The rarest words of a set: as many as two matching sets need to share one of them."""
-    n = F.size(words)
-    mask = F.lit((1 << KEY_BITS) - 1)
+def by_rarity(words: Column, digits: Column) -> Column:
+    """Hashes in a fixed order of all words: rare ones first."""
 
     def key(h: Column) -> Column:
-        rank = F.get(sizes, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, KEY_BITS).bitwiseOR(h.bitwiseAND(mask))
+        rank = F.get(digits, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
+        return F.shiftleft(rank, KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+
+    return F.sort_array(F.transform(words, key))
+
+
+def prefix(ordered: Column) -> Column:
+    """The rarest words of a set: as many as two matching sets need to share one of them."""
+    n = F.size(ordered)
+    return F.slice(ordered, 1, n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1)
 
-    length = n - F.floor((NUM * n + DEN - 1) / DEN).cast("int") + 1
-    return F.slice(F.sort_array(F.transform(words, key)), 1, length)
 
+def parity(words: Column) -> Column:
+    """64 bits; each word flips one. Sets that differ in d words differ in d bits at most."""
 
-def lines_of(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
-    """id, row, line number and text of every line, blank ones included; at least one per row."""
-    rows = docs.select(F.col(id_column).alias("id"), whole(text_column).alias("text"))
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    def flip(bits: Column, h: Column) -> Column:
+        return bits.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), h.bitwiseAND(F.lit(63)).cast("int")))
+
+    return F.aggregate(words, F.lit(0).cast("long"), flip)
+
+
+def numbered(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+    return docs.select(
+        F.col(id_column).alias("id"), F.monotonically_increasing_id().alias("row"), whole(text_column).alias("text")
+    )
+
+
+def lines_of(rows: DataFrame) -> DataFrame:
+    """id, row, line number and text of every line of (id, row, text), blank ones included; at least one per row."""
     return rows.select("id", "row", F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
 
 
-def with_prefixes(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
+def with_prefixes(rows: DataFrame) -> DataFrame:
     """Every line with its place, the hash of its text and of its set, and its prefix; written once."""
-    sizes = frequencies(docs, text_column)
-    lines = lines_of(docs, id_column, text_column).withColumns({"lid": F.monotonically_increasing_id(), "sizes": sizes.scalar()})
-    blank = ~F.regexp_like("line", F.lit(WORD))
+    digits = frequencies(rows)
+    lines = lines_of(rows).withColumn("lid", F.monotonically_increasing_id())
 
     def facts(words: Column) -> Column:
-        return F.struct(
-            F.size(words).alias("n"),
-            F.struct(F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")).alias("set"),
-            prefix(words, F.col("sizes")).alias("prefix"),
+        return let(
+            by_rarity(words, digits),
+            lambda ordered: F.struct(
+                F.size(ordered).alias("n"),
+                parity(words).alias("parity"),
+                F.struct(F.xxhash64(ordered).alias("h1"), F.xxhash64(F.lit(1), ordered).alias("h2")).alias("set"),
+                prefix(ordered).alias("prefix"),
+            ),
         )
 
-    return cut(
-        lines.select(
-            "id", "row", "line_no", F.struct("id", "lid").alias("place"), F.xxhash64("line").alias("text_hash"),
-            F.when(~blank, let(word_set(F.col("line")), facts)).alias("f"),
-        ).select("id", "row", "line_no", "place", "text_hash", "f.*")
-    )
+    holds_word = F.regexp_like("line", F.lit(WORD))
+    found = F.when(holds_word, let(word_set(F.col("line")), facts)).alias("f")
+    place = F.struct("id", "lid").alias("place")
+    out = lines.select("id", "row", "line_no", place, F.xxhash64("line").alias("text_hash"), found)
+    return cut(out.select("id", "row", "line_no", "place", "text_hash", "f.*"))
 
 
-def word_sets(docs: DataFrame, id_column: str, text_column: str, wanted: DataFrame) -> DataFrame:
+def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
     """(lid, words) for the wanted (lid, text_hash, set), read from the texts again.
 
     A filter of the wanted hashes keeps other lines out of the shuffle.
     """
     wanted = cut(wanted)
     found = repeat_filter(wanted.select("text_hash"), "text_hash", hashes=1, least=1)
-    lines = lines_of(docs, id_column, text_column).select("line", F.xxhash64("line").alias("text_hash"))
+    lines = lines_of(rows).select("line", F.xxhash64("line").alias("text_hash"))
     lines = may_repeat(lines, "text_hash", found, "flag", hashes=1).filter("flag").groupBy("text_hash").agg(F.first("line").alias("line"))
     sets = lines.select("text_hash", word_set(F.col("line")).alias("words"))
     return cut(wanted.join(sets, "text_hash").select("lid", "words"))
 
 
 def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose sets match."""
-    pairs = cut(pairs)
+    """Those of the written pairs (a, b) whose sets match."""
     named = cut(pairs.groupBy("b").agg(F.count(F.lit(1)).alias("pairs")))
     theirs = cut(named.join(sets, named["b"] == sets["lid"]).select("b", "pairs", F.col("words").alias("words_b")))
     both = join_by_size(pairs, theirs, ["b"], "pairs")
@@ -104,79 +132,110 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     return both.filter((NUM + DEN) * F.col("common") >= NUM * total).select("a", "b")
 
 
-def possible(mine: str, other: str) -> Column:
-    """Length and position filter for a shared word, and the other line stands before mine."""
-    n, m = F.col(f"{mine}.n"), F.col(f"{other}.n")
-    rest = F.least(n - F.col(f"{mine}.pos"), m - F.col(f"{other}.pos"))  # words from the shared one on
+def possible(near: str, other: str) -> Column:
+    """Length, position and parity filter for two entries of a word; ``other`` is the shorter line."""
+    n, m = F.col(f"{near}n"), F.col(f"{other}n")
+    rest = F.least(n - F.col(f"{near}pos"), m - F.col(f"{other}pos"))  # words from the shared one on
+    apart = F.bit_count(F.col(f"{near}parity").bitwiseXOR(F.col(f"{other}parity")))
     return (
-        (DEN * n >= NUM * m)
+        (m <= n)
         & (DEN * m >= NUM * n)
         & ((NUM + DEN) * rest >= NUM * (n + m))
-        & (F.col(f"{other}.place") < F.col(f"{mine}.place"))
+        & ((NUM + DEN) * apart <= (DEN - NUM) * (n + m))
+        & (F.col(f"{near}lid") != F.col(f"{other}lid"))
     )
 
 
+def pairs_of(joined: DataFrame, near: str, other: str) -> DataFrame:
+    """Distinct (a, b): line a and the line b before it."""
+    places = [F.struct(F.col(f"{x}id").alias("id"), F.col(f"{x}lid").alias("lid")) for x in (near, other)]
+    return joined.select(F.greatest(*places)["lid"].alias("a"), F.least(*places)["lid"].alias("b")).distinct()
+
+
 def matched(firsts: DataFrame, fetch) -> DataFrame:
-    """The lids of lines (place, n, prefix, copies, text_hash) that match an earlier one of them.
+    """The lids of lines (place, n, prefix, parity, copies) that match an earlier one of them.
 
-    Lines that share a prefix word are first compared with single lines of their group: the one with most
-    copies, then the earliest. That settles most of a large group of like lines in a number of
-    comparisons that grows with the group, not its square. Lines that are still open are then compared
-    with all earlier ones of their groups, so that no match is missed.
+    A word's entries that stand early enough in their lines (``short``) find all lines that are not
+    shorter. Where a word has many entries, its lines are first compared with two of them: the one with
+    most copies and the earliest. That settles most of a large group of like lines in a number of
+    comparisons that grows with the group, not its square. Lines that are still open are compared with
+    all others of their words, so that no match is missed.
     """
-    entries = firsts.select(F.struct("place", "n", "copies").alias("line"), F.posexplode("prefix").alias("pos", "word"))
-    entries = entries.select("word", F.struct("line.place", "line.n", "pos", "line.copies").alias("mine"))
+    n = F.col("n")
+    reach = n - F.floor((2 * NUM * n + DEN + NUM - 1) / (DEN + NUM)).cast("int")  # last place in a shorter line
+    entries = firsts.select(
+        F.posexplode("prefix").alias("pos", "word"), "place.id", "place.lid", "n", "copies", "parity", reach.alias("reach")
+    )
     found = repeat_filter(entries.select("word"), "word", hashes=1)
-    entries = cut(may_repeat(entries, "word", found, "flag", hashes=1).filter("flag").drop("flag"))
-    leaders = entries.groupBy("word").agg(
-        F.max_by("mine", F.struct("mine.copies", F.col("mine.n"))).alias("most"),
-        F.min("mine").alias("first"),
-        F.count(F.lit(1)).alias("rows"),
+    entries = may_repeat(entries, "word", found, "flag", hashes=1).filter("flag").drop("flag")
+    entries = cut(entries.withColumn("short", F.col("pos") <= F.col("reach")).drop("reach"))
+
+    line = F.struct("id", "lid", "n", "pos", "parity")
+    # at most one such word in MANY entries; Spark broadcasts the table where its size allows
+    crowded = cut(entries.groupBy("word").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= MANY).select("word"))
+    crowd = entries.join(crowded, "word")
+    leaders = crowd.groupBy("word").agg(
+        F.max_by(line, F.struct("copies", "n")).alias("most"), F.min(line).alias("first"), F.count(F.lit(1)).alias("rows")
     )
-    leaders = cut(leaders.filter("rows > 1"))
-    one = join_by_size(entries, leaders, ["word"], "rows")
-    one = one.withColumn("other", F.explode(F.array("most", "first"))).filter(possible("mine", "other"))
-    pairs = cut(one.select(F.col("mine.place.lid").alias("a"), F.col("other.place.lid").alias("b")).distinct())
-    settled = cut(verified(pairs, fetch(pairs)).select(F.col("a").alias("lid")).distinct())
-    # what is open, against all earlier lines
-    open_rows = cut(entries.join(settled, F.col("mine.place.lid") == settled["lid"], "left_anti"))
-    others = entries.withColumnRenamed("mine", "other")
-    rest = open_rows.join(others, "word").filter(possible("mine", "other"))
-    rest = rest.select(F.col("mine.place.lid").alias("a"), F.col("other.place.lid").alias("b")).distinct()
+    one = join_by_size(crowd.drop("copies", "short"), cut(leaders), ["word"], "rows")
+    one = one.withColumn("o", F.explode(F.array("most", "first"))).drop("most", "first", "rows")
+    one = one.select("*", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("id", "lid", "n", "pos", "parity")))
+    pairs = cut(pairs_of(one.filter(possible("", "o_") | possible("o_", "")), "", "o_"))
+    settled = cut(verified(pairs, fetch(pairs)).select(F.col("a").alias("settled")).distinct())
+
+    shorter = entries.filter("short").select("word", *(F.col(c).alias(f"o_{c}") for c in ("id", "lid", "n", "pos", "parity")))
+    longer = entries.select("word", "id", "lid", "n", "pos", "parity")
+    rest = pairs_of(longer.join(shorter, "word").filter(possible("", "o_")), "", "o_")
+    rest = rest.join(settled, F.col("a") == F.col("settled"), "left_anti")
     rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
-    more = verified(rest, fetch(rest)).select(F.col("a").alias("lid"))
+    more = verified(rest, fetch(rest)).select(F.col("a").alias("settled"))
     return settled.unionByName(more).distinct()
 
 
-def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """One row per input row: id, ``n_lines`` that hold a word, ``n_removed``, ``removed`` line numbers (from 0).
-
-    A line is removed if any line before it, in the order of id (null first), row and line, matches it.
-    Blank lines are neither counted nor removed; null and empty texts have none. An empty table gives no
-    rows. Words are compared by a 64-bit hash.
-    """
-    lines = with_prefixes(docs, id_column, text_column)
+def removals(rows: DataFrame) -> DataFrame:
+    """(id, row, n_lines, n_removed, removed) for rows of (id, row, text)."""
+    lines = with_prefixes(rows)
     worded = lines.filter("n is not null")
     found = repeat_filter(worded.select("set"), "set")
     grouped = group_repeats(may_repeat(worded, "set", found, "flag"), "set", "place", "flag", F.min)
-    grouped = cut(grouped.withColumn("copy", F.coalesce(F.col("place") != F.col("keep"), F.lit(False))))
-    firsts = grouped.filter("not copy").select("place", "n", "prefix", "text_hash", F.col("size").alias("copies"))
+    copy = F.coalesce(F.col("place") != F.col("keep"), F.lit(False))
+    grouped = cut(
+        grouped.withColumn("copy", copy).select(
+            "place", "copy", "n", "parity", "text_hash", F.col("size").alias("copies"), F.when(~F.col("copy"), F.col("prefix")).alias("prefix")
+        )
+    )
+    firsts = grouped.filter("not copy")
 
     def fetch(pairs: DataFrame) -> DataFrame:
         lids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
         wanted = firsts.join(lids, F.col("place.lid") == F.col("wanted")).select(F.col("wanted").alias("lid"), "text_hash")
-        return word_sets(docs, id_column, text_column, wanted)
+        return word_sets(rows, wanted)
 
-    gone = cut(matched(firsts, fetch).withColumn("gone", F.lit(True)))
-    later = grouped.filter("copy").select("place.lid").unionByName(gone.select("lid"))
+    later = grouped.filter("copy").select("place.lid").unionByName(cut(matched(firsts, fetch)).toDF("lid"))
     flagged = lines.join(later.withColumnRenamed("lid", "gone"), F.col("place.lid") == F.col("gone"), "left")
-    return (
-        flagged.groupBy("id", "row")
-        .agg(
-            F.count("n").alias("n_lines"),
-            F.count("gone").alias("n_removed"),
-            F.array_sort(F.collect_list(F.when(F.col("gone").isNotNull(), F.col("line_no")))).alias("removed"),
-        )
-        .drop("row")
-        .withColumnRenamed("id", id_column)
+    return flagged.groupBy("id", "row").agg(
+        F.count("n").alias("n_lines"),
+        F.count("gone").alias("n_removed"),
+        F.array_sort(F.collect_list(F.when(F.col("gone").isNotNull(), F.col("line_no")))).alias("removed"),
     )
+
+
+def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """One row per input row: id, ``n_lines`` that hold a word, ``n_removed``, ``removed`` line numbers (from 0).
+
+    A line is removed if any line before it, in the order of id (null first), row and line, matches it.
+    Blank lines are neither counted nor removed; null and empty texts have none. An empty table gives no
+    rows. Words are compared by 64 bits of their hash, lines by 128.
+    """
+    return removals(numbered(docs, id_column, text_column)).drop("row").withColumnRenamed("id", id_column)
+
+
+def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """The input without the lines that :func:`repeated_lines` removes; a null text stays null."""
+    rows = cut(docs.select(F.struct("*").alias("doc"), F.monotonically_increasing_id().alias("row")))
+    found = removals(rows.select(F.col(f"doc.{id_column}").alias("id"), "row", whole(F.col(f"doc.{text_column}")).alias("text")))
+    gone = cut(found.filter("n_removed > 0").select(F.col("row").alias("r"), "removed"))
+    out = rows.join(gone, F.col("row") == F.col("r"), "left")
+    kept = F.filter(F.split(F.col(f"doc.{text_column}"), "\n"), lambda _, i: ~F.array_contains("removed", i))
+    text = F.when(F.col("removed").isNull(), F.col(f"doc.{text_column}")).otherwise(F.array_join(kept, "\n"))
+    return out.select(*(text.alias(c) if c == text_column else F.col(f"doc.{c}").alias(c) for c in docs.columns))
