@@ -100,16 +100,51 @@ def copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
     )
 
 
+#: Rows of a table of keys that may be broadcast, by its count.
+BROADCAST_ROWS = 100_000
+
+
+def row_key(identity: Column, text_digest: Column) -> Column:
+    """One string that tells documents apart: rows that share id and text share it."""
+    return F.concat_ws(":", text_digest, F.coalesce(identity.cast("string"), F.lit("null")))
+
+
+def drop_listed(rows: DataFrame, keys: DataFrame, gone: DataFrame, key: str, bits: int = FILTER_BITS) -> DataFrame:
+    """The rows whose key is not in the written table ``gone``; ``keys`` are the keys of all rows, also written.
+
+    Rows are not shuffled for it: a filter of bounded size tells which may be listed, and the few that it
+    takes for listed are found among the keys and looked up. Only if these are too many to broadcast are
+    the rows that the filter marks shuffled.
+    """
+    found = repeat_filter(gone, key, bits, least=1)
+    marked = may_repeat(keys.select(key), key, found, "__marked", bits).filter("__marked").select(key)
+    stays = cut(marked.join(gone, key, "left_anti").distinct().withColumn("__stays", F.lit(True)))
+    flagged = may_repeat(rows, key, found, "__marked", bits)
+    if stays.count() <= BROADCAST_ROWS:
+        known = flagged.join(F.broadcast(stays), key, "left")
+        return known.filter(~F.col("__marked") | F.col("__stays").isNotNull()).select(*rows.columns)
+    straight = flagged.filter(~F.col("__marked")).select(*rows.columns)
+    return straight.unionByName(flagged.filter("__marked").join(stays, key, "left_semi").select(*rows.columns))
+
+
 def drop_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", bits: int = FILTER_BITS) -> DataFrame:
-    """The rows that stay, with all their columns; only rows that may be repeated are shuffled.
+    """The rows that stay, with all their columns.
 
-    Same choice as :func:`copies`. Where rows repeat both id and text, one of them stays.
+    Same choice as :func:`copies`, made on ids and digests; texts are read again and not shuffled. Where
+    rows repeat both id and text, one of them stays.
     """
-    rows = docs.select(
-        F.struct("*").alias("row"), normal_digest(F.col(text_column)).alias("digest"), F.col(id_column).alias("id")
-    )
-    found = repeat_filter(rows.select("digest"), "digest", bits)
-    grouped = group_repeats(may_repeat(rows, "digest", found, "flag", bits), "digest", "id", "flag")
-    alone = grouped.filter("size = 1").select("row.*")
-    kept = grouped.filter("size > 1 and id <=> keep").dropDuplicates(["digest"])
-    return alone.unionByName(kept.select("row.*"))
+    digest = normal_digest(F.col(text_column))
+    rows = cut(docs.select(F.col(id_column).alias("id"), digest.alias("digest")))
+    flagged = may_repeat(rows, "digest", repeat_filter(rows, "digest", bits), "flag", bits)
+    repeated = group_repeats(flagged, "digest", "id", "flag").filter("size > 1")
+    named = repeated.withColumn("key", row_key(F.col("id"), F.col("digest")))
+    gone = cut(named.filter(~F.col("id").eqNullSafe(F.col("keep"))).select("key").distinct())
+    twins = named.filter(F.col("id").eqNullSafe(F.col("keep"))).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    twins = cut(twins.filter("n > 1").select("key"))
+    keys = rows.select(row_key(F.col("id"), F.col("digest")).alias("key"))
+    whole_rows = docs.select(F.struct("*").alias("row"), row_key(F.col(id_column), digest).alias("key"))
+    kept = drop_listed(whole_rows, keys, gone, "key", bits)
+    if not twins.isEmpty():
+        single = kept.join(twins, "key", "left_anti")
+        kept = single.unionByName(kept.join(twins, "key", "left_semi").dropDuplicates(["key"]))
+    return kept.select("row.*")

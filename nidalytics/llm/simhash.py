@@ -18,12 +18,17 @@ from pyspark.sql import functions as F
 
 from nidalytics.llm.bpe import by_text
 from nidalytics.llm.common import join_by_size, whole
+from nidalytics.llm.repeats import drop_listed, row_key
 from nidalytics.plans.stages import cut
 
 SEED = 42
 #: Larger buckets are split; every pair of parts is compared in a task of its own.
 BUCKET_ROWS = 4096
-JOBS = 32768  # (fingerprint, word) comparisons that run together
+#: One fingerprint in so many tells which buckets are large; only the size of their parts depends on it.
+SAMPLED = 8
+#: The table of large buckets is broadcast if it has no more rows than this.
+BROADCAST_ROWS = 100_000
+JOBS = 8192  # (fingerprint, word) comparisons that run together
 CHECK = 8  # planes between two looks for words to abandon
 
 
@@ -185,8 +190,14 @@ def blocks(bits: int, radius: int) -> list[np.ndarray]:
     return np.array_split(np.arange(bits), radius + 1)
 
 
-def samples(bits: int, tables: int, width: int, seed: int = 7) -> list[np.ndarray]:
-    """Tables of ``width`` bits drawn at random, for radii where blocks would be too short to separate."""
+def samples(bits: int, rows: int, agree: float, recall: float = 0.95, seed: int = 7) -> list[np.ndarray]:
+    """Tables of bits drawn at random, for radii where blocks would be too short to separate.
+
+    A table is wide enough that unlike fingerprints share a bucket with some 64 others at most, and there
+    are as many tables as it takes for ``recall`` of the pairs that agree in the share ``agree`` of their bits.
+    """
+    width = max(10, min(48, round(np.log2(max(rows, 1))) - 6))
+    tables = int(np.ceil(np.log(1 - recall) / np.log(1 - agree**width)))
     draw = np.random.default_rng(seed)
     return [np.sort(draw.choice(bits, width, replace=False)) for _ in range(tables)]
 
@@ -211,17 +222,22 @@ def buckets(distinct: DataFrame, tables: Sequence[np.ndarray]) -> DataFrame:
 def linked(distinct: DataFrame, tables: Sequence[np.ndarray], radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that share a bucket and are within the radius, as forests.
 
-    A bucket above ``bucket_rows`` is dealt into parts by hash, and each pair of parts is compared on its
-    own, so that no task holds more than two parts. Links of a part are found wherever it takes part.
+    A bucket of more than about ``bucket_rows`` is dealt into parts by hash, and each pair of parts is
+    compared on its own, so that no task holds more than two parts. Links of a part are found wherever
+    it takes part.
     """
     members = buckets(distinct, tables)
-    large = members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > bucket_rows)
-    large = cut(large.select("bucket", F.ceil(F.col("n") / bucket_rows).cast("int").alias("parts")))
-    if large.isEmpty():
+    some = buckets(distinct.filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0), tables)
+    size = SAMPLED * F.count(F.lit(1))
+    large = some.groupBy("bucket").agg(F.ceil(size / bucket_rows).cast("int").alias("parts")).filter("parts > 1")
+    large = cut(large)
+    found = large.count()
+    if not found:
         units = members.withColumns({"i": F.lit(0), "j": F.lit(0)})
     else:
-        part = F.pmod(F.xxhash64("fp"), F.col("parts")).cast("int")
-        dealt = members.join(large, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+        part = F.pmod(F.xxhash64(F.lit(1), "fp"), F.col("parts")).cast("int")
+        side = F.broadcast(large) if found <= BROADCAST_ROWS else large
+        dealt = members.join(side, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         units = dealt.select("bucket", "fp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
@@ -330,7 +346,7 @@ def near_groups(
 #: Five-word shingles at a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15 % of their bits,
 #: 39 of 256 with a deviation of 6.
 NEAR = {"shingle": 5, "bits": 256, "radius": 42}
-NEAR_TABLES, NEAR_WIDTH = 40, 16
+NEAR_AGREE = 0.849
 
 
 def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -340,13 +356,14 @@ def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: st
     fingerprints. A null id is the smallest. Rows that repeat both id and text are one document and stay
     together. Texts without words are one group.
     """
-    digest = F.sha2(whole(text_column), 256)
-    rows = docs.select(F.struct(F.col(id_column).alias("id"), digest.alias("digest")).alias("key"), F.col(text_column).alias("text"))
-    prints = cut(fingerprints(rows, "key", "text", NEAR["shingle"], NEAR["bits"]).withColumnRenamed("id", "key"))
-    tables = samples(NEAR["bits"], NEAR_TABLES, NEAR_WIDTH)
-    table = cut(classes(prints, "key", tables, NEAR["radius"]))
-    dropped = join_by_size(prints, table, ["fp"], "n").filter("key != first").select("key.*").distinct()
-    keyed = docs.select(F.struct("*").alias("row"), F.col(id_column).alias("__id"), digest.alias("__digest"))
-    gone = cut(dropped)
-    same = F.col("__id").eqNullSafe(gone["id"]) & (F.col("__digest") == gone["digest"])
-    return keyed.join(gone, same, "left_anti").select("row.*")
+    key = row_key(F.col(id_column), F.sha2(whole(text_column), 256)).alias("key")
+    place = F.struct(F.col(id_column).alias("id"), key).alias("place")
+    rows = docs.select(place, F.col(text_column).alias("text"))
+    prints = fingerprints(rows, "place", "text", NEAR["shingle"], NEAR["bits"]).withColumnRenamed("id", "place")
+    prints = cut(prints)
+    tables = samples(NEAR["bits"], prints.count(), NEAR_AGREE)
+    table = cut(classes(prints, "place", tables, NEAR["radius"]))
+    others = join_by_size(prints, table, ["fp"], "n").filter("place != first")
+    gone = cut(others.select("place.key").distinct())
+    keyed = docs.select(F.struct("*").alias("row"), key)
+    return drop_listed(keyed, prints.select("place.key"), gone, "key").select("row.*")

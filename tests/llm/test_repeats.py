@@ -78,3 +78,13 @@ def test_only_candidates_are_shuffled(spark):
     rows = documents(spark, [(i, f"text {i}") for i in range(50)]).selectExpr("doc_id", "text as digest", "false as flag")
     out = repeats.group_repeats(rows, "digest", "doc_id", "flag").collect()
     assert len(out) == 50 and all(r.size == 1 and r.keep is None for r in out)
+
+
+@pytest.mark.parametrize("most", [0, 100_000])
+@pytest.mark.parametrize("bits", [repeats.BLOCK, repeats.FILTER_BITS])
+def test_listed_rows_go(spark, monkeypatch, most, bits):
+    monkeypatch.setattr(repeats, "BROADCAST_ROWS", most)
+    rows = spark.createDataFrame([(f"k{i % 400}", i) for i in range(4000)], "key string, v int")
+    gone = spark.createDataFrame([(f"k{i}",) for i in range(0, 600, 3)], "key string")
+    got = repeats.drop_listed(rows, rows.select("key"), gone, "key", bits)
+    assert sorted(r.v for r in got.collect()) == [i for i in range(4000) if (i % 400) % 3]
