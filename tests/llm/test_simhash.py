@@ -137,6 +137,28 @@ def test_near_copies_go_and_clean_documents_stay(spark):
     assert len([i for i in kept if i % 1000 in (2, 3, 4)]) <= 0.02 * near
 
 
+def test_pairs_just_above_the_threshold_go_and_those_below_stay(spark):
+    rows, above, below = [], set(), set()
+    for i in range(400):
+        base = prose(5000 + i, 120, 3000)
+        copy = edited(base, i, 2 + i % 3)
+        alike = jaccard(base, copy)
+        if 0.8 <= alike < 0.86 or 0.7 <= alike < 0.8:
+            (above if alike >= 0.8 else below).add(10 * i + 1)
+            rows += [(10 * i, base), (10 * i + 1, copy)]
+    assert len(above) > 50 and len(below) > 50
+    kept = {r.doc_id for r in simhash.drop_near_copies(documents(spark, rows)).collect()}
+    assert below <= kept and {i for i, _ in rows} - above <= kept
+    assert len(above & kept) <= 0.02 * len(above)
+
+
+def test_repeated_shingles_count_once(spark):
+    words_of = prose(1, 100, 3000)
+    copy = " ".join([words_of, *["again and again it says so"] * 60])
+    assert jaccard(words_of, copy) >= 0.8
+    assert [r.doc_id for r in simhash.drop_near_copies(documents(spark, [(1, words_of), (2, copy)])).collect()] == [1]
+
+
 def test_drop_on_odd_rows(spark):
     rows = [(1, None), (2, ""), (None, BASE), (4, BASE), (5, "a b"), (6, prose(7, 90)), (6, prose(8, 90))]
     kept = [(r.doc_id, r.text) for r in simhash.drop_near_copies(documents(spark, rows)).collect()]
