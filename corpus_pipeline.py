@@ -30,8 +30,9 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of texts."""
-    return bpe.tokens(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    """Token ids in place of texts, and the digest of what the ids decode to."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return bpe.tokens(docs, path, public_tokenizers.PATTERN, decoded_column="decoded_sha256")
 
 
 STAGES = [

@@ -104,23 +104,43 @@ def digests(docs: DataFrame, path: str, pattern: str, id_column: str = "doc_id",
     return out.withColumnRenamed("id", id_column)
 
 
-def tokens(docs: DataFrame, path: str, pattern: str, text_column: str = "text", ids_column: str = "ids") -> DataFrame:
-    """The input with its text replaced by ``ids_column`` (array of int) and ``n_tokens``."""
+def tokens(
+    docs: DataFrame,
+    path: str,
+    pattern: str,
+    text_column: str = "text",
+    ids_column: str = "ids",
+    decoded_column: str | None = None,
+) -> DataFrame:
+    """The input with its text replaced by ``ids_column`` (array of int) and ``n_tokens``.
+
+    ``decoded_column`` adds the SHA-256 of the bytes that the ids decode to; a text whose ids do not give
+    back its own bytes is an error.
+    """
 
     def make():
         encoding = load(path, pattern)
 
         def one(text: str) -> tuple:
             ids = encode(encoding, text)
-            return ids.astype(np.int32), len(ids)
+            if not decoded_column:
+                return ids.astype(np.int32), len(ids)
+            raw = decode(encoding, ids)
+            if raw != text.encode():
+                raise ValueError(f"ids of a text of {len(text)} characters decode to other bytes")
+            return ids.astype(np.int32), len(ids), hashlib.sha256(raw).hexdigest()
 
         return one
 
-    schema = pa.schema([(ids_column, pa.list_(pa.int32())), ("n_tokens", pa.int64())])
-    rest = [c for c in docs.columns if c not in (text_column, ids_column, "n_tokens")]
+    made = [(ids_column, pa.list_(pa.int32())), ("n_tokens", pa.int64())]
+    if decoded_column:
+        made.append((decoded_column, pa.string()))
+    schema = pa.schema(made)
+    rest = [c for c in docs.columns if c not in (text_column, *schema.names)]
     rows = docs.select(*rest, whole(text_column).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
-    return rows.mapInArrow(by_text(make, schema, "__text"), f"{kept}, `{ids_column}` array<int>, n_tokens long")
+    kept += f", `{ids_column}` array<int>, n_tokens long" + (f", `{decoded_column}` string" if decoded_column else "")
+    return rows.mapInArrow(by_text(make, schema, "__text"), kept)
 
 
 def texts(encoded: DataFrame, path: str, pattern: str, ids_column: str = "ids", text_column: str = "text") -> DataFrame:

@@ -1,3 +1,4 @@
+import hashlib
 import os
 from collections import Counter
 
@@ -77,6 +78,12 @@ def test_encode(steps):
         assert r.n_tokens == len(r.ids)
 
 
+def test_ids_decode_to_the_mixed_texts(steps):
+    texts = {r.doc_id: r.text for r in steps[4].collect()}
+    for r in steps[5].collect():
+        assert r.decoded_sha256 == hashlib.sha256(texts[r.doc_id].encode()).hexdigest()
+
+
 def test_run_gives_what_the_stages_give(spark, steps):
     got = corpus_pipeline.run(spark, SF)
     assert sorted((r.doc_id, r.n_tokens) for r in got.collect()) == sorted((r.doc_id, r.n_tokens) for r in steps[5].collect())
