@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Sequence
 
 import ahocorasick
@@ -14,6 +15,7 @@ from nidalytics.llm.bpe import by_text
 from nidalytics.llm.common import per_process, whole
 
 MARK = "▁"  # stands for a space, and before the first word
+UNIT = re.compile(f"{MARK}+[^{MARK}]*")  # a run of marks and the word after it
 UNKNOWN_PENALTY = 10.0  # an unknown character scores the least piece's score less this
 #: Counts of so many words are kept per worker.
 KNOWN_WORDS = 300_000
@@ -27,7 +29,7 @@ def vocabulary(path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    """Best path through the pieces of a word that an Aho-Corasick automaton finds.
+    """Best path through the pieces of a run of marks with its word that an Aho-Corasick automaton finds.
 
     The automaton gives the pieces that end at a place, longest first, and a path replaces another of the
     same end only with a larger score: of equal paths the one whose last piece is longest wins. A
@@ -41,6 +43,8 @@ class Counter:
         if len(self.automaton):
             self.automaton.make_automaton()
         self.unknown = min((score for _, score in pieces), default=0.0) - UNKNOWN_PENALTY
+        #: a piece with a mark after another character would cross units; none of the given file does
+        self.crosses = any(MARK in piece.lstrip(MARK) for piece, _ in pieces)
         self.known: dict[str, int] = {}
         self.most = known_words
 
@@ -80,17 +84,23 @@ class Counter:
             best[end + 1], count[end + 1] = value, count[end] + len(word[end].encode())
 
     def text(self, text: str) -> int:
-        """Tokens of a text: the sum over its words, as no piece crosses the mark of the next word.
+        """Tokens of a text: the sum over runs of marks with their words, as no piece crosses the next run.
 
-        A mark is put before the text unless it begins with a space.
+        A mark is put before the text unless it begins with one or a space. With pieces that cross, the
+        text is one unit.
         """
         if not text:
             return 0
+        text = text.replace(" ", MARK)
+        if not text.startswith(MARK):
+            text = MARK + text
+        if self.crosses:
+            return self.word(text)
         known, total = self.known, 0
-        for word in text.removeprefix(" ").split(" "):
+        for word in UNIT.findall(text):
             n = known.get(word)
             if n is None:
-                n = self.word(MARK + word)
+                n = self.word(word)
                 if len(known) >= self.most:
                     known.clear()
                 if len(word) <= 100:
@@ -100,24 +110,19 @@ class Counter:
 
 
 def inner_marks(pieces: Sequence[tuple[str, float]]) -> list[str]:
-    """Pieces with a mark after their first character; these could cross words and are left out."""
+    """Pieces with a mark after their first character; these match runs of spaces, or cross words."""
     return [piece for piece, _ in pieces if MARK in piece[1:]]
 
 
 def counter(path: str) -> Callable[[str], int]:
-    def make() -> Counter:
-        pieces = vocabulary(path)
-        crossing = set(inner_marks(pieces))
-        return Counter([p for p in pieces if p[0] not in crossing])
-
-    return per_process(f"unigram {path}", make).text
+    return per_process(f"unigram {path}", lambda: Counter(vocabulary(path))).text
 
 
 def token_counts(docs: DataFrame, path: str, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row per input row: id, ``n_chars`` and ``n_tokens`` of the whole text.
 
-    A null or empty text has no tokens. Every space starts a word, so that runs of spaces give words
-    without letters. Repeated rows are counted alike; an empty table gives no rows.
+    A null or empty text has no tokens. All pieces count, also those for runs of spaces (Metaspace
+    without splitting). Repeated rows are counted alike; an empty table gives no rows.
     """
 
     def make():

@@ -59,6 +59,31 @@ def test_ties_are_settled_as_by_the_library(seed):
         assert mine.text(text) == len(theirs.encode(text).ids), text
 
 
+def whole_library(pieces):
+    """As library(), over whole texts: pieces may match runs of spaces."""
+    made = library(pieces)
+    made.pre_tokenizer = pre_tokenizers.Metaspace(replacement="▁", prepend_scheme="always", split=False)
+    return made
+
+
+SPACED = ["a        b", "def f():\n        return  1\n", "x" + " " * 40 + "y", "   ", "  lead", "a▁▁b c", "▁a", *TEXTS]
+
+
+def test_all_pieces_of_the_file_count():
+    pieces = unigram.vocabulary(PIECES)
+    assert unigram.inner_marks(pieces)
+    mine, theirs = unigram.counter(PIECES), whole_library(pieces)
+    for text in SPACED:
+        assert mine(text) == len(theirs.encode(text).ids), text
+
+
+def test_pieces_that_cross_words():
+    found = [("▁", -3.0), ("a", -2.0), ("b", -2.0), ("a▁b", -1.0), ("▁▁", -2.0)]
+    mine, theirs = unigram.Counter(found), whole_library(found)
+    for text in ("a b", "a  b a b", "b a b "):
+        assert mine.text(text) == len(theirs.encode(text).ids), text
+
+
 def test_known_words_do_not_change_counts():
     pieces = pieces_of_file()
     small, large = unigram.Counter(pieces, 3), unigram.Counter(pieces)
