@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from nidalytics.llm import bpe, chunks, lines, lm, mixing, quality, repeats, simhash, unigram, warc
+from nidalytics.llm import audit, bpe, chunks, lexical, lines, lm, mixing, nearest, quality, repeats, simhash, unigram, warc
 from nidalytics.llm.common import read
 
 QUERIES: dict = {}
@@ -187,3 +187,67 @@ def op9_chunk_dedup(spark: SparkSession, sf: str) -> DataFrame:
 @query()
 def op10_unigram_count(spark: SparkSession, sf: str) -> DataFrame:
     return unigram.token_counts(documents(spark, sf), PIECES)
+
+
+@query(
+    """
+    WITH v AS (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS x FROM embeddings
+      WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+    scored AS (SELECT q.r, q.vec_id AS query_id, c.vec_id, c.r AS cr,
+      coalesce(list_sum(list_transform(list_zip(q.x, c.x), lambda p: coalesce(p[1], 0) * coalesce(p[2], 0))), 0)::BIGINT AS score
+      FROM v q JOIN v c ON q.r <> c.r WHERE q.vec_id % 50 = 0),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id NULLS LAST, cr)::INT AS rank FROM scored)
+    SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 5"""
+)
+def op11_top_k(spark: SparkSession, sf: str) -> DataFrame:
+    table = read(spark, sf, "embeddings", "vec_id long, embedding array<float>")
+    return nearest.top_inner_products(table, F.col("vec_id") % 50 == 0)
+
+
+@query(
+    r"""
+    WITH docs AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t FROM documents),
+    facts AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws, min(doc_id) OVER (PARTITION BY t) AS first FROM docs),
+    marks AS (SELECT doc_id, bool_or(coalesce(quality = 1, false)) AS good, bool_or(coalesce(toxic = 1, false)) AS toxic FROM labels GROUP BY doc_id),
+    masks AS (SELECT f.doc_id, part, (len(ws) < 200)::INT + 2 * (100 * len(list_distinct(ws)) < 50 * len(ws))::INT
+        + 4 * (100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t))::INT + 8 * regexp_matches(t, '[#$%&*|]')::INT
+        + 16 * coalesce(f.doc_id > first, false)::INT AS fails, coalesce(good, false) AS good, coalesce(toxic, false) AS toxic
+      FROM facts f LEFT JOIN marks m ON f.doc_id = m.doc_id),
+    counted AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS n_good, count(*) FILTER (toxic) AS n_toxic FROM masks GROUP BY part, fails),
+    f(name, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+    orders AS (SELECT [a.bit, b.bit, c.bit, d.bit, e.bit] AS bits, a.name || b.name || c.name || d.name || e.name AS filter_order
+      FROM f a, f b, f c, f d, f e WHERE a.bit + b.bit + c.bit + d.bit + e.bit = 31),
+    steps AS (SELECT filter_order, step, bits[step] AS mine, coalesce(list_sum(bits[1:step - 1]), 0)::INT AS before FROM orders, range(1, 6) AS s(step)),
+    told AS (SELECT part, filter_order, step::INT AS step, mine,
+        coalesce(sum(n) FILTER (fails & (before | mine) = 0), 0)::BIGINT AS kept,
+        coalesce(sum(n) FILTER (fails & before = 0 AND fails & mine > 0), 0)::BIGINT AS removed,
+        coalesce(sum(n) FILTER (fails & before > 0 AND fails & mine > 0), 0)::BIGINT AS redundant,
+        coalesce(sum(n) FILTER (fails = mine), 0)::BIGINT AS unique_fails,
+        coalesce(sum(n_good) FILTER (fails & before = 0 AND fails & mine > 0), 0)::BIGINT AS good_lost,
+        coalesce(sum(n_toxic) FILTER (fails & before = 0 AND fails & mine > 0), 0)::BIGINT AS toxic_lost
+      FROM counted, steps GROUP BY part, filter_order, step, mine)
+    SELECT * EXCLUDE (mine), (sum(removed) OVER (PARTITION BY part, mine))::BIGINT AS shapley FROM told"""
+)
+def op12_filter_audit(spark: SparkSession, sf: str) -> DataFrame:
+    docs = read(spark, sf, "documents", "doc_id long, text string, lang string")
+    return audit.five_filters(docs, read(spark, sf, "labels", "doc_id long, quality int, toxic int"))
+
+
+TERMS = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+
+@query(
+    f"""
+    WITH rows AS (SELECT row_number() OVER () AS r, doc_id, {TERMS} AS ts FROM documents),
+    sized AS (SELECT r, doc_id, ts, len(ts)::BIGINT AS n FROM rows),
+    total AS (SELECT count(*) FILTER (n > 0)::BIGINT AS docs, sum(n)::BIGINT AS terms FROM sized),
+    asked AS (SELECT DISTINCT item_id, unnest({TERMS}) AS t FROM benchmark),
+    found AS (SELECT r, t, count(*)::BIGINT AS tf FROM (SELECT r, unnest(ts) AS t FROM sized) SEMI JOIN asked USING (t) GROUP BY r, t),
+    weights AS (SELECT t, floor(1000 * ln((2 * docs + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM found, total GROUP BY t, docs),
+    scored AS (SELECT item_id, r, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * docs) // terms))))::BIGINT AS score
+      FROM asked JOIN weights USING (t) JOIN found USING (t) JOIN sized USING (r), total GROUP BY item_id, r, doc_id),
+    ranked AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST)::INT AS rank FROM scored WHERE score > 0)
+    SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10"""
+)
+def op13_ranked_search(spark: SparkSession, sf: str) -> DataFrame:
+    return lexical.search(read(spark, sf, "benchmark", "item_id long, text string"), read(spark, sf, "documents", "doc_id long, text string"))
