@@ -140,3 +140,77 @@ def test_medians(spark):
     df = spark.createDataFrame(rows, "k string, segment_id int, x double")
     got = {r["segment_id"]: r["seg_median"] for r in segment.segment_medians(df, ["k"], "x").collect()}
     assert got == {1: 2.0, 2: 4.5}
+
+
+def searched(x, penalty, length, min_len, splits):
+    """Changes found by a chain of searches, each continued from the live starts of the one before."""
+    n, settled, state, found, at = len(x), 0, None, [], 0
+    for until in [*splits, n]:
+        search = segment._Search(x[at:until], n, penalty, length, 1.0, min_len, state, at).run_to(until - at)
+        if until == n:
+            return found + [c for c in search.path(until - at) if c > settled]
+        state = search.state(settled)
+        found += [c for c in state["shared"] if c > settled]
+        assert state["settled"] == max([settled, *state["shared"]])
+        settled, at = state["settled"], until
+    return found
+
+
+@pytest.mark.parametrize("min_len", [1, 2, 5])
+@pytest.mark.parametrize("length", ["relative", "absolute", "none"])
+@pytest.mark.parametrize("seed", range(3))
+def test_a_search_goes_on_from_live_starts(seed, length, min_len):
+    rng = random.Random(seed)
+    flat = [rng.gauss(0, 1) for _ in range(400)]
+    for x in (steppy(rng, 500, jump=1 + seed), flat, flat[:150] + steppy(rng, 200) + [v + 9 for v in flat[150:]]):
+        x = np.round(x, 3)
+        penalty = 2 * math.log(len(x))
+        want = segment.find_changes(x, penalty, length, 1.0, min_len)
+        if min_len == 1:
+            assert want == brute(x - x[0], penalty, length)
+        for splits in ([250], [100, 130, 131, 300], list(range(70, 390, 7))):
+            assert searched(x, penalty, length, min_len, splits) == want
+
+
+@pytest.mark.parametrize("length", ["relative", "absolute", "none"])
+def test_few_starts_stay_live_without_a_change(length):
+    x = np.random.default_rng(2).normal(size=60_000)
+    search = segment._Search(x, len(x), 3 * math.log(len(x)), length, 1.0, 1)
+    most = 0
+    for t in range(2000, len(x) + 1, 2000):
+        most = max(most, len(search.run_to(t).state(0)["starts"]))
+    assert search.path(search.n) == [] and most < 300
+
+
+def test_values_that_are_not_finite_are_one_segment(spark):
+    rng = random.Random(8)
+    series = {
+        "long": [0.0] * 300 + [float("nan")] + [50.0] * 300,
+        "short": [0.0] * 20 + [float("inf")] + [50.0] * 20,
+        "good": [0.0] * 300 + [50.0] * 300,
+        "null": steppy(rng, 40),
+    }
+    df = frame(spark, series)
+    df = df.withColumn("x", F.when((F.col("k") == "null") & (F.col("i") == 7), None).otherwise(F.col("x")))
+    got = segment.changepoints(df, O, "x", chunk_rows=200, overlap_rows=100).groupBy("k").agg(F.max("segment_id")).collect()
+    assert dict(map(tuple, got)) == {"long": 1, "short": 1, "null": 1, "good": 2}
+
+
+def test_a_long_stretch_without_a_change_is_never_one_group(spark, monkeypatch):
+    rng = random.Random(9)
+    flat = [round(rng.gauss(0, 1), 3) for _ in range(3000)]
+    series = {"a": flat, "b": steppy(rng, 400) + flat[:1500] + steppy(rng, 600) + flat[1500:2600]}
+    largest = []
+    solve = segment._solve_chunks
+
+    def counted(*args):
+        made = solve(*args)
+        largest.append(args[1].agg(F.max(F.col("_to") - F.col("_from"))).first()[0])
+        return made
+
+    monkeypatch.setattr(segment, "_solve_chunks", counted)
+    got = segment.changepoints(frame(spark, series), O, "x", chunk_rows=250, overlap_rows=60).toPandas()
+    assert len(largest) > 3 and max(largest) < 500  # continued chunk by chunk; the last one may be longer than others
+    for k, xs in series.items():
+        ids = got[got.k == k].sort_values("i")["segment_id"].to_numpy()
+        assert list(np.flatnonzero(np.diff(ids)) + 1) == brute(np.array(xs), 3 * math.log(len(xs)), "relative"), k
