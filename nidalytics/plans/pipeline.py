@@ -165,13 +165,13 @@ def _ingest_and_process(spark, folders, out, params, year_overrides) -> None:
     ingested = ingest(spark, folders, params, year_overrides)
     deployments = ingested["deployments"]
     tables.quarantine(ingested["quarantine"], out)
-    tables.write_clean(ingested, out, ids=deployments)
+    clean_tables = {n: ingested[n] for n in schemas.CLEAN_TABLES}
     processed = process(deployments, ingested["tof_clean"], ingested["dht_clean"], ingested["log_clean"], params)
-    tables.write_processed(processed, out, ids=deployments)
-    tables.write_tables(diagnostics(ingested, params), out, ids=deployments)
-    tables.write_table(deployments, out, "deployments")
-    # the manifest comes last: a deployment listed there is completely written
-    tables.append_table(deployments.select("deployment_id"), out, tables.MANIFEST)
+    results = {n: processed[n] for n in schemas.PROCESSED_TABLES}
+    # one commit: a deployment is there with all its tables or not at all
+    tables.write_tables(
+        {**clean_tables, **results, **diagnostics(ingested, params), "deployments": deployments}, out, ids=deployments
+    )
 
 
 def pending(found: DataFrame, manifest: DataFrame) -> DataFrame:

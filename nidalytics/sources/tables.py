@@ -6,39 +6,46 @@ from collections.abc import Iterable, Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from nidalytics.plans.stages import cut
-from nidalytics.sources import schemas
+from nidalytics.sources import schemas, versions
 from nidalytics.sources.raw import read_or_empty
 
-MANIFEST = "processed_deployments"
+def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", ids: DataFrame | None = None) -> None:
+    """Replace the deployments present in ``df`` and leave the others alone; see :func:`write_tables`."""
+    write_tables({name: df}, root, fmt, ids)
 
 
-def write_table(df: DataFrame, root: str, name: str, fmt: str = "parquet", ids: DataFrame | None = None) -> None:
-    """Replace the deployments present in ``df`` and leave the others alone.
+def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", ids: DataFrame | None = None) -> None:
+    """Replace deployments in all tables.
 
     ``ids`` are all deployments that were worked on: those of them without rows in
-    ``df`` lose the rows that they had. Rows are gathered by deployment; adaptive
-    execution splits a long deployment over many tasks and files, and puts short
-    ones together.
+    a table lose the rows that they had. Parquet tables are replaced together by one
+    commit (see :mod:`nidalytics.sources.versions`). CSV is for use elsewhere: a
+    folder per deployment, table by table.
     """
+    if fmt == "csv":
+        for name, df in tables.items():
+            _write_csv(cut(df), root, name, ids)
+    else:
+        versions.commit(tables, root, ids)
+
+
+def _write_csv(df: DataFrame, root: str, name: str, ids: DataFrame | None) -> None:
     path = f"{root.rstrip('/')}/{name}"
     if ids is not None:
-        _drop_stale(ids.select("deployment_id").join(df.select("deployment_id"), "deployment_id", "left_anti"), path, fmt)
-    spread = df.hint("rebalance", "deployment_id")
-    writer = spread.write.mode("overwrite").partitionBy("deployment_id").format(fmt)
-    if fmt == "csv":
-        writer = writer.option("header", True).option("nullValue", "NA")
-    writer.option("partitionOverwriteMode", "dynamic").save(path)
+        _drop_stale(ids.select("deployment_id").join(df.select("deployment_id"), "deployment_id", "left_anti"), path)
+    writer = df.hint("rebalance", "deployment_id").write.mode("overwrite").partitionBy("deployment_id")
+    writer = writer.option("header", True).option("nullValue", "NA")
+    writer.option("partitionOverwriteMode", "dynamic").csv(path)
 
 
-def _drop_stale(ids: DataFrame, path: str, fmt: str) -> None:
+def _drop_stale(ids: DataFrame, path: str) -> None:
     """Delete the folders of deployments that have no rows any more."""
     spark = ids.sparkSession
 
     def read() -> DataFrame:
-        rows = spark.read.schema("deployment_id string").format(fmt).load(path)
+        rows = spark.read.schema("deployment_id string").csv(path)
         return rows.select("deployment_id", F.regexp_extract("_metadata.file_path", "^(.*)/[^/]+$", 1).alias("folder"))
 
     there = read_or_empty(spark, read, "deployment_id string, folder string")
@@ -49,11 +56,6 @@ def _drop_stale(ids: DataFrame, path: str, fmt: str) -> None:
         folder.getFileSystem(conf).delete(folder, True)
 
 
-def write_tables(tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", ids: DataFrame | None = None) -> None:
-    for name, df in tables.items():
-        write_table(df, root, name, fmt, ids)
-
-
 def write_clean(
     tables: Mapping[str, DataFrame], root: str, fmt: str = "parquet", ids: DataFrame | None = None
 ) -> None:
@@ -71,29 +73,26 @@ def append_table(df: DataFrame, root: str, name: str) -> None:
 
 
 def load_table(spark: SparkSession, root: str, name: str, ddl: str) -> DataFrame:
-    return spark.read.schema(ddl).parquet(f"{root.rstrip('/')}/{name}").select(*T.StructType.fromDDL(ddl).names)
+    return versions.snapshot(spark, root).table(name, ddl)
 
 
 def load_clean(spark: SparkSession, root: str) -> dict[str, DataFrame]:
-    return {n: load_table(spark, root, n, ddl) for n, ddl in schemas.CLEAN_TABLES.items()}
+    now = versions.snapshot(spark, root)
+    return {n: now.table(n, ddl) for n, ddl in schemas.CLEAN_TABLES.items()}
 
 
 def load_processed(
     spark: SparkSession, root: str, ids: Iterable[str] | None = None, exported: bool = False
 ) -> dict[str, DataFrame]:
-    """The five processed tables with their types; ``ids`` prunes to deployments."""
+    """The five processed tables with their types, all as of one commit; ``ids`` prunes to deployments."""
     ddls = schemas.EXPORTED_TABLES if exported else schemas.PROCESSED_TABLES
-    tables = {n: load_table(spark, root, n, ddl) for n, ddl in ddls.items()}
-    if ids is not None:
-        chosen = list(ids)
-        tables = {n: t.where(F.col("deployment_id").isin(chosen)) for n, t in tables.items()}
-    return tables
+    now, chosen = versions.snapshot(spark, root), None if ids is None else list(ids)
+    return {n: now.table(n, ddl, chosen) for n, ddl in ddls.items()}
 
 
 def load_manifest(spark: SparkSession, root: str) -> DataFrame:
     """Ids of deployments that are already processed; empty before the first run."""
-    ddl, path = "deployment_id string", f"{root.rstrip('/')}/{MANIFEST}"
-    return read_or_empty(spark, lambda: spark.read.schema(ddl).parquet(path), ddl).distinct()
+    return versions.snapshot(spark, root).ids("device_summary")
 
 
 def quarantine(rows: DataFrame, root: str) -> None:
