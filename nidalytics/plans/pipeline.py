@@ -14,7 +14,7 @@ from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, segment, smooth, summary
 from nidalytics.plans.ordered import BLOCK
 from nidalytics.plans.stages import cut, scratch
-from nidalytics.sources import raw, schemas, tables
+from nidalytics.sources import raw, schemas, tables, versions
 
 KEYS = ("deployment_id",)
 ORDER = raw.READING_ORDER
@@ -255,6 +255,7 @@ def export_corrected(
     log_clean: DataFrame | None = None,
     corrections: DataFrame | None = None,
     min_bout_sec: float = bt.MIN_BOUT_SEC,
+    bridge_nulls: bool = True,
 ) -> dict[str, DataFrame]:
     """The five tables re-derived after corrections and trimming.
 
@@ -269,7 +270,7 @@ def export_corrected(
     if corrections is not None:
         tof = cut(correct.apply_corrections(tof, corrections, ORDER))
     trimmed = correct.trim_window(tof, deployments, keys, "timestamp")
-    runs = cut(bt.state_runs(trimmed, ORDER, "state_corrected").drop(BLOCK))
+    runs = cut(bt.state_runs(trimmed, ORDER, "state_corrected", bridge_nulls).drop(BLOCK))
     bout_table = cut(bt.bouts(runs, ORDER, min_bout_sec=min_bout_sec))
     sun = night.sun_table(runs, "timestamp", deployments, keys)
     dht = correct.trim_window(processed["dht_processed"], deployments, keys, "timestamp")
@@ -283,6 +284,40 @@ def export_corrected(
     }
 
 
+def broken_tables(found: dict[str, DataFrame], written: DataFrame) -> DataFrame:
+    """(deployment_id, reason) of deployments with fewer or more rows in a table than were written."""
+    there = reduce(
+        DataFrame.unionByName,
+        [t.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("_read")).withColumn("name", F.lit(n)) for n, t in found.items()],
+    )
+    both = written.where(F.col("name").isin(*found)).join(there, [*KEYS, "name"], "left")
+    short = both.where(F.coalesce("_read", F.lit(0)) != F.col("n"))
+    reason = F.format_string("%s: %d of %d rows can be read", "name", F.coalesce("_read", F.lit(0)), "n")
+    return short.groupBy(*KEYS).agg(F.array_join(F.array_sort(F.collect_list(reason)), "; ").alias("reason"))
+
+
+def unfit(deployments: DataFrame, found: dict[str, DataFrame], corrections: DataFrame | None) -> DataFrame:
+    """(deployment_id, reason) of deployments whose tables cannot be derived again.
+
+    Readings must have a time and a known state or none, a deployment must be described, and its
+    corrections must have a number, bounds and a known action.
+    """
+    states = ("present", "absent", "uncertain")
+    tof = found["tof_processed"]
+    strange = F.col("state_auto").isNotNull() & ~F.col("state_auto").isin(*states)
+    rules = [
+        tof.where(F.col("timestamp").isNull()).select(*KEYS, F.lit("a reading without a time").alias("reason")),
+        tof.where(strange).select(*KEYS, F.lit("a state that is not known").alias("reason")),
+        tof.select(*KEYS).join(deployments, list(KEYS), "left_anti").select(*KEYS, F.lit("no description").alias("reason")),
+    ]
+    if corrections is not None:
+        known = F.coalesce(F.col("action").isin(*states, correct.RESET), F.lit(False))
+        for c in ("seq", "t_min", "t_max", "d_min", "d_max"):
+            known &= F.col(c).isNotNull()
+        rules.append(corrections.where(~known).select(*KEYS, F.lit("a correction that cannot be read").alias("reason")))
+    return reduce(DataFrame.unionByName, rules).distinct()
+
+
 def export_all(
     spark: SparkSession,
     out: str,
@@ -291,15 +326,35 @@ def export_all(
     fmt: str = "parquet",
     trims: DataFrame | None = None,
     min_bout_sec: float = bt.MIN_BOUT_SEC,
-) -> None:
-    """Export every processed deployment under ``out`` to ``export_root``.
+    bridge_nulls: bool = True,
+) -> int:
+    """Export every processed deployment under ``out`` to ``export_root``; returns how many were exported.
 
-    ``trims`` (deployment_id, trim_start, trim_end as text) replaces stored trim bounds. A deployment that has no rows left loses those of an earlier export.
+    ``trims`` (deployment_id, trim_start, trim_end as text) replaces stored trim bounds. A deployment that has no rows
+    left loses those of an earlier export. A deployment that cannot be exported (rows that are lost, see :func:`broken_tables`;
+    contents that make no sense, see :func:`unfit`) does not stop the others: it goes to the quarantine
+    table of the export with the reason, and keeps what was exported before.
     """
-    deployments = tables.load_table(spark, out, "deployments", schemas.DEPLOYMENTS)
-    if trims is not None:
-        deployments = correct.set_trim(deployments, trims, list(KEYS))
-    log = tables.load_table(spark, out, "log_clean", schemas.LOG_CLEAN)
+    now = versions.snapshot(spark, out)
+    deployments = now.table("deployments", schemas.DEPLOYMENTS, skip_broken=True)
+    ddls = {**schemas.PROCESSED_TABLES, "log_clean": schemas.LOG_CLEAN}
+    found = {n: now.table(n, ddl, skip_broken=True) for n, ddl in ddls.items()}
     with scratch(spark):
-        exported = export_corrected(tables.load_processed(spark, out), deployments, log, corrections, min_bout_sec)
-        tables.write_processed(exported, export_root, fmt, ids=deployments)
+        lost = broken_tables({**found, "deployments": deployments}, now.counts())
+        failed = cut(lost.unionByName(unfit(deployments, found, corrections)))
+        bad = failed.select(*KEYS).distinct()
+        tables.quarantine(
+            failed.select(F.col("deployment_id").alias("source_file"), "reason", F.lit(None).cast("string").alias("raw")), export_root
+        )
+
+        def good(df: DataFrame) -> DataFrame:
+            return df.join(bad, list(KEYS), "left_anti")
+
+        described = cut(good(deployments))
+        trimmed = described if trims is None else correct.set_trim(described, trims, list(KEYS))
+        log = good(found.pop("log_clean"))
+        kept = {n: good(t) for n, t in found.items()}
+        boxes = None if corrections is None else good(corrections)
+        exported = export_corrected(kept, trimmed, log, boxes, min_bout_sec, bridge_nulls)
+        tables.write_processed(exported, export_root, fmt, ids=described)
+        return described.count()

@@ -2,13 +2,14 @@
 
 import datetime as dt
 import math
+import pathlib
 import random
 
 import pytest
 from pyspark.sql import functions as F
 
 from nidalytics.plans import pipeline
-from nidalytics.sources import raw, schemas, tables
+from nidalytics.sources import raw, schemas, tables, versions
 from nidalytics.streaming.arrivals import process_arrivals
 
 
@@ -275,3 +276,31 @@ def test_export_of_a_deployment_that_was_trimmed_empty(spark, out, tmp_path):
     assert again["bout_summary"].where("deployment_id = 'A1'").count() == 0
     assert again["bout_summary"].where("NOT flag_short").count() == 0
     assert again["tof_processed"].count() > 0
+
+
+def test_a_deployment_that_cannot_be_exported_does_not_stop_the_others(spark, out, tmp_path):
+    copy, ex = str(tmp_path / "copy"), str(tmp_path / "ex")
+    now = versions.snapshot(spark, out)
+    ddls = {**schemas.PROCESSED_TABLES, "log_clean": schemas.LOG_CLEAN, "deployments": schemas.DEPLOYMENTS}
+    versions.commit({n: now.table(n, ddl) for n, ddl in ddls.items()}, copy, buckets=97)  # one deployment in a bucket
+    files = tables.load_processed(spark, copy)["tof_processed"].withColumn("file", F.input_file_name())
+    of = {r["deployment_id"]: r["file"] for r in files.select("deployment_id", "file").distinct().collect()}
+    assert of["A1"] != of["newyear"]
+    before = tables.load_processed(spark, out)["tof_processed"].where("deployment_id = 'A1'").count()
+    broken = pathlib.Path(of["A1"].removeprefix("file://"))
+    broken.write_bytes(b"PAR1" + b"\0" * 500)
+    assert pipeline.export_all(spark, copy, ex) == 1
+
+    def reasons():
+        rows = spark.read.schema(schemas.QUARANTINE).parquet(f"{ex}/quarantine").collect()
+        return sorted((r["source_file"], r["reason"]) for r in rows)
+
+    assert reasons() == [("A1", f"tof_processed: 0 of {before} rows can be read")]
+    got = {n: {r[0] for r in t.select("deployment_id").distinct().collect()} for n, t in tables.load_processed(spark, ex, exported=True).items()}
+    assert got == dict.fromkeys(schemas.PROCESSED_TABLES, {"newyear"})
+    t0 = dt.datetime(2026, 4, 15, 12, 0)
+    boxes = [("newyear", 1, t0, t0, 0.0, 500.0, "asleep")]
+    assert pipeline.export_all(spark, out, ex, spark.createDataFrame(boxes, schemas.CORRECTIONS)) == 1
+    assert reasons()[1:] == [("newyear", "a correction that cannot be read")]
+    ids = {r[0] for r in tables.load_processed(spark, ex, exported=True)["bout_summary"].select("deployment_id").distinct().collect()}
+    assert ids == {"A1", "newyear"}  # what was exported before stays
