@@ -1393,7 +1393,8 @@ readings AS (SELECT a.user_id, a.event_id, a.ts, a.value, CASE WHEN action = 're
 {BOUTS.replace(READINGS + "," + chr(10), "")}"""
 
 
-def _exported(spark, sf) -> dict[str, DataFrame]:
+def _before_export(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Processed readings, climate and corrections."""
     names = {"user_id": "deployment_id", "ts": "timestamp", "event_id": "src_block", "value": "tof_smooth_r"}
     tof = auto_states(spark, sf).withColumnsRenamed(names)
     tof = tof.withColumns(
@@ -1411,11 +1412,10 @@ def _exported(spark, sf) -> dict[str, DataFrame]:
             "flag_ema_warmup": F.lit(False),
         }
     )
-    dht = tof.select("deployment_id", "timestamp", F.lit(False).alias("flag_dht_bad"))
+    dht = tof.select("deployment_id", "timestamp", "src_block", "src_row", F.lit(False).alias("flag_dht_bad"))
     orders = boxes(spark, sf).withColumnRenamed("user_id", "deployment_id")
     orders = orders.withColumn("deployment_id", F.col("deployment_id").cast("string"))
-    deployments = fleet_places(spark, sf)
-    return pipeline.export_corrected({"tof_processed": tof, "dht_processed": dht}, deployments, None, orders)
+    return tof, dht, orders
 
 
 def fleet_places(spark, sf) -> DataFrame:
@@ -1434,51 +1434,150 @@ def fleet_places(spark, sf) -> DataFrame:
 FROM runs r LEFT JOIN bouts b ON b.user_id = r.user_id AND b.state_run = r.state_run"""
 )
 def export_corrected(spark, sf):
-    return _exported(spark, sf)["tof_processed"].select(
+    tof, dht, orders = _before_export(spark, sf)
+    exported = pipeline.export_corrected({"tof_processed": tof, "dht_processed": dht}, fleet_places(spark, sf), None, orders)
+    return exported["tof_processed"].select(
         "deployment_id", F.col("src_block").alias("event_id"), "state_corrected", "bout_id_auto", "bout_id_corrected"
     )
 
 
-def _round_trip(spark, df: DataFrame, name: str, ddl: str) -> DataFrame:
-    """Write a table partitioned by deployment to the shared folder and load it again."""
-    root = f"{shared_folder(spark)}/tables-{uuid.uuid4().hex}"
-    tables.write_table(df, root, name)
-    return tables.load_table(spark, root, name, ddl)
+# sets of tables, written once per session by the library's own writers; each of their tables is a query
 
 
-@query(
-    f"""WITH {BOUTS} SELECT CAST(user_id AS VARCHAR) AS deployment_id, bout_id, state_corrected, bout_start, bout_end, n_readings,
-  flag_short FROM bouts"""
-)
+def _clean_set(spark, sf) -> dict[str, DataFrame]:
+    def make(root: str) -> None:
+        deployments, log = _deployments(spark, sf), cut(_log(spark, sf))
+        dht = raw.read_dht(spark, _file(spark, sf, schemas.DHT_FILE), deployments, log, cut)
+        tof = raw.read_tof(spark, _file(spark, sf, schemas.TOF_FILE), deployments, log, cut, warmup_rows=4)
+        tables.write_clean({"log_clean": log, "dht_clean": dht, "tof_clean": tof}, root, ids=deployments)
+
+    return tables.load_clean(spark, _once(spark, sf, "clean", make))
+
+
+def _processed_set(spark, sf) -> dict[str, DataFrame]:
+    root = _once(spark, sf, "processed", lambda root: tables.write_processed(_chain(spark, sf), root, ids=fleet_places(spark, sf)))
+    return tables.load_processed(spark, root)
+
+
+def _exported_set(spark, sf) -> dict[str, DataFrame]:
+    def make(root: str) -> None:
+        tof, dht, orders = _before_export(spark, sf)
+        log = boot_log(spark, sf).select(F.col("user_id").cast("string").alias("deployment_id"), F.col("ts").alias("timestamp"), "event")
+        found = {"tof_processed": tof, "dht_processed": dht, "deployments": fleet_places(spark, sf), "log_clean": log}
+        tables.write_tables(found, f"{root}/in")
+        pipeline.export_all(spark, f"{root}/in", root, orders, min_bout_sec=SHORT)
+
+    return tables.load_processed(spark, _once(spark, sf, "exported", make), exported=True)
+
+
+DAY_SET = """SELECT CAST(p.user_id AS VARCHAR) AS deployment_id, p.date, strftime(u.sunrise, '%H:%M') AS sunrise,
+  strftime(u.sunset, '%H:%M') AS sunset, first_off_start, last_off_end, CAST(coalesce(n_on_bouts, 0) AS INTEGER) AS n_on_bouts,
+  CAST(coalesce(n_off_bouts, 0) AS INTEGER) AS n_off_bouts
+FROM spine p LEFT JOIN sun u ON u.user_id = p.user_id AND u.date = p.date LEFT JOIN stats s ON s.user_id = p.user_id AND s.date = p.date"""
+LIT = """lit AS (SELECT b.*, CAST(bout_start AS DATE) AS date FROM bouts b LEFT JOIN sun s ON s.user_id = b.user_id
+  AND s.date = CAST(b.bout_start AS DATE) WHERE coalesce(polar, 'day') = 'day' AND coalesce(bout_start BETWEEN s.sunrise AND s.sunset, true))"""
+DAY_SET_COLUMNS = ["deployment_id", "date", "sunrise", "sunset", "first_off_start", "last_off_end", "n_on_bouts", "n_off_bouts"]
+BOUT_SET_COLUMNS = ["deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings"]
+BOUT_SET = """SELECT CAST(user_id AS VARCHAR) AS deployment_id, bout_id, state_corrected, bout_start, bout_end, n_readings FROM bouts"""
+
+
+@query(f"WITH RECURSIVE {CHAIN} {BOUT_SET}")
 def load_processed(spark, sf):
-    df = bout_table(spark, sf).withColumn("deployment_id", F.col("user_id").cast("string")).drop("user_id")
-    back = _round_trip(spark, df, "bout_summary", schemas.BOUTS)
-    return back.select("deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings", "flag_short")
+    return _processed_set(spark, sf)["bout_summary"].select(*BOUT_SET_COLUMNS)
+
+
+@query(SQL["process_pipeline"])
+def write_processed(spark, sf):
+    return _processed_set(spark, sf)["tof_processed"].select(
+        "deployment_id", F.col("src_block").alias("event_id"), r6(F.col("tof_smooth_r"), "tof_smooth_r"),
+        "segment_id", "state_corrected", "correction_source", "bout_id",
+    )
+
+
+@query(f"WITH RECURSIVE {CHAIN}, {LIT}, {_stats_sql('lit')}, {SPINE} {DAY_SET}")
+def write_processed_days(spark, sf):
+    return _processed_set(spark, sf)["day_summary"].select(*DAY_SET_COLUMNS)
 
 
 @query(
-    f"""SELECT CAST(user_id AS VARCHAR) AS deployment_id, date, n_on_bouts, n_off_bouts, prop_on_nest, mean_on_bout_min
-FROM ({SQL["day_summary"]})"""
+    f"""WITH {CHAIN.split("masked AS", 1)[0].rstrip().rstrip(",")},
+booted AS (SELECT user_id, count(*) - 1 AS n FROM events WHERE event_type = 'signup' AND value > 60 GROUP BY user_id)
+SELECT CAST(t.user_id AS VARCHAR) AS deployment_id, min(ts) AS first_timestamp, max(ts) AS last_timestamp,
+  CAST(count(DISTINCT session_id) AS INTEGER) AS n_sessions, CAST(any_value(b.n) AS INTEGER) AS n_reboots, count(*) AS n_tof_total,
+  count(*) FILTER (flag_tof_invalid) AS n_tof_invalid, count(*) FILTER (flag_ema_warmup) AS n_tof_warmup,
+  count(*) FILTER (event_type = 'error') AS n_dht_bad FROM tof t LEFT JOIN booted b ON b.user_id = t.user_id GROUP BY t.user_id"""
 )
-def write_processed(spark, sf):
-    df = day_summary(spark, sf).withColumn("deployment_id", F.col("user_id").cast("string")).drop("user_id")
-    back = _round_trip(spark, df, "day_summary", schemas.DAYS)
-    return back.select("deployment_id", "date", "n_on_bouts", "n_off_bouts", "prop_on_nest", "mean_on_bout_min")
+def write_processed_devices(spark, sf):
+    return _processed_set(spark, sf)["device_summary"].select(
+        "deployment_id", "first_timestamp", "last_timestamp", "n_sessions", "n_reboots", "n_tof_total",
+        "n_tof_invalid", "n_tof_warmup", "n_dht_bad",
+    )
 
 
 @query(
-    f"""WITH {EXPORT} SELECT CAST(user_id AS VARCHAR) AS deployment_id, bout_id, state_corrected, bout_start, bout_end, n_readings
-FROM bouts"""
+    """SELECT CAST(user_id AS VARCHAR) AS deployment_id, event_id, ts AS timestamp, CASE WHEN event_type <> 'error' THEN value END AS temp_in,
+  event_type = 'error' AS flag_dht_bad FROM events"""
 )
+def write_processed_climate(spark, sf):
+    return _processed_set(spark, sf)["dht_processed"].select(
+        "deployment_id", F.col("src_block").alias("event_id"), "timestamp", "temp_in", "flag_dht_bad"
+    )
+
+
+@query(f"WITH {EXPORT} {BOUT_SET}")
 def export_all(spark, sf):
-    back = _round_trip(spark, _exported(spark, sf)["bout_summary"], "bout_summary", schemas.BOUTS)
-    return back.select("deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings")
+    return _exported_set(spark, sf)["bout_summary"].select(*BOUT_SET_COLUMNS)
+
+
+@query(SQL["export_corrected"])
+def export_all_readings(spark, sf):
+    return _exported_set(spark, sf)["tof_processed"].select(
+        "deployment_id", F.col("src_block").alias("event_id"), "state_corrected", "bout_id_auto", "bout_id_corrected"
+    )
+
+
+@query(f"WITH {EXPORT}, {SUN}, {LIT}, {_stats_sql('lit')}, {SPINE} {DAY_SET}")
+def export_all_days(spark, sf):
+    return _exported_set(spark, sf)["day_summary"].select(*DAY_SET_COLUMNS)
+
+
+@query(
+    f"""WITH {TRIMS}, kept AS (SELECT e.* FROM events e LEFT JOIN trims t ON t.user_id = e.user_id WHERE {IN_TRIM}),
+booted AS (SELECT user_id, count(*) FILTER (event_type = 'signup') - 1 AS n FROM events GROUP BY user_id)
+SELECT CAST(k.user_id AS VARCHAR) AS deployment_id, min(ts) AS first_timestamp, max(ts) AS last_timestamp,
+  CAST(any_value(n) AS INTEGER) AS n_reboots, count(*) AS n_tof_total FROM kept k JOIN booted b ON b.user_id = k.user_id GROUP BY k.user_id"""
+)
+def export_all_devices(spark, sf):
+    return _exported_set(spark, sf)["device_summary"].select("deployment_id", "first_timestamp", "last_timestamp", "n_reboots", "n_tof_total")
+
+
+@query(
+    f"""WITH {TRIMS} SELECT CAST(e.user_id AS VARCHAR) AS deployment_id, event_id, ts AS timestamp
+FROM events e LEFT JOIN trims t ON t.user_id = e.user_id WHERE {IN_TRIM}"""
+)
+def export_all_climate(spark, sf):
+    return _exported_set(spark, sf)["dht_processed"].select("deployment_id", F.col("src_block").alias("event_id"), "timestamp")
 
 
 @query(SQL["read_log"])
 def write_clean(spark, sf):
-    back = _round_trip(spark, _log(spark, sf), "log_clean", schemas.LOG_CLEAN)
-    return _numbered(back).select("deployment_id", "line", "timestamp", "event")
+    return _numbered(_clean_set(spark, sf)["log_clean"]).select("deployment_id", "line", "timestamp", "event")
+
+
+@query(SQL["read_tof"])
+def write_clean_readings(spark, sf):
+    return _numbered(_clean_set(spark, sf)["tof_clean"]).select(
+        "deployment_id", "line", "timestamp", "flag_tof_invalid", "tof_raw_mm",
+        "tof_smooth_ema", "session_id", "dt_sec", "flag_ema_warmup",
+    )
+
+
+@query(SQL["read_dht"])
+def write_clean_climate(spark, sf):
+    return _numbered(_clean_set(spark, sf)["dht_clean"]).select(
+        "deployment_id", "line", "timestamp", "temp_in", "hum_in", "temp_out", "hum_out",
+        "session_id", "dt_sec", "flag_dht_bad",
+    )
 
 
 @query(
