@@ -50,16 +50,17 @@ def ingest(
 
     settled = cut(raw.settle_ids(raw.read_metadata(spark, paths(schemas.METADATA_FILE))))
     metadata = settled.where("NOT replaced").drop("replaced")
+    lines = {n: raw.read_lines(spark, paths(n)) for n in schemas.RAW_FILES}
     bad = reduce(
         DataFrame.unionByName,
-        [raw.bad_headers(metadata, raw.headers(spark, paths(n), ddl), n) for n, ddl in schemas.RAW_FILES.items()],
+        [raw.bad_headers(metadata, raw.headers(lines[n], ddl), n) for n, ddl in schemas.RAW_FILES.items()],
     )
     bad = cut(bad)
     metadata = metadata.join(bad, "folder", "left_anti")
     deployments = cut(raw.deployment_table(metadata, one_year(year_overrides)))
-    log_rows = cut(raw.stamp(raw.scan(spark, paths(schemas.LOG_FILE), schemas.LOG_RAW), deployments))
-    dht_rows = cut(raw.stamp(raw.scan(spark, paths(schemas.DHT_FILE), schemas.DHT_RAW), deployments))
-    tof_rows = cut(raw.stamp(raw.scan(spark, paths(schemas.TOF_FILE), schemas.TOF_RAW), deployments))
+    log_rows = cut(raw.stamp(raw.scan(lines[schemas.LOG_FILE], schemas.LOG_RAW), deployments))
+    dht_rows = cut(raw.stamp(raw.scan(lines[schemas.DHT_FILE], schemas.DHT_RAW), deployments))
+    tof_rows = cut(raw.stamp(raw.scan(lines[schemas.TOF_FILE], schemas.TOF_RAW), deployments))
     log = raw.clean_log(log_rows)
     quarantine = (
         clean.missing_year(deployments, "folder")

@@ -10,14 +10,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from nidalytics.functions.scalars import coalesce_blank, infer_year, valid_window
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import classify, clean, correct, night, reports, segment, smooth, summary
 from nidalytics.plans import pipeline
-from nidalytics.plans.ordered import Ordering
+from nidalytics.plans.ordered import BLOCK, Ordering, running
 from nidalytics.plans.stages import cut, shared_folder
 from nidalytics.sources import raw, schemas, tables
 
@@ -1189,7 +1189,11 @@ def raw_root(spark, sf) -> str:
     return _once(spark, sf, "raw", lambda root: raw.write_files(_device_files(spark, sf), root))
 
 
+SLICE_ROWS = 20_000  # lines of a device file that are put together at a time
+
+
 def _device_files(spark, sf) -> DataFrame:
+    """Texts of the files of all users; those of users with many events in slices."""
     kind, v = F.col("event_type"), F.col("value")
     number = v.cast("string")
     tof = F.when(kind == "error", "-1").when(v > 200, "8190").when(kind == "view", "n/a").otherwise(number)
@@ -1199,30 +1203,38 @@ def _device_files(spark, sf) -> DataFrame:
         schemas.TOF_FILE: [tof, number],
     }
     clock = F.date_format(F.col("ts") - F.expr("INTERVAL 20 DAYS"), "MM-dd HH:mm:ss")
-    at = F.struct("ts", "event_id")
-    folder = F.concat(F.lit("dep-"), F.col("user_id").cast("string")).alias("folder")
-    written = events(spark, sf).groupBy(folder, "user_id").agg(
-        *[F.array_sort(F.collect_list(F.struct(at, F.concat_ws(",", clock, *c).alias("line")))).alias(n) for n, c in lines.items()]
+    placed = running(events(spark, sf), SERIES, position="place").drop(BLOCK)
+    slices = placed.withColumn("slice", F.floor((F.col("place") - 1) / SLICE_ROWS))
+    written = slices.groupBy("user_id", "slice").agg(
+        *[F.array_sort(F.collect_list(F.struct("place", F.concat_ws(",", clock, *c).alias("line")))).alias(n) for n, c in lines.items()]
     )
+    folder = F.concat(F.lit("dep-"), F.col("user_id").cast("string")).alias("folder")
+    sizes = events(spark, sf).groupBy("user_id").agg(F.count(F.lit(1)).alias("n"))
+
+    def name(file: str):
+        sliced = F.concat(F.lit(f"{file}/"), F.col("slice").cast("string"), F.lit(".csv"))
+        return F.when(F.col("n") <= SLICE_ROWS, F.lit(file)).otherwise(sliced).alias("name")
+
     files = [
-        F.struct(F.lit(n).alias("name"), F.concat_ws("\n", F.lit(",".join(ddl.names)), F.col(f"`{n}`.line"), F.lit("")).alias("content"))
+        F.struct(name(n), F.concat_ws("\n", F.lit(",".join(ddl.names)), F.col(f"`{n}`.line"), F.lit("")).alias("content"))
         for n, ddl in schemas.RAW_FILES.items()
     ]
+    series = written.join(sizes, "user_id").select(folder, F.explode(F.array(*files)).alias("f")).select("folder", "f.*")
     about = F.concat_ws(
         "\r\n", F.lit("METADATA\r\n"), F.concat(F.lit(" device_id = "), F.coalesce("c_name", F.lit("?"))), F.lit("device_id=second"),
         F.when(F.col("c_acctbal") > 0, F.concat(F.lit("deployment_id="), F.col("user_id").cast("string"))),
         F.lit("deployment_date=2023-06-01"), F.concat(F.lit(" notes =  "), "c_mktsegment", F.lit("="), F.col("c_nationkey").cast("string")),
     )
-    files.append(F.struct(F.lit(schemas.METADATA_FILE).alias("name"), about.alias("content")))
     owners = table(spark, sf, "customer").withColumnRenamed("c_custkey", "user_id")
-    return written.join(owners, "user_id", "left").select("folder", F.explode(F.array(*files)).alias("f")).select("folder", "f.*")
+    described = sizes.join(owners, "user_id", "left").select(folder, F.lit(schemas.METADATA_FILE).alias("name"), about.alias("content"))
+    return series.unionByName(described)
 
 
 SHIFTED = "date_trunc('second', ts - INTERVAL 20 DAY)"
 
 
 def _deployments(spark, sf) -> DataFrame:
-    return raw.deployment_table(raw.read_metadata(spark, f"{raw_root(spark, sf)}/*/{schemas.METADATA_FILE}"))
+    return cut(raw.deployment_table(raw.read_metadata(spark, f"{raw_root(spark, sf)}/*/{schemas.METADATA_FILE}")))
 
 
 def _file(spark, sf, name: str) -> str:
@@ -1231,8 +1243,8 @@ def _file(spark, sf, name: str) -> str:
 
 def _numbered(df: DataFrame) -> DataFrame:
     """The place of a row in its file in place of (src_block, src_row), which depend on how the file was read."""
-    place = Window.partitionBy("deployment_id").orderBy("src_block", "src_row")
-    return df.withColumn("line", F.row_number().over(place))
+    placed = running(cut(df), Ordering(("deployment_id",), "src_block", ("src_row",)), position="line")
+    return placed.withColumn("line", F.col("line").cast("int"))
 
 
 STAMPED = f"""firsts AS (SELECT user_id, min(year({SHIFTED})) AS y FROM events GROUP BY 1),
@@ -1242,8 +1254,8 @@ stamped AS (SELECT CASE WHEN c_acctbal > 0 THEN '' ELSE 'dep-' END || CAST(e.use
   FROM events e JOIN firsts USING (user_id) LEFT JOIN customer c ON c.c_custkey = e.user_id)"""
 
 
-def _log(spark, sf) -> DataFrame:
-    return raw.read_log(spark, _file(spark, sf, schemas.LOG_FILE), _deployments(spark, sf))
+def _log(spark, sf, deployments: DataFrame) -> DataFrame:
+    return cut(raw.read_log(spark, _file(spark, sf, schemas.LOG_FILE), deployments))
 
 
 @query(
@@ -1251,7 +1263,7 @@ def _log(spark, sf) -> DataFrame:
   CASE WHEN event_type = 'signup' THEN 'START' ELSE event_type END AS event FROM stamped"""
 )
 def read_log(spark, sf):
-    return _numbered(_log(spark, sf)).select("deployment_id", "line", "timestamp", "event")
+    return _numbered(_log(spark, sf, _deployments(spark, sf))).select("deployment_id", "line", "timestamp", "event")
 
 
 IN_SESSION = """sess AS (SELECT *, CAST(count(*) FILTER (event_type = 'signup') OVER (PARTITION BY deployment_id ORDER BY timestamp
@@ -1266,8 +1278,9 @@ SELECT deployment_id, line, timestamp, bad AS flag_tof_invalid, CASE WHEN NOT ba
   row_number() OVER (PARTITION BY deployment_id, session_id ORDER BY timestamp, line) <= 4 AS flag_ema_warmup FROM nums"""
 )
 def read_tof(spark, sf):
-    path, log = _file(spark, sf, schemas.TOF_FILE), cut(_log(spark, sf))
-    rows = raw.read_tof(spark, path, _deployments(spark, sf), log, cut, warmup_rows=4)
+    deployments = _deployments(spark, sf)
+    log = _log(spark, sf, deployments)
+    rows = raw.read_tof(spark, _file(spark, sf, schemas.TOF_FILE), deployments, log, cut, warmup_rows=4)
     return _numbered(rows).select(
         "deployment_id", "line", "timestamp", "flag_tof_invalid", "tof_raw_mm",
         "tof_smooth_ema", "session_id", "dt_sec", "flag_ema_warmup",
@@ -1280,8 +1293,9 @@ def read_tof(spark, sf):
   event_type IN ('error', 'click') AS flag_dht_bad FROM sess"""
 )
 def read_dht(spark, sf):
-    path, log = _file(spark, sf, schemas.DHT_FILE), cut(_log(spark, sf))
-    return _numbered(raw.read_dht(spark, path, _deployments(spark, sf), log, cut)).select(
+    deployments = _deployments(spark, sf)
+    log = _log(spark, sf, deployments)
+    return _numbered(raw.read_dht(spark, _file(spark, sf, schemas.DHT_FILE), deployments, log, cut)).select(
         "deployment_id", "line", "timestamp", "temp_in", "hum_in", "temp_out", "hum_out",
         "session_id", "dt_sec", "flag_dht_bad",
     )
@@ -1446,7 +1460,8 @@ def export_corrected(spark, sf):
 
 def _clean_set(spark, sf) -> dict[str, DataFrame]:
     def make(root: str) -> None:
-        deployments, log = _deployments(spark, sf), cut(_log(spark, sf))
+        deployments = _deployments(spark, sf)
+        log = _log(spark, sf, deployments)
         dht = raw.read_dht(spark, _file(spark, sf, schemas.DHT_FILE), deployments, log, cut)
         tof = raw.read_tof(spark, _file(spark, sf, schemas.TOF_FILE), deployments, log, cut, warmup_rows=4)
         tables.write_clean({"log_clean": log, "dht_clean": dht, "tof_clean": tof}, root, ids=deployments)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.fs as pafs
@@ -14,13 +15,13 @@ from pyspark.sql import types as T
 from nidalytics.functions.scalars import blank_to_null, coalesce_blank, to_number
 from nidalytics.operators import clean
 from nidalytics.operators.night import parse_coords
+from nidalytics.plans import stages
 from nidalytics.plans.ordered import BLOCK, Ordering
 from nidalytics.sources import schemas
 
 FILE_ORDER = ("src_block", "src_row")
 READING_ORDER = Ordering(("deployment_id",), "timestamp", FILE_ORDER)
 Cut = Callable[[DataFrame], DataFrame]
-MAX_COLUMNS = 16  # of a raw file; one with more is quarantined
 
 
 def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], ddl: str) -> DataFrame:
@@ -33,8 +34,30 @@ def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], ddl: str)
         return spark.createDataFrame([], ddl)
 
 
+@contextmanager
+def listing(spark: SparkSession) -> Iterator[None]:
+    """List many folders with a few tasks per core; Spark's own default is a task for every folder."""
+    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    before = spark.conf.get(name)
+    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+#: A device file is a file or, when it is long, a folder of that name with numbered slices, each with the header.
+SLICED = r"/[^/]+\.(?:CSV|csv)/(\d+)\.csv$"
+SLICE_SPAN = 1 << 40
+
+
 def _folder(path: Column) -> Column:
-    return F.regexp_extract(path, r"^(.*)/[^/]+$", 1)
+    return F.regexp_extract(F.regexp_replace(path, SLICED, "/slices"), r"^(.*)/[^/]+$", 1)
+
+
+def _slice(path: Column) -> Column:
+    """Number of the slice, null for a file in one piece."""
+    return F.nullif(F.regexp_extract(path, SLICED, 1), F.lit("")).cast("long")
 
 
 def metadata_pairs(texts: DataFrame, keys: Sequence[str], text: str = "value") -> DataFrame:
@@ -42,28 +65,29 @@ def metadata_pairs(texts: DataFrame, keys: Sequence[str], text: str = "value") -
 
     Lines without "=" are dropped; the first "=" separates; both sides are trimmed.
     """
+    return _split_lines(texts, keys, text).where(F.col("key").isNotNull())
+
+
+def _split_lines(texts: DataFrame, keys: Sequence[str], text: str) -> DataFrame:
+    """(keys, pos, key, value) of every line; key and value are null where there is no "="."""
     lines = texts.select(*keys, F.posexplode(F.split(F.col(text), "\r\n|\n|\r")).alias("pos", "line"))
-    parts = F.split(F.col("line"), "=", 2)
-    return lines.where(F.contains("line", F.lit("="))).select(
-        *keys, "pos", F.trim(parts[0]).alias("key"), F.trim(parts[1]).alias("value")
-    )
+    parts, pair = F.split(F.col("line"), "=", 2), F.contains("line", F.lit("="))
+    return lines.select(*keys, "pos", F.when(pair, F.trim(parts[0])).alias("key"), F.when(pair, F.trim(F.get(parts, F.lit(1)))).alias("value"))
 
 
 def parse_metadata(
     texts: DataFrame, keys: Sequence[str], text: str = "value", names: Sequence[str] = schemas.METADATA_KEYS
 ) -> DataFrame:
     """One row per text with a column per known key; the first value of a key counts."""
-    pairs = metadata_pairs(texts, keys, text)
-    found = pairs.groupBy(*keys).agg(
-        *[F.min_by("value", F.when(F.col("key") == n, F.col("pos"))).alias(n) for n in names]
-    )
-    return texts.select(*keys).join(found, list(keys), "left")
+    found = _split_lines(texts, keys, text)
+    return found.groupBy(*keys).agg(*[F.min_by("value", F.when(F.col("key") == n, F.col("pos"))).alias(n) for n in names])
 
 
 def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
     """One row per METADATA.TXT; the folder name stands in for a missing deployment id."""
     def read() -> DataFrame:
-        texts = spark.read.text(paths, wholetext=True)
+        with listing(spark):
+            texts = spark.read.text(paths, wholetext=True)
         return texts.select(_folder(F.col("_metadata.file_path")).alias("folder"), "value")
 
     texts = read_or_empty(spark, read, "folder string, value string")
@@ -115,12 +139,14 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Folders under the root with the required files that they hold."""
 
     def read() -> DataFrame:
-        return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
+        with listing(spark):
+            return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
 
     files = read_or_empty(spark, read, "path string")
-    return files.select(
-        _folder(F.col("path")).alias("folder"), F.element_at(F.split("path", "/"), -1).alias("name")
-    )
+    whole = F.regexp_replace("path", r"/\d+\.csv$", "")
+    path = F.when(F.col("path").rlike(SLICED), whole).otherwise(F.col("path"))
+    rows = files.select(_folder(F.col("path")).alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"))
+    return rows.distinct()
 
 
 def require_files(listing: DataFrame, required: Sequence[str] = schemas.REQUIRED_FILES) -> DataFrame:
@@ -156,45 +182,57 @@ def discover_deployments(spark: SparkSession, root: str) -> DataFrame:
     return complete_deployments(metadata, list_files(spark, root))
 
 
-def headers(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str], cut: Cut = stages.cut) -> DataFrame:
+    """The lines of device files with folder and place in the file, read once and kept in a stage table.
+
+    A file may be read in several splits, or consist of slices; (src_block, src_row) is
+    file order. The splits serve as blocks, and a file read in one piece is one block.
+    """
+    with listing(spark):
+        lines = spark.read.text(paths)
+    number = _slice(F.col("_metadata.file_path"))
+    start = F.coalesce(number, F.lit(0)) * SLICE_SPAN + F.col("_metadata.file_block_start")
+    cut_up = number.isNotNull() | (F.col("_metadata.file_block_length") < F.col("_metadata.file_size"))
+    return cut(
+        lines.where(F.trim("value") != "").select(
+            _folder(F.col("_metadata.file_path")).alias("folder"),
+            start.alias("src_block"),
+            F.when(cut_up, start).alias(BLOCK),
+            F.monotonically_increasing_id().alias("src_row"),
+            "value",
+        )
+    )
+
+
+def headers(lines: DataFrame, schema: T.StructType) -> DataFrame:
     """(folder, names): the column names of each file whose header line has all the required ones.
 
     The header is the first line that names the time column; quotes and blanks around names are dropped.
     """
-    lines = spark.read.text(paths).where(F.contains("value", F.lit("timestamp")))
-    place = F.struct(F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("place")
-    lines = lines.select(_folder(F.col("_metadata.file_path")).alias("folder"), "value", place)
-    first = lines.groupBy("folder").agg(F.min_by("value", "place").alias("line"))
+    titles = lines.where(F.contains("value", F.lit("timestamp")))
+    first = titles.groupBy("folder").agg(F.min_by("value", F.struct("src_block", "src_row")).alias("line"))
     names = F.transform(F.split("line", ","), lambda n: F.trim(F.translate(n, '"\ufeff\r', "")))
     wanted = F.array(*[F.lit(c) for c in schema.names])
-    return first.select("folder", names.alias("names")).where(
-        (F.size(F.array_except(wanted, "names")) == 0) & (F.size("names") <= MAX_COLUMNS)
-    )
+    return first.select("folder", names.alias("names")).where(F.size(F.array_except(wanted, "names")) == 0)
 
 
-def scan(spark: SparkSession, paths: str | list[str], schema: T.StructType) -> DataFrame:
-    """Raw CSV rows as trimmed text, with folder and place in the file.
+def scan(lines: DataFrame, schema: T.StructType) -> DataFrame:
+    """CSV rows as trimmed text, with folder and place in the file, from :func:`read_lines`.
 
     Columns are found by the names in each file's header, whatever their order and
-    whatever others there are; files without such a header give no rows (see
-    :func:`bad_headers`). A file may be read in several splits; (src_block, src_row)
-    is file order. The splits serve as blocks, and a file read in one piece is one block.
+    whatever and however many others there are; files without such a header give no rows (see
+    :func:`bad_headers`). A value in quotes may hold commas, but no line break.
     """
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(MAX_COLUMNS)])
-    rows = spark.read.schema(wide).csv(paths, header=False, nullValue="NA")
-    start = F.col("_metadata.file_block_start")
-    rows = rows.select(
-        _folder(F.col("_metadata.file_path")).alias("folder"),
-        start.alias("src_block"),
-        F.when(F.col("_metadata.file_block_length") < F.col("_metadata.file_size"), start).alias(BLOCK),
-        F.monotonically_increasing_id().alias("src_row"),
-        F.array(*wide.names).alias("_cells"),
-    )
-    named = rows.join(headers(spark, paths, schema), "folder")
-    cells = {
+    found = headers(lines, schema)
+    width = found.agg(F.max(F.size("names"))).first()[0] or 1
+    wide = ", ".join(f"c{i} string" for i in range(width))
+    named = lines.join(found, "folder")
+    cells = F.array(*[F.col(f"_row.c{i}") for i in range(width)])
+    named = named.withColumn("_row", F.from_csv("value", wide, {"nullValue": "NA"})).withColumn("_cells", cells)
+    values = {
         c: blank_to_null(F.get("_cells", F.array_position("names", F.lit(c)).cast("int") - 1)) for c in schema.names
     }
-    data = named.select("folder", "src_block", BLOCK, "src_row", *[c.alias(n) for n, c in cells.items()])
+    data = named.select("folder", "src_block", BLOCK, "src_row", *[c.alias(n) for n, c in values.items()])
     return data.where(~F.col("timestamp").eqNullSafe(F.lit("timestamp")))
 
 
@@ -271,27 +309,29 @@ def clean_tof(stamped: DataFrame, log: DataFrame, warmup_rows: int = clean.WARMU
 def write_files(files: DataFrame, root: str) -> None:
     """Write texts (folder, name, content) as files below ``root``, one folder per deployment.
 
-    The tasks write through Arrow's file systems; a file written again is the same file.
+    A name may hold a slice, as in ``TOF.CSV/3.csv``. The tasks write through Arrow's file systems, a
+    text at a time; a file written again is the same file.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
         for batch in batches:
-            for row in batch.to_pylist():
-                store.create_dir(f"{base}/{row['folder']}", recursive=True)
-                with store.open_output_stream(f"{base}/{row['folder']}/{row['name']}", compression=None) as file:
-                    file.write(row["content"].encode())
+            for folder, name, content in zip(*batch.columns, strict=True):
+                path = f"{base}/{folder}/{name}"
+                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(path, compression=None) as file:
+                    file.write(content.as_buffer())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
     files.select("folder", "name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def read_log(spark: SparkSession, paths, deployments: DataFrame) -> DataFrame:
-    return clean_log(stamp(scan(spark, paths, schemas.LOG_RAW), deployments))
+    return clean_log(stamp(scan(read_lines(spark, paths), schemas.LOG_RAW), deployments))
 
 
 def read_dht(spark: SparkSession, paths, deployments: DataFrame, log: DataFrame, cut: Cut = lambda d: d) -> DataFrame:
-    return clean_dht(cut(stamp(scan(spark, paths, schemas.DHT_RAW), deployments)), log)
+    return clean_dht(cut(stamp(scan(read_lines(spark, paths), schemas.DHT_RAW), deployments)), log)
 
 
 def read_tof(
@@ -302,4 +342,4 @@ def read_tof(
     cut: Cut = lambda d: d,
     warmup_rows: int = clean.WARMUP_ROWS,
 ) -> DataFrame:
-    return clean_tof(cut(stamp(scan(spark, paths, schemas.TOF_RAW), deployments)), log, warmup_rows)
+    return clean_tof(cut(stamp(scan(read_lines(spark, paths), schemas.TOF_RAW), deployments)), log, warmup_rows)

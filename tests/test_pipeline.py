@@ -304,3 +304,24 @@ def test_a_deployment_that_cannot_be_exported_does_not_stop_the_others(spark, ou
     assert reasons()[1:] == [("newyear", "a correction that cannot be read")]
     ids = {r[0] for r in tables.load_processed(spark, ex, exported=True)["bout_summary"].select("deployment_id").distinct().collect()}
     assert ids == {"A1", "newyear"}  # what was exported before stays
+
+
+def test_device_files_in_slices_and_with_many_columns(spark, tmp_path):
+    folder = tmp_path / "hot"
+    (folder / "TOF.CSV").mkdir(parents=True)
+    (folder / "METADATA.TXT").write_text("deployment_id=H\nno pair here\ndeployment_date=2026-05-01\n")
+    names = [f"extra{i}" for i in range(30)]
+    head = ",".join([*names, "tof_smooth", "timestamp", "tof_raw"])
+    rows = [f"{','.join(['\"a,b\"'] * 30)},{i + 0.5},05-01 00:{i // 60:02d}:{i % 60:02d},{i}" for i in range(250)]
+    for n in range(12):  # the tenth slice comes after the ninth
+        lines = [head, *rows[n * 21 : (n + 1) * 21], ""]
+        (folder / "TOF.CSV" / f"{n}.csv").write_text("\n".join(lines))
+    (folder / "DHT.CSV").write_text("timestamp,temp1,hum1,temp2,hum2\n05-01 00:00:01,1,2,3,4\n")
+    listing = raw.list_files(spark, str(tmp_path))
+    assert {r["name"] for r in listing.collect()} == {"METADATA.TXT", "TOF.CSV", "DHT.CSV"} and listing.count() == 3
+    deployments = raw.deployment_table(raw.read_metadata(spark, f"{tmp_path}/*/METADATA.TXT"))
+    log = spark.createDataFrame([], schemas.LOG_CLEAN)
+    tof = raw.read_tof(spark, f"{tmp_path}/*/TOF.CSV", deployments, log).orderBy("src_block", "src_row").collect()
+    assert [r["tof_raw_mm"] for r in tof] == [None if i == -1 else float(i) for i in range(250)]
+    assert {r["deployment_id"] for r in tof} == {"H"} and tof[9]["tof_smooth_ema"] == 9.5
+    assert [r["timestamp"].second for r in tof[:3]] == [0, 1, 2] and tof[-1]["timestamp"].minute == 4
