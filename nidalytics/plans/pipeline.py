@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nidalytics.operators import bouts as bt
-from nidalytics.operators import classify, clean, correct, night, segment, smooth, summary
+from nidalytics.operators import classify, clean, correct, night, refresh, segment, smooth, summary
 from nidalytics.plans.ordered import BLOCK
 from nidalytics.plans.stages import cut, scratch
 from nidalytics.sources import raw, schemas, tables, versions
@@ -359,3 +359,36 @@ def export_all(
         exported = export_corrected(kept, trimmed, log, boxes, min_bout_sec, bridge_nulls)
         tables.write_processed(exported, export_root, fmt, ids=described)
         return described.count()
+
+
+def refresh_corrected(spark: SparkSession, out: str, root: str, boxes: DataFrame, min_bout_sec: float = bt.MIN_BOUT_SEC) -> int:
+    """Take new correction boxes into the bouts and days under ``root``; returns how many deployments they touch.
+
+    ``root`` holds bout_summary, day_summary and all corrections of deployments that were corrected before; others
+    start from the processed tables under ``out``, whose readings are only read between the bouts that a box can
+    change. One commit replaces the three tables of the touched deployments, see :func:`refresh.refresh`.
+    """
+    keys = list(KEYS)
+    processed, corrected = versions.snapshot(spark, out), versions.snapshot(spark, root)
+    names = T.StructType.fromDDL(schemas.CORRECTIONS).names
+    with scratch(spark):
+        boxes = cut(boxes.select(*names))
+        touched = cut(boxes.select(*keys).distinct())
+        done = corrected.ids("bout_summary")
+
+        def now(name: str, ddl: str) -> DataFrame:
+            first = processed.table(name, ddl).join(done, keys, "left_anti")
+            return first.unionByName(corrected.table(name, ddl)).join(touched, keys, "left_semi")
+
+        every = cut(corrected.table("corrections", schemas.CORRECTIONS).join(touched, keys, "left_semi").unionByName(boxes))
+        deployments = processed.table("deployments", schemas.DEPLOYMENTS).join(touched, keys, "left_semi")
+        readings = processed.table("tof_processed", schemas.TOF_PROCESSED).join(touched, keys, "left_semi")
+        days = cut(now("day_summary", schemas.DAYS))
+        # a day may get its first classified reading, next to those that have one
+        near = days.select(*keys, "date").unionByName(boxes.select(*keys, F.explode(F.expr("sequence(to_date(t_min), to_date(t_max))")).alias("date")))
+        sun = night.sun_table(near.distinct().select(*keys, F.col("date").cast("timestamp").alias("timestamp")), "timestamp", deployments, KEYS)
+        fresh = refresh.refresh(readings, cut(now("bout_summary", schemas.BOUTS)), days, boxes, every, ORDER, cut(sun), min_bout_sec=min_bout_sec)
+        bouts = _typed(_round_mean(fresh["bouts"]), schemas.BOUTS)
+        results = {"bout_summary": bouts, "day_summary": _typed(fresh["days"], schemas.DAYS), "corrections": every}
+        tables.write_tables(results, root, ids=touched)
+        return touched.count()

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nidalytics.functions.scalars import coalesce_blank, infer_year, valid_window
 from nidalytics.operators import bouts as bt
-from nidalytics.operators import classify, clean, correct, night, reports, segment, smooth, summary
+from nidalytics.operators import classify, clean, correct, night, refresh, reports, segment, smooth, summary
 from nidalytics.plans import pipeline
 from nidalytics.plans.ordered import BLOCK, Ordering, running
 from nidalytics.plans.stages import cut, shared_folder
@@ -1407,6 +1407,36 @@ readings AS (SELECT a.user_id, a.event_id, a.ts, a.value, CASE WHEN action = 're
 {BOUTS.replace(READINGS + "," + chr(10), "")}"""
 
 
+CORRECTED = f"""{HITS}, {AUTO}, winner AS (SELECT event_id, arg_max(action, seq) AS action FROM hits GROUP BY event_id),
+fresh AS (SELECT DISTINCT user_id FROM boxes WHERE seq % 3 = 0),
+readings AS (SELECT a.user_id, a.event_id, a.ts, a.value, CASE WHEN action = 'reset' THEN state_auto ELSE coalesce(action, state_auto) END AS state
+  FROM auto a JOIN fresh USING (user_id) LEFT JOIN winner USING (event_id)),
+{BOUTS.replace(READINGS + "," + chr(10), "")}"""
+
+
+def _refreshed(spark, sf) -> dict[str, DataFrame]:
+    """Two thirds of the boxes are in the bouts and days already, the others are new."""
+    rows, every = cut(auto_states(spark, sf)), cut(boxes(spark, sf))
+    new = F.col("seq") % 3 == 0
+    before = cut(correct.apply_corrections(rows, every.where(~new), SERIES, "value"))
+    table = cut(bt.bouts(before, SERIES, "state_corrected", "value", SHORT))
+    days = summary.day_summary(before, table, K, "ts", None, digits=None)
+    return refresh.refresh(before, table, days, every.where(new), every, SERIES, None, "value", min_bout_sec=SHORT, digits=None)
+
+
+@query(f"WITH {CORRECTED} SELECT {BOUT_COLUMNS} FROM bouts")
+def refresh_bouts(spark, sf):
+    return _bout_columns(_refreshed(spark, sf)["bouts"])
+
+
+@query(
+    f"""WITH {CORRECTED}, {DATED}, {_stats_sql("dated")}, {SPINE} SELECT user_id, date, 24.0::DOUBLE AS day_length_h, {DAY_COLUMNS}
+FROM (SELECT *, 86400 AS day_sec FROM spine) LEFT JOIN stats USING (user_id, date)"""
+)
+def refresh_days(spark, sf):
+    return _day_columns(_refreshed(spark, sf)["days"])
+
+
 def _before_export(spark, sf) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Processed readings, climate and corrections."""
     names = {"user_id": "deployment_id", "ts": "timestamp", "event_id": "src_block", "value": "tof_smooth_r"}

@@ -8,6 +8,8 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from nidalytics.operators import bouts as bt
+from nidalytics.operators import correct
 from nidalytics.plans import pipeline
 from nidalytics.sources import raw, schemas, tables, versions
 from nidalytics.streaming.arrivals import process_arrivals
@@ -325,3 +327,27 @@ def test_device_files_in_slices_and_with_many_columns(spark, tmp_path):
     assert [r["tof_raw_mm"] for r in tof] == [None if i == -1 else float(i) for i in range(250)]
     assert {r["deployment_id"] for r in tof} == {"H"} and tof[9]["tof_smooth_ema"] == 9.5
     assert [r["timestamp"].second for r in tof[:3]] == [0, 1, 2] and tof[-1]["timestamp"].minute == 4
+
+
+def test_corrections_refresh_bouts_and_days_in_steps(spark, out, tmp_path):
+    root, t0 = str(tmp_path / "corrected"), dt.datetime(2026, 4, 15, 12, 0)
+    steps = [
+        [("A1", 1, t0, t0 + dt.timedelta(hours=3), 0.0, 500.0, "absent")],
+        [("A1", 2, t0 + dt.timedelta(hours=1), t0 + dt.timedelta(hours=1, minutes=10), 0.0, 500.0, "present"),
+         ("newyear", 3, dt.datetime(2027, 12, 31, 21), dt.datetime(2028, 1, 1, 1), 0.0, 500.0, "reset")],
+    ]
+    processed = tables.load_processed(spark, out)
+    for i, boxes in enumerate(steps):
+        assert pipeline.refresh_corrected(spark, out, root, spark.createDataFrame(boxes, schemas.CORRECTIONS)) == 1 + i
+        every = spark.createDataFrame([b for s in steps[: i + 1] for b in s], schemas.CORRECTIONS)
+        fixed = correct.apply_corrections(processed["tof_processed"].drop("bout_id"), every, pipeline.ORDER)
+        want = bt.bouts(fixed, pipeline.ORDER)
+        now = versions.snapshot(spark, root)
+        got = now.table("bout_summary", schemas.BOUTS)
+        ids = ["A1", "newyear"][: 1 + i]
+        columns = ["deployment_id", "bout_id", "state_corrected", "bout_start", "bout_end", "n_readings", "flag_short"]
+        a, b = (sorted(map(tuple, d.where(F.col("deployment_id").isin(ids)).select(*columns).collect())) for d in (got, want))
+        assert a == b
+        assert now.table("corrections", schemas.CORRECTIONS).count() == every.count()
+        days = {(r["deployment_id"], str(r["date"])) for r in now.table("day_summary", schemas.DAYS).collect()}
+        assert ("A1", "2026-04-15") in days
