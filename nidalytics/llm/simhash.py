@@ -9,7 +9,6 @@ are abandoned. A bucket gives the links of a spanning forest, never all its pair
 from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
-from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -19,7 +18,7 @@ from pyspark.sql import functions as F
 
 from nidalytics.llm.bpe import by_text
 from nidalytics.llm.common import join_by_size, whole
-from nidalytics.llm.repeats import FILTER_BITS, drop_listed, may_repeat, repeat_filter, row_key
+from nidalytics.llm.repeats import drop_listed, row_key
 from nidalytics.plans.stages import cut
 
 SEED = 42
@@ -203,27 +202,8 @@ def blocks(bits: int, radius: int) -> list[np.ndarray]:
     return np.array_split(np.arange(bits), radius + 1)
 
 
-def samples(bits: int, rows: int, agree: float, recall: float = 0.99, seed: int = 7) -> list[np.ndarray]:
-    """Tables of bits drawn at random, for radii where blocks would be too short to separate.
-
-    A table is wide enough that unlike fingerprints share a bucket with some 256 others at most, and there
-    are as many tables as it takes for ``recall`` of the pairs whose bits agree with probability ``agree``:
-    how many bits of a pair differ is binomial, and the pairs above the mean are the ones that are missed.
-    """
-    width = max(10, min(48, round(np.log2(max(rows, 1))) - 8))
-    differ = np.arange(bits + 1)
-    share = np.array([comb(bits, d) * (1 - agree) ** d * agree ** (bits - d) for d in differ.tolist()])
-    apart = 1 - (1 - differ / bits) ** width
-    tables = 1
-    while (share * (1 - apart**tables)).sum() < recall:
-        tables += 1
-    draw = np.random.default_rng(seed)
-    return [np.sort(draw.choice(bits, width, replace=False)) for _ in range(tables)]
-
-
 def buckets(distinct: DataFrame, tables: Sequence[np.ndarray]) -> DataFrame:
-    """(bucket, fp) for every table and fingerprint, with its ``label`` if there is one."""
-    names = ["fp", *(["label"] if "label" in distinct.columns else [])]
+    """(bucket, fp) for every table and fingerprint."""
     width = max(len(t) for t in tables)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -234,23 +214,18 @@ def buckets(distinct: DataFrame, tables: Sequence[np.ndarray]) -> DataFrame:
                 bits = np.unpackbits(np.array([np.frombuffer(x.as_py(), np.uint8) for x in fp]), axis=1).astype(np.int64)
                 for t, table in enumerate(tables):
                     value = (t << width) + bits[:, table] @ power[-len(table) :]
-                    kept = [batch.column(n).slice(at, 4096) for n in names]
-                    yield pa.RecordBatch.from_arrays([pa.array(value), *kept], ["bucket", *names])
+                    yield pa.RecordBatch.from_arrays([pa.array(value), fp], ["bucket", "fp"])
 
-    kinds = "bucket long, fp binary" + (", label long" if "label" in names else "")
-    return distinct.select(*names).mapInArrow(run, kinds)
+    return distinct.select("fp").mapInArrow(run, "bucket long, fp binary")
 
 
 def linked(distinct: DataFrame, tables: Sequence[np.ndarray], radius: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """Links (a, b) between distinct fingerprints that share a bucket and are within the radius, as forests.
 
-    Fingerprints with a ``label`` (long) give all pairs within the radius whose labels differ instead.
     A bucket of more than about ``bucket_rows`` is dealt into parts by hash, and each pair of parts is
     compared on its own, so that no task holds more than two parts. Links of a part are found wherever
     it takes part.
     """
-    labelled = "label" in distinct.columns
-    columns = ["fp", "label"] if labelled else ["fp"]
     members = buckets(distinct, tables)
     some = buckets(distinct.select("fp").filter(F.pmod(F.xxhash64("fp"), F.lit(SAMPLED)) == 0), tables)
     size = SAMPLED * F.count(F.lit(1))
@@ -264,7 +239,7 @@ def linked(distinct: DataFrame, tables: Sequence[np.ndarray], radius: int, bucke
         side = F.broadcast(large) if found <= BROADCAST_ROWS else large
         dealt = members.join(side, "bucket", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
         dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        units = dealt.select("bucket", *columns, F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
+        units = dealt.select("bucket", "fp", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["bucket", "i", "j"]
@@ -275,16 +250,10 @@ def linked(distinct: DataFrame, tables: Sequence[np.ndarray], radius: int, bucke
             unit = np.cumsum(np.concatenate(([False], (keys[1:] != keys[:-1]).any(axis=1))))
             raw = rows.column("fp").to_pylist()
             fps = np.frombuffer(b"".join(raw), np.uint8).reshape(len(raw), -1)
-            if labelled:
-                label = rows.column("label").to_numpy()
-                found = ((a[keep], b[keep]) for a, b in near_pairs(fps, unit, radius) if (keep := label[a] != label[b]).any())
-            else:
-                label = forest(fps, unit, radius)
-                rest = np.flatnonzero(label != np.arange(len(label)))
-                found = [(rest, label[rest])]
-            for a, b in found:
-                ends = [pa.array([raw[i] for i in end.tolist()], pa.binary()) for end in (a, b)]
-                yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+            label = forest(fps, unit, radius)
+            rest = np.flatnonzero(label != np.arange(len(label)))
+            ends = [pa.array([raw[i] for i in end.tolist()], pa.binary()) for end in (rest, label[rest])]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
 
         for batch in batches:
             rows = pa.Table.from_batches([batch])
@@ -301,11 +270,8 @@ def linked(distinct: DataFrame, tables: Sequence[np.ndarray], radius: int, bucke
             yield from compared(held)
 
     n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    units = units.select("bucket", "i", "j", *columns).repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
-    links = units.mapInArrow(run, "a binary, b binary")
-    if labelled:  # a pair is seen from either side
-        links = links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return links.distinct()
+    units = units.select("bucket", "i", "j", "fp").repartition(n, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j")
+    return units.mapInArrow(run, "a binary, b binary").distinct()
 
 
 # --- components ---
@@ -387,86 +353,20 @@ def near_groups(
     return out.select(F.col("id").alias(id_column), F.lower(F.hex("fp")).alias("fingerprint"), F.col("first").alias("component_id"))
 
 
-#: Five-word shingles at a Jaccard similarity of 0.8 have a cosine of 0.89 and differ in 15 % of their bits,
-#: 39 of 256 with a deviation of 6 (48 for sets of four and five). The radius only chooses candidates.
-NEAR = {"shingle": 5, "bits": 256, "radius": 64}
-NEAR_AGREE = 0.849
-#: Texts are near copies if their sets of shingles have this share in common, as a fraction.
-SIMILAR = (4, 5)
-#: Large groups are settled first by links of this radius from so many tables.
-SETTLE_RADIUS, SETTLE_TABLES = 42, 4
-
-
-def similar(pairs: DataFrame, alike: DataFrame, rows: DataFrame) -> DataFrame:
-    """The pairs (a, b) of fingerprints whose texts' sets of shingles have a Jaccard similarity of 0.8 or more.
-
-    Sets are made of texts that are in a pair only: of each fingerprint the text with the smallest place.
-    ``alike`` is a written table; ``rows`` have place and text.
-    """
-    pairs = cut(pairs)
-    ends = pairs.select(F.col("a").alias("fp")).unionByName(pairs.select(F.col("b").alias("fp")))
-    ends = ends.groupBy("fp").agg(F.count(F.lit(1)).alias("degree"))
-    wanted = cut(ends.join(alike, "fp").select("fp", "degree", F.col("least.key").alias("key")))
-    keyed = rows.select(F.col("place.key").alias("key"), whole("text").alias("text"))
-    marked = may_repeat(keyed, "key", repeat_filter(wanted, "key", FILTER_BITS, least=1), "__marked", FILTER_BITS)
-    texts = marked.filter("__marked").drop("__marked").join(wanted, "key").drop("key")
-
-    def make():
-        return lambda text: (np.unique(shingle_hashes(text, NEAR["shingle"])).astype("<u8").tobytes(),)
-
-    sets = texts.mapInArrow(by_text(make, pa.schema([("set", pa.binary())]), "text"), "fp binary, degree long, set binary")
-    sets = cut(sets.dropDuplicates(["fp"]))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, of = SIMILAR
-        for batch in batches:
-            x, y = batch.column("set_a"), batch.column("set_b")
-            keep = []
-            for i in range(batch.num_rows):
-                a, b = (np.frombuffer(c[i].as_buffer(), "<u8") for c in (x, y))
-                if of * min(len(a), len(b)) < part * max(len(a), len(b)):
-                    continue
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                if of * both >= part * (len(a) + len(b) - both):
-                    keep.append(i)
-            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
-
-    for end in ("a", "b"):
-        side = sets.select(F.col("fp").alias(end), "degree", F.col("set").alias(f"set_{end}"))
-        pairs = join_by_size(pairs, side, [end], "degree").drop("degree")
-    return pairs.select("a", "b", "set_a", "set_b").mapInArrow(run, "a binary, b binary")
-
-
-def similar_links(alike: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links that connect all fingerprints whose texts are verified to be similar; a written table.
-
-    A first round settles large groups by a few links each; then every candidate pair between
-    fingerprints that are not connected yet is verified, so that no chain of unlike texts decides.
-    """
-    tables = samples(NEAR["bits"], alike.count(), NEAR_AGREE)
-    settled = cut(similar(linked(alike, tables[:SETTLE_TABLES], SETTLE_RADIUS), alike, rows))
-    known = cut(components(settled))
-    labelled = alike.join(known, alike["fp"] == known["node"], "left")
-    labelled = cut(labelled.select("fp", F.xxhash64(F.coalesce("label", "fp")).alias("label")))
-    rest = similar(linked(labelled, tables, NEAR["radius"]), alike, rows)
-    return cut(settled.unionByName(rest))
-
-
-def drop_near_copies(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def drop_near_copies(
+    docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", shingle: int = 3, radius: int = 3, bits: int = 64
+) -> DataFrame:
     """The rows that stay, with all their columns: of each group the one with the smallest id.
 
-    Groups are texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more, by way of
-    others; 256-bit fingerprints choose the candidates, the sets themselves decide. A null id is the
-    smallest. Rows that repeat both id and text are one document and stay together. Texts without words
-    are one group.
+    Groups are texts whose fingerprints are within the radius, by way of others, as in :func:`near_groups`; no
+    link is lost. A null id is the smallest. Rows that repeat both id and text are one document and stay
+    together. Texts without words are one group.
     """
     key = row_key(F.col(id_column), F.sha2(whole(text_column), 256)).alias("key")
     place = F.struct(F.col(id_column).alias("id"), key).alias("place")
     rows = docs.select(place, F.col(text_column).alias("text"))
-    prints = fingerprints(rows, "place", "text", NEAR["shingle"], NEAR["bits"], distinct=True).withColumnRenamed("id", "place")
-    prints = cut(prints)
-    alike = distinct_prints(prints, "place")
-    table = cut(firsts(alike, similar_links(alike, rows)))
+    prints = cut(fingerprints(rows, "place", "text", shingle, bits).withColumnRenamed("id", "place"))
+    table = cut(classes(prints, "place", blocks(bits, radius), radius))
     others = join_by_size(prints, table, ["fp"], "n").filter("place != first")
     gone = cut(others.select("place.key").distinct())
     keyed = docs.select(F.struct("*").alias("row"), key)
