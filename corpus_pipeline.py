@@ -20,7 +20,7 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: five-word shingles, similarity 0.8 or more."""
+    """One document of each group that SimHash links: three-word shingles, three bits of 64 apart at most."""
     return simhash.drop_near_copies(docs)
 
 
