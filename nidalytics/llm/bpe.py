@@ -21,6 +21,10 @@ PIECE_CHARS = 50_000
 #: it. They take white space only at their start, never look back, and look ahead only from white space.
 SAFE = regex.compile(r"(?<=[\p{L}\p{N}\p{P}])(?=[ \n])")
 
+#: White space this long is one piece of the usual patterns, but for a last character that something follows; their
+#: look ahead would fill the stack of the pattern matcher.
+LONG_BLANK = regex.compile(r"\p{White_Space}{10000,}+")
+
 
 def load(path: str, pattern: str) -> tiktoken.Encoding:
     """The encoding of a rank file, built once per worker."""
@@ -49,9 +53,19 @@ def pieces(text: str, size: int = PIECE_CHARS) -> Iterator[str]:
 
 
 def encode(encoding: tiktoken.Encoding, text: str) -> np.ndarray:
-    """Ids as unsigned 32-bit integers; the strings of special tokens are ordinary text."""
+    """Ids as unsigned 32-bit integers; the strings of special tokens are ordinary text.
+
+    Long white space is taken out as the pattern would match it and encoded as one piece, however long it is.
+    """
     ids: list[int] = []
-    for piece in pieces(text):
+    start = 0
+    for blank in LONG_BLANK.finditer(text):
+        end = blank.end() - (blank.end() < len(text))
+        for piece in pieces(text[start : blank.start()]):
+            ids += encoding.encode_ordinary(piece)
+        ids += encoding._encode_single_piece(text[blank.start() : end].encode())
+        start = end
+    for piece in pieces(text[start:]):
         ids += encoding.encode_ordinary(piece)
     return np.array(ids, dtype="<u4")
 
@@ -114,6 +128,7 @@ def tokens(
 ) -> DataFrame:
     """The input with its text replaced by ``ids_column`` (array of int) and ``n_tokens``.
 
+    Columns of the input with the names of new ones, in whatever case, are replaced too. A null text has no ids.
     ``decoded_column`` adds the SHA-256 of the bytes that the ids decode to; a text whose ids do not give
     back its own bytes is an error.
     """
@@ -136,7 +151,8 @@ def tokens(
     if decoded_column:
         made.append((decoded_column, pa.string()))
     schema = pa.schema(made)
-    rest = [c for c in docs.columns if c not in (text_column, *schema.names)]
+    new = {n.lower() for n in (text_column, *schema.names)}
+    rest = [c for c in docs.columns if c.lower() not in new]
     rows = docs.select(*rest, whole(text_column).alias("__text"))
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "__text")
     kept += f", `{ids_column}` array<int>, n_tokens long" + (f", `{decoded_column}` string" if decoded_column else "")

@@ -64,3 +64,30 @@ def test_empty_table(spark):
 def test_decoding_part_of_a_character(encoding):
     ids = bpe.encode(encoding, "🙂")
     assert b"".join(bpe.decode(encoding, ids[i : i + 1]) for i in range(len(ids))) == "🙂".encode()
+
+
+@pytest.mark.parametrize("blank", [" ", "\n", "\r\n", " \n\t", "\u3000", "\x85", "\u2028 "])
+@pytest.mark.parametrize("frame", ["{}", "word{}", "{}word", "word{}'s 12", "a.{}日本{}!?", "x{}\x1cy"])
+def test_long_blanks_encode_as_the_library_does(encoding, blank, frame, monkeypatch):
+    monkeypatch.setattr(bpe, "LONG_BLANK", bpe.regex.compile(bpe.LONG_BLANK.pattern.replace("10000", "5")))
+    for n in (4, 5, 6, 301):
+        text = frame.replace("{}", (blank * n)[:n])
+        assert bpe.encode(encoding, text).tolist() == encoding.encode_ordinary(text)
+
+
+def test_two_million_blanks(spark, encoding):
+    blanks = [" " * 2_000_000, "\n" * 2_000_000, " \t\n" * 700_000]
+    rows = [(3 * i + j, t) for i, b in enumerate(blanks) for j, t in enumerate((b, b + "word", "Some prose." + b + "and more"))]
+    got = {r.doc_id: r for r in bpe.digests(documents(spark, rows), RANKS, PATTERN).collect()}
+    for doc_id, text in rows:
+        assert got[doc_id].decoded_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        kept = text.rstrip() if doc_id % 3 == 1 else text
+        body = kept[:-4] if doc_id % 3 == 1 else kept
+        if doc_id % 3 == 0:
+            assert got[doc_id].n_tokens == len(encoding._encode_single_piece(body.encode()))
+
+
+def test_columns_with_the_names_of_new_ones(spark):
+    docs = spark.createDataFrame([(1, "a b", 7, 8)], "doc_id long, text string, N_TOKENS int, Ids int")
+    out = bpe.tokens(docs, RANKS, PATTERN)
+    assert out.columns == ["doc_id", "ids", "n_tokens"] and out.select("n_tokens").first()[0] == 2
