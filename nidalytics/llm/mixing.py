@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from nidalytics.llm.common import count_words, whole
+from nidalytics.plans.ordered import Ordering, running
 from nidalytics.plans.stages import cut
 
 WEIGHTS = (5, 2, 1)
@@ -49,10 +50,33 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MO
     return table.select("source", "source_size", F.least(cap, F.coalesce(share, cap)).alias("target"))
 
 
-def draw(id_column: Column, source: Column, text: Column, seed: str) -> Column:
-    """A uniform number in [0, 1) that depends on the row alone, so that reruns and retries agree."""
+def row_digest(id_column: Column, source: Column, text: Column, seed: str) -> Column:
+    """A digest of what the draw of a row depends on."""
     parts = [F.lit(seed), F.coalesce(id_column.cast("string"), F.lit("null")), F.coalesce(source, F.lit("null")), F.md5(text)]
-    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 12), 16, 10).cast("double") / float(2**48)
+    return F.md5(F.concat_ws("|", *parts))
+
+
+def draw(digest: Column, occurrence: Column) -> Column:
+    """A uniform number in [0, 1) that depends on the row alone, so that reruns and retries agree.
+
+    Rows that repeat each other draw one after the other, by ``occurrence`` from 0.
+    """
+    own = F.when(occurrence == 0, digest).otherwise(F.md5(F.concat_ws("|", digest, occurrence.cast("string"))))
+    return F.conv(F.substring(own, 1, 12), 16, 10).cast("double") / float(2**48)
+
+
+def numbered(rows: DataFrame, repeated: DataFrame, order: Column) -> DataFrame:
+    """Add ``occurrence``, the number of a row among those with its ``digest``, for the digests in ``repeated``.
+
+    ``repeated`` is a written table. Only rows of such digests are ordered; groups of any size are cut into slices.
+    """
+    first = F.lit(0).cast("long").alias("occurrence")
+    if repeated.isEmpty():
+        return rows.select("*", first)
+    some = rows.join(repeated, "digest", "left_semi").select("*", order.alias("__order"), F.monotonically_increasing_id().alias("__row"))
+    placed = running(cut(some), Ordering(("digest",), "__order", ("__row",)), position="__place")
+    placed = placed.withColumn("occurrence", F.col("__place") - 1).select(*rows.columns, "occurrence")
+    return rows.join(repeated, "digest", "left_anti").select(*rows.columns, first).unionByName(placed)
 
 
 def order_value(u: Column, odds: Column) -> Column:
@@ -119,14 +143,19 @@ def plan(
 def sized(docs: DataFrame, id_column: str, text_column: str, source_column: str, seed: str) -> DataFrame:
     """doc_id, source, size, odds and the place v in the Pareto order; longer documents have larger odds."""
     text = whole(text_column)
-    rows = docs.select(
-        F.col(id_column).alias("doc_id"),
-        F.col(source_column).alias("source"),
-        count_words(text).alias("size"),
-        draw(F.col(id_column), F.col(source_column), text, seed).alias("u"),
+    rows = cut(
+        docs.select(
+            F.col(id_column).alias("doc_id"),
+            F.col(source_column).alias("source"),
+            count_words(text).alias("size"),
+            row_digest(F.col(id_column), F.col(source_column), text, seed).alias("digest"),
+        )
     )
-    rows = rows.withColumn("odds", F.sqrt(F.col("size") + 1.0))
-    return rows.select("doc_id", "source", "size", "odds", order_value(F.col("u"), F.col("odds")).alias("v"))
+    counts = rows.groupBy("digest").agg(F.count(F.lit(1)).alias("n"))
+    rows = numbered(rows, cut(counts.where("n > 1").select("digest")), F.lit(0))
+    odds = F.sqrt(F.col("size") + 1.0)
+    place = order_value(draw(F.col("digest"), F.col("occurrence")), odds)
+    return rows.select("doc_id", "source", "size", odds.alias("odds"), place.alias("v"), "digest", "occurrence")
 
 
 def copies_of(rows: DataFrame, mix: DataFrame) -> DataFrame:
@@ -157,7 +186,7 @@ def mix_report(
     """One row per input row: its size, its source's size and target, and the words the mix takes.
 
     A null source is a source of its own, a null text has no words. Rows that repeat id, source and
-    text share one draw and are taken alike. A source misses its target by less than the smallest
+    text draw one by one, like any others. A source misses its target by less than the smallest
     document left in the cell where its sample ends.
     """
     rows = cut(sized(docs, id_column, text_column, source_column, seed))
@@ -177,15 +206,17 @@ def mixed(
     seed: str = "mix",
 ) -> DataFrame:
     """The mix itself: each row as often as it is taken, with all its columns."""
-    mix = plan(cut(sized(docs, id_column, text_column, source_column, seed)), weights, most, seed)
+    table = cut(sized(docs, id_column, text_column, source_column, seed))
+    mix = plan(table, weights, most, seed)
     text = whole(text_column)
     rows = docs.select(
         F.struct("*").alias("row"),
         F.col(id_column).alias("doc_id"),
         F.col(source_column).alias("source"),
         F.sqrt(count_words(text) + 1.0).alias("odds"),
-        draw(F.col(id_column), F.col(source_column), text, seed).alias("u"),
+        row_digest(F.col(id_column), F.col(source_column), text, seed).alias("digest"),
     )
-    rows = rows.withColumn("v", order_value(F.col("u"), F.col("odds")))
+    rows = numbered(rows, cut(table.where("occurrence = 1").select("digest")), F.xxhash64("row"))
+    rows = rows.withColumn("v", order_value(draw(F.col("digest"), F.col("occurrence")), F.col("odds")))
     out = copies_of(rows, mix).withColumn("copy", F.explode(F.array_repeat(F.lit(1), F.col("copies"))))
     return out.select("row.*")

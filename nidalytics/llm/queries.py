@@ -135,9 +135,11 @@ def op7_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
 
 # targets by water filling; v is the place in the Pareto order
 MIX = rf"""
-    WITH rows AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size,
-      ('0x' || substr(md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(source, 'null') || '|' || md5(coalesce(text, ''))), 1, 12))::BIGINT
-        / 281474976710656.0::DOUBLE AS u FROM documents),
+    WITH digests AS (SELECT doc_id, source, len({WORDS})::BIGINT AS size,
+      md5('mix|' || coalesce(doc_id::VARCHAR, 'null') || '|' || coalesce(source, 'null') || '|' || md5(coalesce(text, ''))) AS digest FROM documents),
+    turns AS (SELECT *, row_number() OVER (PARTITION BY digest) - 1 AS turn FROM digests),
+    rows AS (SELECT doc_id, source, size, ('0x' || substr(CASE WHEN turn = 0 THEN digest ELSE md5(digest || '|' || turn) END, 1, 12))::BIGINT
+        / 281474976710656.0::DOUBLE AS u FROM turns),
     placed AS (SELECT *, u / (u + (1 - u) * sqrt(size + 1.0::DOUBLE)) AS v FROM rows),
     sums AS (SELECT source, sum(size)::BIGINT AS s FROM rows GROUP BY source),
     weighted AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT]::BIGINT AS w FROM sums),
