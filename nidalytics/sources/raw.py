@@ -142,11 +142,14 @@ def list_files(spark: SparkSession, root: str) -> DataFrame:
         with listing(spark):
             return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
 
-    files = read_or_empty(spark, read, "path string")
+    return folder_files(read_or_empty(spark, read, "path string")).distinct()
+
+
+def folder_files(files: DataFrame) -> DataFrame:
+    """(folder, name) of device files by ``path``; a slice counts as the file that it is part of."""
     whole = F.regexp_replace("path", r"/\d+\.csv$", "")
     path = F.when(F.col("path").rlike(SLICED), whole).otherwise(F.col("path"))
-    rows = files.select(_folder(F.col("path")).alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"))
-    return rows.distinct()
+    return files.select(_folder(F.col("path")).alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"))
 
 
 def require_files(listing: DataFrame, required: Sequence[str] = schemas.REQUIRED_FILES) -> DataFrame:
