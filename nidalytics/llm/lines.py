@@ -8,6 +8,8 @@ their sets are compared. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,14 +154,68 @@ def pairs_of(joined: DataFrame, near: str, other: str) -> DataFrame:
     return joined.select(F.greatest(*places)["lid"].alias("a"), F.least(*places)["lid"].alias("b")).distinct()
 
 
+#: Leader rounds go on while the open lines would meet more than so many entries each, and while a round settles an eighth.
+ENOUGH, LEAST_SETTLED = 16, 8
+
+
+def led_pairs(open_entries: DataFrame, led: int) -> DataFrame | None:
+    """Pairs of open lines with two leaders of each crowded word, None where no word is crowded.
+
+    The first round takes the line with most copies and the earliest; later ones, any two lines.
+    """
+    line = F.struct("id", "lid", "n", "pos", "parity")
+    # at most one such word in MANY entries; Spark broadcasts the table where its size allows
+    crowded = cut(open_entries.groupBy("word").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= MANY).select("word"))
+    if crowded.isEmpty():
+        return None
+    crowd = open_entries.join(crowded, "word")
+    draw = F.xxhash64("lid", F.lit(led))
+    two = (
+        (F.max_by(line, F.struct("copies", "n")), F.min(line)) if led == 0 else (F.max_by(line, draw), F.min_by(line, draw))
+    )
+    leaders = crowd.groupBy("word").agg(two[0].alias("one"), two[1].alias("two"), F.count(F.lit(1)).alias("rows"))
+    near = join_by_size(crowd.select("word", "id", "lid", "n", "pos", "parity"), cut(leaders), ["word"], "rows")
+    near = near.withColumn("o", F.explode(F.array("one", "two"))).drop("one", "two", "rows")
+    near = near.select("*", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("id", "lid", "n", "pos", "parity")))
+    return pairs_of(near.filter(possible("", "o_") | possible("o_", "")), "", "o_")
+
+
+def work_left(entries: DataFrame, open_entries: DataFrame) -> bool:
+    """Whether open lines share their words with so many entries that another leader round pays."""
+    both = entries.groupBy("word").agg(F.count(F.lit(1)).alias("all"))
+    mine = open_entries.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("open"))
+    meets, rows = mine.join(both, "word").agg(F.sum(F.col("open") * F.col("all")), F.sum("open")).first()
+    return (meets or 0) > ENOUGH * (rows or 0)
+
+
+def open_pairs(open_entries: DataFrame, closed: DataFrame) -> DataFrame:
+    """Pairs in which the later line is open; two settled lines never meet."""
+    facts = ("id", "lid", "n", "pos", "parity")
+
+    def longer(rows: DataFrame) -> DataFrame:
+        return rows.select("word", *facts)
+
+    def shorter(rows: DataFrame, *more: str) -> DataFrame:
+        return rows.filter("short").select("word", *(F.col(c).alias(f"o_{c}") for c in facts), *more)
+
+    after = F.struct("id", "lid") > F.struct(F.col("o_id").alias("id"), F.col("o_lid").alias("lid"))
+    everything = open_entries.withColumn("o_open", F.lit(True)).unionByName(closed.withColumn("o_open", F.lit(False)))
+    mine = longer(open_entries).join(shorter(everything, "o_open"), "word").filter((after | F.col("o_open")) & possible("", "o_"))
+    words = repeat_filter(closed.select("word"), "word", hashes=1, least=1)
+    met = may_repeat(open_entries, "word", words, "flag", hashes=1).filter("flag")
+    theirs = longer(closed).join(shorter(met), "word").filter(~after & possible("", "o_"))
+    return pairs_of(mine.drop("o_open").unionByName(theirs), "", "o_")
+
+
 def matched(firsts: DataFrame, fetch) -> DataFrame:
     """The lids of lines (place, n, prefix, parity, copies) that match an earlier one of them.
 
     A word's entries that stand early enough in their lines (``short``) find all lines that are not
-    shorter. Where a word has many entries, its lines are first compared with two of them: the one with
-    most copies and the earliest. That settles most of a large group of like lines in a number of
-    comparisons that grows with the group, not its square. Lines that are still open are compared with
-    all others of their words, so that no match is missed.
+    shorter. Where a word has many entries, its open lines are first compared with two of them, which
+    settles most of a large group of like lines in a number of comparisons that grows with the group, not
+    its square; such rounds go on as long as they settle much and much is left. Lines that are still open
+    are compared with all entries of their words, so that no match is missed; settled lines are only
+    looked up by these, never with each other.
     """
     n = F.col("n")
     reach = n - F.floor((2 * NUM * n + DEN + NUM - 1) / (DEN + NUM)).cast("int")  # last place in a shorter line
@@ -170,26 +226,27 @@ def matched(firsts: DataFrame, fetch) -> DataFrame:
     entries = may_repeat(entries, "word", found, "flag", hashes=1).filter("flag").drop("flag")
     entries = cut(entries.withColumn("short", F.col("pos") <= F.col("reach")).drop("reach"))
 
-    line = F.struct("id", "lid", "n", "pos", "parity")
-    # at most one such word in MANY entries; Spark broadcasts the table where its size allows
-    crowded = cut(entries.groupBy("word").agg(F.count(F.lit(1)).alias("all")).filter(F.col("all") >= MANY).select("word"))
-    crowd = entries.join(crowded, "word")
-    leaders = crowd.groupBy("word").agg(
-        F.max_by(line, F.struct("copies", "n")).alias("most"), F.min(line).alias("first"), F.count(F.lit(1)).alias("rows")
-    )
-    one = join_by_size(crowd.drop("copies", "short"), cut(leaders), ["word"], "rows")
-    one = one.withColumn("o", F.explode(F.array("most", "first"))).drop("most", "first", "rows")
-    one = one.select("*", *(F.col(f"o.{c}").alias(f"o_{c}") for c in ("id", "lid", "n", "pos", "parity")))
-    pairs = cut(pairs_of(one.filter(possible("", "o_") | possible("o_", "")), "", "o_"))
-    settled = cut(verified(pairs, fetch(pairs)).select(F.col("a").alias("settled")).distinct())
-
-    shorter = entries.filter("short").select("word", *(F.col(c).alias(f"o_{c}") for c in ("id", "lid", "n", "pos", "parity")))
-    longer = entries.select("word", "id", "lid", "n", "pos", "parity")
-    rest = pairs_of(longer.join(shorter, "word").filter(possible("", "o_")), "", "o_")
-    rest = rest.join(settled, F.col("a") == F.col("settled"), "left_anti")
-    rest = cut(rest.join(pairs, ["a", "b"], "left_anti"))
+    open_entries, settled, tried = entries, None, None
+    for led in count():
+        pairs = led_pairs(open_entries, led)
+        if pairs is None:
+            break
+        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        new = cut(verified(pairs, fetch(pairs)).select(F.col("a").alias("settled")).distinct())
+        tried = pairs if tried is None else tried.unionByName(pairs)
+        settled = new if settled is None else settled.unionByName(new)
+        before, open_entries = open_entries, cut(open_entries.join(new, F.col("lid") == F.col("settled"), "left_anti"))
+        n_before, n_open = before.count(), open_entries.count()
+        if n_before > LEAST_SETTLED * (n_before - n_open) or not work_left(entries, open_entries):
+            break
+    if settled is None:
+        rest = open_pairs(open_entries, entries.limit(0))
+    else:
+        closed = cut(entries.join(settled, F.col("lid") == F.col("settled"), "left_semi"))
+        rest = open_pairs(open_entries, closed).join(tried, ["a", "b"], "left_anti")
+    rest = cut(rest)
     more = verified(rest, fetch(rest)).select(F.col("a").alias("settled"))
-    return settled.unionByName(more).distinct()
+    return (more if settled is None else settled.unionByName(more)).distinct()
 
 
 def removals(rows: DataFrame) -> DataFrame:

@@ -73,6 +73,16 @@ def test_matches_brute_force(spark, monkeypatch, rows, many):
     assert all(r.n_removed == len(r.removed) for r in got)
 
 
+def test_comparisons_grow_with_the_lines(spark, monkeypatch):
+    compared, verified = [], lines.verified
+    monkeypatch.setattr(lines, "verified", lambda pairs, sets: compared.append(pairs.count()) or verified(pairs, sets))
+    for n in (150, 600):
+        compared.clear()
+        rows = [(i, f"{prose(9, 18)} new{i}") for i in range(n)]  # any two of them match
+        got = lines.repeated_lines(documents(spark, rows)).collect()
+        assert [r.doc_id for r in got if not r.n_removed] == [0] and sum(compared) <= 2 * n
+
+
 def test_one_cell_for_all_words_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(lines, "CELLS", 1)
     rows = made(4)
