@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nidalytics.plans.quantiles import exact_quantiles
+from nidalytics.plans.quantiles import exact_quantiles, value_cell
 from nidalytics.plans.stages import spread
 
 PRESENT, ABSENT, UNCERTAIN = "present", "absent", "uncertain"
@@ -47,18 +47,30 @@ def two_means(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
 
     In one dimension the best split is a cut of the sorted values, so all cuts
     are scored with running sums and the best is kept (the lowest cut on ties).
+    The sums run over cells of values first, then inside each cell, so that no
+    task holds all distinct medians of a key.
     """
-    counts = median_counts(segments, keys)
-    upto = Window.partitionBy(*keys).orderBy("seg_median").rowsBetween(Window.unboundedPreceding, 0)
-    whole = Window.partitionBy(*keys)
+    counts = median_counts(segments, keys).withColumn("_cell", value_cell(F.col("seg_median").cast("double")))
     m, w = F.col("seg_median"), F.col("_w")
-    sums = counts.select(
+    below = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    cells = counts.groupBy(*keys, "_cell").agg(F.sum(w).alias("_cn"), F.sum(w * m).alias("_cs"))
+    cells = cells.select(
+        *keys,
+        "_cell",
+        F.coalesce(F.sum("_cn").over(below), F.lit(0)).alias("_bn"),
+        F.coalesce(F.sum("_cs").over(below), F.lit(0.0)).alias("_bs"),
+        F.sum("_cn").over(whole).alias("_n"),
+        F.sum("_cs").over(whole).alias("_s"),
+    )
+    upto = Window.partitionBy(*keys, "_cell").orderBy("seg_median").rowsBetween(Window.unboundedPreceding, 0)
+    sums = counts.join(cells, [*keys, "_cell"]).select(
         *keys,
         "seg_median",
-        F.sum(w).over(upto).alias("_n1"),
-        F.sum(w * m).over(upto).alias("_s1"),
-        F.sum(w).over(whole).alias("_n"),
-        F.sum(w * m).over(whole).alias("_s"),
+        (F.col("_bn") + F.sum(w).over(upto)).alias("_n1"),
+        (F.col("_bs") + F.sum(w * m).over(upto)).alias("_s1"),
+        "_n",
+        "_s",
     )
     n2, s2 = F.col("_n") - F.col("_n1"), F.col("_s") - F.col("_s1")
     # the within-cluster sum of squares is lowest where this is highest

@@ -11,11 +11,14 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from nidalytics.plans.stages import cut
 
 CELLS_PER_OCTAVE = 4096
+#: Groups with more distinct values than this are ranked by cells instead of in one buffer.
+MANY_VALUES = 2**17
 
 
-def _cell(v: Column) -> Column:
+def value_cell(v: Column) -> Column:
     """A whole number that grows with the value, by 4096 from one power of two to the next."""
     size = F.abs(v)
     octave = F.floor(F.log2(size))
@@ -41,11 +44,16 @@ def exact_quantiles(
     # the join below implies these filters; stated here, both its sides share one exchange
     counts = (
         df.select(*keys, value.cast("double").alias("_v"))
-        .withColumn("_cell", F.floor(F.col("_v") / grid) if grid else _cell(F.col("_v")))
+        .withColumn("_cell", F.floor(F.col("_v") / grid) if grid else value_cell(F.col("_v")))
         .where(" AND ".join(f"`{c}` IS NOT NULL" for c in (*keys, "_v", "_cell")))
         .groupBy(*keys, "_cell", "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
+    return quantiles_of_counts(counts, keys, probs)
+
+
+def quantiles_of_counts(counts: DataFrame, keys: Sequence[str], probs: Mapping[str, float]) -> DataFrame:
+    """As :func:`exact_quantiles`, from distinct values: (keys, _cell, _v, _n)."""
     along = Window.partitionBy(*keys).orderBy("_cell")
     cells = (
         counts.groupBy(*keys, "_cell")
@@ -85,18 +93,26 @@ def exact_quantiles(
 
 
 def histogram_quantile(
-    df: DataFrame, keys: Sequence[str], value: Column, prob: float, out: str
+    df: DataFrame, keys: Sequence[str], value: Column, prob: float, out: str, many: int = MANY_VALUES
 ) -> DataFrame:
     """Quantile per group from a histogram of distinct values.
 
-    The counting shuffles on (keys, value), so a long group is spread out; what
-    reaches one task per group are its distinct values, which for sensor
-    distances is the number of levels the sensor can report.
+    The counting shuffles on (keys, value), so a long group is spread out. Groups of at most ``many`` distinct
+    values are then merged in one buffer each; the others are ranked cell by cell, which no task holds whole.
     """
+    keys = list(keys)
     counts = (
         df.select(*keys, value.cast("double").alias("_v"))
         .where(F.col("_v").isNotNull())
         .groupBy(*keys, "_v")
         .agg(F.count(F.lit(1)).alias("_n"))
     )
-    return counts.groupBy(*keys).agg(F.percentile("_v", F.lit(prob), F.col("_n")).alias(out))
+    counts = cut(counts)  # what comes before runs once
+    # at most one group for every ``many`` distinct values
+    wide = cut(counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > many).drop("_d"))
+    median = F.percentile("_v", F.lit(prob), F.col("_n")).alias(out)
+    if wide.isEmpty():
+        return counts.groupBy(*keys).agg(median)
+    small = counts.join(F.broadcast(wide), keys, "left_anti").groupBy(*keys).agg(median)
+    large = counts.join(F.broadcast(wide), keys, "left_semi").withColumn("_cell", value_cell(F.col("_v")))
+    return small.unionByName(quantiles_of_counts(large, keys, {out: prob}))

@@ -2,6 +2,7 @@
 
 import random
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import Window
@@ -9,6 +10,7 @@ from pyspark.sql import functions as F
 
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import clean, smooth
+from nidalytics.operators.classify import two_means
 from nidalytics.plans import ordered
 from nidalytics.plans.ordered import BLOCK, Ordering, add_blocks, running, steps
 from nidalytics.plans.quantiles import exact_quantiles, histogram_quantile
@@ -194,3 +196,26 @@ def test_rolling_median_does_not_depend_on_cuts(awkward, monkeypatch):
     want = smoothed()
     monkeypatch.setattr(ordered, "TARGET_ROWS", 30)
     assert smoothed() == want
+
+
+def test_wide_groups_are_ranked_by_cells(spark):
+    rng = np.random.default_rng(5)
+    parts = [("wide", rng.random(5000)), ("signed", rng.normal(0, 1e3, 3001)), ("few", np.repeat([1.0, 2.5, 2.5, 9.0], 50)), ("one", [4.25])]
+    frame = pd.DataFrame([(k, float(v)) for k, values in parts for v in values] + [("wide", None)], columns=["k", "v"])
+    series = spark.createDataFrame(frame).where("NOT isnan(v)")
+    want = {k: float(np.median(values)) for k, values in parts}
+    for many in (1, 100, 2**17):
+        got = histogram_quantile(series, ["k"], F.col("v"), 0.5, "m", many=many).collect()
+        assert {r.k: r.m for r in got} == pytest.approx(want, rel=1e-14)
+
+
+def test_two_means_of_many_distinct_values(spark):
+    rng = np.random.default_rng(6)
+    values = {"near": np.concatenate([rng.normal(90, 2, 3000), rng.normal(130, 3, 1000)]), "signed": rng.normal(0, 5, 2001), "pair": np.array([1.0, 7.0])}
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, seg_median double")
+    got = {r.k: (r.centre_lo, r.centre_hi) for r in two_means(rows, ["k"]).collect()}
+    for k, vs in values.items():
+        x = np.sort(vs)
+        spread = [((x[:i] - x[:i].mean()) ** 2).sum() + ((x[i:] - x[i:].mean()) ** 2).sum() for i in range(1, len(x))]
+        i = int(np.argmin(spread)) + 1
+        assert got[k] == pytest.approx((x[:i].mean(), x[i:].mean()), rel=1e-9)
