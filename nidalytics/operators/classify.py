@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from nidalytics.plans.quantiles import exact_quantiles, value_cell
-from nidalytics.plans.stages import spread
+from nidalytics.plans.quantiles import MANY_VALUES, exact_quantiles, value_cell
+from nidalytics.plans.stages import cut, spread
 
 PRESENT, ABSENT, UNCERTAIN = "present", "absent", "uncertain"
 STATES = (PRESENT, ABSENT, UNCERTAIN)
@@ -26,11 +26,7 @@ VARIANCE_FLOOR = 1e-6
 
 
 def median_counts(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Distinct segment medians per key with the number of segments that have them.
-
-    Everything below works on these, so that what reaches one task per key is
-    bounded by the levels the sensor can report, not by the number of segments.
-    """
+    """Distinct segment medians per key with the number of segments that have them."""
     return segments.groupBy(*keys, "seg_median").agg(F.count(F.lit(1)).alias("_w"))
 
 
@@ -42,15 +38,15 @@ def cluster_viable(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     )
 
 
-def two_means(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Optimal two-cluster split of the medians of each key, as two centres.
+def best_cut(counts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Optimal two-cluster split of the medians of each key: the two centres and the highest value of the lower.
 
     In one dimension the best split is a cut of the sorted values, so all cuts
     are scored with running sums and the best is kept (the lowest cut on ties).
     The sums run over cells of values first, then inside each cell, so that no
     task holds all distinct medians of a key.
     """
-    counts = median_counts(segments, keys).withColumn("_cell", value_cell(F.col("seg_median").cast("double")))
+    counts = counts.withColumn("_cell", value_cell(F.col("seg_median").cast("double")))
     m, w = F.col("seg_median"), F.col("_w")
     below = Window.partitionBy(*keys).orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*keys)
@@ -78,9 +74,21 @@ def two_means(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
     scored = sums.where(n2 > 0).withColumn("_score", F.round(between, 6))
     best = F.struct(F.col("_score"), -F.col("seg_median"))
     picked = scored.groupBy(*keys).agg(
-        F.max_by(F.struct((F.col("_s1") / F.col("_n1")).alias("lo"), (s2 / n2).alias("hi")), best).alias("_c")
+        F.max_by(
+            F.struct(
+                (F.col("_s1") / F.col("_n1")).alias("centre_lo"),
+                (s2 / n2).alias("centre_hi"),
+                F.col("seg_median").alias("cut"),
+            ),
+            best,
+        ).alias("_c")
     )
-    return picked.select(*keys, F.col("_c.lo").alias("centre_lo"), F.col("_c.hi").alias("centre_hi"))
+    return picked.select(*keys, "_c.*")
+
+
+def two_means(segments: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Optimal two-cluster split of the medians of each key, as two centres."""
+    return best_cut(median_counts(segments, keys), keys).drop("cut")
 
 
 def _three_way(value: Column, low: Column, high: Column) -> Column:
@@ -141,10 +149,92 @@ def fit_mixture(x: np.ndarray, w: np.ndarray, equal_var: bool = False, iteration
     return pi[pick], mean[pick], var[pick]
 
 
-def mixture_posteriors(segments: DataFrame, keys: Sequence[str], equal_var: bool = False) -> DataFrame:
-    """Per key and distinct median: posterior of the lower and the upper component."""
-    counts = median_counts(segments, keys)
+def _log_densities() -> tuple[Column, Column]:
+    """Log of weight times density of both components (columns _p, _m, _v) at a median."""
+    x = F.col("seg_median").cast("double")
+    return tuple(
+        F.log(f"_p{i}") - 0.5 * F.log(2 * math.pi * F.col(f"_v{i}")) - F.pow(x - F.col(f"_m{i}"), 2) / (2 * F.col(f"_v{i}"))
+        for i in (0, 1)
+    )
+
+
+def _maximised(rows: DataFrame, keys: Sequence[str], share: Column, total: Column, equal_var: bool) -> DataFrame:
+    """The mixture after one step, a row per key, from each median's share in the lower component.
+
+    ``rows`` carries the mixture before the step; deviations are taken from its means, so that the sums of
+    squares do not cancel. One aggregation, combined before the shuffle: a key is never one task.
+    """
+    before = [f"_{c}{i}" for i in (0, 1) for c in "pmv"]
+    x, w = F.col("seg_median").cast("double"), F.col("_w")
+    sums = [F.sum(w * total).alias("_like")]
+    for i, part in enumerate((share, 1 - share)):
+        off = x - F.col(f"_m{i}")
+        for j in range(3):
+            sums.append(F.sum(w * part * F.pow(off, j)).alias(f"_s{i}{j}"))
+    summed = rows.groupBy(*keys, *before, "_previous").agg(*sums)
+    n = F.col("_s00") + F.col("_s10")
+    squares = [F.col(f"_s{i}2") - F.col(f"_s{i}1") * F.col(f"_s{i}1") / F.col(f"_s{i}0") for i in (0, 1)]
+    after = {}
+    for i in (0, 1):
+        spread_of = (squares[0] + squares[1]) / n if equal_var else squares[i] / F.col(f"_s{i}0")
+        after[f"_next_p{i}"] = F.col(f"_s{i}0") / n
+        after[f"_next_m{i}"] = F.col(f"_m{i}") + F.col(f"_s{i}1") / F.col(f"_s{i}0")
+        after[f"_next_v{i}"] = F.greatest(spread_of, F.lit(VARIANCE_FLOOR))
+    alive = (F.col("_s00") > 0) & (F.col("_s10") > 0) & ~F.isnan(n)
+    settled = F.abs(F.col("_like") - F.col("_previous")) <= TOLERANCE * (1 + F.abs(F.col("_like")))
+    settled = settled & ~F.isnan("_like")
+    stepped = summed.select("*", alive.alias("_alive"), settled.alias("_settled"))
+    return stepped.select(
+        *keys, *before, "_like", "_alive", "_settled", *[F.when(F.col("_alive"), c).alias(name) for name, c in after.items()]
+    )
+
+
+def distributed_mixtures(
+    counts: DataFrame, keys: Sequence[str], equal_var: bool = False, iterations: int = MAX_ITERATIONS
+) -> DataFrame:
+    """:func:`fit_mixture` for keys with many distinct medians, all of them at once, each until it converges.
+
+    A step is one scan of the counted medians: expectation as columns, maximisation as a grouped sum. What a
+    step leaves is a row per key, written, so a lost executor costs one step. Keys that have converged or
+    degenerated take no part in later steps. Returns (keys, _p0, _m0, _v0, _p1, _m1, _v1) of converged keys.
+    """
+    keys = list(keys)
+    parts = [f"_{c}{i}" for i in (0, 1) for c in "pmv"]
+    # means to take deviations from; the weights and variances here are not used
+    start = best_cut(counts, keys).withColumns(
+        {"_cut": F.col("cut"), "_m0": F.col("centre_lo"), "_m1": F.col("centre_hi"), "_previous": F.lit(-math.inf)}
+        | {c: F.lit(1.0) for c in ("_p0", "_p1", "_v0", "_v1")}
+    )
+    below = (F.col("seg_median") <= F.col("_cut")).cast("double")
+    step = cut(_maximised(counts.join(F.broadcast(start), keys), keys, below, F.lit(0.0), equal_var))
+    fitted = step.select(*keys, *parts).where("false")
+    previous = F.lit(-math.inf).alias("_previous")
+    for _ in range(iterations):
+        now = step.where(F.col("_alive") & ~F.col("_settled")).select(
+            *keys, *[F.col(f"_next{c}").alias(c) for c in parts], previous
+        )
+        first, second = _log_densities()
+        top = F.greatest(first, second)
+        total = top + F.log(F.exp(first - top) + F.exp(second - top))
+        step = cut(_maximised(counts.join(F.broadcast(now), keys), keys, F.exp(first - total), total, equal_var))
+        done, going = step.agg(F.count_if("_settled"), F.count_if(F.col("_alive") & ~F.col("_settled"))).first()
+        if done:
+            fitted = fitted.unionByName(step.where("_settled").select(*keys, *parts))
+        if not going:
+            break
+        previous = F.col("_like").alias("_previous")
+    return fitted
+
+
+def mixture_posteriors(
+    segments: DataFrame, keys: Sequence[str], equal_var: bool = False, many: int = MANY_VALUES
+) -> DataFrame:
+    """Per key and distinct median: posterior of the lower and the upper component.
+
+    Keys with at most ``many`` distinct medians are fitted in a task each, the others by scans of all of them.
+    """
     keys = list(keys)
+    counts = cut(median_counts(segments, keys))
     schema = T.StructType(
         [
             *[counts.schema[k] for k in keys],
@@ -165,7 +255,22 @@ def mixture_posteriors(segments: DataFrame, keys: Sequence[str], equal_var: bool
         p /= p.sum(axis=1, keepdims=True)
         return pdf.assign(p_low=p[:, 0], p_high=p[:, 1])[schema.names]
 
-    return spread(counts, keys).groupBy(*keys).applyInPandas(fit, schema)
+    # at most one key for every ``many`` distinct medians
+    wide = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("_d")).where(F.col("_d") > many).drop("_d")
+    if wide.isEmpty():
+        return spread(counts, keys).groupBy(*keys).applyInPandas(fit, schema)
+    wide = cut(wide)
+    narrow = spread(counts.join(F.broadcast(wide), keys, "left_anti"), keys).groupBy(*keys).applyInPandas(fit, schema)
+    large = cut(counts.join(F.broadcast(wide), keys, "left_semi"))
+    first, second = _log_densities()
+    share = F.exp(first - F.greatest(first, second)) / (
+        F.exp(first - F.greatest(first, second)) + F.exp(second - F.greatest(first, second))
+    )
+    low = F.when(F.col("_m1") < F.col("_m0"), 1 - share).otherwise(share)
+    posteriors = large.join(F.broadcast(distributed_mixtures(large, keys, equal_var)), keys).select(
+        *keys, "seg_median", low.alias("p_low"), (1 - low).alias("p_high")
+    )
+    return narrow.unionByName(posteriors)
 
 
 def classify_gmm(

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
+import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from nidalytics.functions.scalars import valid_window
 from nidalytics.plans.ordered import BLOCK, Ordering, running
 from nidalytics.plans.quantiles import exact_quantiles
-from nidalytics.plans.stages import cut
 
 DEFAULT_INTERVAL = 2.0
 SMOOTH_SEC = 75.0
 SLICE_ROWS = 500_000
+#: Frames of more rows slide over a rank tree; shorter ones are sorted in the JVM.
+WIDE_FRAME = 255
 
 
 def usable(df: DataFrame) -> Column:
@@ -71,6 +74,8 @@ def rolling_median(
         raise ValueError("k must be odd")
     if nulls not in ("propagate", "skip"):
         raise ValueError("nulls must be 'propagate' or 'skip'")
+    if k > WIDE_FRAME:
+        return sliding_median(df, o, value, F.lit(k), nulls, out, slice_rows, position)
     half = k // 2
     size = max(slice_rows, 2 * k)
     columns = [c for c in df.columns if c != out]
@@ -103,6 +108,66 @@ def rolling_median(
     )
 
 
+def sliding_median(
+    df: DataFrame,
+    o: Ordering,
+    value: Column,
+    k: Column,
+    nulls: str = "propagate",
+    out: str = "tof_smooth_r",
+    slice_rows: int = SLICE_ROWS,
+    position: str | None = None,
+) -> DataFrame:
+    """As :func:`rolling_median`, with the odd window size of each series as data: any mix of sizes in one pass.
+
+    A slice, with its rows near a cut copied in, is one task's work. Values are replaced by their ranks in the
+    slice, and a tree of ranks follows the window, so a row costs log(k) and medians are exact for any type.
+    A null or even ``k`` fails.
+    """
+    if nulls not in ("propagate", "skip"):
+        raise ValueError("nulls must be 'propagate' or 'skip'")
+    columns = [c for c in df.columns if c not in (out, BLOCK)]
+    numbered = df.withColumns({"_x": value if nulls == "propagate" else value.cast("double"), "_width": k.cast("long")})
+    numbered = numbered.withColumn("_pos", F.col(position)) if position else running(numbered, o, position="_pos")
+    odd = F.col("_width").isNotNull() & (F.col("_width") % 2 == 1) & (F.col("_width") > 0)
+    numbered = numbered.withColumn(
+        "_width", F.when(odd, F.col("_width")).otherwise(F.raise_error(F.lit("k must be odd")).cast("long"))
+    )
+    half, size = F.floor(F.col("_width") / 2), F.greatest(F.lit(slice_rows), 2 * F.col("_width"))
+
+    def slice_of(row: Column) -> Column:
+        return F.floor((row - 1) / size)
+
+    home, pos = slice_of(F.col("_pos")), F.col("_pos")
+    around = F.array_distinct(F.array(home, slice_of(F.greatest(pos - half, F.lit(1))), slice_of(pos + half)))
+    copies = numbered.withColumns({"_home": home, "_slice": F.explode(around)})
+    copies = copies.select(*columns, *[c for c in o.keys if c not in columns], "_x", "_width", "_pos", "_home", "_slice")
+    schema = T.StructType([*[copies.schema[c] for c in columns], T.StructField(out, copies.schema["_x"].dataType)])
+
+    def slide(rows: pa.Table) -> pa.Table:
+        rows = rows.sort_by("_pos")
+        x, width = rows["_x"].combine_chunks(), rows["_width"][0].as_py()
+        known = ~x.is_null().to_numpy(zero_copy_only=False)
+        levels, ranks = np.unique(x.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)
+        rank = np.full(len(x), np.nan)
+        rank[known] = ranks
+        window = pd.Series(rank).rolling(width, center=True, min_periods=width if nulls == "propagate" else 1)
+        low = window.quantile(0.5, interpolation="lower").to_numpy()
+        at = np.arange(len(x))
+        full = (at >= width // 2) & (at < len(x) - width // 2) & ~np.isnan(low)
+        found = levels[low[full].astype(np.int64)]
+        if nulls == "skip" and full.any():
+            high = window.quantile(0.5, interpolation="higher").to_numpy()
+            found = (found + levels[high[full].astype(np.int64)]) / 2
+        median = np.full(len(x), None, dtype=object)
+        median[full] = found
+        own = pa.array(rows["_home"].to_numpy() == rows["_slice"].to_numpy())
+        result = pa.array(median, type=x.type, from_pandas=False)
+        return rows.select(columns).append_column(out, result).filter(own)
+
+    return copies.groupBy(*o.keys, "_slice").applyInArrow(slide, schema)
+
+
 def smooth_by_window_size(
     df: DataFrame,
     o: Ordering,
@@ -115,22 +180,15 @@ def smooth_by_window_size(
 ) -> DataFrame:
     """Rolling median with the window size of each deployment, ``default_k`` where none is known.
 
-    Frames need literal bounds, so deployments are handled per distinct size.
-    Sizes are odd numbers up to seconds / interval, a few dozen at most, whatever
-    the number of deployments, and usually all the same. Where they differ, the
-    readings are laid out by size once, so that every size reads its own part.
+    Frames need literal bounds: where all deployments have one size, it is one. Where they differ, all of them
+    slide in one pass, with the size as data.
     """
     by = [c for c in sizes.columns if c in o.keys]
     known = sizes.where(F.col("k").isNotNull()).select(*by, F.col("k").alias("_k")).dropDuplicates(by)
-    distinct = {r["_k"] for r in known.select("_k").distinct().collect()}
-    if not df.select(*by).distinct().join(known, by, "left_anti").isEmpty():
+    distinct = {r["_k"] for r in known.select("_k").distinct().limit(2).collect()}
+    if len(distinct) < 2 and not df.select(*by).distinct().join(known, by, "left_anti").isEmpty():
         distinct.add(default_k)
     if len(distinct) <= 1:
         return rolling_median(df, o, value, *distinct or {default_k}, nulls, out, position=position)
     sized = df.drop(BLOCK).join(known, by, "left").withColumn("_k", F.coalesce("_k", F.lit(default_k)))
-    laid_out = cut(sized, by="_k")
-    parts = [
-        rolling_median(laid_out.where(F.col("_k") == k).drop("_k"), o, value, k, nulls, out, position=position)
-        for k in sorted(distinct)
-    ]
-    return reduce(DataFrame.unionByName, parts)
+    return sliding_median(sized, o, value, F.col("_k"), nulls, out, position=position).drop("_k")

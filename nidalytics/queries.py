@@ -414,6 +414,29 @@ def rolling_median_skip(spark, sf):
     return _rolling(spark, sf, "skip")
 
 
+_FRAMES = ", ".join(
+    f"w{h} AS (PARTITION BY user_id, session_id ORDER BY ts, event_id ROWS BETWEEN {h} PRECEDING AND {h} FOLLOWING)"
+    for h in (1, 2, 4)
+)
+
+
+@query(
+    f"""WITH {SESSIONS}, x AS (SELECT *, CASE WHEN event_type <> 'error' THEN value END AS x FROM sessions)
+SELECT user_id, event_id, CASE
+  WHEN user_id % 3 = 0 AND count(*) OVER w1 = 3 THEN round(median(x) OVER w1, 6)
+  WHEN user_id % 3 = 1 AND count(*) OVER w2 = 5 THEN round(median(x) OVER w2, 6)
+  WHEN user_id % 3 = 2 AND count(*) OVER w4 = 9 THEN round(median(x) OVER w4, 6) END AS smooth
+FROM x WINDOW {_FRAMES}""",
+)
+def rolling_median_by_size(spark, sf):
+    df = sessions(spark, sf)
+    k = F.get(F.array(F.lit(3), F.lit(5), F.lit(9)), (F.col("user_id") % 3).cast("int"))
+    sizes = df.select("user_id").distinct().withColumn("k", k)
+    x = F.when(F.col("event_type") != "error", F.col("value"))
+    got = smooth.smooth_by_window_size(df, SERIES.within("session_id"), x, sizes, "skip", "smooth")
+    return got.select(*ROW, r6(F.col("smooth"), "smooth"))
+
+
 @query(f"WITH {SUN} SELECT * FROM sun")
 def sun_times(spark, sf):
     return sun(spark, sf)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import clean, smooth
-from nidalytics.operators.classify import two_means
+from nidalytics.operators.classify import distributed_mixtures, fit_mixture, median_counts, mixture_posteriors, two_means
 from nidalytics.plans import ordered
 from nidalytics.plans.ordered import BLOCK, Ordering, add_blocks, running, steps
 from nidalytics.plans.quantiles import exact_quantiles, histogram_quantile
@@ -219,3 +219,57 @@ def test_two_means_of_many_distinct_values(spark):
         spread = [((x[:i] - x[:i].mean()) ** 2).sum() + ((x[i:] - x[i:].mean()) ** 2).sum() for i in range(1, len(x))]
         i = int(np.argmin(spread)) + 1
         assert got[k] == pytest.approx((x[:i].mean(), x[i:].mean()), rel=1e-9)
+
+
+@pytest.mark.parametrize(("equal_var", "many"), [(False, 120), (True, 0)])
+def test_mixtures_of_many_distinct_values_are_those_of_few(spark, equal_var, many):
+    """Scans of all medians give what one task per key gives, for keys that converge at different steps or degenerate."""
+    rng = np.random.default_rng(8)
+    values = {
+        "apart": np.concatenate([rng.normal(90, 2, 300), rng.normal(130, 3, 100)]).round(1),
+        "far": np.concatenate([rng.normal(1e6, 2, 200), rng.normal(1e6 + 14, 3, 150)]),
+        "flat": np.array([7.0] * 5),
+        "pair": np.array([1.0, 9.0]),
+    }
+    rows = spark.createDataFrame([(k, float(v)) for k, vs in values.items() for v in vs], "k string, seg_median double")
+    few = {(r.k, r.seg_median): (r.p_low, r.p_high) for r in mixture_posteriors(rows, ["k"], equal_var).collect()}
+    got = {(r.k, r.seg_median): (r.p_low, r.p_high) for r in mixture_posteriors(rows, ["k"], equal_var, many).collect()}
+    assert got.keys() == few.keys() and {k for k, _ in got} == {"apart", "far", "pair"}
+    assert all(got[at] == pytest.approx(few[at], abs=1e-6) for at in few)
+
+
+def test_mixtures_that_do_not_converge_have_no_row(spark):
+    rng = np.random.default_rng(8)
+    x = rng.normal(0, 1, 250)
+    counts = median_counts(spark.createDataFrame([("one", float(v)) for v in x], "k string, seg_median double"), ["k"])
+    assert fit_mixture(x, np.ones(250), iterations=2) is None
+    assert distributed_mixtures(counts, ["k"], iterations=2).count() == 0
+    assert distributed_mixtures(counts.where("false"), ["k"]).count() == 0
+
+
+@pytest.mark.parametrize("nulls", ["propagate", "skip"])
+def test_sliding_median_takes_sizes_as_data(spark, nulls):
+    rng = np.random.default_rng(9)
+    sizes, rows = {"a": 1, "b": 3, "c": 9, "d": 101, "e": 7}, []
+    for key in sizes:
+        for i in range(3 if key == "e" else 400):
+            v = None if rng.random() < 0.02 else float(rng.choice([0.0, -1.5, 2.25, float("inf"), *rng.normal(0, 9, 8)]))
+            rows.append((key, i, v, f"note {i}", sizes[key]))
+    df = spark.createDataFrame(rows, "k string, i int, v double, note string, size int").repartition(3)
+    o = Ordering(("k",), "i")
+    want = {}
+    for key, k in sizes.items():
+        vs = [r[2] for r in rows if r[0] == key]
+        for i in range(len(vs)):
+            frame = sorted(v for v in vs[max(0, i - k // 2) : i + k // 2 + 1] if v is not None)
+            whole = k // 2 <= i < len(vs) - k // 2 and len(frame) > (k - 1 if nulls == "propagate" else 0)
+            want[key, i] = (frame[(len(frame) - 1) // 2] + frame[len(frame) // 2]) / 2 if whole else None
+    for slice_rows in (20, 250, 10**6):
+        got = smooth.sliding_median(df, o, F.col("v"), F.col("size"), nulls, "m", slice_rows).collect()
+        assert len(got) == len(rows) and {(r.k, r.i): r.m for r in got} == want
+        assert all(r.note == f"note {r.i}" for r in got)
+    wide = smooth.rolling_median(df.where("k = 'a'"), o, F.col("v"), 301, "skip", "m").where("m IS NOT NULL")
+    assert wide.count() == 100
+    assert smooth.sliding_median(df.where("false"), o, F.col("v"), F.col("size"), nulls, "m").count() == 0
+    with pytest.raises(Exception, match="k must be odd"):
+        smooth.sliding_median(df, o, F.col("v"), F.lit(4), nulls, "m").count()
