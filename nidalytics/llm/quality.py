@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from nidalytics.llm.common import WORD, let, whole, words_of
 from nidalytics.plans.stages import cut
 
-#: Rows on which costs and rejections are estimated; only the order of the rules depends on them.
+#: Texts on which costs and rejections are estimated; only the order of the rules depends on them.
 SAMPLE_ROWS = 400
-SAMPLE_CHARS = 20_000
+#: The sample is gone through so often that a rule reads about this many characters while it is timed.
+TIMED_CHARS = 4_000_000
 
 
 def n_words(text: Column) -> Column:
@@ -102,32 +103,49 @@ def rules(text: Column) -> list[Rule]:
     ]
 
 
+def sampled(docs: DataFrame, text_column: str, sample_rows: int) -> DataFrame:
+    """The distinct texts of lowest hash, whole and written: the same ones in every run, wherever rows lie."""
+    texts = docs.select(whole(text_column).alias(text_column)).withColumn("_h", F.xxhash64(text_column))
+    # a bounded number of hashes, of which one goes to the driver
+    highest = texts.select("_h").distinct().orderBy("_h").limit(sample_rows).agg(F.max("_h")).first()[0]
+    near = texts.filter(F.col("_h") <= F.lit(highest)) if highest is not None else texts.filter("false")
+    return cut(near.groupBy("_h").agg(F.first(text_column).alias(text_column)).drop("_h"))
+
+
 def order_by_gain(docs: DataFrame, text_column: str, found: Sequence[Rule], sample_rows: int = SAMPLE_ROWS) -> list[Rule]:
-    """The rules by rejection per cost, best first, as measured on a few rows.
+    """The rules by rejection per cost on a sample, where each rejects from what the rules before it leave.
 
-    Texts above ``SAMPLE_CHARS`` are left out of the measurement, which bounds it. The order decides how
-    much work is done for a text that fails, never whether it fails.
+    Rules that reject none of the sample come last, by name. The order decides how much work is done for a text
+    that fails, never whether it fails.
     """
-    spark = docs.sparkSession
-    rows = docs.select(F.col(text_column).alias("text")).filter(F.length("text") <= SAMPLE_CHARS).take(sample_rows)
+    sample = sampled(docs, text_column, sample_rows)
+    rows, chars = sample.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.length(text_column)), F.lit(0))).first()
     if not rows:
         return list(found)
-    sample = cut(spark.createDataFrame([(r[0],) for r in rows], "text string")).select(F.col("text").alias(text_column))
-
-    def measure(value: Column) -> tuple[float, int]:
-        spent, got = [], 0
-        for _ in range(2):  # the first run compiles
+    failing = F.array_compact(F.array(*[F.when(rule.reject, rule.name) for rule in found]))
+    left = [set(r[0]) for r in sample.select(failing).collect()]  # names of rules, for each text of the sample
+    times = max(1, TIMED_CHARS // (chars + 20 * rows))
+    often = sample.select(text_column, F.explode(F.sequence(F.lit(1), F.lit(times))).alias("_turn"))
+
+    def seconds(value: Column) -> float:
+        spent = []
+        for _ in range(3):  # the first run compiles
             start = time.perf_counter()
-            got = sample.agg(F.sum(value.cast("int"))).first()[0] or 0
+            often.agg(F.count_if(value)).first()
             spent.append(time.perf_counter() - start)
-        return min(spent), got
+        return min(spent)
 
-    idle, _ = measure(F.length(text_column) < 0)
-    gain = {}
-    for rule in found:
-        spent, rejected = measure(rule.reject)
-        gain[rule.name] = rejected / max(spent - idle, 1e-3)
-    return sorted(found, key=lambda rule: (-gain[rule.name], rule.name))
+    idle = seconds(F.length(text_column) < 0)
+    rejecting = [rule for rule in found if any(rule.name in names for names in left)]
+    cost = {rule.name: max(seconds(rule.reject) - idle, 1e-3) for rule in rejecting}
+    order, rest = [], sorted(found, key=lambda rule: rule.name)
+    while rest:
+        # max keeps the first of equals, so rules that reject nothing more keep the order of their names
+        best = max(rest, key=lambda rule: sum(rule.name in names for names in left) / cost.get(rule.name, 1.0))
+        order.append(best)
+        rest.remove(best)
+        left = [names for names in left if best.name not in names]
+    return order
 
 
 def verdict(cascade: Sequence[Rule]) -> Column:
@@ -147,6 +165,7 @@ def good_rows(docs: DataFrame, text_column: str = "text", sample_rows: int = SAM
 def judge(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """One row per input row: counts, ``base_failed`` and ``kept``.
 
+    Texts of any length are judged whole, each in its own row of the plan.
     A null text has no words, so it fails. Repeated rows are judged alike, an empty table gives no rows.
     """
     named = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))

@@ -85,6 +85,27 @@ def test_cascade_prefers_rejection_per_cost(spark):
     assert [r.name for r in quality.order_by_gain(docs, "text", found)] == ["always", "never"]
 
 
+def test_order_is_that_of_what_earlier_rules_leave(spark, monkeypatch):
+    """Rejections are counted among the texts that are left, in the same sample wherever the rows lie."""
+    monkeypatch.setattr(quality.time, "perf_counter", itertools.count().__next__)  # every rule costs the same
+    rows = [(i, f"text {i}") for i in range(90)] * 2 + [(1, None)]
+    number = F.coalesce(F.regexp_extract("text", "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    found = [
+        quality.Rule("small", number < 40),
+        quality.Rule("nested", number < 39),
+        quality.Rule("large", number > 70),
+        quality.Rule("b never", number < 0),
+        quality.Rule("a never", number > 900),
+    ]
+    orders = {
+        tuple(r.name for r in quality.order_by_gain(documents(spark, some).repartition(n), "text", found))
+        for some, n in ((rows, 1), (rows[::-1], 5))
+    }
+    assert orders == {("small", "large", "a never", "b never", "nested")}
+    texts = [{r.text for r in quality.sampled(documents(spark, some), "text", 7).collect()} for some in (rows, rows[::-1])]
+    assert texts[0] == texts[1] and len(texts[0]) == 7
+
+
 def test_later_rules_are_not_evaluated(spark):
     docs = documents(spark, [(1, "x")])
     cascade = [quality.Rule("first", F.length("text") > 0), quality.Rule("fails", F.raise_error(F.lit("evaluated")).isNull())]
