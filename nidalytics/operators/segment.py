@@ -6,18 +6,21 @@ from functools import reduce
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from nidalytics.plans.ordered import BLOCK, Ordering, micros, running, steps
 from nidalytics.plans.quantiles import histogram_quantile
-from nidalytics.plans.stages import cut, spread
+from nidalytics.plans.stages import cut, map_groups, spread
 
 MIN_POINTS = 10
 CHUNK_ROWS = 1_000_000
 OVERLAP_ROWS = 50_000
 STEP = 64  # ends that are settled at a time
+SIDE_BY_SIDE = 128  # series of at most as many ends are searched many at a time
+SIDE_CELLS = 1_000_000
 MARGIN = 1e-12  # a start goes only if others are better by more than rounding
 
 # Penalty per change as a multiple of the log of the series length.
@@ -251,6 +254,65 @@ def find_changes(x, penalty="MBIC", length="relative", sigma2=1.0, min_len=1, n_
     return search.path(search.n)
 
 
+def find_many(x, starts, penalty="MBIC", length="relative", sigma2=1.0, min_len=1) -> list[np.ndarray]:
+    """:func:`find_changes` of many series that follow one another in ``x``, each from its row in ``starts`` on.
+
+    Short series are searched side by side, an end of each at a time, over all starts: for some dozens of ends that costs less
+    than to prune. Costs are summed in the same order as in the search of one series, which decides ties.
+    """
+    bounds = np.append(starts, len(x))
+    sizes = np.diff(bounds)
+    found = [np.zeros(0, np.int64)] * len(starts)
+    fit = sizes >= MIN_POINTS
+    if len(starts):
+        fit &= np.logical_and.reduceat(np.isfinite(x), starts)
+    side = []
+    for i in np.flatnonzero(fit).tolist():
+        of = x[bounds[i] : bounds[i + 1]]
+        ends = np.append(np.flatnonzero(np.diff(of)) + 1, len(of)) if min_len <= 1 else None
+        if ends is None or len(ends) > SIDE_BY_SIDE:
+            found[i] = np.array(find_changes(of, penalty, length, sigma2, min_len), np.int64)
+        else:
+            shifted = (of - of[0]) / np.sqrt(sigma2)
+            side.append((len(ends), i, ends, np.concatenate(([0.0], np.cumsum(shifted)))[ends]))
+    side.sort(key=lambda s: s[:2])
+    while side:
+        taken = side[: max(1, SIDE_CELLS // side[0][0] ** 2)]
+        del side[: len(taken)]
+        for (m, i, ends, _), last in zip(taken, _side_by_side(taken, sizes, penalty, length), strict=True):
+            cuts = []
+            while m := int(last[m]):
+                cuts.append(ends[m - 1])
+            found[i] = np.array(cuts[::-1], np.int64)
+    return found
+
+
+def _side_by_side(taken: list[tuple], sizes: np.ndarray, penalty, length: str) -> np.ndarray:
+    """Where the last segment starts, by the number of ends that it covers, for each series."""
+    wide = taken[-1][0]
+    pos, at_sum = np.tile(np.arange(wide + 1), (len(taken), 1)), np.zeros((len(taken), wide + 1))
+    for row, (m, _, ends, sums) in enumerate(taken):
+        pos[row, 1 : m + 1], at_sum[row, 1 : m + 1] = ends, sums
+        pos[row, m + 1 :] += ends[-1]  # no series ends here, what is found does not count
+    of = [int(sizes[i]) for _, i, _, _ in taken]
+    fixed = np.array([penalty_value(penalty, n) for n in of])
+    log_n = np.array([float(np.log(n)) for n in of])[:, None]
+    logs = np.log(np.maximum(np.arange(pos.max() + 1), 1))
+    offset, last = np.full(pos.shape, np.inf), np.zeros(pos.shape, dtype=np.int64)
+    offset[:, 0] = -fixed
+    for j in range(1, wide + 1):
+        size, gap = pos[:, j : j + 1] - pos[:, :j], at_sum[:, j : j + 1] - at_sum[:, :j]
+        square = gap * gap / size
+        extra = 0.0 if length == "none" else logs[size] - (log_n if length == "relative" else 0.0)
+        total = offset[:, :j] - square + extra
+        new = (j - 1) // STEP * STEP + 1  # starts among the ends that are settled together
+        if new < j:
+            total[:, new:] = ((extra - square) + offset[:, :j])[:, new:]
+        last[:, j] = total.argmin(axis=1)
+        offset[:, j] = total.min(axis=1) + fixed
+    return last
+
+
 def _length_of(penalty, length):
     if length is not None:
         return length
@@ -318,17 +380,20 @@ def _between_gaps(df: DataFrame, o: Ordering, value: str, gap_sec: float, out: s
 
 def _short_series(rows: DataFrame, o: Ordering, value: str, settings: tuple, out: str) -> DataFrame:
     penalty, length, sigma2, min_len = settings
-    order = [o.time, *o.ties]
     fields = [f for f in rows.schema.fields if f.name != out]
+    names = [f.name for f in fields]
     schema = T.StructType([*fields, T.StructField(out, T.IntegerType())])
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order, kind="stable")
-        cuts = find_changes(pdf[value].to_numpy(), penalty, length, sigma2, min_len)
-        sizes = np.diff([0, *cuts, len(pdf)])
-        return pdf.assign(**{out: np.repeat(np.arange(1, len(sizes) + 1), sizes)})[[f.name for f in schema]]
+    def label(table: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = table[value].cast(pa.float64()).to_numpy()
+        cuts = find_many(x, starts, penalty, length, sigma2, min_len)
+        step, here = np.zeros(len(x), np.int32), [at + c for at, c in zip(starts, cuts, strict=True)]
+        step[np.concatenate(here)] = 1
+        total = np.cumsum(step)
+        before = np.repeat(total[starts], np.diff(np.append(starts, len(x))))
+        return table.select(names).append_column(out, pa.array((total - before + 1).astype(np.int32)))
 
-    return spread(rows, o.keys).groupBy(*o.keys).applyInPandas(label, schema)
+    return map_groups(rows, o.keys, [o.time, *o.ties], label, schema)
 
 
 STATE = (

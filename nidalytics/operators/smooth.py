@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from nidalytics.functions.scalars import valid_window
 from nidalytics.plans.ordered import BLOCK, Ordering, running
 from nidalytics.plans.quantiles import exact_quantiles
+from nidalytics.plans.stages import map_groups
 
 DEFAULT_INTERVAL = 2.0
 SMOOTH_SEC = 75.0
@@ -120,8 +121,8 @@ def sliding_median(
 ) -> DataFrame:
     """As :func:`rolling_median`, with the odd window size of each series as data: any mix of sizes in one pass.
 
-    A slice, with its rows near a cut copied in, is one task's work. Values are replaced by their ranks in the
-    slice, and a tree of ranks follows the window, so a row costs log(k) and medians are exact for any type.
+    A slice, with its rows near a cut copied in, is one task's work, and a task takes many short ones at a time. Values
+    are replaced by their ranks, and a tree of ranks follows the window, so a row costs log(k) and medians are exact for any type.
     A null or even ``k`` fails.
     """
     if nulls not in ("propagate", "skip"):
@@ -144,20 +145,27 @@ def sliding_median(
     copies = copies.select(*columns, *[c for c in o.keys if c not in columns], "_x", "_width", "_pos", "_home", "_slice")
     schema = T.StructType([*[copies.schema[c] for c in columns], T.StructField(out, copies.schema["_x"].dataType)])
 
-    def slide(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by("_pos")
-        x, width = rows["_x"].combine_chunks(), rows["_width"][0].as_py()
+    def slide(rows: pa.Table, starts: np.ndarray) -> pa.Table:
+        x = rows["_x"].combine_chunks()
+        widths, at = rows["_width"].to_numpy(), np.arange(len(x))
+        sizes = np.diff(np.append(starts, len(x)))
+        first = np.repeat(starts, sizes)
+        inside = (at - first >= widths // 2) & (at - first < np.repeat(sizes, sizes) - widths // 2)
         known = ~x.is_null().to_numpy(zero_copy_only=False)
         levels, ranks = np.unique(x.drop_null().to_numpy(zero_copy_only=False), return_inverse=True)
         rank = np.full(len(x), np.nan)
         rank[known] = ranks
-        window = pd.Series(rank).rolling(width, center=True, min_periods=width if nulls == "propagate" else 1)
-        low = window.quantile(0.5, interpolation="lower").to_numpy()
-        at = np.arange(len(x))
-        full = (at >= width // 2) & (at < len(x) - width // 2) & ~np.isnan(low)
+        low, high = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        # series of one width follow one another under the same window; frames that reach beyond a series do not count
+        for width in np.unique(widths[inside]).tolist():
+            of = np.flatnonzero(widths == width)
+            window = pd.Series(rank[of]).rolling(width, center=True, min_periods=width if nulls == "propagate" else 1)
+            low[of] = window.quantile(0.5, interpolation="lower").to_numpy()
+            if nulls == "skip":
+                high[of] = window.quantile(0.5, interpolation="higher").to_numpy()
+        full = inside & ~np.isnan(low)
         found = levels[low[full].astype(np.int64)]
         if nulls == "skip" and full.any():
-            high = window.quantile(0.5, interpolation="higher").to_numpy()
             found = (found + levels[high[full].astype(np.int64)]) / 2
         median = np.full(len(x), None, dtype=object)
         median[full] = found
@@ -165,7 +173,7 @@ def sliding_median(
         result = pa.array(median, type=x.type, from_pandas=False)
         return rows.select(columns).append_column(out, result).filter(own)
 
-    return copies.groupBy(*o.keys, "_slice").applyInArrow(slide, schema)
+    return map_groups(copies, [*o.keys, "_slice"], ["_pos"], slide, schema)
 
 
 def smooth_by_window_size(
