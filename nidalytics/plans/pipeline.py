@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 from functools import reduce
-from itertools import islice
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,7 +18,7 @@ from nidalytics.sources import raw, schemas, tables, versions
 KEYS = ("deployment_id",)
 ORDER = raw.READING_ORDER
 SMOOTHED = "tof_smooth_r"
-BATCH_FOLDERS = 5000
+BATCH_FOLDERS = 1_000_000
 
 
 @dataclass(frozen=True)
@@ -39,16 +38,16 @@ class Params:
 
 def ingest(
     spark: SparkSession,
-    folders: list[str],
+    folders: list[str] | DataFrame,
     params: Params = Params(),
     year_overrides: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Clean tables, deployments and quarantine of complete deployment folders."""
+    """Clean tables, deployments and quarantine of complete deployment folders, given by name or as a table (folder)."""
 
-    def paths(name: str) -> list[str]:
-        return [f"{f}/{name}" for f in folders]
+    def paths(name: str) -> list[str] | DataFrame:
+        return raw.files_of(folders, name) if isinstance(folders, DataFrame) else [f"{f}/{name}" for f in folders]
 
-    settled = cut(raw.settle_ids(raw.read_metadata(spark, paths(schemas.METADATA_FILE))))
+    settled = cut(raw.settle_ids(cut(raw.read_metadata(spark, paths(schemas.METADATA_FILE)))))
     metadata = settled.where("NOT replaced").drop("replaced")
     lines = {n: raw.read_lines(spark, paths(n)) for n in schemas.RAW_FILES}
     bad = reduce(
@@ -152,7 +151,7 @@ def diagnostics(ingested: dict[str, DataFrame], params: Params = Params()) -> di
 
 def process_pipeline(
     spark: SparkSession,
-    folders: list[str],
+    folders: list[str] | DataFrame,
     out: str,
     params: Params = Params(),
     year_overrides: DataFrame | None = None,
@@ -193,8 +192,8 @@ def process_new(
 
     The others go to quarantine, also folders of the listing without metadata. Of
     folders with the same deployment id the last one counts. Folders are processed
-    ``batch_folders`` at a time, which bounds the names that pass through the
-    driver; readings never do. Returns the number of deployments processed.
+    some ``batch_folders`` at a time, drawn by hash; neither their names nor readings
+    pass through the driver. Returns the number of deployments processed.
     """
     with scratch(spark):
         return _process_new(spark, found, listing, out, params, year_overrides, batch_folders)
@@ -202,7 +201,7 @@ def process_new(
 
 def _process_new(spark, found, listing, out, params, year_overrides, batch_folders) -> int:
     before = cut(tables.load_manifest(spark, out))
-    settled = cut(raw.settle_ids(found))
+    settled = cut(raw.settle_ids(cut(found)))
     done = settled.join(before, "deployment_id", "left_semi").select("folder")
     incomplete = cut(raw.require_files(listing).join(done, "folder", "left_anti"))
     todo = pending(settled, before)
@@ -210,10 +209,11 @@ def _process_new(spark, found, listing, out, params, year_overrides, batch_folde
     dated = cut(clean.resolve_year(whole, one_year(year_overrides), allowed=(2020, 2100)))
     rejected = raw.missing_files(incomplete).unionByName(clean.missing_year(dated, "folder"))
     tables.quarantine(rejected.unionByName(raw.replaced_folders(todo)), out)
-    ready = dated.where("recording_year IS NOT NULL").select("folder").orderBy("folder")
-    names = (r["folder"] for r in ready.toLocalIterator())
-    while folders := list(islice(names, batch_folders)):
-        process_pipeline(spark, folders, out, params, year_overrides)
+    ready = dated.where("recording_year IS NOT NULL").select("folder")
+    batches = -(-ready.count() // batch_folders)
+    drawn = F.pmod(F.xxhash64("folder"), F.lit(max(batches, 1)))
+    for batch in range(batches):
+        process_pipeline(spark, ready.where(drawn == batch), out, params, year_overrides)
     return tables.load_manifest(spark, out).join(before, "deployment_id", "left_anti").count()
 
 

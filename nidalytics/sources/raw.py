@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from contextlib import contextmanager
 
 import pyarrow as pa
-import pyarrow.fs as pafs
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,7 +15,7 @@ from nidalytics.operators import clean
 from nidalytics.operators.night import parse_coords
 from nidalytics.plans import stages
 from nidalytics.plans.ordered import BLOCK, Ordering
-from nidalytics.sources import schemas
+from nidalytics.sources import files, schemas
 
 FILE_ORDER = ("src_block", "src_row")
 READING_ORDER = Ordering(("deployment_id",), "timestamp", FILE_ORDER)
@@ -34,18 +32,6 @@ def read_or_empty(spark: SparkSession, read: Callable[[], DataFrame], ddl: str)
         return spark.createDataFrame([], ddl)
 
 
-@contextmanager
-def listing(spark: SparkSession) -> Iterator[None]:
-    """List many folders with a few tasks per core; Spark's own default is a task for every folder."""
-    name = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
-    before = spark.conf.get(name)
-    spark.conf.set(name, min(int(before), 4 * spark.sparkContext.defaultParallelism))
-    try:
-        yield
-    finally:
-        spark.conf.set(name, before)
-
-
 #: A device file is a file or, when it is long, a folder of that name with numbered slices, each with the header.
 SLICED = r"/[^/]+\.(?:CSV|csv)/(\d+)\.csv$"
 SLICE_SPAN = 1 << 40
@@ -83,14 +69,9 @@ def parse_metadata(
     return found.groupBy(*keys).agg(*[F.min_by("value", F.when(F.col("key") == n, F.col("pos"))).alias(n) for n in names])
 
 
-def read_metadata(spark: SparkSession, paths: str | list[str]) -> DataFrame:
+def read_metadata(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
     """One row per METADATA.TXT; the folder name stands in for a missing deployment id."""
-    def read() -> DataFrame:
-        with listing(spark):
-            texts = spark.read.text(paths, wholetext=True)
-        return texts.select(_folder(F.col("_metadata.file_path")).alias("folder"), "value")
-
-    texts = read_or_empty(spark, read, "folder string, value string")
+    texts = files.texts(files.named(spark, paths)).select(_folder(F.col("path")).alias("folder"), "value")
     return name_deployments(parse_metadata(texts, ["folder"]))
 
 
@@ -137,30 +118,31 @@ def deployment_table(metadata: DataFrame, year_overrides: DataFrame | None = Non
 
 def list_files(spark: SparkSession, root: str) -> DataFrame:
     """Folders under the root with the required files that they hold."""
+    return folder_files(files.files_below(files.folders(spark, root))).distinct()
 
-    def read() -> DataFrame:
-        with listing(spark):
-            return spark.read.format("binaryFile").load(f"{root.rstrip('/')}/*/*").select("path")
 
-    return folder_files(read_or_empty(spark, read, "path string")).distinct()
-
-
-def folder_files(files: DataFrame) -> DataFrame:
+def folder_files(found: DataFrame) -> DataFrame:
     """(folder, name) of device files by ``path``; a slice counts as the file that it is part of."""
     whole = F.regexp_replace("path", r"/\d+\.csv$", "")
     path = F.when(F.col("path").rlike(SLICED), whole).otherwise(F.col("path"))
-    return files.select(_folder(F.col("path")).alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"))
+    return found.select(_folder(F.col("path")).alias("folder"), F.element_at(F.split(path, "/"), -1).alias("name"))
 
 
-def require_files(listing: DataFrame, required: Sequence[str] = schemas.REQUIRED_FILES) -> DataFrame:
-    """Folders that lack a required file, with the missing names."""
+def _missing(listing: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(folder, missing): the required files that each folder lacks."""
     wanted = F.array(*[F.lit(f) for f in required])
     held = F.collect_set(F.when(F.col("name").isin(*required), F.col("name")))
-    return (
-        listing.groupBy("folder")
-        .agg(F.array_sort(F.array_except(wanted, held)).alias("missing"))
-        .where(F.size("missing") > 0)
-    )
+    return listing.groupBy("folder").agg(F.array_sort(F.array_except(wanted, held)).alias("missing"))
+
+
+def files_of(folders: DataFrame, name: str) -> DataFrame:
+    """(path): the file of that name in each folder."""
+    return folders.select(F.concat(F.col("folder"), F.lit(f"/{name}")).alias("path"))
+
+
+def require_files(listing: DataFrame, required: Sequence[str] = schemas.REQUIRED_FILES) -> DataFrame:
+    """Folders that lack a required file, with the missing names."""
+    return _missing(listing, required).where(F.size("missing") > 0)
 
 
 def missing_files(incomplete: DataFrame) -> DataFrame:
@@ -174,8 +156,7 @@ def missing_files(incomplete: DataFrame) -> DataFrame:
 
 def complete_deployments(metadata: DataFrame, listing: DataFrame) -> DataFrame:
     """Deployments whose folder holds all required files."""
-    held = listing.where(F.col("name") == schemas.METADATA_FILE).select("folder").distinct()
-    complete = held.join(require_files(listing).select("folder"), "folder", "left_anti")
+    complete = _missing(listing, schemas.REQUIRED_FILES).where(F.size("missing") == 0)
     return metadata.join(complete, "folder", "left_semi")
 
 
@@ -185,23 +166,21 @@ def discover_deployments(spark: SparkSession, root: str) -> DataFrame:
     return complete_deployments(metadata, list_files(spark, root))
 
 
-def read_lines(spark: SparkSession, paths: str | list[str], cut: Cut = stages.cut) -> DataFrame:
+def read_lines(spark: SparkSession, paths: str | list[str] | DataFrame, cut: Cut = stages.cut) -> DataFrame:
     """The lines of device files with folder and place in the file, read once and kept in a stage table.
 
-    A file may be read in several splits, or consist of slices; (src_block, src_row) is
-    file order. The splits serve as blocks, and a file read in one piece is one block.
+    A file may be read in several ranges, or consist of slices; (src_block, src_row) is
+    file order. The ranges serve as blocks, and a file read in one piece is one block.
     """
-    with listing(spark):
-        lines = spark.read.text(paths)
-    number = _slice(F.col("_metadata.file_path"))
-    start = F.coalesce(number, F.lit(0)) * SLICE_SPAN + F.col("_metadata.file_block_start")
-    cut_up = number.isNotNull() | (F.col("_metadata.file_block_length") < F.col("_metadata.file_size"))
+    lines = files.lines(files.named(spark, paths, must=True))
+    number = _slice(F.col("path"))
+    start = F.coalesce(number, F.lit(0)) * SLICE_SPAN + F.col("start")
     return cut(
         lines.where(F.trim("value") != "").select(
-            _folder(F.col("_metadata.file_path")).alias("folder"),
+            _folder(F.col("path")).alias("folder"),
             start.alias("src_block"),
-            F.when(cut_up, start).alias(BLOCK),
-            F.monotonically_increasing_id().alias("src_row"),
+            F.when(number.isNotNull() | ~F.col("whole"), start).alias(BLOCK),
+            F.col("row").alias("src_row"),
             "value",
         )
     )
@@ -309,24 +288,28 @@ def clean_tof(stamped: DataFrame, log: DataFrame, warmup_rows: int = clean.WARMU
     return _ordered_names(rows, schemas.TOF_CLEAN)
 
 
-def write_files(files: DataFrame, root: str) -> None:
+def write_files(contents: DataFrame, root: str) -> None:
     """Write texts (folder, name, content) as files below ``root``, one folder per deployment.
 
     A name may hold a slice, as in ``TOF.CSV/3.csv``. The tasks write through Arrow's file systems, a
     text at a time; a file written again is the same file.
     """
+    top = files.address(contents.sparkSession, root).rstrip("/")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        store, base = pafs.FileSystem.from_uri(root if ":" in root else f"file://{root}")
+        store, base = files.Stores().find(top)
+        last = None
         for batch in batches:
             for folder, name, content in zip(*batch.columns, strict=True):
                 path = f"{base}/{folder}/{name}"
-                store.create_dir(path.rsplit("/", 1)[0], recursive=True)
+                if (parent := path.rsplit("/", 1)[0]) != last:
+                    store.create_dir(parent, recursive=True)
+                    last = parent
                 with store.open_output_stream(path, compression=None) as file:
                     file.write(content.as_buffer())
             yield pa.RecordBatch.from_pydict({"n": pa.array([batch.num_rows], pa.int64())})
 
-    files.select("folder", "name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
+    contents.select("folder", "name", "content").mapInArrow(run, "n long").agg(F.sum("n")).collect()
 
 
 def read_log(spark: SparkSession, paths, deployments: DataFrame) -> DataFrame:

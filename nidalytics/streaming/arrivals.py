@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -12,7 +11,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, St
 
 from nidalytics.plans.pipeline import BATCH_FOLDERS, Params, process_new
 from nidalytics.plans.stages import cut
-from nidalytics.sources import raw, schemas, tables
+from nidalytics.sources import files, raw, schemas, tables
 
 HOLD_SEC = 3600.0
 # The columns of Spark's binary file source.
@@ -79,11 +78,11 @@ def settle(batch: DataFrame, out: str, params: Params, batch_folders: int = BATC
     late = rows.where(F.size("missing") > 0)
     if not late.isEmpty():
         tables.quarantine(raw.missing_files(late), out)
-    names = (r["folder"] for r in rows.where(F.size("missing") == 0).select("folder").orderBy("folder").toLocalIterator())
-    while folders := list(islice(names, batch_folders)):
-        found = cut(raw.read_metadata(spark, [f"{f}/{schemas.METADATA_FILE}" for f in folders]))
-        whole = found.select("folder", F.explode(F.array(*map(F.lit, schemas.REQUIRED_FILES))).alias("name"))
-        process_new(spark, found, whole, out, params, batch_folders=batch_folders)
+    whole = rows.where(F.size("missing") == 0).select("folder")
+    if not whole.isEmpty():
+        found = cut(raw.read_metadata(spark, raw.files_of(files.addressed(whole), schemas.METADATA_FILE)))
+        listing = found.select("folder", F.explode(F.array(*map(F.lit, schemas.REQUIRED_FILES))).alias("name"))
+        process_new(spark, found, listing, out, params, batch_folders=batch_folders)
 
 
 def process_arrivals(
