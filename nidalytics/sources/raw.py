@@ -70,8 +70,8 @@ def parse_metadata(
 
 
 def read_metadata(spark: SparkSession, paths: str | list[str] | DataFrame) -> DataFrame:
-    """One row per METADATA.TXT; the folder name stands in for a missing deployment id."""
-    texts = files.texts(files.named(spark, paths)).select(_folder(F.col("path")).alias("folder"), "value")
+    """One row per METADATA.TXT that is not empty; the folder name stands in for a missing deployment id."""
+    texts = files.texts(files.named(spark, paths).where("size > 0")).select(_folder(F.col("path")).alias("folder"), "value")
     return name_deployments(parse_metadata(texts, ["folder"]))
 
 

@@ -45,6 +45,13 @@ def test_odd_folder_names_and_hidden_files(spark, tmp_path):
     assert raw.list_files(spark, str(tmp_path / "nowhere")).count() == 0
 
 
+def test_empty_metadata_describes_no_deployment(spark, tmp_path):
+    for name, text in (("none", ""), ("some", "notes=x\n")):
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "METADATA.TXT").write_text(text)
+    assert [r["deployment_id"] for r in raw.read_metadata(spark, f"{tmp_path}/*/METADATA.TXT").collect()] == ["some"]
+
+
 def test_folders_are_processed_together(spark, tmp_path, monkeypatch):
     """No list of names passes through the driver, and batches depend on ``batch_folders`` alone."""
     seen = []
