@@ -12,6 +12,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ SAMPLED = 8
 #: The table of large buckets is broadcast if it has no more rows than this.
 BROADCAST_ROWS = 100_000
 JOBS = 8192  # (fingerprint, word) comparisons that run together
+LINKS = 2**20  # that a task contracts together
 CHECK = 8  # planes between two looks for words to abandon
 
 
@@ -277,12 +279,44 @@ def linked(distinct: DataFrame, tables: Sequence[np.ndarray], radius: int, bucke
 # --- components ---
 
 
+def contracted(links: DataFrame) -> DataFrame:
+    """Links (a, b) of the same components: what some links of a task connect is tied to its smallest node."""
+    kind = links.schema["a"].dataType.simpleString()
+
+    def stars(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held)
+        ends = pa.chunked_array([*rows["a"].chunks, *rows["b"].chunks])
+        nodes = ends.unique()
+        nodes = nodes.take(pc.sort_indices(nodes))
+        place = pc.index_in(ends, nodes).to_numpy()
+        label = np.arange(len(nodes))
+        unite(label, place[: len(rows)], place[len(rows) :])
+        rest = np.flatnonzero(label != np.arange(len(label)))
+        return pa.RecordBatch.from_arrays([nodes.take(pa.array(rest)), nodes.take(pa.array(label[rest]))], ["a", "b"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, rows = [], 0
+        for batch in batches:
+            for at in range(0, batch.num_rows, LINKS):
+                part = batch.slice(at, LINKS)
+                if held and rows + part.num_rows > LINKS:
+                    yield stars(held)
+                    held, rows = [], 0
+                held.append(part)
+                rows += part.num_rows
+        if held:
+            yield stars(held)
+
+    return links.select("a", "b").mapInArrow(run, f"a {kind}, b {kind}")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, label): the smallest node that each node of a link is connected to.
 
-    Alternates two steps until nothing changes: larger neighbours of a node are tied to the smallest
-    one, then smaller neighbours are. Each step's links are written to the shared folder; minima are
-    taken before the shuffle, and nodes with many links are looked up in a bounded broadcast.
+    Tasks contract some ``LINKS`` links each; if that is one task, its links are the result. Else two steps
+    follow, and all three are repeated until the two change nothing: larger neighbours of a node are tied to
+    the smallest one, then smaller neighbours are. Each step's links are written to the shared folder; minima
+    are taken before the shuffle, and nodes with many links are looked up in a bounded broadcast.
     """
     edges = cut(links.filter("a != b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
 
@@ -294,18 +328,22 @@ def components(links: DataFrame) -> DataFrame:
         row = rows.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         return tuple(row)
 
-    before = state(edges)
-    while before[0]:
+    now = state(edges)
+    while now[0]:
+        tasks = -(-now[0] // LINKS)
+        edges = cut(contracted(edges.coalesce(tasks)))
+        if tasks == 1:
+            break
+        now = state(edges)
         both = edges.select(F.col("a").alias("u"), F.col("b").alias("v"))
         both = both.unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v")))
         edges = cut(smallest(both).filter("v > u").select(F.col("v").alias("a"), F.col("m").alias("b")).distinct())
         down = smallest(edges.select(F.col("a").alias("u"), F.col("b").alias("v")))
         tied = down.select(F.col("u").alias("a"), F.col("m").alias("b"))
         edges = cut(tied.unionByName(down.filter("v != m").select(F.col("v").alias("a"), F.col("m").alias("b"))).distinct())
-        now = state(edges)
+        before, now = now, state(edges)
         if now == before:
             break
-        before = now
     roots = edges.select(F.col("b").alias("node")).distinct()
     return edges.select(F.col("a").alias("node"), F.col("b").alias("label")).unionByName(
         roots.select("node", F.col("node").alias("label"))

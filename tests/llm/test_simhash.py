@@ -110,6 +110,25 @@ def test_components_of_a_long_chain_and_a_star(spark):
     assert simhash.components(spark.createDataFrame([], "a binary, b binary")).count() == 0
 
 
+@pytest.mark.parametrize("links", [7, 2**20])
+def test_tasks_contract_links_before_any_are_shuffled(spark, monkeypatch, links):
+    monkeypatch.setattr(simhash, "LINKS", links)
+    written, cut = [], simhash.cut
+    monkeypatch.setattr(simhash, "cut", lambda *a: written.append(cut(*a)) or written[-1])
+    chain = [(bytes([1, i]), bytes([1, i + 1])) for i in range(60)]
+    knot = [(bytes([2, 9 * i % 11]), bytes([2, i])) for i in range(11)]
+    rows = chain + knot
+    random.Random(1).shuffle(rows)
+    found = simhash.components(spark.createDataFrame(rows, "a binary, b binary").repartition(5)).collect()
+    got = {bytes(r.node): bytes(r.label) for r in found}
+    nodes = sorted({x for r in rows for x in r})
+    near = {frozenset(r) for r in rows}
+    label = components(len(nodes), lambda i, j: frozenset((nodes[i], nodes[j])) in near)
+    assert [got.get(x, x) for x in nodes] == [nodes[k] for k in label]
+    # one task holds all links: they are written twice; star steps alone took four tables a round
+    assert links == 7 or len(written) == 2
+
+
 def test_the_smallest_id_of_each_group_stays(spark):
     rows = []
     for i in range(40):
