@@ -1,8 +1,9 @@
 """Language-model scores of texts, with a model that is trained on the corpus.
 
 Every training text is counted: words for the baseline, subword ids for the model's vocabulary and its
-starting biases. The attention model (see ``attention``) is trained on a share of the texts by several
-trainers at a time, whose parameters are averaged after each pass. Then all texts are scored.
+starting biases. The attention model (see ``attention``) is trained on every training text by several
+trainers at a time, whose parameters are averaged: some passes over a share of the texts (all of a small
+corpus), then one over all the others. Then all texts are scored.
 """
 
 from __future__ import annotations
@@ -30,10 +31,12 @@ from nidalytics.plans.stages import cut, spread
 FOLDS, HELD = 5, 1
 #: Words with at least this share of the training tokens are sent to all tasks, so there are at most a million.
 FREQUENT = 10**6
-#: Subwords on which training works if the corpus has as many; what it visits grows as the cube root of the corpus.
+#: Subwords that training goes through ``PASSES`` times if the corpus has as many; they grow as the cube root of the corpus.
 TRAIN_TOKENS = 800_000
 TRAINER_TOKENS = 1_000_000
 PASSES, RATE, BATCH = 3, 0.1, 64
+#: All other texts are visited once, in some rounds, by trainers that read theirs as a stream.
+ROUNDS, STREAM_TOKENS, STREAM_BATCH = 4, 4_000_000, 256
 STRIDE = 28
 #: Words kept per worker, and bytes of text worked on together.
 KNOWN_WORDS = 400_000
@@ -262,11 +265,26 @@ def averaged(rows: DataFrame) -> np.ndarray:
     return np.concatenate([np.frombuffer(r["numbers"], np.float32) for r in sorted(found, key=lambda r: r["block"])])
 
 
+def numbers_of(trainer: int, places: int, params: at.Params, seen: at.Params, shape: at.Shape) -> pa.Table:
+    """What a trainer has learned, in rows for :func:`averaged`."""
+    flat = np.concatenate((flattened(params, shape), flattened(seen, shape)))
+    blocks = range(0, len(flat), BLOCK)
+    columns = [
+        pa.array(range(len(blocks)), pa.int32()),
+        pa.array([trainer % 32] * len(blocks), pa.int32()),
+        pa.array([trainer] * len(blocks), pa.int32()),
+        pa.array([places] * len(blocks), pa.int64()),
+        pa.array([flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary()),
+    ]
+    return pa.Table.from_arrays(columns, ["block", "shard", "trainer", "places", "numbers"])
+
+
 def trained(texts: DataFrame, path: str, pattern: str, words: Vocabulary, shape: at.Shape, total: int) -> at.Params:
-    """Train on a share of the texts (all of a small corpus), chosen by hash.
+    """Train on all texts: ``PASSES`` times on a share of them (all of a small corpus), once on the others.
 
-    The share falls with the corpus such that the subwords visited grow as its cube root; so does the
-    number of trainers. Trainers and the order of their texts depend on hashes alone.
+    The share is chosen by hash and falls with the corpus, such that its subwords grow as the cube root; the
+    others are dealt into rounds by the same hash. The number of trainers grows with what they visit. Trainers
+    and the order of their texts depend on hashes alone.
     """
     spark = texts.sparkSession
     params = at.start(shape, words.share)
@@ -275,12 +293,17 @@ def trained(texts: DataFrame, path: str, pattern: str, words: Vocabulary, shape:
         return params
     share = min(1.0, (TRAIN_TOKENS / total) ** (2 / 3))
     trainers = max(1, -(-int(total * share) // TRAINER_TOKENS))
-    sample = texts.withColumn("place", F.xxhash64("id", "text"))
-    sample = sample.filter(F.pmod("place", F.lit(2**30)) < F.lit(int(share * 2**30)))
-    trainer = F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(trainers)).cast("int").alias("trainer")
-    sample = cut(sample.select(trainer, "place", "text"))
+    placed = texts.withColumn("place", F.xxhash64("id", "text"))
+    slot, slots = F.pmod("place", F.lit(2**30)), 2**30
+    first = int(share * slots)
+
+    def dealt(rows: DataFrame, n: int) -> DataFrame:
+        return rows.select(F.pmod(F.xxhash64(F.lit(1), "place"), F.lit(n)).cast("int").alias("trainer"), "place", "text")
+
+    sample = cut(dealt(placed.filter(slot < F.lit(first)), trainers))
     state = np.concatenate((flattened(params, shape), flattened(seen, shape)))
     half = len(state) // 2
+    schema = "block int, shard int, trainer int, places long, numbers binary"
 
     def step(sent, rate: float, turn: int):
         def run(key: tuple, rows: pa.Table) -> pa.Table:
@@ -290,29 +313,46 @@ def trained(texts: DataFrame, path: str, pattern: str, words: Vocabulary, shape:
             ranks = [r for batch in batches for _, raws in groups(batch, "text") for r in ranks_of(table, rank, raws)]
             params, seen = shaped(state[:half], shape), shaped(state[half:], shape)
             places = at.train(params, seen, shape, at.Windows(ranks, shape, STRIDE), rate, BATCH, turn)
-            flat = np.concatenate((flattened(params, shape), flattened(seen, shape)))
-            trainer = key[0].as_py()
-            blocks = range(0, len(flat), BLOCK)
-            columns = [
-                pa.array(range(len(blocks)), pa.int32()),
-                pa.array([trainer % 32] * len(blocks), pa.int32()),
-                pa.array([trainer] * len(blocks), pa.int32()),
-                pa.array([places] * len(blocks), pa.int64()),
-                pa.array([flat[b : b + BLOCK].tobytes() for b in blocks], pa.binary()),
-            ]
-            return pa.Table.from_arrays(columns, ["block", "shard", "trainer", "places", "numbers"])
+            return numbers_of(key[0].as_py(), places, params, seen, shape)
+
+        return run
+
+    def stream(sent, rate: float, turn: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            state, rank = sent.value
+            table = per_process("lm words", lambda: Words(path, pattern), "counts")
+            params, seen, places, trainer = shaped(state[:half], shape), shaped(state[half:], shape), 0, 0
+            for batch in batches:
+                for at_row, raws in groups(batch, "text"):
+                    trainer = batch.column("trainer")[at_row].as_py()  # a partition has one
+                    windows = at.Windows(ranks_of(table, rank, raws), shape, STRIDE)
+                    places += at.train(params, seen, shape, windows, rate, STREAM_BATCH, turn)
+            if places:
+                yield from numbers_of(trainer, places, params, seen, shape).to_batches()
 
         return run
 
     for turn in range(PASSES):
         sent = spark.sparkContext.broadcast((state, words.rank))
         run = step(sent, RATE * (1 - turn / PASSES), turn)
-        dealt = spread(sample, ["trainer"]).groupBy("trainer")
-        rows = cut(dealt.applyInArrow(run, "block int, shard int, trainer int, places long, numbers binary"))
+        rows = cut(spread(sample, ["trainer"]).groupBy("trainer").applyInArrow(run, schema))
         if rows.isEmpty():
             break
         state = averaged(rows)
         sent.unpersist()
+
+    others = total * (1 - first / slots)
+    rounds = min(ROUNDS, max(-(-int(others) // TRAINER_TOKENS), int(first < slots)))
+    for turn in range(rounds):
+        low, high = (first + (slots - first) * k // rounds for k in (turn, turn + 1))
+        n = max(1, -(-int(others / rounds) // STREAM_TOKENS))
+        part = dealt(placed.filter((slot >= F.lit(low)) & (slot < F.lit(high))), n)
+        sent = spark.sparkContext.broadcast((state, words.rank))
+        run = stream(sent, RATE * (1 - turn / rounds), PASSES + turn)
+        rows = cut(part.repartitionById(n, F.col("trainer")).sortWithinPartitions("place").mapInArrow(run, schema))
+        if not rows.isEmpty():
+            state = averaged(rows)
+        sent.unpersist()
     return shaped(state[:half], shape)
 
 

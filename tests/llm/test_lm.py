@@ -145,6 +145,23 @@ def test_model_beats_the_baseline_on_held_out_texts(spark):
     assert sum(r.score for r in held) > 0.8 * sum(r.base_score for r in held)
 
 
+def test_every_training_text_is_learned_from(spark, monkeypatch):
+    """Training visits each token of each training text, also where a share of them is visited more often."""
+    rows = corpus(60)
+    train = [t for i, t in rows if zlib.crc32(str(i).encode()) % 5 != 1]
+    encoding = lm.load(RANKS, PATTERN)
+    tokens = sum(len(encoding.encode_ordinary(" " + w)) for t in train for w in words(lower(t))) + len(train)
+    visits, averaged = [], lm.averaged
+    monkeypatch.setattr(lm, "averaged", lambda found: visits.append(found.filter("block = 0").agg({"places": "sum"}).first()[0]) or averaged(found))
+    monkeypatch.setattr(lm, "TRAIN_TOKENS", 300)
+    monkeypatch.setattr(lm, "TRAINER_TOKENS", 500)
+    monkeypatch.setattr(lm, "STREAM_TOKENS", 400)
+    got = lm.scores(documents(spark, rows), RANKS, PATTERN).collect()
+    checked(rows, got)
+    assert len(visits) == lm.PASSES + lm.ROUNDS
+    assert visits[0] < tokens // 2 and visits[0] + sum(visits[lm.PASSES :]) == tokens
+
+
 def test_odd_rows(spark, monkeypatch):
     monkeypatch.setattr(lm, "FREQUENT", 3)  # most words take the way of rare ones
     monkeypatch.setattr(lm, "TEXT_BYTES", 500)
