@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from nidalytics.llm.common import SPACE, WORD, join_by_size, let, whole
 from nidalytics.llm.repeats import group_repeats, may_repeat, repeat_filter
-from nidalytics.plans.stages import cut
+from nidalytics.plans.stages import cut, tidy
 
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
@@ -251,6 +251,18 @@ def matched(firsts: DataFrame, fetch) -> DataFrame:
 
 def removals(rows: DataFrame) -> DataFrame:
     """(id, row, n_lines, n_removed, removed) for rows of (id, row, text)."""
+    with tidy(rows.sparkSession):
+        lines, later = later_lines(rows)
+    flagged = lines.join(later.withColumnRenamed("lid", "gone"), F.col("place.lid") == F.col("gone"), "left")
+    return flagged.groupBy("id", "row").agg(
+        F.count("n").alias("n_lines"),
+        F.count("gone").alias("n_removed"),
+        F.array_sort(F.collect_list(F.when(F.col("gone").isNotNull(), F.col("line_no")))).alias("removed"),
+    )
+
+
+def later_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All lines of (id, row, text), and the lids of those that copy or match an earlier one."""
     lines = with_prefixes(rows)
     worded = lines.filter("n is not null")
     found = repeat_filter(worded.select("set"), "set")
@@ -269,12 +281,7 @@ def removals(rows: DataFrame) -> DataFrame:
         return word_sets(rows, wanted)
 
     later = grouped.filter("copy").select("place.lid").unionByName(cut(matched(firsts, fetch)).toDF("lid"))
-    flagged = lines.join(later.withColumnRenamed("lid", "gone"), F.col("place.lid") == F.col("gone"), "left")
-    return flagged.groupBy("id", "row").agg(
-        F.count("n").alias("n_lines"),
-        F.count("gone").alias("n_removed"),
-        F.array_sort(F.collect_list(F.when(F.col("gone").isNotNull(), F.col("line_no")))).alias("removed"),
-    )
+    return lines, later
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
