@@ -13,9 +13,9 @@ from itertools import count
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from nidalytics.llm.common import SPACE, WORD, join_by_size, let, whole
+from nidalytics.llm.common import SPACE, join_by_size, whole
 from nidalytics.llm.repeats import group_repeats, may_repeat, repeat_filter
-from nidalytics.plans.stages import cut, tidy
+from nidalytics.plans.stages import cut, forget, tidy
 
 #: The threshold as a fraction.
 NUM, DEN = 4, 5
@@ -26,9 +26,13 @@ MANY = 64
 KEY_BITS = 57  # of a word's hash; the order of magnitude of its frequency stands above them
 
 
+#: White space as a set of characters.
+BLANKS = " \t\n\x0b\x0c\r"
+
+
 def split_words(line: Column) -> Column:
     """The words of a line that holds one; most lines have single spaces only and need no pattern."""
-    trimmed = F.btrim(line, F.lit(" \t\n\x0b\x0c\r"))
+    trimmed = F.btrim(line, F.lit(BLANKS))
     plain = F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
     for mark in ("  ", "\t", "\x0b", "\x0c", "\r"):
         plain = plain | F.contains(line, F.lit(mark))
@@ -37,8 +41,12 @@ def split_words(line: Column) -> Column:
 
 def frequencies(rows: DataFrame) -> Column:
     """For each cell the number of binary digits of how often its words occur, over all texts; an array."""
-    lines = rows.select(F.explode(F.split("text", "\n")).alias("line"))
-    words = lines.select(F.explode(split_words(F.col("line"))).alias("word"))
+    plain = ~F.contains("text", F.lit("\t"))
+    for mark in ("\x0b", "\x0c", "\r"):
+        plain = plain & ~F.contains("text", F.lit(mark))
+    # a text's words are those of its lines; most need no pattern
+    words = F.when(plain, F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).otherwise(F.split("text", SPACE))
+    words = rows.select(F.explode(words).alias("word")).filter("word != ''")
     counts = words.groupBy((F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     found = counts.select(F.col("cell").cast("int"), F.length(F.bin("n")).cast("byte").alias("digits"))
     table = found.toArrow().to_pydict()  # a row per cell, whatever the input
@@ -56,7 +64,8 @@ def by_rarity(words: Column, digits: Column) -> Column:
 
     def key(h: Column) -> Column:
         rank = F.get(digits, h.bitwiseAND(F.lit(CELLS - 1)).cast("int")).cast("long")
-        return F.shiftleft(rank, KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+        placed = F.shiftleft(rank, KEY_BITS).bitwiseOR(h.bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
+        return F.coalesce(placed, F.lit(0).cast("long"))  # never null, so that plain numbers are sorted
 
     return F.sort_array(F.transform(words, key))
 
@@ -91,23 +100,26 @@ def with_prefixes(rows: DataFrame) -> DataFrame:
     """Every line with its place, the hash of its text and of its set, and its prefix; written once."""
     digits = frequencies(rows)
     lines = lines_of(rows).withColumn("lid", F.monotonically_increasing_id())
-
-    def facts(words: Column) -> Column:
-        return let(
-            by_rarity(words, digits),
-            lambda ordered: F.struct(
-                F.size(ordered).alias("n"),
-                parity(words).alias("parity"),
-                F.struct(F.xxhash64(ordered).alias("h1"), F.xxhash64(F.lit(1), ordered).alias("h2")).alias("set"),
-                prefix(ordered).alias("prefix"),
-            ),
+    holds_word = F.btrim("line", F.lit(BLANKS)) != ""
+    # what is used more than once is a column of its own, which Spark computes once
+    lines = lines.withColumn("words", F.when(holds_word, word_set(F.col("line"))))
+    lines = lines.withColumn("ordered", by_rarity(F.col("words"), digits))
+    return cut(
+        lines.select(
+            "id",
+            "row",
+            "line_no",
+            F.struct("id", "lid").alias("place"),
+            F.xxhash64("line").alias("text_hash"),
+            F.when(F.col("ordered").isNotNull(), F.size("ordered")).alias("n"),
+            parity(F.col("words")).alias("parity"),
+            F.when(
+                F.col("ordered").isNotNull(),
+                F.struct(F.xxhash64("ordered").alias("h1"), F.xxhash64(F.lit(1), F.col("ordered")).alias("h2")),
+            ).alias("set"),
+            prefix(F.col("ordered")).alias("prefix"),
         )
-
-    holds_word = F.regexp_like("line", F.lit(WORD))
-    found = F.when(holds_word, let(word_set(F.col("line")), facts)).alias("f")
-    place = F.struct("id", "lid").alias("place")
-    out = lines.select("id", "row", "line_no", place, F.xxhash64("line").alias("text_hash"), found)
-    return cut(out.select("id", "row", "line_no", "place", "text_hash", "f.*"))
+    )
 
 
 def word_sets(rows: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -207,16 +219,8 @@ def open_pairs(open_entries: DataFrame, closed: DataFrame) -> DataFrame:
     return pairs_of(mine.drop("o_open").unionByName(theirs), "", "o_")
 
 
-def matched(firsts: DataFrame, fetch) -> DataFrame:
-    """The lids of lines (place, n, prefix, parity, copies) that match an earlier one of them.
-
-    A word's entries that stand early enough in their lines (``short``) find all lines that are not
-    shorter. Where a word has many entries, its open lines are first compared with two of them, which
-    settles most of a large group of like lines in a number of comparisons that grows with the group, not
-    its square; such rounds go on as long as they settle much and much is left. Lines that are still open
-    are compared with all entries of their words, so that no match is missed; settled lines are only
-    looked up by these, never with each other.
-    """
+def entries_of(firsts: DataFrame) -> DataFrame:
+    """(word, pos, id, lid, n, copies, parity, short) for the prefix words of lines (place, n, prefix, parity, copies) that others share."""
     n = F.col("n")
     reach = n - F.floor((2 * NUM * n + DEN + NUM - 1) / (DEN + NUM)).cast("int")  # last place in a shorter line
     entries = firsts.select(
@@ -224,28 +228,51 @@ def matched(firsts: DataFrame, fetch) -> DataFrame:
     )
     found = repeat_filter(entries.select("word"), "word", hashes=1)
     entries = may_repeat(entries, "word", found, "flag", hashes=1).filter("flag").drop("flag")
-    entries = cut(entries.withColumn("short", F.col("pos") <= F.col("reach")).drop("reach"))
+    return cut(entries.withColumn("short", F.col("pos") <= F.col("reach")).drop("reach"))
 
+
+def settled_by(pairs: DataFrame, fetch) -> DataFrame:
+    """(settled): the later lines of those written pairs whose sets match; written, so that the sets can go."""
+    sets = fetch(pairs)
+    found = cut(verified(pairs, sets).select(F.col("a").alias("settled")).distinct())
+    forget(sets)
+    return found
+
+
+def matched(entries: DataFrame, fetch) -> DataFrame:
+    """The lids of lines that match an earlier one of them, for the written table of their entries, which goes.
+
+    A word's entries that stand early enough in their lines (``short``) find all lines that are not
+    shorter. Where a word has many entries, its open lines are first compared with two of them, which
+    settles most of a large group of like lines in a number of comparisons that grows with the group, not
+    its square; such rounds go on as long as they settle much and much is left. Lines that are still open
+    are compared with all entries of their words, so that no match is missed; settled lines are only
+    looked up by these, never with each other. Of the tables of rounds only the last is kept.
+    """
     open_entries, settled, tried = entries, None, None
     for led in count():
         pairs = led_pairs(open_entries, led)
         if pairs is None:
             break
         pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
-        new = cut(verified(pairs, fetch(pairs)).select(F.col("a").alias("settled")).distinct())
+        new = settled_by(pairs, fetch)
         tried = pairs if tried is None else tried.unionByName(pairs)
         settled = new if settled is None else settled.unionByName(new)
         before, open_entries = open_entries, cut(open_entries.join(new, F.col("lid") == F.col("settled"), "left_anti"))
         n_before, n_open = before.count(), open_entries.count()
+        if before is not entries:
+            forget(before)
         if n_before > LEAST_SETTLED * (n_before - n_open) or not work_left(entries, open_entries):
             break
     if settled is None:
-        rest = open_pairs(open_entries, entries.limit(0))
+        rest = cut(open_pairs(open_entries, entries.limit(0)))
     else:
         closed = cut(entries.join(settled, F.col("lid") == F.col("settled"), "left_semi"))
-        rest = open_pairs(open_entries, closed).join(tried, ["a", "b"], "left_anti")
-    rest = cut(rest)
-    more = verified(rest, fetch(rest)).select(F.col("a").alias("settled"))
+        forget(entries)
+        rest = cut(open_pairs(open_entries, closed).join(tried, ["a", "b"], "left_anti"))
+        forget(closed)
+    forget(open_entries)
+    more = settled_by(rest, fetch)
     return (more if settled is None else settled.unionByName(more)).distinct()
 
 
@@ -253,7 +280,7 @@ def removals(rows: DataFrame) -> DataFrame:
     """(id, row, n_lines, n_removed, removed) for rows of (id, row, text)."""
     with tidy(rows.sparkSession):
         lines, later = later_lines(rows)
-    flagged = lines.join(later.withColumnRenamed("lid", "gone"), F.col("place.lid") == F.col("gone"), "left")
+    flagged = lines.join(later.withColumnRenamed("lid", "gone"), F.col("lid") == F.col("gone"), "left")
     return flagged.groupBy("id", "row").agg(
         F.count("n").alias("n_lines"),
         F.count("gone").alias("n_removed"),
@@ -262,9 +289,12 @@ def removals(rows: DataFrame) -> DataFrame:
 
 
 def later_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All lines of (id, row, text), and the lids of those that copy or match an earlier one."""
-    lines = with_prefixes(rows)
-    worded = lines.filter("n is not null")
+    """All lines (id, row, line_no, lid, n) of (id, row, text), and the lids of those that copy or match an earlier one.
+
+    Sets and prefixes are large, so tables that hold them are deleted as soon as the next is written.
+    """
+    full = with_prefixes(rows)
+    worded = full.filter("n is not null")
     found = repeat_filter(worded.select("set"), "set")
     grouped = group_repeats(may_repeat(worded, "set", found, "flag"), "set", "place", "flag", F.min)
     copy = F.coalesce(F.col("place") != F.col("keep"), F.lit(False))
@@ -273,15 +303,17 @@ def later_lines(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
             "place", "copy", "n", "parity", "text_hash", F.col("size").alias("copies"), F.when(~F.col("copy"), F.col("prefix")).alias("prefix")
         )
     )
-    firsts = grouped.filter("not copy")
+    lines = cut(full.select("id", "row", "line_no", "place.lid", "n"))
+    forget(full)
+    entries = entries_of(grouped.filter("not copy"))
+    hashes = cut(grouped.select("place.lid", "copy", "text_hash"))
+    forget(grouped)
 
     def fetch(pairs: DataFrame) -> DataFrame:
         lids = pairs.select(F.explode(F.array("a", "b")).alias("wanted")).distinct()
-        wanted = firsts.join(lids, F.col("place.lid") == F.col("wanted")).select(F.col("wanted").alias("lid"), "text_hash")
-        return word_sets(rows, wanted)
+        return word_sets(rows, hashes.join(lids, F.col("lid") == F.col("wanted")).select("lid", "text_hash"))
 
-    later = grouped.filter("copy").select("place.lid").unionByName(cut(matched(firsts, fetch)).toDF("lid"))
-    return lines, later
+    return lines, cut(hashes.filter("copy").select("lid").unionByName(matched(entries, fetch).toDF("lid")))
 
 
 def repeated_lines(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -1,9 +1,12 @@
 import random
+from pathlib import Path
 
+import pyarrow.parquet as pq
 import pytest
 from helpers import documents, prose, words
 
 from nidalytics.llm import lines
+from nidalytics.plans.stages import shared_folder
 
 
 def brute(rows):
@@ -83,6 +86,28 @@ def test_comparisons_grow_with_the_lines(spark, monkeypatch):
         assert [r.doc_id for r in got if not r.n_removed] == [0] and sum(compared) <= 2 * n
 
 
+def test_large_tables_go_when_they_are_read(spark, monkeypatch):
+    """Prefixes and entries are the bulk of the disk: of them the present tables stay, in the end none."""
+    monkeypatch.setattr(lines, "MANY", 2)
+    folder = Path(shared_folder(spark).removeprefix("file:"))
+    earlier, held, cut = set(folder.iterdir()), [], lines.cut
+
+    def large():
+        names = [next(t.glob("*.parquet"), None) for t in set(folder.iterdir()) - earlier]
+        return sum(bool({"prefix", "pos"} & set(pq.read_schema(n).names)) for n in names if n)
+
+    def watched(df):
+        out = cut(df)
+        held.append(large())
+        return out
+
+    monkeypatch.setattr(lines, "cut", watched)
+    rows = made(5)
+    got = lines.repeated_lines(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.removed) for r in got), key=str) == brute(rows)
+    assert max(held) <= 3 and not large()
+
+
 def test_one_cell_for_all_words_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(lines, "CELLS", 1)
     rows = made(4)
