@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from itertools import count
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -49,9 +50,11 @@ def frequencies(rows: DataFrame) -> Column:
     words = rows.select(F.explode(words).alias("word")).filter("word != ''")
     counts = words.groupBy((F.xxhash64("word").bitwiseAND(F.lit(CELLS - 1))).alias("cell")).agg(F.count(F.lit(1)).alias("n"))
     found = counts.select(F.col("cell").cast("int"), F.length(F.bin("n")).cast("byte").alias("digits"))
-    table = found.toArrow().to_pydict()  # a row per cell, whatever the input
-    known = dict(zip(table["cell"], table["digits"], strict=True))
-    return F.expr("cast(split('%s', ',') as array<tinyint>)" % ",".join(str(known.get(c, 0)) for c in range(CELLS)))
+    table = found.toArrow()  # a row per cell, whatever the input
+    digits = np.zeros(CELLS, dtype=np.int8)
+    digits[table["cell"].to_numpy()] = table["digits"].to_numpy()
+    names = [str(i) for i in range(65)]  # shared by all cells: the driver holds no object for each
+    return F.expr("cast(split('%s', ',') as array<tinyint>)" % ",".join(map(names.__getitem__, digits.tolist())))
 
 
 def word_set(line: Column) -> Column:

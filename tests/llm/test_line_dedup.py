@@ -1,9 +1,11 @@
 import random
+import tracemalloc
 from pathlib import Path
 
 import pyarrow.parquet as pq
 import pytest
 from helpers import documents, prose, words
+from pyspark.sql import functions as F
 
 from nidalytics.llm import lines
 from nidalytics.plans.stages import shared_folder
@@ -130,3 +132,18 @@ def test_cleaned_texts(spark):
     out = lines.without_repeats(docs)
     assert out.columns == docs.columns
     assert {r.doc_id: r.text for r in out.collect()} == {1: "one two three\n\nfour five", 2: "new line", 3: None}
+
+
+def test_order_of_words_is_held_as_plain_numbers(spark, monkeypatch):
+    """What the driver holds of it is some bytes a cell."""
+    monkeypatch.setattr(lines, "CELLS", 2**17)
+    rows = [(i, " ".join(f"w{k}" for k in range(1000 * i, 1000 * i + 1000)) + "\nthe\tthe  end" * (i < 4)) for i in range(300)]
+    rows = lines.numbered(documents(spark, rows), "doc_id", "text")
+    tracemalloc.start()
+    found = lines.frequencies(rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * lines.CELLS
+    cell = F.xxhash64("w").bitwiseAND(F.lit(lines.CELLS - 1)).cast("int")
+    got = spark.createDataFrame([("the",), ("end",)], "w string").select("w", F.get(found, cell).alias("digits")).collect()
+    assert all(r.digits >= {"the": 4, "end": 3}[r.w] for r in got)
