@@ -8,6 +8,7 @@ their sets are compared. Only DataFrame functions are used.
 
 from __future__ import annotations
 
+from functools import partial, reduce
 from itertools import count
 
 import numpy as np
@@ -24,6 +25,11 @@ NUM, DEN = 4, 5
 CELLS = 2**20
 #: Words with so many entries are compared with single lines first; the result does not depend on it.
 MANY = 64
+#: Entries and pairs are worked on in up to so many slices, one after the other, so that what is shuffled at a time is a share of them.
+SLICES = 8
+#: Tables of fewer rows are not sliced: of entries (some 30 bytes each when shuffled), of pairs (two word sets each).
+SLICE_ENTRIES, SLICE_PAIRS = 2**21, 2**18
+cut_by_slice = partial(cut, by="slice")
 KEY_BITS = 57  # of a word's hash; the order of magnitude of its frequency stands above them
 
 
@@ -146,7 +152,9 @@ def verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     both = both.join(sets, both["a"] == sets["lid"]).withColumn("common", F.size(F.array_intersect("words", "words_b")))
     # common / (n + m - common) >= num / den
     total = F.size("words") + F.size("words_b")
-    return both.filter((NUM + DEN) * F.col("common") >= NUM * total).select("a", "b")
+    found = cut(both.filter((NUM + DEN) * F.col("common") >= NUM * total).select("a", "b"))
+    forget(named, theirs)
+    return found
 
 
 def possible(near: str, other: str) -> Column:
@@ -195,12 +203,15 @@ def led_pairs(open_entries: DataFrame, led: int) -> DataFrame | None:
     return pairs_of(near.filter(possible("", "o_") | possible("o_", "")), "", "o_")
 
 
-def work_left(entries: DataFrame, open_entries: DataFrame) -> bool:
-    """Whether open lines share their words with so many entries that another leader round pays."""
-    both = entries.groupBy("word").agg(F.count(F.lit(1)).alias("all"))
-    mine = open_entries.groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("open"))
-    meets, rows = mine.join(both, "word").agg(F.sum(F.col("open") * F.col("all")), F.sum("open")).first()
-    return (meets or 0) > ENOUGH * (rows or 0)
+def work_left(entries: list[DataFrame], settled: DataFrame) -> bool:
+    """Whether open lines share their words with so many entries that another leader round pays; for slices of the entries."""
+    meets, rows = 0, 0
+    for part in entries:
+        both = part.groupBy("word").agg(F.count(F.lit(1)).alias("all"))
+        mine = unsettled(part, settled).groupBy("word").agg(F.count(F.lit(1)).cast("double").alias("open"))
+        found = mine.join(both, "word").agg(F.sum(F.col("open") * F.col("all")), F.sum("open")).first()
+        meets, rows = meets + (found[0] or 0), rows + (found[1] or 0)
+    return meets > ENOUGH * rows
 
 
 def open_pairs(open_entries: DataFrame, closed: DataFrame) -> DataFrame:
@@ -231,15 +242,27 @@ def entries_of(firsts: DataFrame) -> DataFrame:
     )
     found = repeat_filter(entries.select("word"), "word", hashes=1)
     entries = may_repeat(entries, "word", found, "flag", hashes=1).filter("flag").drop("flag")
-    return cut(entries.withColumn("short", F.col("pos") <= F.col("reach")).drop("reach"))
+    entries = entries.withColumn("short", F.col("pos") <= F.col("reach")).drop("reach")
+    return cut_by_slice(entries.withColumn("slice", F.col("word").bitwiseAND(F.lit(SLICES - 1)).cast("int")))
+
+
+def slices(rows: DataFrame, number: Column, size: int) -> list[DataFrame]:
+    """A written table in equal parts by a number below ``SLICES``; one part if it has fewer than ``size`` rows."""
+    n = min(SLICES, 1 << (rows.count() // size).bit_length())
+    return [rows.filter(number % n == k) for k in range(n)] if n > 1 else [rows]
+
+
+def union(tables: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, tables)
 
 
 def settled_by(pairs: DataFrame, fetch) -> DataFrame:
     """(settled): the later lines of those written pairs whose sets match; written, so that the sets can go."""
     sets = fetch(pairs)
-    found = cut(verified(pairs, sets).select(F.col("a").alias("settled")).distinct())
+    parts = slices(pairs, F.pmod(F.xxhash64("a"), F.lit(SLICES)), SLICE_PAIRS)
+    found = [cut(verified(part, sets).select(F.col("a").alias("settled")).distinct()) for part in parts]
     forget(sets)
-    return found
+    return union(found)
 
 
 def matched(entries: DataFrame, fetch) -> DataFrame:
@@ -250,35 +273,60 @@ def matched(entries: DataFrame, fetch) -> DataFrame:
     settles most of a large group of like lines in a number of comparisons that grows with the group, not
     its square; such rounds go on as long as they settle much and much is left. Lines that are still open
     are compared with all entries of their words, so that no match is missed; settled lines are only
-    looked up by these, never with each other. Of the tables of rounds only the last is kept.
+    looked up by these, never with each other. The words of a large table are worked on slice after slice, and so are the
+    pairs found: what is shuffled or copied at a time is a share of them.
     """
-    open_entries, settled, tried = entries, None, None
+    parts, settled, tried = slices(entries, F.col("slice"), SLICE_ENTRIES), None, None
+    n_open = entries.count()
     for led in count():
-        pairs = led_pairs(open_entries, led)
-        if pairs is None:
+        found = []
+        for part in parts:
+            mine = part if settled is None else cut(unsettled(part, settled))
+            if (pairs := led_pairs(mine, led)) is not None:
+                found.append(cut(pairs))
+            if settled is not None:
+                forget(mine)
+        if not found:
             break
-        pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+        pairs = new_pairs(found, tried)
         new = settled_by(pairs, fetch)
         tried = pairs if tried is None else tried.unionByName(pairs)
         settled = new if settled is None else settled.unionByName(new)
-        before, open_entries = open_entries, cut(open_entries.join(new, F.col("lid") == F.col("settled"), "left_anti"))
-        n_before, n_open = before.count(), open_entries.count()
-        if before is not entries:
-            forget(before)
-        if n_before > LEAST_SETTLED * (n_before - n_open) or not work_left(entries, open_entries):
+        n_before, n_settled = n_open, sum(of_settled(part, new).count() for part in parts)
+        n_open -= n_settled
+        if n_before > LEAST_SETTLED * n_settled or not work_left(parts, settled):
             break
-    if settled is None:
-        rest = cut(open_pairs(open_entries, entries.limit(0)))
-    else:
-        closed = cut(entries.join(settled, F.col("lid") == F.col("settled"), "left_semi"))
-        forget(entries)
-        rest = cut(open_pairs(open_entries, closed).join(tried, ["a", "b"], "left_anti"))
-        forget(closed)
-    forget(open_entries)
-    more = settled_by(rest, fetch)
+    found = []
+    for part in parts:
+        if settled is None:
+            found.append(cut(open_pairs(part, part.limit(0))))
+        else:
+            mine, theirs = cut(unsettled(part, settled)), cut(of_settled(part, settled))
+            found.append(cut(open_pairs(mine, theirs)))
+            forget(mine, theirs)
+    forget(entries)
+    more = settled_by(new_pairs(found, tried), fetch)
     return (more if settled is None else settled.unionByName(more)).distinct()
 
 
+def unsettled(entries: DataFrame, settled: DataFrame) -> DataFrame:
+    return entries.join(settled, F.col("lid") == F.col("settled"), "left_anti")
+
+
+def of_settled(entries: DataFrame, settled: DataFrame) -> DataFrame:
+    return entries.join(settled, F.col("lid") == F.col("settled"), "left_semi")
+
+
+def new_pairs(found: list[DataFrame], tried: DataFrame | None) -> DataFrame:
+    """Written tables of pairs as one, without those tried before; the tables go."""
+    if len(found) == 1 and tried is None:
+        return found[0]
+    pairs = union(found) if len(found) == 1 else union(found).distinct()
+    pairs = cut(pairs if tried is None else pairs.join(tried, ["a", "b"], "left_anti"))
+    forget(*found)
+    return pairs
+
+
 def removals(rows: DataFrame) -> DataFrame:
     """(id, row, n_lines, n_removed, removed) for rows of (id, row, text)."""
     with tidy(rows.sparkSession):

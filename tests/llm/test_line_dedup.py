@@ -8,6 +8,7 @@ from helpers import documents, prose, words
 from pyspark.sql import functions as F
 
 from nidalytics.llm import lines
+from nidalytics.plans import stages
 from nidalytics.plans.stages import shared_folder
 
 
@@ -110,6 +111,37 @@ def test_large_tables_go_when_they_are_read(spark, monkeypatch):
     assert max(held) <= 3 and not large()
 
 
+def test_words_and_pairs_are_worked_on_in_slices(spark, monkeypatch):
+    """What is joined at a time, and so lies in the shuffle, is a share of the entries, in rounds and after them."""
+    rows = list(enumerate(edits(3, 40, prose(9, 30), 4)))
+    for name, value in (("MANY", 2), ("SLICES", 2), ("SLICE_ENTRIES", 1), ("SLICE_PAIRS", 1)):
+        monkeypatch.setattr(lines, name, value, raising=False)
+    entries_of, led_pairs, open_pairs = lines.entries_of, lines.led_pairs, lines.open_pairs
+    verified, all_entries, at_once, pairs = lines.verified, [], [], []
+
+    def made_entries(firsts):
+        all_entries.append((out := entries_of(firsts)).count())
+        return out
+
+    def joined(work):
+        return lambda mine, other: at_once.append(mine.count()) or work(mine, other)
+
+    monkeypatch.setattr(lines, "entries_of", made_entries)
+    monkeypatch.setattr(lines, "led_pairs", joined(led_pairs))
+    monkeypatch.setattr(lines, "open_pairs", joined(open_pairs))
+    monkeypatch.setattr(lines, "verified", lambda part, sets: pairs.append(part.count()) or verified(part, sets))
+    got = lines.repeated_lines(documents(spark, rows)).collect()
+    assert sorted(((r.doc_id, r.n_lines, r.removed) for r in got), key=str) == brute(rows)
+    assert max(at_once) < 0.7 * all_entries[0] and len(pairs) >= 4
+
+
+def test_partitioned_tables_go(spark):
+    table = stages.cut(spark.range(10).selectExpr("id", "int(id % 3) AS slice"), "slice")
+    place = Path(table.inputFiles()[0].removeprefix("file:")).parents[1]
+    stages.forget(table)
+    assert place.name.startswith("stage-") and not place.exists()
+
+
 def test_one_cell_for_all_words_gives_the_same(spark, monkeypatch):
     monkeypatch.setattr(lines, "CELLS", 1)
     rows = made(4)
