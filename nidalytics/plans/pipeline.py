@@ -273,7 +273,7 @@ def export_corrected(
     trimmed = correct.trim_window(tof, deployments, keys, "timestamp")
     runs = cut(bt.state_runs(trimmed, ORDER, "state_corrected", bridge_nulls).drop(BLOCK))
     bout_table = cut(bt.bouts(runs, ORDER, min_bout_sec=min_bout_sec))
-    sun = night.sun_table(runs, "timestamp", deployments, keys)
+    sun = cut(night.sun_table(runs, "timestamp", deployments, keys))
     dht = correct.trim_window(processed["dht_processed"], deployments, keys, "timestamp")
     out = runs.withColumnRenamed("bout_id", "bout_id_corrected")
     return {
@@ -306,10 +306,12 @@ def unfit(deployments: DataFrame, found: dict[str, DataFrame], corrections: Data
     states = ("present", "absent", "uncertain")
     tof = found["tof_processed"]
     strange = F.col("state_auto").isNotNull() & ~F.col("state_auto").isin(*states)
+    # readings are gone through once, and what is joined is a row per deployment
+    seen = cut(tof.groupBy(*KEYS).agg(F.bool_or(F.col("timestamp").isNull()).alias("_undated"), F.bool_or(strange).alias("_strange")))
     rules = [
-        tof.where(F.col("timestamp").isNull()).select(*KEYS, F.lit("a reading without a time").alias("reason")),
-        tof.where(strange).select(*KEYS, F.lit("a state that is not known").alias("reason")),
-        tof.select(*KEYS).join(deployments, list(KEYS), "left_anti").select(*KEYS, F.lit("no description").alias("reason")),
+        seen.where("_undated").select(*KEYS, F.lit("a reading without a time").alias("reason")),
+        seen.where("_strange").select(*KEYS, F.lit("a state that is not known").alias("reason")),
+        seen.select(*KEYS).join(deployments, list(KEYS), "left_anti").select(*KEYS, F.lit("no description").alias("reason")),
     ]
     if corrections is not None:
         known = F.coalesce(F.col("action").isin(*states, correct.RESET), F.lit(False))
@@ -341,15 +343,16 @@ def export_all(
     ddls = {**schemas.PROCESSED_TABLES, "log_clean": schemas.LOG_CLEAN}
     found = {n: now.table(n, ddl, skip_broken=True) for n, ddl in ddls.items()}
     with scratch(spark):
-        lost = broken_tables({**found, "deployments": deployments}, now.counts())
+        # plans of their own: the driver holds each plan and what its tasks report
+        lost = cut(broken_tables({**found, "deployments": deployments}, now.counts()))
         failed = cut(lost.unionByName(unfit(deployments, found, corrections)))
-        bad = failed.select(*KEYS).distinct()
+        bad = None if failed.isEmpty() else failed.select(*KEYS).distinct()
         tables.quarantine(
             failed.select(F.col("deployment_id").alias("source_file"), "reason", F.lit(None).cast("string").alias("raw")), export_root
         )
 
         def good(df: DataFrame) -> DataFrame:
-            return df.join(bad, list(KEYS), "left_anti")
+            return df if bad is None else df.join(bad, list(KEYS), "left_anti")
 
         described = cut(good(deployments))
         trimmed = described if trims is None else correct.set_trim(described, trims, list(KEYS))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from nidalytics.operators import bouts as bt
 from nidalytics.operators import correct
-from nidalytics.plans import pipeline
+from nidalytics.plans import pipeline, stages
 from nidalytics.sources import raw, schemas, tables, versions
 from nidalytics.streaming.arrivals import process_arrivals
 
@@ -280,6 +280,31 @@ def test_export_of_a_deployment_that_was_trimmed_empty(spark, out, tmp_path):
     assert again["tof_processed"].count() > 0
 
 
+def test_readings_are_judged_in_one_pass_per_deployment(spark):
+    """What is joined and told apart afterwards is a row per deployment, not per reading."""
+    t = dt.datetime(2026, 4, 15, 12, 0)
+    rows = [("a", t, "present"), ("a", t, None), ("b", None, "absent"), ("b", t, "asleep"), ("b", t, "asleep"), ("c", t, None), (None, t, "absent")]
+    tof = stages.cut(spark.createDataFrame(rows, "deployment_id string, timestamp timestamp, state_auto string"))
+    described = spark.createDataFrame([("a",), ("b",), ("d",)], "deployment_id string")
+    found = pipeline.unfit(described, {"tof_processed": tof}, None)
+    assert "state_auto" not in found._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted((str(r[0]), r[1]) for r in found.collect()) == [
+        ("None", "no description"), ("b", "a reading without a time"), ("b", "a state that is not known"), ("c", "no description"),
+    ]
+
+
+def test_export_of_a_sound_fleet_reads_its_tables_as_they_are(spark, out, tmp_path, monkeypatch):
+    plans, work = [], pipeline.export_corrected
+
+    def watched(processed, *more):
+        plans.extend(t._jdf.queryExecution().optimizedPlan().toString() for t in processed.values())
+        return work(processed, *more)
+
+    monkeypatch.setattr(pipeline, "export_corrected", watched)
+    assert pipeline.export_all(spark, out, str(tmp_path / "ex")) == 2
+    assert plans and not any("LeftAnti" in p for p in plans)
+
+
 def test_a_deployment_that_cannot_be_exported_does_not_stop_the_others(spark, out, tmp_path):
     copy, ex = str(tmp_path / "copy"), str(tmp_path / "ex")
     now = versions.snapshot(spark, out)
